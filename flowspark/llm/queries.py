@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_blocks, mixing, simhash
+from . import html_blocks, mixing, quality_rules, simhash, string_tiling, token_count, toxicity, training_order
 from .common import table
 
+#: Folder of the tokenizers' vocabulary files, and the files that the queries take.
+TOKENIZERS = os.environ.get("FLOWSPARK_TOKENIZERS", "/opt/tokenizers")
+UNIGRAM_FILE, BYTE_FILE, BYTE_EOS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken", 50256
+#: Fixed value: how the vocabulary of BYTE_FILE cuts a text before it merges bytes.
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_vocabulary(folder: str = TOKENIZERS) -> tuple[dict[bytes, int], str, int]:
+    return training_order.load_ranks(os.path.join(folder, BYTE_FILE)), BYTE_PATTERN, BYTE_EOS
+
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract_main_text(table(spark, sf_dir, "pages"))
@@ -20,14 +31,48 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = token_count.load_vocabulary(os.path.join(TOKENIZERS, UNIGRAM_FILE))
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern, eos = byte_vocabulary()
+    return training_order.ordered_digest(table(spark, sf_dir, "documents"), ranks, pattern, eos)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_mix_sources": op2_mix_sources,
+    "op3_token_counts": op3_token_counts,
+    "op4_quality": op4_quality,
+    "op6_decontaminate": op6_decontaminate,
+    "op8_toxicity": op8_toxicity,
+    "op9_training_order": op9_training_order,
     "op10_simhash": op10_simhash,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.ORACLE_SQL}
