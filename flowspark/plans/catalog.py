@@ -1,10 +1,220 @@
-"""All queries by name, with the SQL that gives the same rows."""
+"""All queries by name, with the SQL that gives the same rows.
+
+Results are rounded to six places and whole numbers are BIGINT, so that two engines agree on them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowspark.operators import bars as B
+from flowspark.operators import book as K
+from flowspark.operators import evaluation as E
+from flowspark.operators import features as X
+from flowspark.operators import joins as J
+from flowspark.operators import ordering as O
+from flowspark.operators import signals as S
+from flowspark.plans.oracle import ORACLE_SQL  # noqa: F401
+from flowspark.sources.adapters import book, ticks
+
+#: Lots of a bar, and rows of the rolling windows.
+VOLUME, RANK, SHOCK = 500, 200, 100
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    kinds = {"double": lambda c: F.round(c, 6), "int": lambda c: c.cast("long")}
+    return df.select(*[kinds.get(kind, lambda c: c)(F.col(name)).alias(name) for name, kind in df.dtypes])
+
+
+def bars_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.volume_bars(ticks(spark, sf_dir), VOLUME)
+
+
+def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.current_volatility(X.returns(bars_of(spark, sf_dir)))
+
+
+def tick_view(spark, d):
+    return rounded(ticks(spark, d).select("symbol", "ts_ms", "seq", "price", "lots", "is_buyer_maker"))
+
+
+def tick_order_check(spark, d):
+    return rounded(O.check_order(ticks(spark, d)))
+
+
+def cumulative_lots(spark, d):
+    return rounded(O.running_sum(ticks(spark, d), "lots", "upto").select("symbol", "seq", "upto"))
+
+
+def volume_bars(spark, d):
+    return rounded(bars_of(spark, d).withColumn("kyle_lambda", F.log1p("kyle_lambda")))
+
+
+def bar_returns(spark, d):
+    names = ["ret1vb_bp", "retHvb_bp", "close_pos1vb", "taker_imb1vb", "close_vs_vwap"]
+    return rounded(X.returns(bars_of(spark, d)).select("bar_id", *names))
+
+
+def vpin(spark, d):
+    return rounded(X.vpin(bars_of(spark, d)).select("bar_id", "vpin_n", "vpin_delta"))
+
+
+def trade_activity(spark, d):
+    return rounded(X.trade_activity(bars_of(spark, d)).select("bar_id", "tca"))
+
+
+def current_volatility(spark, d):
+    return rounded(X.current_volatility(bars_of(spark, d)).select("bar_id", "cur_vol_vb_bp"))
+
+
+def rolling_percent_rank(spark, d):
+    def step(w):
+        return {"pct": X.percent_rank(F.col("roll_spread"), O.rolling(w, RANK), RANK // 10)}
+
+    return rounded(O.in_blocks(bars_of(spark, d), step, back=RANK).select("bar_id", "pct"))
+
+
+def robust_z(spark, d):
+    df = bars_of(spark, d).withColumn("_x", F.log1p(F.greatest("dt_sec", F.lit(0.0))))
+    return rounded(X.robust_z(df, "_x", "dt_sec_z", 72, 18).select("bar_id", "dt_sec_z"))
+
+
+def ewma(spark, d):
+    df = bars_of(spark, d).select("symbol", "bar_id", F.col("dt_sec").alias("x"))
+    return rounded(X.ewma(df, "x", "ewma", 0.2).select("bar_id", "ewma"))
+
+
+def rolling_quantile(spark, d):
+    def step(w):
+        return {"q90": X.median(F.col("kyle_lambda"), O.rolling(w, 50), 1, 0.9)}
+
+    df = bars_of(spark, d).withColumn("kyle_lambda", F.col("range1vb_bp"))
+    return rounded(O.in_blocks(df, step, back=50).select("bar_id", "q90"))
+
+
+def lag_matrix(spark, d):
+    names = [f"{c}_lag{k}" for c in ("close", "dt_sec") for k in (1, 2, 3)]
+    return rounded(X.lags(bars_of(spark, d), ["close", "dt_sec"], 3).select("bar_id", *names))
+
+
+def streak(spark, d):
+    return rounded(X.streak(X.returns(bars_of(spark, d)), "taker_imb1vb").select("bar_id", "streak"))
+
+
+def shock_trigger(spark, d):
+    df = S.shock_trigger(X.returns(bars_of(spark, d)), SHOCK)
+    return rounded(df.select("bar_id", "spread_pct", "trigger_on", "trigger_off", "entry_dir"))
+
+
+def label_event(spark, d):
+    df = S.label_event(S.shock_trigger(X.returns(bars_of(spark, d)), SHOCK))
+    return rounded(df.select("bar_id", "exit_bar", "y_event_bp"))
+
+
+def label_efficiency(spark, d):
+    return rounded(S.label_efficiency(bars_of(spark, d)).select("bar_id", "y_efficiency"))
+
+
+def label_variable_horizon(spark, d):
+    return rounded(S.label_variable_horizon(X.returns(bars_of(spark, d))).select("bar_id", "hold_bars", "y_variable"))
+
+
+def label_vwap(spark, d):
+    return rounded(S.label_vwap(featured(spark, d)).select("bar_id", "y_vwap"))
+
+
+def asof_book(spark, d):
+    b = K.ladder_features(book(spark, d)).select("symbol", "ts_ms", "mid", "ob_imb_l5")
+    left = bars_of(spark, d).select("symbol", "bar_id", "ts_ms")
+    return rounded(J.asof(left, b, ["ob_imb_l5"], tolerance=30_000).select("bar_id", "ts_ms", F.col("right_ts").alias("book_ts"), "ob_imb_l5"))
+
+
+def nearest_book(spark, d):
+    b = K.ladder_features(book(spark, d)).select("symbol", "ts_ms", "ob_imb_l5")
+    left = bars_of(spark, d).select("symbol", "bar_id", "ts_ms")
+    return rounded(J.nearest(left, b, ["ob_imb_l5"]).select("bar_id", "ts_ms", F.col("right_ts").alias("book_ts"), "ob_imb_l5"))
+
+
+def ladder_features(spark, d):
+    return rounded(K.ladder_features(book(spark, d)).drop("symbol"))
+
+
+def cross_instrument(spark, d):
+    both = ticks(spark, d)
+    own = B.volume_bars(both.filter("user_id % 2 = 0"), VOLUME).select("symbol", "bar_id", "ts_first", "ts_ms")
+    other = both.filter("user_id % 2 = 1").select("symbol", "ts_ms", "seq", "price", "lots", "is_buyer_maker")
+    met = J.within(own.withColumnRenamed("ts_ms", "ts_last"), other, "ts_first", "ts_last")
+    sign = F.when(F.col("is_buyer_maker"), -F.col("lots")).otherwise(F.col("lots"))
+    first, last = F.min_by("price", "seq"), F.max_by("price", "seq")
+    return rounded(met.groupBy("bar_id").agg(F.count(F.lit(1)).alias("n"), (F.sum(sign) / F.sum("lots")).alias("imb"), ((last - first) / first * 1e4).alias("ret_bp"), F.sum("lots").alias("total")))
+
+
+def grid_times(spark, d):
+    return rounded(B.grid_times(ticks(spark, d), 3_600_000, 43_200_000).select("grid_ms"))
+
+
+def grid_bars(spark, d):
+    t = ticks(spark, d)
+    df = B.grid_bars(t, B.grid_times(t, 3_600_000, 43_200_000), VOLUME, 3)
+    return rounded(df.select("grid_ms", "bar_idx", "ts_first", "ts_ms", "open", "high", "low", "close", "vwap", "trade_count", "taker_buy_vol"))
+
+
+def folds_bars(spark, d):
+    return rounded(E.bar_folds(bars_of(spark, d), 400, 100, 20))
+
+
+def joined(spark, d):
+    """Bars in folds, with the imbalance as a prediction of the next variable-horizon return."""
+    b = S.label_variable_horizon(X.returns(bars_of(spark, d))).select("symbol", "bar_id", F.col("taker_imb1vb").alias("pred"), F.col("y_variable").alias("y"), "hold_bars")
+    return E.members(b, E.bar_folds(b, 400, 100, 20), purge=12)
+
+
+def fold_members(spark, d):
+    return rounded(joined(spark, d).groupBy("fold_idx", "part").agg(F.count(F.lit(1)).alias("n"), F.min("bar_id").alias("first_bar"), F.max("bar_id").alias("last_bar")))
+
+
+def spearman_by_fold(spark, d):
+    return rounded(E.spearman(joined(spark, d), "pred", "y", ["fold_idx", "part"]))
+
+
+def fit_metrics(spark, d):
+    return rounded(E.fit_metrics(joined(spark, d), "pred", "y", ["fold_idx", "part"]))
+
+
+def top_confidence(spark, d):
+    return rounded(E.top_confidence(joined(spark, d), "pred", "y", 0.1, ["fold_idx", "part"]))
+
+
+def fold_thresholds(spark, d):
+    df = joined(spark, d).filter("part = 'train'").withColumn("score", F.abs("pred"))
+    return rounded(E.thresholds(df, "score", 0.2, ["fold_idx"]))
+
+
+def median_impute(spark, d):
+    df = E.impute_medians(joined(spark, d), ["y"], ["fold_idx"])
+    return rounded(df.groupBy("fold_idx", "part").agg(F.avg("y").alias("y_mean")))
+
+
+def missing_profile(spark, d):
+    df = X.vpin(featured(spark, d))
+    return rounded(E.missing_profile(df, ["entropy_norm", "roll_spread", "burst_cv", "vpin_n", "cur_vol_vb_bp", "ret1vb_bp"]))
+
+
+def hold_buckets(spark, d):
+    b = S.label_variable_horizon(X.returns(bars_of(spark, d)))
+    bucket = F.when(F.col("hold_bars") <= 3, "1-3").otherwise("4+")
+    return rounded(b.filter("y_variable is not null").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg(-F.signum("taker_imb1vb") * F.col("y_variable")).alias("reversion"), F.avg("hold_bars").alias("mean_hold")))
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        tick_view, tick_order_check, cumulative_lots, volume_bars, bar_returns, vpin, trade_activity, current_volatility, rolling_percent_rank, robust_z, ewma,
+        rolling_quantile, lag_matrix, streak, shock_trigger, label_event, label_efficiency, label_variable_horizon, label_vwap, asof_book, nearest_book,
+        ladder_features, cross_instrument, grid_times, grid_bars, folds_bars, fold_members, spearman_by_fold, fit_metrics, top_confidence, fold_thresholds,
+        median_impute, missing_profile, hold_buckets,
+    )
+}
