@@ -29,6 +29,8 @@ ROUNDS = 3
 LEAST_SCORE, LEAST_SEEDS = 0.6, 5
 #: Added to the number of instances of a pattern, so that few instances give no high score.
 SMOOTHING = 1.0
+#: Code points of a cell in which base spans and candidates meet.
+CELL = 256
 KINDS = ("email", "ip", "card", "phone")
 
 # The four base patterns.  Possessive and look-behind forms match the same spans without
@@ -80,8 +82,24 @@ def located(docs: DataFrame) -> DataFrame:
     likely = lambda v: (F.char_length(bare(v)) >= 5) & (F.regexp_count(v, F.lit("[0-9]")) >= 3)
     named = rows.select("doc_id", *[spans(k, lambda v, k=k: passes(k, v)).alias(k) for k in KINDS], spans("other", likely).alias("other"))
     base = named.select("doc_id", F.concat(*KINDS).alias("base"), "other")
-    apart = F.filter("other", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return stored(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", apart.alias("candidates")), "personal-data")
+    return stored(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", F.col("other").alias("candidates")), "personal-data")
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """(row, kind, start, end, before, value) of the candidates that touch no base span; stored.
+
+    Spans meet by cells of ``CELL`` code points, so a text with very many spans is no long comparison.
+    """
+
+    def spans(name: str) -> DataFrame:
+        return rows.select("row", F.explode(name).alias("s")).select("row", "s.*")
+
+    def cells(df: DataFrame) -> DataFrame:
+        return df.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("end") - 1) / CELL))))
+
+    taken = cells(spans("base").select("row", "start", "end")).withColumnsRenamed({"start": "from", "end": "upto"})
+    touched = cells(spans("candidates")).join(taken, ["row", "cell"]).filter("from < end and start < upto").select("row", "start").distinct()
+    return stored(spans("candidates").join(touched, ["row", "start"], "left_anti").select("row", "kind", "start", "end", "before", "value"), "personal-candidates")
 
 
 def patterns_of(spans: DataFrame) -> DataFrame:
@@ -91,9 +109,9 @@ def patterns_of(spans: DataFrame) -> DataFrame:
     return spans.filter("before <> ''").withColumn("pattern", F.explode(both))
 
 
-def learn(rows: DataFrame) -> DataFrame:
+def learn(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     """(pattern, kind, score) of the patterns to trust."""
-    spans = rows.select(F.explode(F.concat("base", "candidates")).alias("s")).select("s.*")
+    spans = rows.select(F.explode("base").alias("s")).select("s.*").unionByName(candidates.drop("row"))
     edges = stored(patterns_of(spans).select("pattern", "value", "kind").distinct(), "personal-edges")
     sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"))
     seeds = edges.filter("kind <> 'other'").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
@@ -115,9 +133,9 @@ def learn(rows: DataFrame) -> DataFrame:
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, base, found) for every document: arrays of (kind, start, end) in order."""
     rows = located(pick(docs, doc_id=doc_id, text=text))
-    trusted = learn(rows).select("pattern").distinct()
-    candidates = patterns_of(rows.select("row", F.explode("candidates").alias("s")).select("row", "s.*"))
-    new = candidates.join(trusted, "pattern", "left_semi").groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("found"))
+    candidates = apart(rows)
+    trusted = learn(rows, candidates).select("pattern").distinct()
+    new = patterns_of(candidates).join(trusted, "pattern", "left_semi").groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("found"))
     plain = "array<struct<kind:string,start:bigint,end:bigint>>"
     base = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
     return rows.select("row", "doc_id", base.alias("base")).join(new, "row", "left").select("doc_id", "base", F.coalesce("found", F.array().cast(plain)).alias("found"))

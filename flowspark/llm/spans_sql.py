@@ -7,20 +7,27 @@ blocks: a text with very many matches costs no more than ``BLOCK`` steps for eac
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = 256
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, not at every use in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def running_sums(numbers: Column) -> Column:
     """For each number of an array the sum of those before it."""
     start = lambda at: F.struct(at.cast("long").alias("s"), F.array().cast("array<bigint>").alias("a"))
     step = lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["a"], F.array(acc["s"])).alias("a"))
     run = lambda items, at: F.aggregate(items, start(at), step, lambda acc: acc["a"])
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / F.lit(BLOCK)).cast("int")), lambda b: F.slice(numbers, b * BLOCK + 1, F.lit(BLOCK)))
-    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b))
-    return F.flatten(F.zip_with(blocks, run(totals, F.lit(0)), run))
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / F.lit(BLOCK)).cast("int")), lambda b: F.slice(x, b * BLOCK + 1, F.lit(BLOCK)))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
+    return let(numbers, lambda x: let(cut(x), lambda blocks: F.flatten(F.zip_with(blocks, run(F.transform(blocks, total), F.lit(0)), run))))
 
 
 def context(gap: Column) -> Column:
@@ -31,14 +38,13 @@ def context(gap: Column) -> Column:
 def matches(text: Column, found: Column, pattern: str) -> Column:
     """``found``: all matches of ``pattern`` in ``text``.  Array of (value, start, end, before), or an
     empty one; ``before`` is the text up to the match from the match before it."""
-    gaps = F.split(text, pattern, -1)
-    lengths = F.flatten(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.array(F.char_length(g).cast("long"), F.char_length(m).cast("long"))))
-    sums = running_sums(lengths)
-    places = F.transform(
-        found,
-        lambda m, i: F.struct(
-            m.alias("value"), F.get(sums, 2 * i + 1).alias("start"), (F.get(sums, 2 * i + 1) + F.char_length(m)).alias("end"), F.get(gaps, i).alias("before")
-        ),
-    )
+    pieces = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("value")))
+    whole = lambda p: (F.char_length(p["gap"]) + F.char_length(p["value"])).cast("long")
+
+    def place(p: Column, at: Column) -> Column:
+        start = at + F.char_length(p["gap"])
+        return F.struct(p["value"].alias("value"), start.alias("start"), (start + F.char_length(p["value"])).alias("end"), p["gap"].alias("before"))
+
     kind = "array<struct<value:string,start:bigint,end:bigint,before:string>>"
+    places = let(pieces, lambda p: F.zip_with(p, running_sums(F.transform(p, whole)), place))
     return F.when(F.size(found) > 0, places).otherwise(F.array().cast(kind)).cast(kind)
