@@ -79,3 +79,36 @@ def missing_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, missing): the share of nulls of each column."""
     one = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
     return one.unpivot([], columns, "column", "missing")
+
+
+def day_folds(rows: DataFrame, train: int, oos: int, gap: int, step: int, day: str = "dt") -> DataFrame:
+    """(fold_idx, tr_start, tr_end, gap_end, os_end) from every ``step``-th day that has rows; spans are
+    in calendar days, and a fold must end by the last day.  One row a day is numbered in one task."""
+    days = rows.select(F.col(day).alias("d")).distinct().filter("d is not null")
+    order = Window.orderBy("d")
+    seen = days.select("d", (F.row_number().over(order) - 1).alias("i"), F.max("d").over(Window.partitionBy()).alias("last"))
+    fits = (F.col("i") % step == 0) & (F.date_add("d", train + gap + oos) <= F.col("last"))
+    return seen.filter(fits).select((F.col("i") / step).cast("int").alias("fold_idx"), F.col("d").alias("tr_start"), F.date_add("d", train).alias("tr_end"), F.date_add("d", train + gap).alias("gap_end"), F.date_add("d", train + gap + oos).alias("os_end"))
+
+
+def decay_weights(df: DataFrame, decay: float, group: list[str], order: str = "bar_id") -> DataFrame:
+    """Add ``weight``: ``decay`` to the power of the rows that follow in the group, scaled to a mean of 1."""
+    whole = Window.partitionBy(*group)
+    place = F.row_number().over(whole.orderBy(F.col(order).desc())) - 1
+    raw = df.withColumn("weight", F.pow(F.lit(decay), place))
+    return raw.withColumn("weight", F.col("weight") * F.count(F.lit(1)).over(whole) / F.sum("weight").over(whole))
+
+
+def search_threshold(df: DataFrame, score: str, rate: float, low: float = 0.3, high: float = 0.9, steps: int = 60) -> DataFrame:
+    """(threshold, share): of evenly spaced thresholds the one whose share of scores at or above it is
+    nearest to ``rate``, the lowest of several; 0.5 and null without scores.
+
+    A score counts for all thresholds up to it, so rows are counted once by the highest one they reach.
+    """
+    grid = [low + (high - low) * i / (steps - 1) for i in range(steps)]
+    levels = F.array(*[F.lit(t) for t in grid])
+    reached = df.filter(F.col(score).isNotNull()).select(F.size(F.filter(levels, lambda t: t <= F.col(score))).alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    counts = reached.agg(F.sum("_n").alias("n"), F.collect_list(F.struct("_k", "_n")).alias("c"))  # steps + 1 entries at most
+    rated = counts.select("n", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"), "c").withColumn("share", F.aggregate(F.filter("c", lambda x: x["_k"] > F.col("i")), F.lit(0).cast("long"), lambda a, x: a + x["_n"]) / F.col("n"))
+    best = rated.agg(F.min_by(F.struct(F.get(levels, F.col("i")).alias("t"), "share"), F.struct(F.abs(F.col("share") - rate), F.col("i"))).alias("b"), F.max("n").alias("n"))
+    return best.select(F.when(F.col("n") > 0, F.col("b.t")).otherwise(0.5).alias("threshold"), F.col("b.share").alias("share"))

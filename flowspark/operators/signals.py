@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from .features import percent_rank
+from .features import ewma, percent_rank
 from .ordering import EPS, in_blocks, rolling
 
 # UTC hours that count as good.
@@ -118,3 +118,44 @@ def label_event(bars: DataFrame, most: int = 60) -> DataFrame:
         return {"exit_bar": use["bar_id"], "y_event_bp": F.log(use["close"] / F.col("close")) * 1e4}
 
     return in_blocks(bars, step, forward=most)
+
+
+def composite_score(bars: DataFrame, n: int = 200, k: int = 4) -> DataFrame:
+    """Mean of four rolling ranks: spread (carried forward inside the frame), speed, one-sidedness of the
+    last ``k`` bars, and change of VPIN.  Null while any of them is.  Needs ``vpin_delta``."""
+    least = max(10, n // 10)
+
+    def first(w: WindowSpec) -> dict[str, Column]:
+        sign = F.signum("taker_imb1vb")
+        recent = rolling(w, k)
+        return {
+            "_spread": F.last("roll_spread", ignorenulls=True).over(rolling(w, n)),
+            "_sided": F.when(F.count(sign).over(recent) >= max(2, k // 2), F.abs(F.sum(sign).over(recent)) / k),
+        }
+
+    def second(w: WindowSpec) -> dict[str, Column]:
+        frame = rolling(w, n)
+        return {
+            "spread_score": percent_rank(F.col("_spread"), frame, least),
+            "activity_score": 1 - percent_rank(F.greatest("dt_sec", F.lit(0.0)), frame, least),
+            "imb_score": percent_rank(F.col("_sided"), frame, least),
+            "vpin_score": percent_rank(F.abs("vpin_delta"), frame, least),
+        }
+
+    scored = in_blocks(bars, [first, second], back=2 * n + k).drop("_spread", "_sided")
+    return scored.withColumn("composite_score", (F.col("spread_score") + F.col("activity_score") + F.col("imb_score") + F.col("vpin_score")) / 4)
+
+
+def label_scaled_trend(bars: DataFrame, horizon: int = 18, span: int = 50) -> DataFrame:
+    """Log return over the next ``horizon`` bars in units of the smoothed absolute return and the root of
+    the time it takes, against the median time of a bar; null for the last bars."""
+    moves = in_blocks(bars, lambda w: {"_r": F.abs(F.log(F.col("close") / F.lag("close").over(w)))}, back=1)
+    smooth = ewma(moves, "_r", "_vol", 2.0 / (span + 1))
+    typical = bars.groupBy("symbol").agg(F.percentile("dt_sec", F.lit(0.5)).alias("_typical"))
+
+    def step(w: WindowSpec) -> dict[str, Column]:
+        time = F.sum(F.coalesce("dt_sec", F.lit(0.0))).over(w.rowsBetween(1, horizon))
+        move = F.log(F.lead("close", horizon).over(w) / F.col("close"))
+        return {"y_scaled": move / (F.col("_vol") * F.sqrt(time / (F.col("_typical") + EPS)) + EPS)}
+
+    return in_blocks(smooth.join(typical, "symbol"), step, forward=horizon).drop("_r", "_vol", "_typical")

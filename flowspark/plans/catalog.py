@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from flowspark.operators import bars as B
 from flowspark.operators import book as K
 from flowspark.operators import evaluation as E
+from flowspark.operators import exits as P
 from flowspark.operators import features as X
 from flowspark.operators import joins as J
 from flowspark.operators import ordering as O
@@ -22,6 +23,8 @@ from flowspark.sources.adapters import book, ticks
 
 #: Lots of a bar, and rows of the rolling windows.
 VOLUME, RANK, SHOCK = 500, 200, 100
+#: Samples of an event's path.
+SAMPLES = 6
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -209,9 +212,61 @@ def hold_buckets(spark, d):
     return rounded(b.filter("y_variable is not null").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg(-F.signum("taker_imb1vb") * F.col("y_variable")).alias("reversion"), F.avg("hold_bars").alias("mean_hold")))
 
 
+def label_scaled_trend(spark, d):
+    return rounded(S.label_scaled_trend(bars_of(spark, d)).select("bar_id", "y_scaled"))
+
+
+def composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.composite_score(X.vpin(X.returns(bars_of(spark, sf_dir))), RANK)
+
+
+def composite_score(spark, d):
+    return rounded(composite(spark, d).select("bar_id", "spread_score", "activity_score", "imb_score", "vpin_score", "composite_score"))
+
+
+def threshold_search(spark, d):
+    return rounded(E.search_threshold(composite(spark, d), "composite_score", 0.07))
+
+
+def folds_days(spark, d):
+    days = ["tr_start", "tr_end", "gap_end", "os_end"]
+    return E.day_folds(ticks(spark, d), 10, 5, 1, 5).select(F.col("fold_idx").cast("long").alias("fold_idx"), *[F.col(c).cast("string").alias(c) for c in days])
+
+
+def sample_weights(spark, d):
+    df = E.decay_weights(joined(spark, d).filter("part = 'train'"), 0.99, ["fold_idx"])
+    return rounded(df.select("fold_idx", "bar_id", "weight"))
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of each trigger's event."""
+    b = S.label_event(S.shock_trigger(featured(spark, sf_dir), SHOCK))
+    return P.tick_paths(P.event_table(b), ticks(spark, sf_dir))
+
+
+def event_paths(spark, d):
+    return rounded(paths(spark, d).select("event_id", "seq", "elapsed_ms", "pnl", "peak", "from_peak", "cum_buy", "cum_sell", "cum_imb"))
+
+
+def exit_samples(spark, d):
+    return rounded(P.resample(paths(spark, d), SAMPLES).select("event_id", "sample", "elapsed", "pnl", "peak", "cum_imb", "price"))
+
+
+def exit_features(spark, d):
+    names = ["pnl_lag1", "cum_imb_lag2", "pnl_velocity", "pnl_acceleration", "imb_velocity", "buy_rate_recent", "imb_rate_recent", "with_share", "realized_ratio", "since_peak", "imb_decay", "vol_surprise", "remaining"]
+    return rounded(P.path_features(P.resample(paths(spark, d), SAMPLES), 3600.0, 2, 3).select("event_id", "sample", *names))
+
+
+def exit_rating(spark, d):
+    """Exit where the distance from the peak passes a tenth of a percent."""
+    samples = P.resample(paths(spark, d), SAMPLES).withColumn("pred", F.col("from_peak") + 0.001)
+    return rounded(P.exit_metrics(P.exit_choices(samples, "pred")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        label_scaled_trend, composite_score, threshold_search, folds_days, sample_weights, event_paths, exit_samples, exit_features, exit_rating,
         tick_view, tick_order_check, cumulative_lots, volume_bars, bar_returns, vpin, trade_activity, current_volatility, rolling_percent_rank, robust_z, ewma,
         rolling_quantile, lag_matrix, streak, shock_trigger, label_event, label_efficiency, label_variable_horizon, label_vwap, asof_book, nearest_book,
         ladder_features, cross_instrument, grid_times, grid_bars, folds_bars, fold_members, spearman_by_fold, fit_metrics, top_confidence, fold_thresholds,

@@ -101,6 +101,49 @@ mem AS (SELECT * FROM met WHERE part IS NOT NULL),
 pairs AS (SELECT * FROM mem WHERE pred IS NOT NULL AND y IS NOT NULL)"""
 )
 
+PATHS = (
+    TRIGGER
+    + """,
+evs AS (SELECT *, list({'at': bar_id, 'c': close, 't': ts_ms}) FILTER (trigger_off) OVER (ORDER BY bar_id ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) AS offs FROM triggers),
+entries AS (
+  SELECT e.bar_id AS event_id, sign(flow)::DOUBLE AS entry_dir, e.close AS p_entry, e.ts_ms AS ts_entry, offs[1].t AS ts_exit, coalesce(v.cur_vol_vb_bp, 0) AS entry_vol
+  FROM evs e JOIN vol v USING (bar_id) WHERE trigger_on AND offs[1].at IS NOT NULL AND sign(flow) <> 0),
+walk AS (
+  SELECT e.*, t.ts_ms - ts_entry AS elapsed_ms, seq, price, ln(price / p_entry) * entry_dir AS pnl, CASE WHEN is_buyer_maker THEN 0 ELSE lots END AS b, CASE WHEN is_buyer_maker THEN lots ELSE 0 END AS s
+  FROM entries e JOIN ticks t ON t.ts_ms BETWEEN ts_entry AND ts_exit),
+paths AS (
+  SELECT *, pnl - peak AS from_peak, (cum_buy - cum_sell)::DOUBLE / greatest(cum_buy + cum_sell, 1e-12) * entry_dir AS cum_imb
+  FROM (SELECT *, max(pnl) OVER w AS peak, sum(b) OVER w::BIGINT AS cum_buy, sum(s) OVER w::BIGINT AS cum_sell, count(*) OVER (PARTITION BY event_id) AS n, max(elapsed_ms) OVER (PARTITION BY event_id) AS long
+        FROM walk WINDOW w AS (PARTITION BY event_id ORDER BY elapsed_ms, seq))
+  WHERE n >= 2 AND long > 0),
+picked AS (
+  SELECT event_id, sample, arg_min(p, {'gap': abs(elapsed_ms - long * sample / 5.0::DOUBLE), 'at': elapsed_ms}) AS p
+  FROM (SELECT *, paths AS p FROM paths), (SELECT unnest(range(6)) AS sample) GROUP BY event_id, sample),
+flat AS (
+  SELECT event_id, sample, p.elapsed_ms / 1000.0::DOUBLE AS elapsed, p.pnl AS pnl, p.peak AS peak, p.from_peak AS from_peak, p.cum_imb AS cum_imb, p.cum_buy AS cum_buy, p.cum_sell AS cum_sell,
+         p.price AS price, p.entry_dir AS entry_dir, p.entry_vol AS entry_vol FROM picked),
+steps AS (SELECT *, elapsed <= lag(elapsed) OVER (PARTITION BY event_id ORDER BY sample) AS same FROM flat),
+samples AS (SELECT * FROM steps WHERE event_id NOT IN (SELECT event_id FROM steps WHERE same)),
+backs AS (
+  SELECT a.event_id, a.sample, k, arg_min(b, {'gap': abs(b.elapsed - (a.elapsed - k * 3600.0::DOUBLE)), 'at': b.sample}) AS o
+  FROM samples a JOIN samples b USING (event_id), (SELECT unnest([1, 2]) AS k) WHERE a.elapsed >= k * 3600.0::DOUBLE GROUP BY ALL)"""
+)
+
+SCORES = (
+    RETURNS
+    + f""",
+vp AS (SELECT *, CASE WHEN count(*) OVER w >= 4 THEN sum(abs(taker_buy_vol - taker_sell_vol)) OVER w / (sum(volume) OVER w + 1e-12) END AS vpin_n FROM rets WINDOW w AS (ORDER BY bar_id ROWS 17 PRECEDING)),
+raw AS (
+  SELECT bar_id, greatest(dt_sec, 0) AS dt, abs(vpin_n - lag(vpin_n) OVER (ORDER BY bar_id)) AS dv, last_value(roll_spread IGNORE NULLS) OVER (ORDER BY bar_id ROWS 199 PRECEDING) AS spread,
+         CASE WHEN count(taker_imb1vb) OVER w >= 2 THEN abs(sum(sign(taker_imb1vb)) OVER w) / 4.0::DOUBLE END AS sided
+  FROM vp WINDOW w AS (ORDER BY bar_id ROWS 3 PRECEDING)),
+s1 AS (SELECT * EXCLUDE (own, pct), pct AS spread_score FROM {rank_of("spread", 200, 20, "raw")}),
+s2 AS (SELECT * EXCLUDE (own, pct), 1 - pct AS activity_score FROM {rank_of("dt", 200, 20, "s1")}),
+s3 AS (SELECT * EXCLUDE (own, pct), pct AS imb_score FROM {rank_of("sided", 200, 20, "s2")}),
+s4 AS (SELECT * EXCLUDE (own, pct), pct AS vpin_score FROM {rank_of("dv", 200, 20, "s3")}),
+scores AS (SELECT *, (spread_score + activity_score + imb_score + vpin_score) / 4 AS composite_score FROM s4)"""
+)
+
 LADDER = """lad AS (
   SELECT 1704067200000 + vec_id * 60000 AS ts_ms, list_transform(embedding[1:25], lambda x: abs(x::DOUBLE)) AS b, list_transform(embedding[26:50], lambda x: abs(x::DOUBLE)) AS a FROM embeddings),
 deep AS (SELECT *, list_sum(b[1:5]) AS b5, list_sum(a[1:5]) AS a5, list_sum(b[1:10]) AS b10, list_sum(a[1:10]) AS a10 FROM lad),
@@ -120,6 +163,42 @@ edges AS (SELECT min(ts_ms) AS a, max(ts_ms) AS b FROM ticks),
 grid AS (SELECT unnest(range(((a // 3600000) * 3600000 + 43200000 + 3599999) // 3600000 * 3600000, (b // 3600000) * 3600000 + 1, 3600000)) AS grid_ms FROM edges)"""
 
 ORACLE_SQL: dict[str, str] = {
+    "label_scaled_trend": f"""WITH RECURSIVE {BARS}, r AS (SELECT *, abs(ln(close / lag(close) OVER (ORDER BY bar_id))) AS r FROM bars),
+      e AS (SELECT bar_id, r AS v FROM r WHERE bar_id = 1 UNION ALL SELECT r.bar_id, (1 - 2.0::DOUBLE / 51) * e.v + 2.0::DOUBLE / 51 * r.r FROM e JOIN r ON r.bar_id = e.bar_id + 1),
+      f AS (SELECT *, ln(lead(close, 18) OVER (ORDER BY bar_id) / close) AS move, sum(dt_sec) OVER (ORDER BY bar_id ROWS BETWEEN 1 FOLLOWING AND 18 FOLLOWING) AS tm, (SELECT quantile_cont(dt_sec, 0.5) FROM bars) AS typ FROM bars)
+      SELECT f.bar_id, round(move / (v * sqrt(tm / (typ + 1e-12)) + 1e-12), 6) AS y_scaled FROM f LEFT JOIN e USING (bar_id)""",
+    "composite_score": f"WITH {SCORES} SELECT bar_id, {r6('spread_score', 'activity_score', 'imb_score', 'vpin_score', 'composite_score')} FROM scores",
+    "threshold_search": f"""WITH {SCORES}, t AS (SELECT i, 0.3::DOUBLE + (0.9::DOUBLE - 0.3::DOUBLE) * i / 59 AS thr, avg((composite_score >= thr)::INT::DOUBLE) AS share
+      FROM scores, (SELECT unnest(range(60)) AS i) WHERE composite_score IS NOT NULL GROUP BY i, thr)
+      SELECT round(arg_min(thr, {{'d': abs(share - 0.07::DOUBLE), 'i': i}}), 6) AS threshold, round(arg_min(share, {{'d': abs(share - 0.07::DOUBLE), 'i': i}}), 6) AS share FROM t""",
+    "folds_days": """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events), n AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, max(d) OVER () AS last FROM d)
+      SELECT i // 5 AS fold_idx, CAST(d AS VARCHAR) AS tr_start, CAST(d + 10 AS VARCHAR) AS tr_end, CAST(d + 11 AS VARCHAR) AS gap_end, CAST(d + 16 AS VARCHAR) AS os_end FROM n WHERE i % 5 = 0 AND d + 16 <= last""",
+    "sample_weights": f"""WITH {VARIABLE}, w AS (SELECT fold_idx, bar_id, pow(0.99::DOUBLE, row_number() OVER (PARTITION BY fold_idx ORDER BY bar_id DESC) - 1) AS w FROM mem WHERE part = 'train')
+      SELECT fold_idx, bar_id, round(w * count(*) OVER (PARTITION BY fold_idx) / sum(w) OVER (PARTITION BY fold_idx), 6) AS weight FROM w""",
+    "event_paths": f"WITH {PATHS} SELECT event_id, seq, elapsed_ms, {r6('pnl', 'peak', 'from_peak')}, cum_buy, cum_sell, {r6('cum_imb')} FROM paths",
+    "exit_samples": f"WITH {PATHS} SELECT event_id, sample, {r6('elapsed', 'pnl', 'peak', 'cum_imb', 'price')} FROM samples",
+    "exit_features": f"""WITH {PATHS}, j AS (
+        SELECT s.*, a.o AS o1, b.o AS o2, s.cum_buy - a.o.cum_buy AS nb, s.cum_sell - a.o.cum_sell AS ns, coalesce((s.pnl - a.o.pnl) / 3600, 0) AS vel,
+               coalesce(sign(s.price - lag(s.price) OVER w) = s.entry_dir, false)::INT::DOUBLE AS moved, ln(s.price) - ln(lag(s.price) OVER w) AS step,
+               CASE WHEN coalesce(s.peak > lag(s.peak) OVER w, true) THEN s.elapsed END AS top
+        FROM samples s LEFT JOIN backs a ON a.event_id = s.event_id AND a.sample = s.sample AND a.k = 1 LEFT JOIN backs b ON b.event_id = s.event_id AND b.sample = s.sample AND b.k = 2
+        WINDOW w AS (PARTITION BY s.event_id ORDER BY s.sample)),
+      g AS (SELECT event_id, max(CASE WHEN sample = 0 THEN cum_imb END) AS i0, max(CASE WHEN sample = 2 THEN cum_imb END) AS i2, max(CASE WHEN sample = 4 THEN cum_imb END) AS i4, max(CASE WHEN sample = 5 THEN cum_imb END) AS i5,
+               max(CASE WHEN sample = 0 THEN elapsed END) AS e0, max(CASE WHEN sample = 2 THEN elapsed END) AS e2, max(CASE WHEN sample = 4 THEN elapsed END) AS e4, max(CASE WHEN sample = 5 THEN elapsed END) AS e5,
+               stddev_pop(step) AS sd FROM j GROUP BY event_id)
+      SELECT event_id, sample, round(coalesce(o1.pnl, 0), 6) AS pnl_lag1, round(coalesce(o2.cum_imb, 0), 6) AS cum_imb_lag2, round(vel, 6) AS pnl_velocity, round(coalesce(vel - (o1.pnl - o2.pnl) / 3600, 0), 6) AS pnl_acceleration,
+        round(coalesce((cum_imb - o1.cum_imb) / 3600, 0), 6) AS imb_velocity, round(CASE WHEN nb + ns > 0 THEN nb / (nb + ns + 1e-12) ELSE 0 END, 6) AS buy_rate_recent,
+        round(CASE WHEN nb + ns > 0 THEN (nb - ns) / (nb + ns + 1e-12) ELSE 0 END, 6) AS imb_rate_recent, round(avg(moved) OVER (PARTITION BY event_id ORDER BY sample ROWS 2 PRECEDING), 6) AS with_share,
+        round(CASE WHEN peak > 1e-10 THEN pnl / peak ELSE 0 END, 6) AS realized_ratio, round(elapsed - max(top) OVER (PARTITION BY event_id ORDER BY sample), 6) AS since_peak,
+        round(least(abs((i5 - i4) / greatest(e5 - e4, 1e-6)) / (abs((i2 - i0) / greatest(e2 - e0, 1e-6)) + 1e-9), 10), 6) AS imb_decay,
+        round(CASE WHEN entry_vol > 0 THEN sd * 1e4 / greatest(entry_vol, 1e-4) ELSE 1 END, 6) AS vol_surprise,
+        round(max(pnl) OVER (PARTITION BY event_id ORDER BY sample ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - pnl, 6) AS remaining
+      FROM j JOIN g USING (event_id)""",
+    "exit_rating": f"""WITH {PATHS}, c AS (
+        SELECT event_id, coalesce(arg_min(pnl, sample) FILTER (from_peak + 0.001::DOUBLE <= 0), arg_max(pnl, sample)) AS m, arg_max(pnl, sample) AS r,
+               coalesce(arg_min(elapsed, sample) FILTER (from_peak + 0.001::DOUBLE <= 0), arg_max(elapsed, sample)) / greatest(max(elapsed), 1e-9) AS t FROM samples GROUP BY event_id)
+      SELECT count(*) AS n_events, round(avg(m), 6) AS model_mean, round(avg(r), 6) AS rule_mean, round(avg(m) / nullif(stddev_pop(m), 0), 6) AS model_ratio, round(avg(r) / nullif(stddev_pop(r), 0), 6) AS rule_ratio,
+             round(avg((m - r) * 1e4), 6) AS gain_bp, round(avg(((m - r) * 1e4 > 0)::INT::DOUBLE), 6) AS gained, round(avg(t), 6) AS time_share FROM c""",
     "tick_view": f"WITH {TICKS} SELECT symbol, ts_ms, seq, round(price, 6) AS price, lots, is_buyer_maker FROM ticks",
     "tick_order_check": f"WITH {TICKS} SELECT symbol, count(*) FILTER (ts_ms < before) AS violations FROM (SELECT *, lag(ts_ms) OVER (ORDER BY seq) AS before FROM ticks) GROUP BY symbol",
     "cumulative_lots": f"WITH {TICKS} SELECT symbol, seq, CAST(sum(lots) OVER (ORDER BY ts_ms, seq) AS BIGINT) AS upto FROM ticks",
