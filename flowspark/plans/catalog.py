@@ -16,10 +16,13 @@ from flowspark.operators import evaluation as E
 from flowspark.operators import exits as P
 from flowspark.operators import features as X
 from flowspark.operators import joins as J
+from flowspark.operators import models as M
 from flowspark.operators import ordering as O
 from flowspark.operators import signals as S
 from flowspark.plans.oracle import ORACLE_SQL  # noqa: F401
-from flowspark.sources.adapters import book, ticks
+from flowspark.sources.adapters import as_ticks, book, ticks
+from flowspark.streaming import bars as streamed_bars
+from flowspark.streaming import windows as W
 
 #: Lots of a bar, and rows of the rolling windows.
 VOLUME, RANK, SHOCK = 500, 200, 100
@@ -263,9 +266,53 @@ def exit_rating(spark, d):
     return rounded(P.exit_metrics(P.exit_choices(samples, "pred")))
 
 
+INPUTS = ["taker_imb1vb", "ret1vb_bp", "close_pos1vb", "pde", "rev_count_ratio", "vpin_n", "cur_vol_vb_bp", "dt_sec"]
+
+
+def modelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars in folds with features and two labels."""
+    b = S.label_vwap(S.label_efficiency(X.vpin(featured(spark, sf_dir))))
+    return E.members(b.select("symbol", "bar_id", *INPUTS, "y_efficiency", "y_vwap"), E.bar_folds(b, 400, 100, 20), purge=10)
+
+
+def gbt_walkforward(spark, d):
+    return rounded(M.walk_forward(modelling(spark, d), INPUTS, "y_vwap", trees=10).select("fold_idx", "bar_id", "y_vwap", "pred"))
+
+
+def lofo_gate(spark, d):
+    preds = M.walk_forward(modelling(spark, d), INPUTS, "y_vwap", trees=10)
+    return rounded(M.gate_others(preds, INPUTS, "y_vwap", trees=10).select("fold_idx", "bar_id", "pred", "gate_score", "gate_pass"))
+
+
+def two_stage(spark, d):
+    return rounded(M.two_stage(modelling(spark, d), INPUTS, "y_efficiency", "y_vwap", trees=10).select("fold_idx", "bar_id", "alpha_pred", "pred"))
+
+
+def millis(df: DataFrame) -> DataFrame:
+    return rounded(df.withColumns({"start_ms": F.unix_millis("start_at"), "end_ms": F.unix_millis("end_at")}).drop("start_at", "end_at"))
+
+
+def stream_tumbling(spark, d):
+    return millis(W.run_available(W.by_window(W.events(spark, f"{d}/events.parquet"), "6 hours"), "tumbling"))
+
+
+def stream_sliding(spark, d):
+    return millis(W.run_available(W.by_window(W.events(spark, f"{d}/events.parquet"), "6 hours", "2 hours"), "sliding"))
+
+
+def stream_sessions(spark, d):
+    return millis(W.run_available(W.by_session(W.events(spark, f"{d}/events.parquet"), "4 hours"), "sessions"))
+
+
+def stream_bars(spark, d):
+    bars = streamed_bars.volume_bars(as_ticks(W.events(spark, f"{d}/events.parquet")), VOLUME)
+    return rounded(W.run_available(bars, "bars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        gbt_walkforward, lofo_gate, two_stage, stream_tumbling, stream_sliding, stream_sessions, stream_bars,
         label_scaled_trend, composite_score, threshold_search, folds_days, sample_weights, event_paths, exit_samples, exit_features, exit_rating,
         tick_view, tick_order_check, cumulative_lots, volume_bars, bar_returns, vpin, trade_activity, current_volatility, rolling_percent_rank, robust_z, ewma,
         rolling_quantile, lag_matrix, streak, shock_trigger, label_event, label_efficiency, label_variable_horizon, label_vwap, asof_book, nearest_book,

@@ -154,6 +154,9 @@ feats AS (
   FROM deep)"""
 
 
+CLOCK = """WITH e AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) // 1000 AS t, (SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events) AS seen FROM events)"""
+
+
 def r6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
@@ -163,6 +166,14 @@ edges AS (SELECT min(ts_ms) AS a, max(ts_ms) AS b FROM ticks),
 grid AS (SELECT unnest(range(((a // 3600000) * 3600000 + 43200000 + 3599999) // 3600000 * 3600000, (b // 3600000) * 3600000 + 1, 3600000)) AS grid_ms FROM edges)"""
 
 ORACLE_SQL: dict[str, str] = {
+    "stream_tumbling": f"""{CLOCK}, w AS (SELECT *, t // 21600000 * 21600000 AS start_ms FROM e)
+      SELECT start_ms, start_ms + 21600000 AS end_ms, event_type, count(*) AS n, round(sum(value), 6) AS total FROM w WHERE start_ms + 21600000 <= seen GROUP BY start_ms, event_type""",
+    "stream_sliding": f"""{CLOCK}, w AS (SELECT *, (t // 7200000 - unnest([0, 1, 2])) * 7200000 AS start_ms FROM e)
+      SELECT start_ms, start_ms + 21600000 AS end_ms, event_type, count(*) AS n, round(sum(value), 6) AS total FROM w WHERE start_ms + 21600000 <= seen GROUP BY start_ms, event_type""",
+    "stream_sessions": f"""{CLOCK}, b AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY user_id ORDER BY us) > 14400000000, true)::INT AS brk FROM e),
+      i AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY us) AS island FROM b)
+      SELECT user_id, min(us) // 1000 AS start_ms, (max(us) + 14400000000) // 1000 AS end_ms, count(*) AS n, round(sum(value), 6) AS total FROM i GROUP BY user_id, island HAVING end_ms <= max(seen)""",
+    "stream_bars": f"""WITH {BARS} SELECT 'EV' AS symbol, bar_id, ts_first, ts_ms, {r6("open", "high", "low", "close", "vwap")}, trade_count, {r6("taker_buy_vol", "taker_sell_vol")} FROM bars""",
     "label_scaled_trend": f"""WITH RECURSIVE {BARS}, r AS (SELECT *, abs(ln(close / lag(close) OVER (ORDER BY bar_id))) AS r FROM bars),
       e AS (SELECT bar_id, r AS v FROM r WHERE bar_id = 1 UNION ALL SELECT r.bar_id, (1 - 2.0::DOUBLE / 51) * e.v + 2.0::DOUBLE / 51 * r.r FROM e JOIN r ON r.bar_id = e.bar_id + 1),
       f AS (SELECT *, ln(lead(close, 18) OVER (ORDER BY bar_id) / close) AS move, sum(dt_sec) OVER (ORDER BY bar_id ROWS BETWEEN 1 FOLLOWING AND 18 FOLLOWING) AS tm, (SELECT quantile_cont(dt_sec, 0.5) FROM bars) AS typ FROM bars)

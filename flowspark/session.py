@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "flowspark", **conf: str) -> SparkSession:
@@ -11,3 +14,23 @@ def session(app: str = "flowspark", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; one of our own only in local mode."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-flowspark-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write as Parquet in the shared folder and read back: later steps do not recompute it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/flowspark-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, dt, ts_ms, seq, price, lots, is_buyer_maker) from ``events``; ``seq`` orders equal times."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return as_ticks(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_ticks(events: DataFrame) -> DataFrame:
+    """The same for any frame or stream of such events."""
     at = F.col("ts").cast("timestamp")
     return events.select(
         F.lit("EV").alias("symbol"),
