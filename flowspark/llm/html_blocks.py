@@ -5,10 +5,13 @@ A page becomes a list of lines, one for each block of markup.  Elements that are
 empty lines behind.  The text lengths of ``WIDTH`` neighbouring lines are summed; the text between a
 surge (the sum reaches the threshold) and the next dive (the sum falls to zero) is kept.
 
-If the page has an ``<article>`` or ``<main>`` element with text, only lines inside it have a length
-and any text there is a surge, so that short paragraphs beside an advert stay.  On other pages the
-threshold is ``SURGE`` characters, or a quarter of the page's largest sum if that is less, and the
-text of links counts for nothing.
+The threshold is ``SURGE``, or a quarter of the page's largest sum if that is less.  A line counts
+with its characters outside links; inside ``<article>`` or ``<main>`` with all its characters, and
+``INSIDE`` times if half of the page's text or more is inside.  Lines outside are weighted by the
+share of the text that is outside.  So a page's whole article outweighs what stands around it, and a
+teaser in an ``<article>`` does not outweigh a body in a ``<div>``.  No run crosses the edge of an
+article.  A line with text outside links that no run has, between two kept lines of the same parent,
+is kept as well: a short paragraph between two adverts belongs to its neighbours.
 
 Defined results: null or empty html gives an empty text; html without markup is one line and is
 kept; an element that is never closed ends where its parent ends, at the next article, or at the end
@@ -29,6 +32,8 @@ from .common import map_rows, pick
 WIDTH = 3
 #: Characters in a window at which text starts.
 SURGE = 80
+#: Weight of a character inside an article that holds half of the page's text or more.
+INSIDE = 20
 
 # Names of HTML elements and the words that mark boilerplate in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +54,8 @@ BOILERPLATE = frozenset(
     "sponsored subscribe subscription toolbar topbar widget widgets complementary contentinfo alert alertdialog search".split()
 )
 NEVER_BY_CLASS = frozenset("html body main".split())
+#: Blocks that stand for one paragraph: their lines belong to the element around them.
+PARAGRAPHS = frozenset("br dd dt h1 h2 h3 h4 h5 h6 hr li p pre".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -71,13 +78,14 @@ def _marked(attrs: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text with markup stripped, characters outside links, inside an article) for each line."""
-    lines: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text with markup stripped, characters outside links, inside an article, parent) for each line."""
+    lines: list[tuple[str, int, bool, int]] = []
     text: list[str] = []
     plain = 0  # characters of the line so far that are not in a link
     open_tags: list[str] = []
-    articles = links = 0
+    parents = [0]  # the number of the last open element that is no paragraph, for each depth
+    articles = links = elements = 0
     dropped_at: int | None = None  # depth at which a dropped element was opened
 
     def end_line() -> None:
@@ -85,7 +93,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                lines.append((line, plain, articles > 0))
+                lines.append((line, plain, articles > 0, parents[-1]))
         text.clear()
         plain = 0
 
@@ -98,18 +106,23 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
     def gap() -> None:
         end_line()
-        lines.extend([("", 0, False)] * WIDTH)
+        lines.extend([("", 0, False, 0)] * WIDTH)
 
     def leave(depth: int) -> None:
         """Close every element from ``depth`` up."""
         nonlocal articles, links, dropped_at
+        was = articles
+        if dropped_at is None and any(name in ("article", "main") for name in open_tags[depth:]):
+            end_line()
         for name in open_tags[depth:]:
             articles -= name in ("article", "main")
             links -= name == "a"
-        del open_tags[depth:]
+        del open_tags[depth:], parents[depth + 1 :]
         if dropped_at is not None and depth <= dropped_at:
             dropped_at = None
             gap()
+        elif dropped_at is None and was and not articles:
+            gap()
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -141,11 +154,15 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if name in VOID or attrs.endswith("/") and name not in BLOCKS:
             continue
         open_tags.append(name)
+        elements += 1
+        parents.append(elements if name in BLOCKS and name not in PARAGRAPHS else parents[-1])
         if dropped_at is None and (
             name in DROPPED and not (name == "header" and articles) or name not in NEVER_BY_CLASS and _marked(attrs, articles > 0)
         ):
             gap()
             dropped_at = len(open_tags) - 1
+        if name in ("article", "main") and dropped_at is None and not articles:
+            gap()
         articles += name in ("article", "main")
         links += name == "a"
     add(page[at:])
@@ -158,21 +175,28 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    framed = any(inside and line for line, _, inside in lines)
-    size = [(len(line) if inside else 0) if framed else plain for line, plain, inside in lines]
+    length = [len(line) if inside else plain for line, plain, inside, _ in lines]
+    within = sum(n for n, line in zip(length, lines, strict=True) if line[2])
+    share = within / max(1, sum(length))
+    size = [n * ((INSIDE if share >= 0.5 else 1) if line[2] else 1 - share) for n, line in zip(length, lines, strict=True)]
     sums = [sum(size[i : i + WIDTH]) for i in range(len(size))]
-    surge = 1 if framed else max(1, min(SURGE, max(sums, default=0) // 4))
-    kept: list[str] = []
+    surge = max(1, min(SURGE, max(sums, default=0) // 4))
+    kept: set[int] = set()
     i = 0
     while i < len(lines):
         if sums[i] < surge:
             i += 1
             continue
         while i < len(lines) and sums[i] > 0:
-            if lines[i][0] and (lines[i][2] or not framed):
-                kept.append(lines[i][0])
+            if lines[i][0]:
+                kept.add(i)
             i += 1
-    return " ".join(kept)
+    # First and last kept line of each parent.
+    ends: dict[int, tuple[int, int]] = {}
+    for i in sorted(kept):
+        ends[lines[i][3]] = (ends.get(lines[i][3], (i,))[0], i)
+    between = (i for i, n in enumerate(size) if n > 0 and lines[i][3] in ends and ends[lines[i][3]][0] < i < ends[lines[i][3]][1])
+    return " ".join(lines[i][0] for i in sorted(kept.union(between)))
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_col: str = "html") -> DataFrame:

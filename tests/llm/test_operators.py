@@ -218,3 +218,17 @@ def test_main_text():
     page = "<html><head><title>T</title></head><body><nav>Home | About</nav><article><h1>Title</h1><p>First &amp; best\n text.</p><div class='ad-box'>Buy</div><p>Second.</p></article><footer>(c)</footer></body></html>"
     assert html_blocks.main_text(page) == "Title First & best text. Second."
     assert html_blocks.main_text(None) == html_blocks.main_text("") == ""
+
+
+def test_main_text_by_windows():
+    body = ["The council met on Monday and spoke for three hours about the new bridge over the river.", "Yes.", "It will be built within two years, said the mayor, and paid for by the state and the town."]
+    advert = "<div class='ad'>Buy</div>"
+    paragraphs = advert.join(f"<p>{p}</p>" for p in body)
+    # The body stands in a <div>; the only <article> is a teaser.
+    teaser = "<body><div>" + paragraphs + "</div><article><h3>More</h3><p>Read on</p></article></body>"
+    assert html_blocks.main_text(teaser) == " ".join(body)
+    # Without a frame: a short paragraph between two adverts stays, a lone line and a list of links do not.
+    assert html_blocks.main_text(f"<body><p>Hi there</p>{advert}<div>{paragraphs}</div>{advert}<ul><li><a href='/'>{body[0]}</a></li></ul></body>") == " ".join(body)
+    # In a frame that holds most of the text: what stands around it goes, short lines inside stay.
+    framed = f"<body><div>Our town, every day</div><article>{paragraphs}{advert}<p>By Ann</p></article><div>Site made by a firm that likes short lines</div></body>"
+    assert html_blocks.main_text(framed) == " ".join([*body, "By Ann"])
