@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from flowspark.llm import html_blocks, mixing, personal_data, quality_rules, queries, secret_scan, simhash, string_tiling, token_count, toxicity, training_order
@@ -232,3 +233,23 @@ def test_main_text_by_windows():
     # In a frame that holds most of the text: what stands around it goes, short lines inside stay.
     framed = f"<body><div>Our town, every day</div><article>{paragraphs}{advert}<p>By Ann</p></article><div>Site made by a firm that likes short lines</div></body>"
     assert html_blocks.main_text(framed) == " ".join([*body, "By Ann"])
+
+
+def test_near_copies_by_all_pairs(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):  # more than SMALL texts in some groups
+        base = [f"w{rng.randrange(2000)}" for _ in range(rng.randint(40, 300))]
+        for _ in range(20 if i < 3 else 3):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), max(1, len(copy) * rng.choice((1, 2, 8)) // 100)):
+                copy[at] = f"z{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(near) > 100
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "").collect()}
+    assert not any(i in kept and j in kept for i, j in near)
+    alone = set(range(len(rows))) - {i for pair in near for i in pair}
+    far = {r["doc_id"] for r in simhash.near_duplicates(frame(spark, rows)).filter("doc_id = component_id").collect()}
+    assert alone & far <= kept
