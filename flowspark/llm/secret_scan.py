@@ -1,15 +1,19 @@
 """Secret scans: candidates from patterns, false positives removed by a random forest.
 
-A candidate is a run of at least ``SHORTEST`` characters of keys and tokens with a digit in it.
+A candidate is a run of at least ``SHORTEST`` characters of keys and tokens with a digit in it, or of
+at least ``ANNOUNCED`` of them, with or without a digit, right after a key word with an assignment
+sign.  ``=`` belongs to a candidate only as padding at its end, so a name and its sign stand before it.
 Features: length, shares of character classes, changes of class from one character to the next,
 different characters, coverage by dictionary words, marks of a path, and the neighbouring words (a key
 word, an assignment sign or a quote before it).  The dictionary is the ``DICTIONARY`` most frequent
 words of the corpus, counted over all documents.
 
 The forest learns from labelled findings.  Where none are given, they are labelled by rules that are
-certain on either side: a value assigned to a key word is a secret; a number of digits only, a
-value covered by dictionary words, or a path is none; other candidates are not learned from.  At most
-``SAMPLE`` findings (by a hash of the value) are learned from.
+certain on either side: a value with a digit assigned to a key word is a secret, and so is every other occurrence
+of that value and every value of a known issuer's form (``ISSUED``), whatever stands before them; a
+number of digits only, a value covered by dictionary words, or a path is none, after a key word too
+unless it is assigned to it; other candidates are not learned from.  At most ``SAMPLE`` findings (by a
+hash of the value) are learned from.
 
 Everything is column expressions, joins and ``pyspark.ml``.
 
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import pick, stored
 from .spans_sql import matches
 
-SHORTEST = 16
+SHORTEST, ANNOUNCED = 16, 6
 SAMPLE = 20_000
 DICTIONARY = 1_000
 #: Code points before a candidate that are its neighbouring words.
@@ -38,8 +42,17 @@ NEIGHBOURS = 32
 SECRET = 0.5
 
 # Characters of keys and tokens, and words that announce one.
-CANDIDATE = rf"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*+[0-9])[A-Za-z0-9_+/=.-]{{{SHORTEST},}}+"
-KEYWORD = r"(?i)(token|secret|passw|pwd|api_?key|access_?key|private_?key|credential|auth|bearer)"
+_NAMES = r"token|secret|passw|pwd|api_?key|access_?key|private_?key|credential|auth|bearer"
+_CHARACTERS = "[A-Za-z0-9_+/.-]"
+#: A value after a key word, the rest of its name, and a sign: what stands before it is of bounded length.
+_AFTER_NAME = r"(?<=(?i:token|secret|passw|password|passwd|passphrase|pwd|api_?key|access_?key|private_?key|credential|auth_?key)(?i:[a-z0-9_]{0,16})[\"'`]?[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"'`]?)"
+CANDIDATE = (
+    rf"{_AFTER_NAME}(?<!{_CHARACTERS}){_CHARACTERS}{{{ANNOUNCED},}}+={{0,2}}"
+    rf"|(?<!{_CHARACTERS})(?=[A-Za-z_+/.-]*+[0-9]){_CHARACTERS}{{{SHORTEST},}}+={{0,2}}"
+)
+KEYWORD = rf"(?i)({_NAMES})"
+#: Forms that issuers give their keys.
+ISSUED = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)=*$"
 FEATURES = ("length", "digits", "upper", "lower", "changes", "different", "coverage", "path_marks", "keyword", "assigned", "quoted")
 
 
@@ -84,8 +97,12 @@ def with_features(rows: DataFrame, words: list[str]) -> DataFrame:
 def rule_label(rows: DataFrame) -> DataFrame:
     """Add ``label``: 1 and 0 where the rules are certain, else null."""
     none = (F.col("digits") == 1.0) | (F.col("coverage") >= 0.5) | (F.col("path_marks") >= 0.2)
-    secret = (F.col("keyword") == 1.0) & (F.col("assigned") == 1.0) & ~none
-    return rows.withColumn("label", F.when(secret, 1.0).when(none & (F.col("keyword") == 0.0), 0.0))
+    announced = (F.col("keyword") == 1.0) & (F.col("assigned") == 1.0)
+    issued = F.col("value").rlike(ISSUED)
+    known = rows.filter(announced & ~none & (F.col("digits") > 0)).select(F.col("value").alias("_value")).distinct()
+    again = rows.join(known, F.col("value") == F.col("_value"), "left").withColumn("_known", F.col("_value").isNotNull())
+    secret = F.col("_known") | issued
+    return again.withColumn("label", F.when(secret, 1.0).when(none & ~announced, 0.0)).drop("_value", "_known")
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, most: int = SAMPLE, trees: int = 20, depth: int = 5, seed: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

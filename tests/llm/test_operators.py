@@ -253,3 +253,17 @@ def test_near_copies_by_all_pairs(spark):
     alone = set(range(len(rows))) - {i for pair in near for i in pair}
     far = {r["doc_id"] for r in simhash.near_duplicates(frame(spark, rows)).filter("doc_id = component_id").collect()}
     assert alone & far <= kept
+
+
+def test_secrets_bare_glued_and_short(spark):
+    key = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)]
+    rows = [(i, f"set api_key={k} and AWS_SECRET={k[::-1]} here") for i, k in enumerate(key)]
+    rows += [(100 + i, f"then {k} came up again beside {4111111111111111 + i} there") for i, k in enumerate(key)]
+    rows += [(200, "password: hunterXq, then"), (201, "pad secret=QUJDREVGR0hJSktMTU5PUA== end")]
+    text = dict(rows)
+    found = [(r["doc_id"], text[r["doc_id"]][r["start"] : r["end"]], r["is_secret"]) for r in secret_scan.scan(frame(spark, rows)).collect()]
+    values = {(i, v) for i, v, _ in found}
+    assert all({(i, k), (i, k[::-1])} <= values for i, k in enumerate(key))
+    assert (200, "hunterXq") in values and (201, "QUJDREVGR0hJSktMTU5PUA==") in values
+    assert all(secret for i, v, secret in found if i < 200 and not v.isdigit())
+    assert not any(secret for _, v, secret in found if v.isdigit())
