@@ -6,56 +6,35 @@ those six ASCII characters, so Python code splits the UTF-8 bytes; SQL code uses
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowspark.session import shared_dir, stored
+
+__all__ = ["GAP", "SLICE", "WORD", "by_bytes", "cut", "map_rows", "pick", "sample_ids", "shared_dir", "stored", "table", "text_key", "words_by_space"]
+
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-#: Rows a Python helper holds as objects at once.
-SLICE = 256
+#: Rows a Python helper holds as objects at once, and bytes of text that it works on at once.
+SLICE, SLICE_BYTES = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it.  A folder of our own is used only in local mode, where one
-    process does everything; elsewhere an unset folder is an error, not a silent local one.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-flowspark-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder: later reads survive a lost executor and do not recompute."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Like :func:`cut`, but as Parquet, so that later reads are columnar."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/flowspark-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
     """``mapInArrow`` over small slices of columns.
 
@@ -85,3 +64,26 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 def sample_ids(ids: DataFrame, most: int) -> DataFrame:
     """At most ``most`` rows of (doc_id, ...), chosen by a hash of the id: the same on every run."""
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def text_key(text: str = "text") -> Column:
+    """64 bits of a text; with the id, it tells rows apart that share an id."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in slices of at most ``most`` bytes of ``column``, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def words_by_space(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(different words, number of each word in order, offsets of the texts) of ``texts`` cut at each
+    space.  Texts must not be null."""
+    lists = pc.split_pattern(texts, " ")
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy()

@@ -20,10 +20,14 @@ three numbers for each character of the longest chunk.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import map_rows, pick
+from .common import by_bytes, pick, words_by_space
 
 #: Chunks whose counts a task keeps, and the longest of them.
 CACHE, CACHED_CHARS = 300_000, 48
@@ -41,7 +45,7 @@ def load_vocabulary(model_file: str) -> dict[str, float]:
 
 
 def counter(vocabulary: dict[str, float]):
-    """The function from a text to its number of tokens."""
+    """The function from an Arrow array of texts to their numbers of tokens."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
@@ -86,25 +90,35 @@ def counter(vocabulary: dict[str, float]):
             settle(end, [])
         return pieces[n]
 
-    def count(text: str | None) -> int:
-        if not text:
-            return 0
+    def of_chunk(chunk: str) -> int:
+        found = cache.get(chunk)
+        if found is None:
+            found = viterbi(chunk)
+            if len(chunk) <= CACHED_CHARS:
+                if len(cache) >= CACHE:
+                    cache.clear()
+                cache[chunk] = found
+        return found
+
+    def count(text: str) -> int:
         marked = SPACE + text.replace(" ", SPACE)
-        if not alone:
-            return viterbi(marked)
-        total = 0
-        for chunk in re.findall(f"{SPACE}+[^{SPACE}]*", marked):
-            found = cache.get(chunk)
-            if found is None:
-                found = viterbi(chunk)
-                if len(chunk) <= CACHED_CHARS:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[chunk] = found
-            total += found
-        return total
-
-    return count
+        return sum(map(of_chunk, re.findall(f"{SPACE}+[^{SPACE}]*", marked))) if alone else viterbi(marked)
+
+    def counts(texts: pa.Array) -> np.ndarray:
+        """Tokens of each text.  Where chunks are words after one space, each different one of the
+        texts is counted once."""
+        texts = pc.fill_null(texts, "")
+        # Runs of marks are pieces of their own; one is put before a text.
+        whole = pc.match_substring_regex(texts, f"^ |  |{SPACE}") if alone else pc.greater(pc.binary_length(texts), 0)
+        words, numbers, offsets = words_by_space(pc.if_else(whole, "", texts))
+        each = np.fromiter((of_chunk(SPACE + w) for w in words), np.int64, len(words))
+        sums = np.diff(np.concatenate([[0], np.cumsum(each[numbers])])[offsets])
+        sums[pc.equal(texts, "").to_numpy(zero_copy_only=False)] = 0
+        for row in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            sums[row] = count(texts[row].as_py())
+        return sums
+
+    return counts
 
 
 def count_tokens(docs: DataFrame, vocabulary: dict[str, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,12 +127,10 @@ def count_tokens(docs: DataFrame, vocabulary: dict[str, float], doc_id: str = "d
     The vocabulary travels with the tasks; its size is that of the tokenizer, whatever the input.
     """
 
-    def start():
-        count = counter(vocabulary)
-
-        def work(rows: dict[str, list]) -> dict[str, list]:
-            return {"doc_id": rows["doc_id"], "n_tokens": [count(t) for t in rows["text"]]}
-
-        return work
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = counter(vocabulary)
+        for batch in batches:
+            for some in by_bytes(batch, "text"):
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").cast(pa.int64()), pa.array(counts(some.column("text")))], names=["doc_id", "n_tokens"])
 
-    return map_rows(pick(docs, doc_id=doc_id, text=text), "doc_id long, n_tokens long", start)
+    return pick(docs, doc_id=doc_id, text=text).mapInArrow(run, "doc_id long, n_tokens long")

@@ -20,7 +20,7 @@ no partial shard on any file system that Spark knows.  The file of shard ``k`` i
 a reader that stopped at slot ``s`` goes on there by one seek.
 
 Defined results: a null or empty text is a document of one ``eos``; repeated rows are documents of
-their own; an empty table gives no shard and an empty result.  ``docs`` must give the same rows in
+their own; a null id stands in ``doc_ids`` as null; an empty table gives no shard and an empty result.  ``docs`` must give the same rows in
 the same order when it is read again, as tables in files do.
 """
 
@@ -35,13 +35,14 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, pick, shared_dir, stored
+from .common import SLICE, by_bytes, pick, shared_dir, stored, words_by_space
 
-#: Chunks of text whose tokens a task keeps, and the longest of them.
+#: Words whose tokens a task keeps, and the longest of them.
 CACHE, CACHED_CHARS = 300_000, 48
 ROUNDS = 6
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -96,7 +97,12 @@ def load_ranks(tiktoken_file: str) -> dict[bytes, int]:
 
 
 class Tokenizer:
-    """Token numbers as bytes, two each."""
+    """Token numbers of texts as bytes, two each.
+
+    No token of the pattern goes on over a single space, so texts are cut there and each different
+    word is encoded once; the words' bytes are then put in order by Arrow.  Only within a run of
+    spaces does the pattern look at the run's end; texts with such runs are encoded whole.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import tiktoken
@@ -104,26 +110,45 @@ class Tokenizer:
         self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cache: dict[str, bytes] = {}
 
-    def of(self, chunk: str) -> bytes:
-        found = self.cache.get(chunk)
+    def whole(self, text: str) -> bytes:
+        return np.array(self.encode(text), "<u2").tobytes()
+
+    def after_space(self, word: str) -> bytes:
+        found = self.cache.get(word)
         if found is None:
-            found = np.array(self.encode(chunk), "<u2").tobytes()
-            if len(chunk) <= CACHED_CHARS:
+            found = self.whole(" " + word)
+            if len(word) <= CACHED_CHARS:
                 if len(self.cache) >= CACHE:
                     self.cache.clear()
-                self.cache[chunk] = found
+                self.cache[word] = found
         return found
 
-    def __call__(self, text: str | None) -> bytes:
-        """No token of the pattern goes on over a single space, so text is cut there.  Only within a
-        run of spaces does the pattern look at the run's end; such text is encoded whole."""
-        if not text:
-            return b""
-        if "  " in text:
-            return np.array(self.encode(text), "<u2").tobytes()
-        first, *rest = text.split(" ")
-        of = self.of
-        return b"".join([of(first), *[of(" " + c) for c in rest]])
+    def pieces(self, texts: pa.Array, end: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(table of byte strings, their numbers in the order of the texts, offsets of the texts); each
+        text ends with ``end``."""
+        texts = pc.fill_null(texts, "")
+        runs = pc.match_substring(texts, "  ")
+        words, numbers, offsets = words_by_space(pc.if_else(runs, "", texts))
+        count, starts = len(words), offsets[:-1]
+        heads = [self.whole(words[n]) if words[n] else b"" for n in numbers[starts].tolist()]
+        for row in np.flatnonzero(runs.to_numpy(zero_copy_only=False)).tolist():
+            heads[row] = self.whole(texts[row].as_py())
+        numbers = numbers.copy()
+        numbers[starts] = count + np.arange(len(heads))
+        numbers = np.insert(numbers, offsets[1:], count + len(heads))
+        return [*map(self.after_space, words), *heads, end], numbers, offsets + np.arange(len(offsets))
+
+    def lengths(self, texts: pa.Array, end: bytes) -> np.ndarray:
+        """Tokens of each text."""
+        table, numbers, offsets = self.pieces(texts, end)
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 2
+        return np.diff(np.concatenate([[0], np.cumsum(sizes[numbers])])[offsets])
+
+    def stream(self, texts: pa.Array, end: bytes) -> pa.Buffer:
+        """The tokens of all texts in a row."""
+        table, numbers, _ = self.pieces(texts, end)
+        taken = pa.array(table, pa.binary()).take(pa.array(numbers))
+        return taken.buffers()[2]
 
 
 @contextmanager
@@ -165,13 +190,14 @@ def materialise(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, at = Tokenizer(ranks, pattern), TaskContext.get().partitionId(), 0
         for batch in batches:
-            sizes = [len(tokens(t)) // 2 + 1 for t in batch.column("text").to_pylist()]
-            starts = at + np.cumsum([0, *sizes])
-            at = int(starts[-1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([part] * len(sizes), pa.int32()), pa.array(starts[:-1], pa.int64()), pa.array(sizes, pa.int64())],
-                names=["doc_id", "part", "at", "n"],
-            )
+            for some in by_bytes(batch, "text"):
+                sizes = tokens.lengths(some.column("text"), end)
+                starts = at + np.concatenate([[0], np.cumsum(sizes)])
+                at = int(starts[-1])
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("doc_id").cast(pa.int64()), pa.array([part] * len(sizes), pa.int32()), pa.array(starts[:-1], pa.int64()), pa.array(sizes, pa.int64())],
+                    names=["doc_id", "part", "at", "n"],
+                )
 
     with fixed_splits(spark, rows):
         index = stored(rows.mapInArrow(count, "doc_id long, part int, at long, n long"), "token-index")
@@ -188,24 +214,24 @@ def materialise(
             tokens, part = Tokenizer(ranks, pattern), TaskContext.get().partitionId()
             begin = at = int(offsets[part]) if part < parts else 0
             for batch in batches:
-                for k in range(0, batch.num_rows, SLICE):
-                    stream = b"".join([tokens(t) + end for t in batch.slice(k, SLICE).column("text").to_pylist()])
-                    first, upto = at // length, -(-(at + len(stream) // 2) // length)
-                    edges = np.clip(np.arange(first, upto + 1) * length, at, at + len(stream) // 2)
-                    cuts = (edges - at) * 2
-                    sequence = np.arange(first, upto)
+                for some in by_bytes(batch, "text"):
+                    stream = tokens.stream(some.column("text"), end)
+                    upto = at + stream.size // 2
+                    sequence = np.arange(at // length, -(-upto // length))
+                    edges = np.clip(np.append(sequence, sequence[-1] + 1) * length, at, upto)
                     slot = order.slot(sequence)
-                    at += len(stream) // 2
+                    cuts = pa.py_buffer(((edges - at) * 2).astype(np.int32))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array((slot // shard_records).astype(np.int32)),
                             pa.array(slot),
                             pa.array(sequence),
                             pa.array((edges[:-1] - sequence * length).astype(np.int32)),
-                            pa.array([stream[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary()),
+                            pa.Array.from_buffers(pa.binary(), len(sequence), [None, cuts, stream]),
                         ],
                         names=["shard", "slot", "sequence", "at", "tokens"],
                     )
+                    at = upto
             if at - begin != (int(sizes[part]) if part < parts else 0):
                 raise RuntimeError(f"partition {part} has other rows than when it was counted; store the documents in files first")
 
@@ -245,7 +271,8 @@ def materialise(
             )
 
     # A sequence holds at most `length` documents.
-    lists = spread.groupBy("sequence").agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+    ids = F.sort_array(F.collect_list(F.struct("doc_id")))  # a bare null id would be left out
+    lists = spread.groupBy("sequence").agg(F.transform(ids, lambda s: s["doc_id"]).alias("doc_ids"))
     return lists.mapInArrow(slots, "sequence long, slot long, doc_ids array<long>")
 
 

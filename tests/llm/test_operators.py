@@ -7,6 +7,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from flowspark.llm import html_blocks, mixing, personal_data, quality_rules, queries, secret_scan, simhash, string_tiling, token_count, toxicity, training_order
 
@@ -74,7 +75,7 @@ def test_shards_round_trip(spark, texts, tmp_path):
     import tiktoken
 
     ranks, pattern, eos = queries.byte_vocabulary()
-    rows = [*texts.items()][:30] + [(900, None), (901, ""), (902, "a  b   c\n  d \n"), (902, "a  b")]
+    rows = [*texts.items()][:30] + [(900, None), (901, ""), (902, "a  b   c\n  d \n"), (902, "a  b"), (None, " x"), (903, "y "), (904, " ")]
     docs = frame(spark, rows).coalesce(1)
     path = str(tmp_path / "shards")
     held = {r["sequence"]: r for r in training_order.materialise(docs, ranks, pattern, eos, path, length=64, shard_records=16).collect()}
@@ -100,10 +101,11 @@ def test_token_counts_equal_tokenizers(spark, texts):
     vocabulary = token_count.load_vocabulary(f"{queries.TOKENIZERS}/{queries.UNIGRAM_FILE}")
     model = Tokenizer(models.Unigram([("<unk>", 0.0), *vocabulary.items()], 0, False))
     count = token_count.counter(vocabulary)
-    for text in [*texts.values()][:120] + ["漢字 \U0001f600x", "  two  spaces ", "\n\t", "aaaaaaaaaaaaaaaa" * 20]:
+    some = [*texts.values()][:120] + ["漢字 \U0001f600x", "  two  spaces ", "\n\t", "aaaaaaaaaaaaaaaa" * 20, " ", "a▁b c", "x "]
+    for text, found in zip(some, count(pa.array(some)).tolist(), strict=True):
         tokens = model.encode("▁" + text.replace(" ", "▁")).tokens
-        assert count(text) == sum(1 if t in vocabulary else len(t.encode()) for t in tokens)
-    assert count(None) == count("") == 0
+        assert found == sum(1 if t in vocabulary else len(t.encode()) for t in tokens)
+    assert count(pa.array([None, ""], pa.string())).tolist() == [0, 0]
 
 
 def test_tiles_by_definition():
