@@ -17,13 +17,18 @@ def session(app: str = "flowspark", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; one of our own only in local mode."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    A folder of our own is used only in local mode, where one process does everything; elsewhere an
+    unset folder is an error, not a silent local one.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-flowspark-")
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
