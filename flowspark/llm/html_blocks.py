@@ -1,8 +1,11 @@
 """Main text of web pages by line-block distribution.
 
 A page becomes a list of lines, one for each block of markup.  Elements that are never article text
-(menus, page headers and footers, sidebars, adverts, forms, scripts, reader comments) leave a run of
-empty lines behind.  The text lengths of ``WIDTH`` neighbouring lines are summed; the text between a
+(menus, page headers and footers, sidebars, adverts, scripts, reader comments) leave a run of empty
+lines behind.  Class, id and role only hint at them: a name all of whose parts are known (``ad-box``)
+marks an element, but not the article in it; a name with a known part (``google-ads``), like a form,
+marks it unless it holds an article or half of the page's text.  Names of states (``has-sidebar``,
+``comments-open``) mark nothing, and articles are only marked as comments or adverts.  The text lengths of ``WIDTH`` neighbouring lines are summed; the text between a
 surge (the sum reaches the threshold) and the next dive (the sum falls to zero) is kept.
 
 The threshold is ``SURGE``, or a quarter of the page's largest sum if that is less.  A line counts
@@ -39,7 +42,7 @@ INSIDE = 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|textarea|title|iframe|xmp|noembed|noframes"
 DROPPED = frozenset(
-    "head script style noscript template textarea title iframe svg math canvas object audio video map nav aside footer form "
+    "head script style noscript template textarea title iframe svg math canvas object audio video map nav aside footer "
     "button select option datalist fieldset label dialog menu menuitem header".split()
 )
 BLOCKS = frozenset(
@@ -53,7 +56,13 @@ BOILERPLATE = frozenset(
     "notice notices pager pagination popup promo promoted related reply replies share sharing sidebar signup skip social sponsor "
     "sponsored subscribe subscription toolbar topbar widget widgets complementary contentinfo alert alertdialog search".split()
 )
+#: Words beside these in a name that say where or how large, and words that name a state.
+LAYOUT = frozenset("area article bar block body bottom box container content div group inner item list main outer page panel post row section site slot text top unit wrap wrapper".split())
+STATES = frozenset("allow closed disabled enabled has hidden hide is no not off on open show with without".split())
+#: What an article itself can be marked as.
+LESSER = frozenset("ad ads advert advertisement comment comments promo related reply replies sponsored".split())
 NEVER_BY_CLASS = frozenset("html body main".split())
+FRAME = ("article", "main")
 #: Blocks that stand for one paragraph: their lines belong to the element around them.
 PARAGRAPHS = frozenset("br dd dt h1 h2 h3 h4 h5 h6 hr li p pre".split())
 
@@ -69,31 +78,67 @@ _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _marked(attrs: str, inside: bool) -> bool:
-    """Whether class, id or role names boilerplate.  A header inside an article is its own."""
+def _marked(name: str, attrs: str, inside: bool) -> str:
+    """How class, id or role name boilerplate: "surely", "maybe" or "".  A header inside an article is
+    its own."""
+    if name in NEVER_BY_CLASS:
+        return ""
+    best = "maybe" if name == "form" else ""
     for found in _MARK.finditer(attrs):
-        parts = {p.lower() for p in _PART.findall(found[1] or found[2] or found[3] or "")} & BOILERPLATE
-        if parts - ({"header", "byline"} if inside else set()):
-            return True
-    return False
+        for word in (found[1] or found[2] or found[3] or "").split():
+            parts = {p.lower() for p in _PART.findall(word)}
+            hits = parts & BOILERPLATE - (frozenset(("header", "byline")) if inside else frozenset())
+            if not hits or parts & STATES:
+                continue
+            known = all(p in LAYOUT or p in hits or p.isdigit() for p in parts)
+            if name == "article":
+                known, hits = known and bool(hits & LESSER), ()
+            if known:
+                return "surely"
+            best = "maybe" if hits else best
+    return best
+
+
+class Marked:
+    """An element that its names mark, with what was counted before it and in it."""
+
+    def __init__(self, above: Marked | None, surely: bool, depth: int, articles: int, chars: int, frames: int) -> None:
+        self.above, self.surely, self.depth, self.articles = above, surely, depth, articles
+        self.chars, self.frames = -chars, -frames
+
+    def close(self, chars: int, frames: int) -> None:
+        self.chars += chars
+        self.frames += frames
+
+    def judge(self, total: int) -> None:
+        """Whether all lines in it are lost, and how many articles a line must stand in not to be."""
+        above = self.above
+        lost = not self.frames and (self.surely or 2 * self.chars < total)
+        self.lost = lost or above is not None and above.lost
+        self.within = self.articles + 1 if self.surely else above.within if above else 0
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     """(text with markup stripped, characters outside links, inside an article, parent) for each line."""
-    lines: list[tuple[str, int, bool, int]] = []
+    lines: list[tuple[str, int, int, int, Marked | None]] = []
     text: list[str] = []
     plain = 0  # characters of the line so far that are not in a link
     open_tags: list[str] = []
+    places: dict[str, list[int]] = {}  # depths of the open elements of a name
+    blocks: list[int] = []  # depths of the open blocks
     parents = [0]  # the number of the last open element that is no paragraph, for each depth
-    articles = links = elements = 0
+    articles = links = elements = frames = chars = 0
     dropped_at: int | None = None  # depth at which a dropped element was opened
+    marked: Marked | None = None
+    every: list[Marked] = []
 
     def end_line() -> None:
-        nonlocal plain
+        nonlocal plain, chars
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                lines.append((line, plain, articles > 0, parents[-1]))
+                lines.append((line, plain, articles, parents[-1], marked))
+                chars += len(line)
         text.clear()
         plain = 0
 
@@ -106,22 +151,28 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
 
     def gap() -> None:
         end_line()
-        lines.extend([("", 0, False, 0)] * WIDTH)
+        lines.extend([("", 0, 0, 0, None)] * WIDTH)
 
     def leave(depth: int) -> None:
         """Close every element from ``depth`` up."""
-        nonlocal articles, links, dropped_at
-        was = articles
-        if dropped_at is None and any(name in ("article", "main") for name in open_tags[depth:]):
+        nonlocal articles, links, dropped_at, marked
+        was, inner = articles, False
+        if marked is not None and marked.depth >= depth or any((places.get(name) or [-1])[-1] >= depth for name in FRAME):
             end_line()
         for name in open_tags[depth:]:
-            articles -= name in ("article", "main")
+            articles -= name in FRAME
             links -= name == "a"
+            places[name].pop()
+        while blocks and blocks[-1] >= depth:
+            blocks.pop()
+        while marked is not None and marked.depth >= depth:
+            marked.close(chars, frames)
+            marked, inner = marked.above, True
         del open_tags[depth:], parents[depth + 1 :]
         if dropped_at is not None and depth <= dropped_at:
             dropped_at = None
             gap()
-        elif dropped_at is None and was and not articles:
+        elif dropped_at is None and (inner or was and not articles):
             gap()
 
     at = 0
@@ -133,41 +184,52 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             continue
         closing = m["close"] or m["close2"]
         attrs = m["attrs"] or m["attrs2"] or ""
+        block = name in BLOCKS
         if closing:
-            if name in BLOCKS and dropped_at is None:
+            if block and dropped_at is None:
                 end_line()
             # The innermost open element of this name; inline elements do not close a block.
-            for depth in range(len(open_tags) - 1, -1, -1):
-                if open_tags[depth] == name:
-                    leave(depth)
-                    break
-                if name not in BLOCKS and open_tags[depth] in BLOCKS:
-                    break
+            here = places.get(name)
+            if here and (block or not blocks or blocks[-1] < here[-1]):
+                leave(here[-1])
             continue
-        if name in ("article", "main") and dropped_at is not None and not articles and name not in open_tags and not _marked(attrs, False):
+        mark = _marked(name, attrs, articles > 0) if dropped_at is None or name in FRAME else ""
+        if name in FRAME and dropped_at is not None and not articles and not places.get(name) and not mark:
             leave(dropped_at)  # the element before it was never closed
-        if name in BLOCKS and dropped_at is None:
+        if block and dropped_at is None:
             if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and open_tags and open_tags[-1] == name:
                 end_line()
                 leave(len(open_tags) - 1)
             end_line()
-        if name in VOID or attrs.endswith("/") and name not in BLOCKS:
+        if name in VOID or attrs.endswith("/") and not block:
             continue
         open_tags.append(name)
+        places.setdefault(name, []).append(len(open_tags) - 1)
+        if block:
+            blocks.append(len(open_tags) - 1)
         elements += 1
-        parents.append(elements if name in BLOCKS and name not in PARAGRAPHS else parents[-1])
-        if dropped_at is None and (
-            name in DROPPED and not (name == "header" and articles) or name not in NEVER_BY_CLASS and _marked(attrs, articles > 0)
-        ):
+        parents.append(elements if block and name not in PARAGRAPHS else parents[-1])
+        if dropped_at is None and name in DROPPED and not (name == "header" and articles):
             gap()
             dropped_at = len(open_tags) - 1
-        if name in ("article", "main") and dropped_at is None and not articles:
+        elif dropped_at is None and mark:
             gap()
-        articles += name in ("article", "main")
+            marked = Marked(marked, mark == "surely", len(open_tags) - 1, articles, chars, frames)
+            every.append(marked)
+        if name in FRAME and dropped_at is None:
+            if not articles:
+                gap()
+            frames += not mark
+        articles += name in FRAME
         links += name == "a"
     add(page[at:])
     end_line()
-    return lines
+    while marked is not None:
+        marked.close(chars, frames)
+        marked = marked.above
+    for one in every:  # outer elements come first
+        one.judge(chars)
+    return [(line, plain, depth > 0, parent) for line, plain, depth, parent, by in lines if by is None or not by.lost and depth >= by.within]
 
 
 def main_text(page: str | None) -> str:

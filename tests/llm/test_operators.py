@@ -269,3 +269,60 @@ def test_secrets_bare_glued_and_short(spark):
     assert (200, "hunterXq") in values and (201, "QUJDREVGR0hJSktMTU5PUA==") in values
     assert all(secret for i, v, secret in found if i < 200 and not v.isdigit())
     assert not any(secret for _, v, secret in found if v.isdigit())
+
+
+def test_main_text_in_wrappers_with_telling_names():
+    body = "".join(f"<p>{p}</p>" for p in ["A long paragraph that the article of this page has, with some words more.", "Short.", "Another paragraph of the article, also with a number of words."])
+    text = html_blocks.main_text(f"<body><article>{body}</article></body>")
+    assert text.startswith("A long") and text.endswith("words.")
+    for open_, close in (
+        ("<article class='post has-sidebar'>", "</article>"),
+        ("<article class='hentry comments-open'>", "</article>"),
+        ("<div class='content no-sidebar'>", "</div>"),
+        ("<section id='search-engines'>", "</section>"),
+        ("<form id='aspnetForm'><div>", "</div></form>"),
+        ("<div class='layout sidebar-right'>", "</div>"),
+        ("<div class='social-policy'><article>", "</article></div>"),
+        ("<div class='footer-fixed'><main>", "</main></div>"),
+    ):
+        assert html_blocks.main_text(f"<body><nav><a href='/'>Home</a></nav>{open_}{body}{close}<footer>end</footer></body>") == text, open_
+    comments = "".join(f"<article class='comment'><p>{'I think that this is all wrong and say so. ' * 9}</p></article>" for _ in range(9))
+    for open_ in ("<div id='comments'>", "<section class='comment-list'>", "<div class='reader-comments'>"):
+        assert html_blocks.main_text(f"<body><article>{body}</article>{open_}{comments}</div></section></body>") == text, open_
+    assert html_blocks.main_text(f"<body><article>{body[:80]}<div class='google-ads'>Buy this</div>{body[80:]}<form>Name <input></form></article></body>") == text
+    # Never closed: the advert ends where the article begins.
+    assert html_blocks.main_text(f"<body><div class='ad'>Buy this<article>{body}</article></body>") == text
+
+
+def test_main_text_takes_linear_time():
+    import time
+
+    for page in ("<div>" * 100_000 + "</section>" * 100_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<div class=ad>" * 100_000 + "x<p>" * 20_000, "<form>" * 50_000 + "</form>" * 50_000):
+        began = time.time()
+        html_blocks.main_text(page)
+        assert time.time() - began < 3
+
+
+def naive_main_text(lines):
+    """The line-block rule by its words: ``lines`` is (text, weight)."""
+    n = html_blocks.WIDTH
+    sums = [sum(w for _, w in lines[i : i + n]) for i in range(len(lines))]
+    surge, kept, on = max(1, min(html_blocks.SURGE, max(sums, default=0) // 4)), [], False
+    for (line, _), total in zip(lines, sums, strict=True):
+        on = total > 0 if on else total >= surge
+        if on and line:
+            kept.append(line)
+    return " ".join(kept)
+
+
+def test_main_text_by_naive_windows():
+    rng = random.Random(2)
+    for _ in range(200):
+        lines = [("x" * rng.choice((1, 5, 30, 120)), True) if rng.random() < 0.5 else ("", False) for _ in range(rng.randint(1, 25))]
+        for frame_ in (("<body>", "</body>", 1), ("<body><article>", "</article></body>", html_blocks.INSIDE)):
+            # An empty line of the test is a dropped element: three empty lines.
+            page = frame_[0] + "".join(f"<section><p>{t}</p></section>" if t else "<nav>m</nav>" for t, _ in lines) + frame_[1]
+            flat = [x for t, _ in lines for x in ([(t, len(t) * frame_[2])] if t else [("", 0)] * html_blocks.WIDTH)]
+            if frame_[2] > 1:
+                flat = [("", 0)] * html_blocks.WIDTH + flat
+            assert html_blocks.main_text(page) == naive_main_text(flat)
