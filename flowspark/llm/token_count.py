@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from .common import by_bytes, pick, words_by_space
 
 #: Chunks whose counts a task keeps, and the longest of them.
-CACHE, CACHED_CHARS = 300_000, 48
+CACHE, CACHED_CHARS = 1_000_000, 48
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 
@@ -130,7 +130,7 @@ def count_tokens(docs: DataFrame, vocabulary: dict[str, float], doc_id: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(vocabulary)
         for batch in batches:
-            for some in by_bytes(batch, "text"):
+            for some in by_bytes(batch, "text", 16 << 20):
                 yield pa.RecordBatch.from_arrays([some.column("doc_id").cast(pa.int64()), pa.array(counts(some.column("text")))], names=["doc_id", "n_tokens"])
 
     return pick(docs, doc_id=doc_id, text=text).mapInArrow(run, "doc_id long, n_tokens long")
