@@ -5,13 +5,13 @@ Each source gets a target number of words; the expected copies of each of its do
 offset, a document is emitted once for each integer that its step of the prefix sum crosses.
 
 The prefix sum is distributed.  Documents of a source are ordered by size class, then by a hash of
-the id; ``classes x 2**bucket_bits`` cells of that order are ranked separately and the cells' counts
+the id and the text; ``classes x 2**bucket_bits`` cells of that order are ranked separately and the cells' counts
 are summed, so no task sorts a whole source.  Ordering by size class keeps the words taken close to
 the target even where a few documents hold most of a source.
 
 Defined results: a null text has size 0; a null source is a source of its own and comes last; a
 source without words has target 0 and nothing of it is taken; rows repeated in full are separate
-documents; an empty table gives an empty result.  Only the id, source and text columns are read.
+documents, counted as one group first; an empty table gives an empty result.  Only the id, source and text columns are read.
 """
 
 from __future__ import annotations
@@ -60,7 +60,12 @@ def size_class(size: Column) -> Column:
     return F.floor(F.log2(size + F.lit(1.0)) * 8).cast("int")
 
 
-def mix(
+def spot(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Where a row stands within its size class: 64 bits of its id and text."""
+    return F.substring(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary")), 1, 16)
+
+
+def drawn(
     docs: DataFrame,
     weights: Sequence[int] = (5, 2, 1),
     seed: int = 11,
@@ -69,20 +74,17 @@ def mix(
     text: str = "text",
     bucket_bits: int = 8,
 ) -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies) for every document.
-
-    ``seed`` sets each source's offset; the same rows and seed give the same copies, whatever the
-    partitioning.  ``bucket_bits`` (0 to 16) sets how many cells a size class of a source has.
-    """
-    sized = pick(docs, doc_id=doc_id, source=source, text=text).select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    """(doc_id, source, spot, size, n, source_size, target, rank, offset, rate): one row for the ``n`` rows
+    that are alike, with the number ``rank`` of the source's rows before them and the ``rate`` of each."""
+    rows = pick(docs, doc_id=doc_id, source=source, text=text).select(
+        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), spot().alias("spot")
     )
-    order = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 16)
-    rows = sized.withColumns({"class": size_class(F.col("size")), "spot": order})
-    rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("spot", 1, 4), 16, 10).cast("int"), 16 - bucket_bits))
-    rows = stored(rows, "sizes")  # the texts are read once
+    # Rows that are alike are counted before they are moved: an id that many rows share is no hot key.
+    alike = rows.groupBy("doc_id", "source", "spot", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("class", size_class(F.col("size")))
+    alike = alike.withColumn("bucket", F.shiftright(F.conv(F.substring("spot", 1, 4), 16, 10).cast("int"), 16 - bucket_bits))
+    alike = stored(alike, "sizes")  # the texts are read once
     cell = ["source", "class", "bucket"]
-    counts = rows.groupBy(cell).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    counts = alike.groupBy(cell).agg(F.sum("n").alias("n"), F.sum(F.col("size") * F.col("n")).alias("words"))
     earlier = Window.partitionBy("source").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n", "words")
     shares = targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
@@ -95,40 +97,55 @@ def mix(
         .drop("s")
     )
     within = Window.partitionBy(*cell).orderBy("spot", "doc_id", "size")
-    placed = rows.withColumn("place", F.row_number().over(within))
+    placed = alike.withColumn("before", F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     joined = placed.alias("d").join(
         cells.alias("c"),
         F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.class") == F.col("c.class")) & (F.col("d.bucket") == F.col("c.bucket")),
     )
-    rank = F.col("c.start") + F.col("d.place")
-    upto = lambda n: F.floor(F.col("c.offset") + n * F.col("c.rate"))
-    return joined.select(
-        "d.doc_id", "d.size", "d.source", "c.source_size", "c.target", (upto(rank) - upto(rank - 1)).cast("long").alias("copies")
-    )
+    return joined.select("d.doc_id", "d.source", "d.spot", "d.size", "d.n", "c.source_size", "c.target", (F.col("c.start") + F.col("d.before")).alias("rank"), "c.offset", "c.rate")
+
+
+def crossings(after: Column) -> Column:
+    """Whole numbers that the prefix sum has passed ``after`` rows."""
+    return F.floor(F.col("offset") + after * F.col("rate"))
+
+
+def mix(docs: DataFrame, *args, **named) -> DataFrame:
+    """(doc_id, size, source, source_size, target, copies) for every document; arguments of :func:`drawn`.
+
+    ``seed`` sets each source's offset; the same rows and seed give the same copies, whatever the
+    partitioning.  ``bucket_bits`` (0 to 16) sets how many cells a size class of a source has.
+    """
+    each = drawn(docs, *args, **named).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    at = F.col("rank") + F.col("i")
+    return each.select("doc_id", "size", "source", "source_size", "target", (crossings(at) - crossings(at - 1)).cast("long").alias("copies"))
 
 
-def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...), each as often as the mix says.
+def take(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, source, text, ...), each as often as ``groups`` of :func:`drawn` says.
 
-    Rows that share an id are told apart by their size, as ranks within the id.
+    Rows alike in id, source and text share their copies evenly; what is left over goes to one of them.
     """
-    rank = Window.partitionBy("doc_id").orderBy("_size")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    wanted = mixed.select(F.col("doc_id"), F.col("size").alias("_size"), "copies").withColumn("_rank", F.row_number().over(rank)).filter("copies > 0")
-    ranked = docs.withColumn("_size", size).withColumn("_rank", F.row_number().over(rank))
-    return (
-        ranked.alias("d")
-        .join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d._rank") == F.col("w._rank")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("w.copies").cast("int"))))
-        .select("d.*")
-        .drop("_size", "_rank")
+    wanted = groups.select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("spot").alias("_of"), "n", (crossings(F.col("rank") + F.col("n")) - crossings(F.col("rank"))).alias("all")
     )
+    wanted = stored(wanted.select("_id", "_source", "_of", F.floor(F.col("all") / F.col("n")).cast("int").alias("_each"), F.pmod("all", "n").cast("int").alias("_rest")).filter("_each + _rest > 0"), "mix")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_spot") == F.col("_of"))
+    rows = docs.withColumn("_spot", spot())
+    times = lambda df, n: df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    out = times(rows.join(wanted.filter("_each > 0"), same), "_each")
+    rest = wanted.filter("_rest > 0")
+    if not rest.isEmpty():
+        out = out.unionByName(times(rows.join(rest, same).dropDuplicates(["doc_id", "source", "_spot"]), "_rest"))
+    return out
 
 
 #: DuckDB SQL with the rows of the query for ``mix``.
 ORACLE_SQL = r"""
 WITH docs AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 16) AS spot
+  FROM documents
 ), sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source
 ), weighted AS (
@@ -144,7 +161,7 @@ WITH docs AS (
          CASE WHEN level * weight > most THEN most::DOUBLE ELSE weight * arg_min(level, n) FILTER (level * weight <= most) OVER () END AS target
   FROM levels
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY floor(log2(size + 1.0::DOUBLE) * 8), substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 16), doc_id, size) AS place
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY floor(log2(size + 1.0::DOUBLE) * 8), spot, doc_id, size) AS place
   FROM docs
 ), rated AS (
   SELECT p.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,

@@ -34,13 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, pick, stored
+from .common import cut, map_rows, pick, stored, text_key
 
 BITS = 64
 #: Distinct fingerprints from which the cost of partitions is estimated.
 SAMPLE = 20_000
 #: Cost of a probe against that of comparing two fingerprints.
 PROBE_COST = 150.0
+#: Tasks that a component's fingerprints are dealt to.
+SALTS = 32
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 
@@ -67,16 +69,16 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+    """(doc_id, key, fp): the key of the text and its fingerprint as a signed 64-bit number."""
 
     def start():
         def work(rows: dict[str, list]) -> dict[str, list]:
             found = [fingerprint(t, width) for t in rows["text"]]
-            return {"doc_id": rows["doc_id"], "fp": [x - (1 << 64) if x >> 63 else x for x in found]}
+            return {"doc_id": rows["doc_id"], "key": rows["key"], "fp": [x - (1 << 64) if x >> 63 else x for x in found]}
 
         return work
 
-    return map_rows(pick(docs, doc_id=doc_id, text=text), "doc_id long, fp long", start)
+    return map_rows(pick(docs, doc_id=doc_id, text=text).withColumn("key", text_key()), "doc_id long, key long, fp long", start)
 
 
 def group_bits(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -310,22 +312,48 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, doc_id: str = "doc_id", text: str = "text", block: int = 4096) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every document."""
+def grouped(docs: DataFrame, width: int = 4, distance: int = 4, doc_id: str = "doc_id", text: str = "text", block: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, key, fp) of each row, (fp, first) of each fingerprint with its smallest id, and
+    (node, root) of the fingerprints that have links; ``key`` is that of the text."""
     prints = stored(fingerprints(docs, width, doc_id, text), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = stored(components(links(classes.select("fp"), distance, block)), "roots")
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_class = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
+    return prints, classes, stored(components(links(classes.select("fp"), distance, block)), "roots")
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, doc_id: str = "doc_id", text: str = "text", block: int = 4096) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every document."""
+    prints, classes, roots = grouped(docs, width, distance, doc_id, text, block)
+    linked = roots.join(classes, F.col("node") == F.col("fp")).select("node", "root", "first", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
+    # A component of very many fingerprints is met by SALTS tasks.
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    changed = linked.join(least, ["root", "salt"]).select("node", "component_id")
+    by_class = classes.join(changed, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.when(F.col("node").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(by_class, F.col("fp") == F.col("_fp")).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each component, that of its smallest id.  Rows without an id stay."""
-    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dup")).distinct()
-    kept = docs.join(drop, docs["doc_id"] == drop["_dup"], "left_anti")
-    if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
-    return kept
+def firsts(prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, first): for each component its row of the smallest id, as (no_id, doc_id, key); rows
+    without an id come after the others, and equal ids by ``key``."""
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    # Copies are reduced before they meet their component.
+    least = prints.groupBy("fp").agg(F.min(row).alias("first"))
+    return least.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+
+
+def keep_one(docs: DataFrame, prints: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) that ``first`` (no_id, doc_id, key) names, one each.
+
+    Every row is judged by id and text, so a row that shares the id of a copy stays; of rows with equal
+    id and text one stays.
+    """
+    keep = first.select(F.col("doc_id").alias("_id"), F.col("key").alias("_of"))
+    keyed = docs.withColumn("_key", text_key())
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b)) & (F.col("_key") == F.col("_of"))
+    kept = keyed.join(keep, same("doc_id", "_id"), "left_semi")
+    again = prints.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_of")).count().filter("count > 1").drop("count")
+    again = stored(again, "repeated-rows")
+    if not again.isEmpty():
+        once = kept.join(again, same("doc_id", "_id"), "left_semi").dropDuplicates(["doc_id", "_key"])
+        kept = kept.join(again, same("doc_id", "_id"), "left_anti").unionByName(once)
+    return kept.drop("_key")

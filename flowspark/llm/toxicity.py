@@ -7,8 +7,8 @@ densities of lexicon words, their distance from second-person words, capitals, p
 lexicon words behind look-alike characters, separators or stretched letters.  Trees and lexicon use
 three quarters of the sample, calibration the rest.
 
-Defined results: null and empty texts have all features 0 and get the score of such a text; repeated
-rows get equal scores; without labels, or with labels of one kind only, every score is the share of
+Defined results: null and empty texts have all features 0 and get the score of such a text; equal
+texts get equal scores, on every run and whatever the partitions; without labels, or with labels of one kind only, every score is the share of
 toxic labels (0 without any); an id with several labels is toxic if any of them says so; a null label
 is no label; an empty table gives an empty result.
 """
@@ -18,7 +18,10 @@ from __future__ import annotations
 import math
 import re
 import string
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -26,8 +29,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import map_rows, pick, sample_ids, stored
+from .common import by_bytes, map_rows, pick, sample_ids, stored, text_key
 
 #: Labelled rows that training reads at most.
 SAMPLE = 20_000
@@ -45,8 +49,10 @@ INSULTS = frozenset("idiot moron stupid dumb loser scum trash pathetic worthless
 SECOND = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch usted ustedes ti vosotros vuestro".split())
 LOOKALIKE = str.maketrans("013457@$!|", "oieastasil")
 
-FEATURES = (
-    "lexicon_density lexicon_count lexicon_kinds fixed_count near_second second_density capitals shouted punctuation exclamations hidden_density hidden_lexicon log_words word_length".split()
+#: The features' columns; the mark in front keeps them apart from a table's own.
+FEATURES = tuple(
+    f"_x_{name}"
+    for name in "lexicon_density lexicon_count lexicon_kinds fixed_count near_second second_density capitals shouted punctuation exclamations hidden_density hidden_lexicon log_words word_length".split()
 )
 _SPACED = str.maketrans(dict.fromkeys(string.punctuation + "«»“”„…¡¿", " "))
 _HIDDEN = re.compile(r"(?<!\S)\S*[^\W\d_](?:[0-9@$!|*._-]+)[^\W\d_]\S*")
@@ -95,16 +101,16 @@ def features(text: str | None, lexicon: frozenset[str]) -> list[float]:
 
 
 def with_features(rows: DataFrame, lexicon: frozenset[str]) -> DataFrame:
-    """``rows`` (doc_id, text) as (doc_id, feature columns)."""
+    """``rows`` (text, ...) with the feature columns; no row is joined or moved."""
+    schema = StructType([*rows.schema.fields, *[StructField(f, DoubleType()) for f in FEATURES]])
 
-    def start():
-        def work(part: dict[str, list]) -> dict[str, list]:
-            found = [features(t, lexicon) for t in part["text"]]
-            return {"doc_id": part["doc_id"]} | {name: [x[i] for x in found] for i, name in enumerate(FEATURES)}
-
-        return work
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in by_bytes(batch, "text"):
+                found = np.array([features(t, lexicon) for t in some.column("text").to_pylist()]).reshape(-1, len(FEATURES))
+                yield pa.RecordBatch.from_arrays([*some.columns, *[pa.array(c) for c in found.T]], names=[*some.schema.names, *FEATURES])
 
-    return map_rows(rows.select("doc_id", "text"), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES), start)
+    return rows.mapInArrow(run, schema)
 
 
 def sketch(words: list[str], seeds: int = 3, width: int = 5) -> list[int]:
@@ -158,18 +164,18 @@ class Model:
         self.lexicon, self.trees, self.calibration, self.constant = lexicon, trees, calibration, constant
 
     def apply(self, rows: DataFrame) -> DataFrame:
-        """(doc_id, score) for every row of ``rows`` (doc_id, text)."""
+        """``rows`` (text, ...) with ``_score``."""
         if self.trees is None:
-            return rows.select("doc_id", F.lit(self.constant).alias("score"))
-        scored = raw_score(self.trees, with_features(rows, self.lexicon))
+            return rows.withColumn("_score", F.lit(self.constant))
+        scored = raw_score(self.trees, with_features(rows, self.lexicon)).drop(*FEATURES)
         if self.calibration is not None:
-            scored = self.calibration.transform(scored).withColumn("raw", F.col("calibrated"))
-        return scored.select("doc_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("raw"))).alias("score"))
+            scored = self.calibration.transform(scored).drop("_raw").withColumnRenamed("_calibrated", "_raw")
+        return scored.withColumn("_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_raw")))).drop("_raw")
 
 
 def raw_score(trees, rows: DataFrame) -> DataFrame:
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
-    return trees.transform(vectors).withColumn("raw", vector_to_array("probability")[1])
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(rows)
+    return trees.transform(vectors).withColumn("_raw", vector_to_array("_probability")[1]).drop("_features", "_margins", "_probability", "_class")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, trees: int = 20, depth: int = 4, seed: int = 5) -> Model:
@@ -177,28 +183,32 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, trees: int = 2
     known = pick(labels, doc_id="doc_id", toxic="toxic").filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     chosen = sample_ids(known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), most)
     # At most `most` rows of two numbers: small enough to send to every task.
-    rows = stored(docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic"), "toxicity-sample")
-    rows = rows.dropDuplicates(["text", "toxic"])  # copies would weigh as often as they stand there
+    rows = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    # Copies would weigh as often as they stand there: of each text, the row of the smallest id stays.
+    rows = rows.groupBy(text_key().alias("_key"), "toxic").agg(F.min(F.struct("doc_id", "text"))["text"].alias("text"))
+    rows = stored(rows, "toxicity-sample")
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("a")).first()
     share = counts["a"] / counts["n"] if counts["n"] else 0.0
-    fitting = F.pmod(F.xxhash64("text"), F.lit(4)) != 0
+    fitting = F.pmod(F.col("_key"), F.lit(4)) != 0
     fit_on = rows.filter(fitting)
     if fit_on.select("toxic").distinct().count() < 2:
         return Model(INSULTS, None, None, share)
     lexicon = learn_lexicon(fit_on)
-    known_rows = rows.select(F.col("doc_id").alias("_id"), "toxic", fitting.alias("_fit"))
-    table = stored(with_features(rows, lexicon).join(known_rows, F.col("doc_id") == F.col("_id")).drop("_id"), "toxicity-features")
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(table.filter("_fit")).coalesce(4)
+    table = stored(with_features(rows, lexicon).withColumn("_fit", fitting).drop("text"), "toxicity-features")
+    # One order of the sample, whatever the partitions were: sums and splits come out alike.
+    ordered = table.filter("_fit").repartition(1).sortWithinPartitions("_key", "toxic")
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(ordered)
     least = max(4, counts["n"] // 800)
-    model = GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=trees, maxDepth=depth, stepSize=0.2, subsamplingRate=1.0, minInstancesPerNode=least, seed=seed, checkpointInterval=-1).fit(vectors)
+    boosted = GBTClassifier(featuresCol="_features", labelCol="toxic", predictionCol="_class", maxIter=trees, maxDepth=depth, stepSize=0.2, subsamplingRate=1.0, minInstancesPerNode=least, seed=seed, checkpointInterval=-1)
+    model = boosted.setProbabilityCol("_probability").setRawPredictionCol("_margins").fit(vectors)
     # Steps of the raw score, each drawn to the common share as by PRIOR rows: a handful of rows with
     # a wrong label does not make a step of its own.
-    step = F.round(F.col("raw") * 50) / 50
-    steps = raw_score(model, table.filter(~F.col("_fit"))).groupBy(step.alias("raw")).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("a"))
-    check = steps.select("raw", ((F.col("a") + PRIOR * share) / (F.col("n") + PRIOR)).alias("toxic"), (F.col("n") + F.lit(float(PRIOR))).alias("weight"))
+    step = F.round(F.col("_raw") * 50) / 50
+    steps = raw_score(model, table.filter(~F.col("_fit"))).groupBy(step.alias("_raw")).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("a"))
+    check = steps.select("_raw", ((F.col("a") + PRIOR * share) / (F.col("n") + PRIOR)).alias("toxic"), (F.col("n") + F.lit(float(PRIOR))).alias("weight"))
     calibration = None
     if not check.isEmpty():
-        calibration = IsotonicRegression(featuresCol="raw", labelCol="toxic", weightCol="weight", predictionCol="calibrated").fit(check.coalesce(1))
+        calibration = IsotonicRegression(featuresCol="_raw", labelCol="toxic", weightCol="weight", predictionCol="_calibrated").fit(check.coalesce(1))
     return Model(lexicon, model, calibration, share)
 
 
@@ -206,10 +216,9 @@ def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, doc_id: str =
     """(doc_id, held_out, score, predicted) for every document."""
     rows = pick(docs, doc_id=doc_id, text=text)
     scored = train(rows, labels, most).apply(rows)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= TOXIC).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) that are not predicted toxic."""
-    bad = score(docs, labels, most).filter("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_toxic"]), "left_anti")
+    """The rows of ``docs`` (doc_id, text, ...) that are not predicted toxic, each judged by its own text."""
+    return train(pick(docs, doc_id="doc_id", text="text"), labels, most).apply(docs).filter(F.col("_score") < TOXIC).select(*docs.columns)
