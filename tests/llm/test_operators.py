@@ -130,7 +130,10 @@ def test_tiles_by_definition():
             free_i[i : i + n], free_d[j : j + n] = [False] * n, [False] * n
             covered += n
         found = list(string_tiling.Benchmark([(1, " ".join(item))]).shared(" ".join(doc)))
-        assert sum(f[3] for f in found) == covered
+        assert sum(sum(f[2]) for f in found) == covered
+        number = {w: i for i, w in enumerate("abcd")}
+        by_length = string_tiling.tile_by_length(*(np.array([number[w] for w in x]) for x in (item, doc)))
+        assert sorted(t[2] for t in by_length) == sorted(n for f in found for n in f[2])
 
 
 def test_reordered_passage_is_found(spark):
@@ -326,3 +329,52 @@ def test_main_text_by_naive_windows():
             if frame_[2] > 1:
                 flat = [("", 0)] * html_blocks.WIDTH + flat
             assert html_blocks.main_text(page) == naive_main_text(flat)
+
+
+def test_repeated_word_and_several_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(40))) for i in range(60)]
+    items += [(100, "again " * 10_000), (101, items[0][1]), (102, " ".join(f"long{i}" for i in range(300)))]
+    rows = [(i, f"x {' '.join(t.split()[20:])} y z {' '.join(t.split()[:20])} end") for i, t in items[:30]]
+    rows += [(500, "again " * 1_000_000), (501, "clean words that stand in no item at all"), (502, " ".join(f"long{i}" for i in range(60, 115))), (503, " ".join(f"long{i}" for i in range(20)))]
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, i) for i in range(30)} | {(0, 101), (500, 100), (502, 102)}
+    one = {(r["doc_id"], r["item_id"]) for r in string_tiling.contaminated(docs, bench).collect()}
+    assert one == want
+    monkeypatch.setattr(string_tiling, "BLOCK_WORDS", 4000)
+    several = string_tiling.contaminated(docs, bench)
+    assert {(r["doc_id"], r["item_id"]) for r in several.collect()} == want
+    assert {r["doc_id"] for r in string_tiling.decontaminate(docs, bench).collect()} == {501, 503}
+
+
+def test_filters_judge_rows_not_ids(spark):
+    leak, clean = " ".join(f"w{i}" for i in range(30)), "some other text that is clean"
+    docs = spark.createDataFrame([(None, leak, "s", 1), (None, clean, "s", 2), (5, clean, None, 3), (5, leak, None, 4), (5, None, None, 5)], "doc_id long, text string, source string, n_chars long")
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    assert sorted(r["n_chars"] for r in string_tiling.decontaminate(docs, bench).collect()) == [2, 3, 5]
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a, 1), (2, a, 2), (2, b, 3), (3, c, 4), (3, d, 5), (None, d, 6), (None, "only here " * 9, 7), (4, b, 8), (9, "twice " * 5, 9), (9, "twice " * 5, 10), (None, "only here " * 9, 11)]
+    docs = spark.createDataFrame([(i, t, "s", n) for i, t, n in rows], "doc_id long, text string, source string, n_chars long")
+    kept = sorted(r["n_chars"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert kept[:4] == [1, 3, 4, 5] and len(kept) == 6 and kept[4] in (7, 11) and kept[5] in (9, 10, 11) and {6, 8}.isdisjoint(kept)
+    mixed = mixing.drawn(docs)
+    taken = mixing.take(docs, mixed)
+    assert sum(r["copies"] for r in mixing.mix(docs).collect()) == taken.count()
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    fit = [(i, f"you {'idiot stupid' if i % 2 else 'lovely nice'} word{i} and more word{i * 7} here", "s", i) for i in range(400)]
+    both = [(None, "you idiot stupid you stupid idiot", "s", 1000), (None, "you lovely nice and more here", "s", 1001), (7, "you lovely nice and more here", "s", 1002)]
+    kept = {r["n_chars"] for r in toxicity.keep_clean(spark.createDataFrame(fit + both, docs.schema), labels).collect()}
+    assert {1001, 1002} <= kept and 1000 not in kept
+
+
+def test_toxicity_is_alike_on_every_run(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for n in (3, 11):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.append({r["doc_id"]: r["score"] for r in toxicity.score(docs.repartition(n), labels.repartition(n)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
