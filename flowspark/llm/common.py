@@ -81,9 +81,9 @@ def by_bytes(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Ite
         at = upto
 
 
-def words_by_space(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def words_by_space(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(different words, number of each word in order, offsets of the texts) of ``texts`` cut at each
     space.  Texts must not be null."""
     lists = pc.split_pattern(texts, " ")
     coded = lists.flatten().dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy()
+    return coded.dictionary, coded.indices.to_numpy(), lists.offsets.to_numpy()

@@ -111,7 +111,7 @@ def counter(vocabulary: dict[str, float]):
         # Runs of marks are pieces of their own; one is put before a text.
         whole = pc.match_substring_regex(texts, f"^ |  |{SPACE}") if alone else pc.greater(pc.binary_length(texts), 0)
         words, numbers, offsets = words_by_space(pc.if_else(whole, "", texts))
-        each = np.fromiter((of_chunk(SPACE + w) for w in words), np.int64, len(words))
+        each = np.fromiter((of_chunk(SPACE + w) for w in words.to_pylist()), np.int64, len(words))
         sums = np.diff(np.concatenate([[0], np.cumsum(each[numbers])])[offsets])
         sums[pc.equal(texts, "").to_numpy(zero_copy_only=False)] = 0
         for row in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():

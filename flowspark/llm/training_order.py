@@ -42,11 +42,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, by_bytes, pick, shared_dir, stored
+from .common import SLICE, by_bytes, pick, shared_dir, stored, words_by_space
 
-#: The part of a pattern that looks ahead in white space, and two characters of it in a row.
+#: The part of a pattern that looks ahead in white space, and white space.
 LOOK_AHEAD = r"\s+(?!\S)|"
-WHITE_RUN = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
+_WHITE = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WHITE_RUN = f"{_WHITE}{{2}}|^{_WHITE}|{_WHITE}$"
+#: Bytes of text that are encoded at once: the larger, the fewer words are encoded again.
+ENCODED = 16 << 20
 ROUNDS = 6
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -102,8 +105,10 @@ def load_ranks(tiktoken_file: str) -> dict[bytes, int]:
 class Tokenizer:
     """Token numbers of texts as bytes, two each.
 
-    The pattern's look-ahead only matters within a run of white space.  Texts without such a run are
-    cut by the pattern without it, which needs no backtracking and takes less time.
+    No token of the pattern goes on over a single space, and its look-ahead only matters within a run
+    of white space.  So texts without such a run are cut at spaces; the different words of a slice are
+    encoded in one go, by the pattern without the look-ahead, and Arrow puts the words' bytes in the
+    order of the texts.  Texts with a run, or with white space at an end, are encoded whole.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
@@ -112,11 +117,42 @@ class Tokenizer:
         make = lambda name, p: tiktoken.Encoding(name, pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.careful = make("careful", pattern)
         self.plain = make("plain", pattern.replace(LOOK_AHEAD, "")) if pattern.endswith(LOOK_AHEAD + r"\s+") else self.careful
-
-    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
-        runs = pc.fill_null(pc.match_substring_regex(texts, WHITE_RUN), False)
-        for text, run in zip(texts.to_pylist(), runs.to_pylist(), strict=True):
-            yield array("H", (self.careful if run else self.plain)(text)).tobytes() if text else b""
+        self.bytes_of = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        for token, number in ranks.items():
+            self.bytes_of[number] = len(token)
+
+    def pieces(self, texts: pa.Array, end: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(table of byte strings, their numbers in the order of the texts, offsets of the texts); each
+        text ends with ``end``."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, WHITE_RUN)
+        words, numbers, offsets = words_by_space(pc.if_else(whole, "", texts))
+        # The empty word stands for texts that are empty or encoded whole.
+        filled = pc.if_else(pc.equal(words, ""), "x", words)
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(filled)], filled), " ")[0].as_py()
+        ids = np.array(array("H", self.plain(" " + joined) if joined else []), np.uint16)
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(pc.binary_length(filled).to_numpy() + 1)) + 1
+        starts = offsets[:-1]
+        heads = [array("H", self.plain(w)).tobytes() if w else b"" for w in words.take(pa.array(numbers[starts])).to_pylist()]
+        for row in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            heads[row] = array("H", self.careful(texts[row].as_py())).tobytes()
+        sizes = np.concatenate([np.diff(ends, prepend=0) * 2, np.fromiter(map(len, heads), np.int64, len(heads)), [len(end)]])
+        places = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        table = pa.Array.from_buffers(pa.binary(), len(sizes), [None, places, pa.py_buffer(b"".join([ids.tobytes(), *heads, end]))])
+        numbers = numbers.copy()
+        numbers[starts] = len(words) + np.arange(len(heads))
+        return table, np.insert(numbers, offsets[1:], len(sizes) - 1), offsets + np.arange(len(offsets))
+
+    def lengths(self, texts: pa.Array, end: bytes) -> np.ndarray:
+        """Tokens of each text."""
+        table, numbers, offsets = self.pieces(texts, end)
+        sizes = pc.binary_length(table).to_numpy().astype(np.int64) // 2
+        return np.diff(np.concatenate([[0], np.cumsum(sizes[numbers])])[offsets])
+
+    def stream(self, texts: pa.Array, end: bytes) -> pa.Buffer:
+        """The tokens of all texts in a row."""
+        table, numbers, _ = self.pieces(texts, end)
+        return table.take(pa.array(numbers)).buffers()[2]
 
 
 @contextmanager
@@ -158,8 +194,8 @@ def materialise(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, at = Tokenizer(ranks, pattern), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for some in by_bytes(batch, "text"):
-                sizes = [len(x) // 2 + 1 for x in tokens(some.column("text"))]
+            for some in by_bytes(batch, "text", ENCODED):
+                sizes = tokens.lengths(some.column("text"), end)
                 starts = at + np.concatenate([[0], np.cumsum(sizes)])
                 at = int(starts[-1])
                 yield pa.RecordBatch.from_arrays(
@@ -182,9 +218,9 @@ def materialise(
             tokens, part = Tokenizer(ranks, pattern), TaskContext.get().partitionId()
             begin = at = int(offsets[part]) if part < parts else 0
             for batch in batches:
-                for some in by_bytes(batch, "text"):
-                    stream = b"".join([x + end for x in tokens(some.column("text"))])
-                    upto = at + len(stream) // 2
+                for some in by_bytes(batch, "text", ENCODED):
+                    stream = tokens.stream(some.column("text"), end)
+                    upto = at + stream.size // 2
                     sequence = np.arange(at // length, -(-upto // length))
                     edges = np.clip(np.append(sequence, sequence[-1] + 1) * length, at, upto)
                     slot = order.slot(sequence)
@@ -195,7 +231,7 @@ def materialise(
                             pa.array(slot),
                             pa.array(sequence),
                             pa.array((edges[:-1] - sequence * length).astype(np.int32)),
-                            pa.Array.from_buffers(pa.binary(), len(sequence), [None, cuts, pa.py_buffer(stream)]),
+                            pa.Array.from_buffers(pa.binary(), len(sequence), [None, cuts, stream]),
                         ],
                         names=["shard", "slot", "sequence", "at", "tokens"],
                     )
