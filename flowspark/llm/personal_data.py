@@ -1,20 +1,23 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base entities (e-mail and IP addresses, card and phone numbers with their checks) are seeds.  The one
-and two words before an entity are its patterns.  Other tokens with digits or an at sign are
-candidates.  On the graph of patterns and instances, scores go back and forth: a pattern's score for a
-kind is the share of its distinct instances that are of the kind (seeds count fully, candidates with
-their own score); a candidate's score is that of its best pattern.  After ``ROUNDS`` rounds,
-candidates that follow a pattern of at least ``LEAST_SCORE`` with ``LEAST_SEEDS`` distinct seeds are
-identifiers not known before, reported as kind ``id``.
+and two words before and after an entity are its patterns.  Other tokens with digits or an at sign, and
+groups of digits, are candidates.
 
-Everything is column expressions and joins.  Edges are made distinct before anything is summed, so a
-frequent pattern is one row for each of its instances; joins on a pattern can be split by the
-optimiser.  What is stored of the instances are hashes.
+How sure a pattern is follows from the whole corpus: of all places where its words stand, the share
+that have a known identifier beside them, where places with a candidate that is not known count half.  So
+common words are no patterns, however many identifiers they stand next to.  A pattern is trusted if that share is at least ``LEAST_SCORE`` and ``LEAST_KNOWN``
+different identifiers are known there.  Candidates beside a trusted pattern become known themselves,
+with the pattern's score as their weight, and count as support of other patterns in the next of
+``ROUNDS`` rounds.  Candidates beside a pattern trusted in the end are reported as kind ``id``.
+
+Everything is column expressions and joins.  Edges of patterns and instances are counted before anything
+else is done, so a frequent pattern is one row for each of its different instances; only patterns with
+``LEAST_KNOWN`` of them are looked at.  What is stored of the instances are hashes.
 
 Defined results: a null or empty text has no spans; repeated rows get equal results; without seeds
 nothing is added; an empty table gives an empty result.  Candidates that touch a base span are left
-to it.
+to it; punctuation around a candidate is not part of it.
 """
 
 from __future__ import annotations
@@ -23,12 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, stored
-from .spans_sql import context, matches
+from .spans_sql import matches, words_after, words_before
 
-ROUNDS = 3
-LEAST_SCORE, LEAST_SEEDS = 0.6, 5
-#: Added to the number of instances of a pattern, so that few instances give no high score.
+ROUNDS = 4
+LEAST_SCORE, LEAST_KNOWN = 0.6, 5
+#: Added to the places of a pattern, so that few places give no high score.
 SMOOTHING = 1.0
+#: Patterns that are sent to all tasks while places are counted; more of them are joined by a shuffle.
+BROADCAST = 1_000_000
 #: Code points of a cell in which base spans and candidates meet.
 CELL = 256
 KINDS = ("email", "ip", "card", "phone")
@@ -43,8 +48,9 @@ PATTERNS = {
 }
 #: What a text must contain for a kind's pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-FOUND = "array<struct<kind:string,start:bigint,end:bigint,before:string,value:bigint>>"
+#: Groups of digits with single spaces between them, or a run with a digit or an at sign.
+CANDIDATE = r"(?<!\S)[0-9]{2,}+(?:\x20[0-9]{2,}+)+(?=[\s.,;:!?)]|$)|(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+FOUND = "array<struct<kind:string,start:bigint,end:bigint,before:string,after:string,value:bigint>>"
 
 
 def passes(kind: str, value: Column) -> Column:
@@ -71,22 +77,37 @@ def located(docs: DataFrame) -> DataFrame:
 
     rows = rows.withColumns({k: tried(k) for k in KINDS} | {"other": F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(none)})
 
-    def spans(name: str, keep) -> Column:
-        every = F.filter(matches(F.col("text"), F.col(name), PATTERNS.get(name, CANDIDATE)), lambda m: keep(m["value"]))
+    def spans(name: str, keep, lead=lambda v: F.lit(0), trail=lambda v: F.lit(0)) -> Column:
+        """The matches of a kind, less the code points that ``lead`` and ``trail`` say."""
+
+        def bare(m: Column) -> Column:
+            value, before, after = m["value"], lead(m["value"]), trail(m["value"])
+            return F.struct(
+                F.substring(value, before + 1, F.char_length(value) - before - after).alias("value"),
+                (m["start"] + before).alias("start"),
+                (m["end"] - after).alias("end"),
+                F.concat(m["before"], F.left(value, before)).alias("before"),
+                F.concat(F.right(value, after), m["after"]).alias("after"),
+            )
+
+        every = F.filter(F.transform(matches(F.col("text"), F.col(name), PATTERNS.get(name, CANDIDATE)), bare), lambda m: keep(m["value"]))
         value = lambda m: F.xxhash64(F.lower(m["value"]))
-        of = lambda m: F.struct(F.lit(name).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), context(m["before"]).alias("before"), value(m).alias("value"))
+        of = lambda m: F.struct(
+            F.lit(name).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), words_before(m["before"]).alias("before"), words_after(m["after"]).alias("after"), value(m).alias("value")
+        )
         return F.when(F.size(name) > 0, F.transform(every, of)).otherwise(F.array().cast(FOUND)).cast(FOUND)
 
-    # A candidate has three digits or an at sign, and five characters, without punctuation around it.
-    bare = lambda v: F.regexp_replace(v, r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", "")
-    likely = lambda v: (F.char_length(bare(v)) >= 5) & (F.regexp_count(v, F.lit("[0-9]")) >= 3)
-    named = rows.select("doc_id", *[spans(k, lambda v, k=k: passes(k, v)).alias(k) for k in KINDS], spans("other", likely).alias("other"))
+    # A candidate has five characters and three digits in it, or two characters after an at sign.
+    likely = lambda v: (F.char_length(v) >= 5) & (F.regexp_count(v, F.lit("[0-9]")) >= 3) | v.rlike(r"@[\p{L}0-9_]{2}")
+    lead = lambda v: F.char_length(F.regexp_extract(v, r"^[^\p{L}0-9@]*+", 0))
+    trail = lambda v: F.least(F.char_length(v) - lead(v), F.char_length(F.regexp_extract(F.reverse(v), r"^[^\p{L}0-9]*+", 0)))
+    named = rows.select("doc_id", *[spans(k, lambda v, k=k: passes(k, v)).alias(k) for k in KINDS], spans("other", likely, lead, trail).alias("other"))
     base = named.select("doc_id", F.concat(*KINDS).alias("base"), "other")
     return stored(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", F.col("other").alias("candidates")), "personal-data")
 
 
 def apart(rows: DataFrame) -> DataFrame:
-    """(row, kind, start, end, before, value) of the candidates that touch no base span; stored.
+    """(row, kind, start, end, before, after, value) of the candidates that touch no base span; stored.
 
     Spans meet by cells of ``CELL`` code points, so a text with very many spans is no long comparison.
     """
@@ -99,43 +120,58 @@ def apart(rows: DataFrame) -> DataFrame:
 
     taken = cells(spans("base").select("row", "start", "end")).withColumnsRenamed({"start": "from", "end": "upto"})
     touched = cells(spans("candidates")).join(taken, ["row", "cell"]).filter("from < end and start < upto").select("row", "start").distinct()
-    return stored(spans("candidates").join(touched, ["row", "start"], "left_anti").select("row", "kind", "start", "end", "before", "value"), "personal-candidates")
+    return stored(spans("candidates").join(touched, ["row", "start"], "left_anti").select("row", "kind", "start", "end", "before", "after", "value"), "personal-candidates")
 
 
 def patterns_of(spans: DataFrame) -> DataFrame:
-    """(kind, value, pattern): the two words before a span, and the last of them alone."""
-    last = F.substring_index("before", " ", -1)
-    both = F.array_distinct(F.array(F.concat(F.lit("1 "), last), F.concat(F.lit("2 "), F.col("before"))))
-    return spans.filter("before <> ''").withColumn("pattern", F.explode(both))
-
-
-def learn(rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(pattern, kind, score) of the patterns to trust."""
+    """``spans`` with ``side`` (l or r) and ``words``: one and two words on each side."""
+    side = lambda name, words: F.struct(F.lit(name).alias("side"), words.alias("words"))
+    left, right = F.col("before"), F.col("after")
+    every = F.array(side("l", F.substring_index(left, " ", -1)), side("l", left), side("r", F.substring_index(right, " ", 1)), side("r", right))
+    each = F.filter(F.array_distinct(every), lambda p: p["words"] != "")
+    return spans.withColumn("_p", F.explode(each)).select(*spans.columns, "_p.side", "_p.words")
+
+
+def places(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """(words, places): how often each of ``words`` (one or two words) stands in the texts of ``docs``."""
+    split = F.split(F.lower(F.trim(F.coalesce("text", F.lit("")))), r"\s+")
+    single = docs.select(split.alias("w"))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    grams = single.select(F.explode(F.concat("w", pairs)).alias("words"))
+    few = F.broadcast(words) if words.count() <= BROADCAST else words
+    return grams.join(few, "words").groupBy("words").agg(F.count(F.lit(1)).alias("places"))
+
+
+def learn(docs: DataFrame, rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(side, words, score) of the patterns to trust."""
+    pattern = ["side", "words"]
     spans = rows.select(F.explode("base").alias("s")).select("s.*").unionByName(candidates.drop("row"))
-    edges = stored(patterns_of(spans).select("pattern", "value", "kind").distinct(), "personal-edges")
-    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"))
-    seeds = edges.filter("kind <> 'other'").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
-    known = stored(seeds.join(sizes, "pattern"), "personal-patterns")
-    support = F.coalesce("seeds", F.lit(0)) + F.coalesce("more", F.lit(0.0))
-    more = known.select("pattern", "kind", F.lit(0.0).alias("more"))
-    scored = None
+    each = patterns_of(spans).groupBy(*pattern, "value").agg(F.max(F.col("kind") != "other").alias("seed"), F.count(F.lit(1)).alias("n"))
+    each = stored(each, "personal-edges")
+    enough = each.groupBy(pattern).agg(F.count(F.lit(1)).alias("different"), F.sum("n").alias("own")).filter(F.col("different") >= LEAST_KNOWN)
+    counted = places(docs, stored(enough.select("words").distinct(), "personal-words"))
+    # Words glued to an identifier do not stand alone in a text: its own places count at least.
+    total = stored(enough.join(counted, "words", "left").select(*pattern, F.greatest(F.coalesce("places", F.lit(0)), "own").alias("places")), "personal-places")
+    # A pattern with too many places that have neither an identifier nor a candidate is never trusted.
+    edges = stored(each.join(total.join(enough, pattern).filter(F.col("own") >= LEAST_SCORE * F.col("places")).select(*pattern, "places", "own"), pattern), "personal-graph")
+    known = edges.filter("seed").select("value").distinct().withColumn("weight", F.lit(1.0))
+    trusted = edges.select(*pattern, F.lit(0.0).alias("score")).filter("false")
     for _ in range(ROUNDS):
-        base = known.select("pattern", "kind", "seeds").join(more, ["pattern", "kind"], "full").join(sizes, "pattern")
-        scored = stored(base.select("pattern", "kind", F.coalesce("seeds", F.lit(0)).alias("seeds"), (support / (F.col("instances") + SMOOTHING)).alias("score")), "personal-scores")
-        # Only patterns that could be trusted pass a score on.
-        strong = scored.filter(F.col("score") >= LEAST_SCORE / 2).select("pattern", F.col("kind").alias("as"), "score")
-        others = edges.filter("kind = 'other'").select("pattern", "value")
-        instances = others.join(strong, "pattern").groupBy("value", "as").agg(F.max("score").alias("score"))
-        more = others.join(instances, "value").groupBy("pattern", F.col("as").alias("kind")).agg(F.sum("score").alias("more"))
-    return scored.filter((F.col("score") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS))
+        support = edges.join(known, "value").groupBy(*pattern, "places", "own").agg(F.sum(F.col("weight") * F.col("n")).alias("s"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("different"))
+        score = F.col("s") / (F.col("places") - (F.col("own") - F.col("n")) / 2 + SMOOTHING)
+        trusted = stored(support.select(*pattern, score.alias("score"), "different").filter((F.col("score") >= LEAST_SCORE) & (F.col("different") >= LEAST_KNOWN)), "personal-trusted")
+        met = edges.join(trusted, pattern).groupBy("value").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.col("score"))).alias("weight"))
+        known = stored(met.union(edges.filter("seed").select("value", F.lit(1.0))).groupBy("value").agg(F.max("weight").alias("weight")), "personal-known")
+    return trusted.drop("different")
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, base, found) for every document: arrays of (kind, start, end) in order."""
-    rows = located(pick(docs, doc_id=doc_id, text=text))
+    docs = pick(docs, doc_id=doc_id, text=text)
+    rows = located(docs)
     candidates = apart(rows)
-    trusted = learn(rows, candidates).select("pattern").distinct()
-    new = patterns_of(candidates).join(trusted, "pattern", "left_semi").groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("found"))
+    trusted = learn(docs, rows, candidates)
+    new = patterns_of(candidates).join(trusted, ["side", "words"], "left_semi").groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("found"))
     plain = "array<struct<kind:string,start:bigint,end:bigint>>"
     base = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
     return rows.select("row", "doc_id", base.alias("base")).join(new, "row", "left").select("doc_id", "base", F.coalesce("found", F.array().cast(plain)).alias("found"))
