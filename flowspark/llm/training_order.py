@@ -48,8 +48,9 @@ from .common import SLICE, by_bytes, pick, shared_dir, stored, words_by_space
 LOOK_AHEAD = r"\s+(?!\S)|"
 _WHITE = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WHITE_RUN = f"{_WHITE}{{2}}|^{_WHITE}|{_WHITE}$"
-#: Bytes of text that are encoded at once: the larger, the fewer words are encoded again.
-ENCODED = 16 << 20
+#: Bytes of text that are encoded at once: the larger, the fewer words are encoded again, and the more
+#: memory is held (some ten times as much).
+ENCODED = 6 << 20
 ROUNDS = 6
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -140,7 +141,7 @@ class Tokenizer:
         places = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
         table = pa.Array.from_buffers(pa.binary(), len(sizes), [None, places, pa.py_buffer(b"".join([ids.tobytes(), *heads, end]))])
         numbers = numbers.copy()
-        numbers[starts] = len(words) + np.arange(len(heads))
+        numbers[starts] = len(words) + np.arange(len(heads), dtype=np.int32)
         return table, np.insert(numbers, offsets[1:], len(sizes) - 1), offsets + np.arange(len(offsets))
 
     def lengths(self, texts: pa.Array, end: bytes) -> np.ndarray:
