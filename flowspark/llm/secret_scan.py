@@ -3,27 +3,31 @@
 A candidate is a run of at least ``SHORTEST`` characters of keys and tokens with a digit in it, or of
 at least ``ANNOUNCED`` of them, with or without a digit, right after a key word with an assignment
 sign.  ``=`` belongs to a candidate only as padding at its end, so a name and its sign stand before it.
-Features: length, shares of character classes, changes of class from one character to the next,
-different characters, coverage by dictionary words, marks of a path, and the neighbouring words (a key
-word, an assignment sign or a quote before it).  The dictionary is the ``DICTIONARY`` most frequent
-words of the corpus, counted over all documents.
-
-The forest learns from labelled findings.  Where none are given, they are labelled by rules that are
-certain on either side: a value with a digit assigned to a key word is a secret, and so is every other occurrence
-of that value and every value of a known issuer's form (``ISSUED``), whatever stands before them; a
-number of digits only, a value covered by dictionary words, or a path is none, after a key word too
-unless it is assigned to it; other candidates are not learned from.  At most ``SAMPLE`` findings (by a
-hash of the value) are learned from.
+Parts of e-mail addresses are no candidates.
+
+Features of the value: length, shares of character classes, changes of class, different characters, the
+mean log-probability of its character transitions in the corpus' words, coverage by dictionary words,
+marks of a path.  Features of its neighbours: a key word, an assignment sign or a quote before it.  The
+dictionary is the ``DICTIONARY`` most frequent words of the corpus; transitions are counted over all of
+its words.
+
+The forest learns from labelled findings.  Where none are given, two views teach each other: what stands
+before a value labels it (assigned to a key word, or elsewhere so, or of a known issuer's form
+``ISSUED``: a secret; else none), and a forest that sees the value alone learns from that; the findings
+of which it is sure then teach the forest over all features.  At most ``SAMPLE`` findings (by a hash of
+the value) are learned from.
 
 Everything is column expressions, joins and ``pyspark.ml``.
 
 Defined results: null and empty texts have no findings; each occurrence is a finding, repeated rows
-included; with labels of one kind only, or none, the rule alone decides; an empty table gives an empty
+included; with labels of one kind only, or none, the label alone decides; an empty table gives an empty
 result.  Values are not returned, only their hash.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, stored
-from .spans_sql import matches
+from .spans_sql import let, matches
 
 SHORTEST, ANNOUNCED = 16, 6
 SAMPLE = 20_000
@@ -47,19 +51,45 @@ _CHARACTERS = "[A-Za-z0-9_+/.-]"
 #: A value after a key word, the rest of its name, and a sign: what stands before it is of bounded length.
 _AFTER_NAME = r"(?<=(?i:token|secret|passw|password|passwd|passphrase|pwd|api_?key|access_?key|private_?key|credential|auth_?key)(?i:[a-z0-9_]{0,16})[\"'`]?[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"'`]?)"
 CANDIDATE = (
-    rf"{_AFTER_NAME}(?<!{_CHARACTERS}){_CHARACTERS}{{{ANNOUNCED},}}+={{0,2}}"
-    rf"|(?<!{_CHARACTERS})(?=[A-Za-z_+/.-]*+[0-9]){_CHARACTERS}{{{SHORTEST},}}+={{0,2}}"
+    rf"{_AFTER_NAME}(?<!{_CHARACTERS}){_CHARACTERS}{{{ANNOUNCED},}}+(?!@)={{0,2}}"
+    rf"|(?<!{_CHARACTERS})(?<!@)(?=[A-Za-z_+/.-]*+[0-9]){_CHARACTERS}{{{SHORTEST},}}+(?!@)={{0,2}}"
 )
 KEYWORD = rf"(?i)({_NAMES})"
 #: Forms that issuers give their keys.
 ISSUED = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)=*$"
-FEATURES = ("length", "digits", "upper", "lower", "changes", "different", "coverage", "path_marks", "keyword", "assigned", "quoted")
+VALUE = ("length", "digits", "upper", "lower", "changes", "different", "transitions", "coverage", "path_marks")
+FEATURES = (*VALUE, "keyword", "assigned", "quoted")
+#: Kinds of characters between which transitions are counted: 26 letters, digits, others.
+KINDS = 28
+#: From here, and to here, the forest over values is sure.
+SURE, SURELY_NOT = 0.8, 0.2
 
 
-def dictionary(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
-    """The most frequent words of three to twelve ASCII letters over all texts; ties by the word."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, count) of the words of three to twelve ASCII letters over all texts; stored."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z])[a-z]{3,12}+(?![a-z])"), F.lit(0))).alias("word"))
-    return [r["word"] for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()]
+    return stored(words.groupBy("word").count(), "words")
+
+
+def dictionary(counts: DataFrame, most: int = DICTIONARY) -> list[str]:
+    """The most frequent words; ties by the word."""
+    return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(most).collect()]
+
+
+def steps(text: Column) -> Column:
+    """The transitions between neighbouring characters of a text, as numbers below ``KINDS**2``."""
+    code = lambda c: F.ascii(c)
+    kind = lambda c: F.when(code(c).between(97, 122), code(c) - 97).when(code(c).between(48, 57), 26).otherwise(27)
+    kinds = F.transform(F.split(F.lower(text), ""), kind)
+    return let(kinds, lambda k: F.zip_with(F.slice(k, F.lit(1), F.greatest(F.size(k) - 1, F.lit(0))), F.slice(k, F.lit(2), F.greatest(F.size(k) - 1, F.lit(0))), lambda a, b: a * KINDS + b))
+
+
+def transition_weights(counts: DataFrame) -> list[float]:
+    """Log-probability of each transition, given the character before it; one is added to every count."""
+    each = counts.select("count", F.explode(steps(F.col("word"))).alias("step")).groupBy("step").agg(F.sum("count").alias("n"))
+    seen = {r["step"]: r["n"] for r in each.collect()}  # at most KINDS**2
+    table = [[1 + seen.get(i * KINDS + j, 0) for j in range(KINDS)] for i in range(KINDS)]
+    return [math.log(n / sum(row)) for row in table for n in row]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -70,12 +100,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "m.start", "m.end", F.lower(F.right(F.col("m.before"), F.lit(NEIGHBOURS))).alias("before"), F.right(F.col("m.before"), F.lit(4)).alias("sign"), "m.value")
 
 
-def with_features(rows: DataFrame, words: list[str]) -> DataFrame:
+def with_features(rows: DataFrame, words: list[str], weights: list[float]) -> DataFrame:
     value, size = F.col("value"), F.char_length("value").cast("double")
     share = lambda pattern: F.regexp_count("value", F.lit(pattern)) / size
     known = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+    table = F.array(*[F.lit(w) for w in weights])
     letters = F.regexp_extract_all(F.lower(value), F.lit("[a-z]{3,}"), F.lit(0))
     covered: Column = F.aggregate(F.filter(letters, lambda w: F.array_contains(known, w)), F.lit(0), lambda a, w: a + F.char_length(w))
+    likely = F.aggregate(steps(value), F.lit(0.0), lambda a, i: a + F.get(table, i))
     edge = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
     return rows.withColumns(
         {
@@ -85,6 +117,7 @@ def with_features(rows: DataFrame, words: list[str]) -> DataFrame:
             "lower": share("[a-z]"),
             "changes": share(edge),
             "different": F.size(F.array_distinct(F.split(value, ""))) / size,
+            "transitions": F.coalesce(likely / F.greatest(F.lit(1.0), size - 1), F.lit(0.0)),
             "coverage": covered / size,
             "path_marks": share("[/.]"),
             "keyword": F.col("before").rlike(KEYWORD).cast("double"),
@@ -94,31 +127,51 @@ def with_features(rows: DataFrame, words: list[str]) -> DataFrame:
     )
 
 
-def rule_label(rows: DataFrame) -> DataFrame:
-    """Add ``label``: 1 and 0 where the rules are certain, else null."""
-    none = (F.col("digits") == 1.0) | (F.col("coverage") >= 0.5) | (F.col("path_marks") >= 0.2)
-    announced = (F.col("keyword") == 1.0) & (F.col("assigned") == 1.0)
-    issued = F.col("value").rlike(ISSUED)
-    known = rows.filter(announced & ~none & (F.col("digits") > 0)).select(F.col("value").alias("_value")).distinct()
-    again = rows.join(known, F.col("value") == F.col("_value"), "left").withColumn("_known", F.col("_value").isNotNull())
-    secret = F.col("_known") | issued
-    return again.withColumn("label", F.when(secret, 1.0).when(none & ~announced, 0.0)).drop("_value", "_known")
+def label_by_neighbours(rows: DataFrame) -> DataFrame:
+    """Add ``label`` by what stands before a value, here or elsewhere; numbers alone are no secrets."""
+    announced = (F.col("keyword") == 1.0) & (F.col("assigned") == 1.0) & (F.col("digits") < 1.0)
+    known = rows.filter(announced).select(F.col("value").alias("_value")).distinct()
+    again = rows.join(known, F.col("value") == F.col("_value"), "left")
+    return again.withColumn("label", (F.col("_value").isNotNull() | F.col("value").rlike(ISSUED)).cast("double")).drop("_value")
+
+
+def forest(judged: DataFrame, features: tuple[str, ...], most: int, trees: int, depth: int, seed: int):
+    """A forest over a sample of ``judged`` (value, before, label, features), or None with labels of one
+    kind.  One order of the sample gives the same forest on every run."""
+    sample = judged.filter("label is not null").select(*features, F.col("label").cast("double").alias("label"), F.xxhash64("value", "before").alias("_h"))
+    sample = stored(sample.orderBy("_h", *features, "label").limit(most), "secret-sample")
+    if sample.select("label").distinct().count() < 2:
+        return None
+    rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(sample.repartition(1).sortWithinPartitions("_h", *features, "label"))
+    return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
+
+
+def scored_by(model, rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
+    return model.transform(vectors).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, most: int = SAMPLE, trees: int = 20, depth: int = 5, seed: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start, end, value_sha256, score, is_secret) of every candidate.
 
-    ``labelled``: (before, sign, value, label) of judged findings, instead of the rules.
+    ``labelled``: (before, sign, value, label) of judged findings, instead of the two views.
     """
     rows = pick(docs, doc_id=doc_id, text=text)
-    words = dictionary(rows)
-    found = stored(with_features(candidates(rows), words), "secret-candidates")
-    judged = rule_label(found) if labelled is None else with_features(labelled, words)
-    train = stored(judged.filter("label is not null").select(*FEATURES, F.col("label").cast("double").alias("label"), F.xxhash64("value", "before").alias("_h")).orderBy("_h", *FEATURES).limit(most), "secret-sample")
-    if train.select("label").distinct().count() < 2:
-        scored = rule_label(found).withColumn("score", F.coalesce("label", F.lit(0.0)))
+    counts = word_counts(rows)
+    words, weights = dictionary(counts), transition_weights(counts)
+    found = stored(with_features(candidates(rows), words, weights), "secret-candidates")
+    learn = lambda judged, features: forest(judged, features, most, trees, depth, seed)
+    if labelled is not None:
+        model = learn(with_features(labelled, words, weights), FEATURES)
+        scored = scored_by(model, found, FEATURES) if model else found.withColumn("score", F.lit(0.0))
     else:
-        assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(assemble.transform(train).coalesce(4))
-        scored = forest.transform(assemble.transform(found)).withColumn("score", vector_to_array("probability")[1])
+        judged = label_by_neighbours(found)
+        by_value = learn(judged, VALUE)
+        if by_value is None:
+            scored = judged.withColumn("score", F.col("label"))
+        else:
+            sure = scored_by(by_value, judged, VALUE)
+            taught = F.when((F.col("score") >= SURE) | (F.col("label") == 1.0), 1.0).when(F.col("score") <= SURELY_NOT, 0.0)
+            model = learn(sure.withColumn("label", taught), FEATURES)
+            scored = scored_by(model or by_value, found, FEATURES if model else VALUE)
     return scored.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", (F.col("score") >= SECRET).alias("is_secret"))
