@@ -155,13 +155,41 @@ def test_repeated_words_by_definition():
         assert quality_rules.repeated_words(words) == len(hit)
 
 
+def base_columns(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n")]
+    dup = sum(1 for i, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x) and x in lines[:i])
+    wins = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    counts = Counter(wins)
+    repeat = len({j for i, w in enumerate(wins) if counts[w] > 1 for j in range(i, i + 8)})
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, repeat, len(words) < 20 or 100 * repeat > 30 * len(words)
+
+
+def test_quality_base_by_definition(spark, texts):
+    odd = [None, "", " ", "\n\n", "a\nb\na\n a\n\na", "\u00a0 x\x0b#*\x0c&\x1c y", "a b c d e f g h i " * 9, "line one\r\nline two\r\nline one\r\n" * 3, "\U0001f600 <b>|$%" * 30]
+    rows = [*texts.items()] + [(10_000 + i, t) for i, t in enumerate(odd)]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r["doc_id"]: r for r in quality_rules.judge(frame(spark, rows), labels).collect()}
+    for i, text in rows:
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == base_columns(text), text
+        assert not (r["kept"] and r["base_failed"])
+
+
 def test_quality_parts_good_from_bad(spark):
+    """On labelled rows that neither trained nor set the threshold."""
     from pyspark.sql import functions as F
 
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    rows = quality_rules.judge(docs, labels).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    rows = quality_rules.judge(docs, labels.filter(~held)).join(labels.filter(held), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("kept").alias("n")).collect()
     share = {r["quality"]: r["kept"] for r in rows}
-    assert share[1] > 0.93 and share[0] < 0.1
+    assert sum(r["n"] for r in rows) > 100 and share[1] > 0.9 and share[0] < 0.1
+
+
+def test_buckets_grow_with_the_texts():
+    bits = [quality_rules.bucket_bits(n) for n in (0, 10**6, 10**9, 10**12, 10**14)]
+    assert bits == sorted(bits) and bits[0] == 14 and bits[2] == 16 and bits[3] == 21 and bits[4] == 25
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -413,3 +441,36 @@ def test_toxicity_is_alike_on_every_run(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen[0] == seen[1]
+
+
+def findings(seed, n):
+    """(before, value, 1 for a secret) in many forms."""
+    import base64
+
+    rng = random.Random(seed)
+    text = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for _ in range(n):
+        yield "and ", text(digits + "abcdef", rng.choice((32, 40, 64))), 1
+        yield 'api_key = "', text(letters + letters.upper() + digits, 32) + "7", 1
+        yield "Bearer ", base64.b64encode(rng.randbytes(30)).decode().rstrip("=").replace("/", "x") + "1", 1
+        yield "see /", "usr/share/" + "/".join(rng.choice(("other", "their", "which", "about")) for _ in range(3)) + "/v2", 0
+        yield "sum of ", text(digits, 18), 0
+        yield "the ", "-".join(rng.choice(("other", "their", "which", "about", "would")) for _ in range(4)) + "-2", 0
+        yield "release ", f"{rng.randrange(90)}.{rng.randrange(9)}.{rng.randrange(9)}-stable.{rng.randrange(900)}", 0
+
+
+def test_secrets_from_labelled_findings(spark):
+    train = [(before, before[-4:], value, float(y)) for before, value, y in findings(1, 60)]
+    labelled = spark.createDataFrame(train, "before string, sign string, value string, label double")
+    held = list(findings(2, 40))
+    words = "other their which about would there people could first these water after "
+    rows = [(i, f"{words * 5} {before}{value} {words}") for i, (before, value, _) in enumerate(held)]
+    rows += [(10_000, "write to some.one.19@mail5.example.com or first_second_third_77@example.org now")]
+    found = secret_scan.scan(frame(spark, rows), labelled).collect()
+    called = {r["doc_id"] for r in found if r["is_secret"]}
+    wanted = {i for i, (_, _, y) in enumerate(held) if y}
+    assert len(called & wanted) >= 0.95 * len(wanted) and len(called & wanted) >= 0.95 * len(called)
+    assert not [r for r in found if r["doc_id"] == 10_000]
+    again = {(r["doc_id"], r["start"]): r["score"] for r in secret_scan.scan(frame(spark, rows).repartition(5), labelled.repartition(3)).collect()}
+    assert again == {(r["doc_id"], r["start"]): r["score"] for r in found}
