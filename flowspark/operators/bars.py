@@ -125,11 +125,10 @@ def grid_bars(ticks: DataFrame, times: DataFrame, volume: int, bars: int) -> Dat
     both = t.select("symbol", "ts_ms", F.lit(0).alias("g"), F.col("lots").alias("n")).unionByName(times.select("symbol", F.col("grid_ms").alias("ts_ms"), F.lit(1).alias("g"), F.lit(0).cast("long").alias("n")))
     both = both.withColumn("dt", F.to_date(F.timestamp_millis("ts_ms"))).withColumn("seq", F.col("g"))
     total = running_sum(both, "n", "total").filter("g = 1 and total >= " + str(need)).select("symbol", F.col("ts_ms").alias("grid_ms"), "total")
-    cells = F.sequence(F.floor((F.col("total") - need) / need), F.floor(F.col("total") / need))
+    # The last lot of a tick is in one cell; a time's window of lots meets two cells at most.
+    cells = F.sequence(F.floor((F.col("total") - need) / need), F.floor((F.col("total") - 1) / need))
     wanted = total.withColumn("cell", F.explode(cells))
-    spread = F.sequence(F.floor((F.col("upto") - F.col("lots")) / need), F.floor(F.col("upto") / need))
-    met = t.withColumn("cell", F.explode(spread)).join(wanted, ["symbol", "cell"]).filter("upto > total - %d and upto <= total" % need)
-    met = met.dropDuplicates(["symbol", "grid_ms", "seq"])
+    met = t.withColumn("cell", F.floor((F.col("upto") - 1) / need)).join(wanted, ["symbol", "cell"]).filter("upto > total - %d and upto <= total" % need)
     one = Window.partitionBy("symbol", "grid_ms")
     based = met.withColumn("start", F.min(F.col("upto") - F.col("lots")).over(one)).withColumns({"upto": F.col("upto") - F.col("start"), "all": F.col("total") - F.col("start")})
     v = F.lit(volume)

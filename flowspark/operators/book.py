@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import EPS
@@ -29,33 +31,52 @@ def ladder_features(book: DataFrame) -> DataFrame:
     return book.select("symbol", "ts_ms", *[c.alias(n) for n, c in (imbalance | ratio | rest).items()])
 
 
+def thinned(messages: DataFrame, every_ms: int) -> DataFrame:
+    """(symbol, dt, ts_ms, seq) of the messages after which a sample is taken: from a day's first snapshot
+    on, each that is ``every_ms`` or more after the one taken before.  Only times are looked at."""
+
+    def run(day: pd.DataFrame) -> pd.DataFrame:
+        day = day.sort_values(["ts_ms", "seq"])
+        day = day[(day["type"] == "snapshot").cumsum() > 0]
+        last, keep = None, []
+        for t in day["ts_ms"].tolist():
+            keep.append(last is None or t - last >= every_ms)
+            last = t if keep[-1] else last
+        return day.loc[keep, ["symbol", "dt", "ts_ms", "seq"]]
+
+    return messages.select("symbol", "dt", "ts_ms", "seq", "type").groupBy("symbol", "dt").applyInPandas(run, "symbol string, dt date, ts_ms long, seq long")
+
+
 def reconstruct(messages: DataFrame, every_ms: int, levels: int = 25) -> DataFrame:
     """(symbol, dt, ts_ms, bids, asks) samples from messages (symbol, dt, ts_ms, seq, type, b, a).
 
     A snapshot replaces the book, a delta sets sizes (none removes a level); deltas before the first
     snapshot of a day count nothing.  After a message a sample is taken if the last one is ``every_ms``
-    or more back.  Days are independent; a day of an instrument is one group.
+    or more back.  A book depends on nothing before its snapshot, so each stretch from one snapshot to
+    the next is a group of its own.
     """
     side = "array<struct<price:double,size:double>>"
+    along = Window.partitionBy("symbol", "dt").orderBy("ts_ms", "seq")
+    place = messages.select("symbol", "dt", "ts_ms", "seq", F.sum((F.col("type") == "snapshot").cast("int")).over(along).alias("_stretch"))
+    marks = place.filter("_stretch > 0").join(thinned(messages, every_ms).withColumn("_taken", F.lit(True)), ["symbol", "dt", "ts_ms", "seq"], "left")
+    parts = messages.join(marks, ["symbol", "dt", "ts_ms", "seq"]).withColumn("_taken", F.coalesce("_taken", F.lit(False)))
 
-    def run(day: pd.DataFrame) -> pd.DataFrame:
-        book: tuple[dict, dict] | None = None
-        last, out = None, []
-        for m in day.sort_values(["ts_ms", "seq"]).itertuples():
-            if m.type == "snapshot":
-                book = ({}, {})
-            elif book is None:
-                continue
-            for levels_of, changes in zip(book, (m.b, m.a), strict=True):
+    def run(stretch: pd.DataFrame) -> pd.DataFrame:
+        book: tuple[dict, dict] = ({}, {})
+        out = []
+        for symbol, dt, ts_ms, b, a, taken in stretch.itertuples(index=False, name=None):
+            for levels_of, changes in zip(book, (b, a), strict=True):
                 for change in changes if changes is not None else []:
                     if change["size"] > 0:
                         levels_of[change["price"]] = change["size"]
                     else:
                         levels_of.pop(change["price"], None)
-            if last is None or m.ts_ms - last >= every_ms:
-                last = m.ts_ms
-                best = [sorted(book[0].items(), reverse=True)[:levels], sorted(book[1].items())[:levels]]
-                out.append((m.symbol, m.dt, m.ts_ms, *[[{"price": p, "size": s} for p, s in x] for x in best]))
+            if taken:
+                best = [heapq.nlargest(levels, book[0].items()), heapq.nsmallest(levels, book[1].items())]
+                out.append((symbol, dt, ts_ms, *[[{"price": p, "size": s} for p, s in x] for x in best]))
         return pd.DataFrame(out, columns=["symbol", "dt", "ts_ms", "bids", "asks"])
 
-    return messages.groupBy("symbol", "dt").applyInPandas(run, f"symbol string, dt date, ts_ms long, bids {side}, asks {side}")
+    def ordered(stretch: pd.DataFrame) -> pd.DataFrame:
+        return run(stretch.sort_values(["ts_ms", "seq"])[["symbol", "dt", "ts_ms", "b", "a", "_taken"]])
+
+    return parts.groupBy("symbol", "dt", "_stretch").applyInPandas(ordered, f"symbol string, dt date, ts_ms long, bids {side}, asks {side}")

@@ -2,34 +2,59 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 TINY = 1e-12
 
 
 def bar_folds(bars: DataFrame, train: int, oos: int, gap: int, step: int = 0) -> DataFrame:
-    """(fold_idx, tr_start, tr_end, gap_end, os_end) over the bars, as long as a fold fits; one row each."""
+    """(symbol, fold_idx, tr_start, tr_end, gap_end, os_end) over the bars of each instrument, as long as a
+    fold fits; one row each."""
     stride = step or oos
-    n = bars.agg((F.max("bar_id") + 1).alias("n"))
+    n = bars.groupBy("symbol").agg((F.max("bar_id") + 1).alias("n"))
     room = F.col("n") - (train + gap + oos)
     start = F.explode(F.sequence(F.lit(0).cast("long"), room, F.lit(stride).cast("long")))
-    rows = n.filter(room >= 0).select(start.alias("tr_start"))
+    rows = n.filter(room >= 0).select("symbol", start.alias("tr_start"))
     at = F.col("tr_start")
-    return rows.select((at / stride).cast("int").alias("fold_idx"), at, (at + train).alias("tr_end"), (at + train + gap).alias("gap_end"), (at + train + gap + oos).alias("os_end"))
+    return rows.select("symbol", (at / stride).cast("int").alias("fold_idx"), at, (at + train).alias("tr_end"), (at + train + gap).alias("gap_end"), (at + train + gap + oos).alias("os_end"))
+
 
+def members(bars: DataFrame, folds: DataFrame, purge: int = 0, expanding: bool = False, ahead: int = 0, cell: int = 4096) -> DataFrame:
+    """Each bar in each fold of its instrument that has it, with ``part`` train or oos.
 
-def members(bars: DataFrame, folds: DataFrame, purge: int = 0, cell: int = 4096) -> DataFrame:
-    """Each bar in each fold that has it, with ``part`` train or oos; train ends ``purge`` bars early,
-    but keeps one bar at least.  Bars and folds meet by cells of bar numbers."""
-    f = folds.withColumn("tr_last", F.greatest(F.col("tr_end") - purge, F.col("tr_start") + 1))
+    Train ends ``purge`` bars early, but keeps one bar at least, and no train bar lies within ``ahead``
+    bars of the first oos bar.  ``expanding``: train begins with the first bar.  Bars and folds meet by
+    cells of bar numbers.
+    """
+    f = folds.withColumn("tr_start", F.lit(0).cast("long")) if expanding else folds
+    f = f.withColumn("tr_last", F.least(F.greatest(F.col("tr_end") - purge, F.col("tr_start") + 1), F.col("gap_end") - ahead))
     f = f.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("tr_start") / cell), F.floor((F.col("os_end") - 1) / cell))))
-    met = bars.withColumn("_cell", F.floor(F.col("bar_id") / cell)).join(f, "_cell").drop("_cell")
+    met = bars.withColumn("_cell", F.floor(F.col("bar_id") / cell)).join(f, ["symbol", "_cell"]).drop("_cell")
     train = (F.col("bar_id") >= F.col("tr_start")) & (F.col("bar_id") < F.col("tr_last"))
     oos = (F.col("bar_id") >= F.col("gap_end")) & (F.col("bar_id") < F.col("os_end"))
     return met.withColumn("part", F.when(train, "train").when(oos, "oos")).filter("part is not null").select(*bars.columns, "fold_idx", "part")
 
 
+def day_members(rows: DataFrame, folds: DataFrame, day: str = "dt", expanding: bool = False) -> DataFrame:
+    """Each row in each fold of :func:`day_folds` that has its day, with ``part`` train or oos.
+
+    Folds are spread to their days first: one row for each fold and day.
+    """
+    first = F.lit("0001-01-01").cast("date") if expanding else F.col("tr_start")
+    days = rows.select(F.col(day).alias("_d")).distinct()
+    train = (F.col("_d") >= first) & (F.col("_d") < F.col("tr_end"))
+    oos = (F.col("_d") >= F.col("gap_end")) & (F.col("_d") < F.col("os_end"))
+    # Days and folds are few: a row for each day with ticks and each fold.
+    spread = days.join(folds, (F.col("_d") < F.col("os_end")) & ((F.col("_d") >= first) | oos)).withColumn("part", F.when(train, "train").when(oos, "oos")).filter("part is not null")
+    return rows.join(spread.select("_d", "fold_idx", "part"), F.col(day) == F.col("_d")).drop("_d")
+
+
 def average_rank(value: Column, group: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*group).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*group, value)) - 1) / 2.0
 
@@ -69,6 +94,111 @@ def thresholds(df: DataFrame, score: str, rate: float, group: list[str]) -> Data
     return df.groupBy(*group).agg(F.percentile(F.col(score), F.lit(1 - rate)).alias("threshold"))
 
 
+def event_filter(df: DataFrame, score: str, rate: float, group: list[str], none: float = 3.0) -> DataFrame:
+    """Rows whose score reaches the threshold that a share ``rate`` of the group's train rows reach; adds
+    ``threshold`` (``none`` for a group without scores)."""
+    limits = thresholds(df.filter("part = 'train'"), score, rate, group)
+    return df.join(limits, group, "left").withColumn("threshold", F.coalesce("threshold", F.lit(none))).filter(F.col(score) >= F.col("threshold"))
+
+
+def growing_threshold(df: DataFrame, score: str, rate: float, group: list[str], order: str = "bar_id") -> DataFrame:
+    """The oos rows of each group with ``threshold`` and ``passed``: the score that a share ``rate`` of the
+    group's train rows and of its oos rows before the row reach; no row sees a later one.
+
+    A group is the train and oos stretch of one fold; its scores are kept in order as they come.
+    """
+    schema = StructType([*df.schema.fields, StructField("threshold", DoubleType()), StructField("passed", BooleanType())])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        pool = sorted(part.loc[(part["part"] == "train") & part[score].notna(), score].tolist())
+        rows = part[part["part"] == "oos"].sort_values(order)
+        limits: list[float] = []
+        for x in rows[score].tolist():
+            if pool:
+                at = (1 - rate) * (len(pool) - 1)
+                low = int(at)
+                limits.append(pool[low] + (pool[min(low + 1, len(pool) - 1)] - pool[low]) * (at - low))
+            else:
+                limits.append(float("nan"))
+            if x == x:
+                insort(pool, x)
+        limit = pd.Series(limits, index=rows.index, dtype=float)
+        return rows.assign(threshold=limit, passed=(rows[score] >= limit))
+
+    return df.groupBy(*group).applyInPandas(run, schema)
+
+
+def pooled_metrics(df: DataFrame, pred: str, y: str) -> DataFrame:
+    """One row over all folds: rank correlation, sign accuracy, mean and ratio of the signed outcome."""
+    both = df.filter(F.col(pred).isNotNull() & F.col(y).isNotNull()).withColumns({"_all": F.lit(0), "_pnl": F.signum(pred) * F.col(y)})
+    accuracy = F.avg(F.when(F.abs(y) > TINY, (F.signum(pred) == F.signum(y)).cast("double")))
+    row = both.groupBy("_all").agg(F.count(F.lit(1)).alias("n"), accuracy.alias("sign_acc"), F.avg("_pnl").alias("pnl_mean"), (F.avg("_pnl") / (F.stddev_pop("_pnl") + TINY)).alias("pnl_ratio"))
+    return row.join(spearman(both, pred, y, ["_all"]).drop("n"), "_all").drop("_all")
+
+
+def gate_metrics(df: DataFrame, pred: str, y: str, score: str = "gate_score", passed: str = "gate_pass", group: Sequence[str] = ("fold_idx",)) -> DataFrame:
+    """(group, n, pass_rate, base_spearman, gate_spearman, gated_spearman, base_sign_acc, gated_sign_acc,
+    base_pnl, gated_pnl): the predictions as they are against those that pass a gate; ``gate_spearman`` is
+    that of the gate's score with the signed outcome.  A missing verdict passes."""
+    keys = list(group)
+    df = df.withColumns({"_pass": F.coalesce(F.col(passed), F.lit(True)), "_signed": F.signum(pred) * F.col(y), "_both": F.col(pred) * F.col(y)})
+    on = F.col("_pass")
+    right = F.when(F.abs(y) > TINY, (F.signum(pred) == F.signum(y)).cast("double"))
+    rates = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(on.cast("double")).alias("pass_rate"),
+        F.avg(right).alias("base_sign_acc"),
+        F.avg(F.when(on, right)).alias("gated_sign_acc"),
+        F.avg("_both").alias("base_pnl"),
+        F.avg(F.when(on, F.col("_both"))).alias("gated_pnl"),
+    )
+    parts = {"base": spearman(df, pred, y, keys), "gate": spearman(df, score, "_signed", keys), "gated": spearman(df.filter(on), pred, y, keys)}
+    for name, part in parts.items():
+        rates = rates.join(part.select(*keys, F.col("spearman").alias(f"{name}_spearman")), keys, "left")
+    return rates
+
+
+def fold_summary(metrics: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(metric, mean, median, std_pop, std_sample) of the columns of a table with one row for each fold."""
+    long = metrics.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "metric", "_v")
+    return long.groupBy("metric").agg(F.avg("_v").alias("mean"), F.percentile("_v", F.lit(0.5)).alias("median"), F.stddev_pop("_v").alias("std_pop"), F.stddev_samp("_v").alias("std_sample"))
+
+
+def hold_stats(df: DataFrame, hold: str, group: Sequence[str]) -> DataFrame:
+    """(group, mean_hold, short, long): mean of the bars held, how often one to three, how often more."""
+    h = F.col(hold)
+    return df.filter(h.isNotNull()).groupBy(*group).agg(F.avg(h).alias("mean_hold"), F.sum(h.between(1, 3).cast("int")).alias("short"), F.sum((h >= 4).cast("int")).alias("long"))
+
+
+def train_scale(df: DataFrame, columns: Sequence[str], group: Sequence[str]) -> DataFrame:
+    """The columns less the mean of the group's train rows, in units of their deviation (1 if under 1e-8)."""
+    stats = df.filter("part = 'train'").groupBy(*group).agg(*[f for c in columns for f in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
+    unit = lambda c: F.when(F.col(f"_s_{c}") < 1e-8, 1.0).otherwise(F.col(f"_s_{c}"))
+    return df.join(stats, list(group), "left").withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / unit(c) for c in columns}).drop(*[f"{p}_{c}" for c in columns for p in ("_m", "_s")])
+
+
+def describe(df: DataFrame, column: str) -> DataFrame:
+    """(n, mean, std, min, p01, p05, p50, p95, p99, max) of a column."""
+    c = F.col(column)
+    marks = {"p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *[F.percentile(c, F.lit(q)).alias(name) for name, q in marks.items()], F.max(c).alias("max"))
+
+
+def match_rate(df: DataFrame, column: str) -> DataFrame:
+    """(match_rate): the share of rows with a value."""
+    return df.agg(F.avg(F.col(column).isNotNull().cast("double")).alias("match_rate"))
+
+
+def null_rows(df: DataFrame, columns: Sequence[str], most: float | None = None) -> DataFrame:
+    """(null_rows): the share of rows with a gap in any of the columns, 1 without rows; an error when it
+    is read if it is over ``most``."""
+    gap = F.greatest(*[F.col(c).isNull().cast("int") for c in columns], F.lit(0))
+    share = df.agg(F.coalesce(F.avg(gap), F.lit(1.0)).alias("null_rows"))
+    if most is None:
+        return share
+    return share.select(F.when(F.col("null_rows") > most, F.raise_error(F.lit("too many rows have gaps")).cast("double")).otherwise(F.col("null_rows")).alias("null_rows"))
+
+
 def impute_medians(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame:
     """Fill missing values of a group by the median of its rows with ``part`` train."""
     medians = df.filter("part = 'train'").groupBy(*group).agg(*[F.percentile(F.col(c), F.lit(0.5)).alias(f"_m_{c}") for c in columns])

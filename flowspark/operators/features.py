@@ -3,34 +3,129 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .ordering import EPS, at_least, in_blocks, rolling
 
+# The features of a model in their order, those that are ranked, those with lags.
+RANKED = ("ret1vb_bp", "retHvb_bp", "range1vb_bp", "cur_vol_vb_bp", "kyle_lambda", "roll_spread", "vpin_delta")
+FEATURES = (
+    *("ret1vb_bp", "retHvb_bp", "range1vb_bp", "close_pos1vb", "close_vs_vwap", "pde"),
+    *("cur_vol_vb_bp", "vol_ratio"),
+    *("taker_imb1vb", "par", "twi", "large_imb_share", "vpin_n", "vpin_delta"),
+    *("rev_count_ratio", "entropy_norm", "kyle_lambda", "roll_spread"),
+    *("dt_sec_z", "trade_count_z", "tca", "burst_cv"),
+    *(f"{c}_pctrank" for c in RANKED),
+)
+LAGGED = (
+    *("taker_imb1vb", "par", "twi", "large_imb_share", "vpin_delta"),
+    *("ret1vb_bp", "range1vb_bp", "pde", "close_pos1vb"),
+    *("vol_ratio", "dt_sec_z", "kyle_lambda", "roll_spread"),
+    *("ret1vb_bp_pctrank", "range1vb_bp_pctrank", "kyle_lambda_pctrank", "roll_spread_pctrank", "vpin_delta_pctrank"),
+)
+
+
+def rolled(df: DataFrame, wanted: dict[str, tuple], keys: Sequence[str] = ("symbol",), order: str = "bar_id", block: int = 8192) -> DataFrame:
+    """Add rolling order statistics: name -> (statistic, column, rows, least values[, q]).
+
+    ``rank``: average rank of the current value among the frame's, as a share of them; ``median``;
+    ``quantile`` at ``q``; ``spearman`` of the frame's values of a pair of columns.  Null below the least
+    number of values.  Rows are dealt to blocks of consecutive rows, each with the rows before it that its
+    frames see; a block is one sorted pass with a sorted window.
+    """
+    at = F.col(order)
+    back = max(w[2] for w in wanted.values())
+    copies = df.withColumn("_block", F.explode(F.sequence(F.floor(at / block), F.floor((at + back) / block))))
+    schema = StructType([*copies.schema.fields, *[StructField(name, DoubleType()) for name in wanted]])
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by(order)
+        read = lambda c: pd.Series(part.column(c).to_numpy()).astype(float)
+        for name, (kind, column, n, least, *q) in wanted.items():
+            if kind == "spearman":
+                found = rolling_spearman(read(column[0]).to_numpy(), read(column[1]).to_numpy(), n, least)
+            else:
+                frame = read(column).rolling(n, min_periods=max(1, least))
+                found = frame.rank(pct=True) if kind == "rank" else frame.median() if kind == "median" else frame.quantile(q[0])
+            part = part.append_column(name, pa.array(found, pa.float64(), from_pandas=True))
+        return part
+
+    return copies.groupBy(*keys, "_block").applyInArrow(run, schema).filter(F.col("_block") == F.floor(at / block)).drop("_block")
+
+
+def rolling_spearman(a: np.ndarray, b: np.ndarray, n: int, least: int, step: int = 256) -> np.ndarray:
+    """Rank correlation over the pairs without a gap among the last ``n`` rows; NaN for a constant."""
+    both = ~(np.isnan(a) | np.isnan(b))
+    pad = lambda x: np.concatenate([np.full(n - 1, np.nan), np.where(both, x, np.nan)])
+    out = np.full(len(a), np.nan)
+    wa, wb = (np.lib.stride_tricks.sliding_window_view(pad(x), n) for x in (a, b))
+    for at in range(0, len(a), step):
+        ranks = []
+        for w in (wa[at : at + step], wb[at : at + step]):
+            ordered = np.sort(w, axis=1)  # gaps come last
+            low = np.stack([np.searchsorted(o, v, "left") for o, v in zip(ordered, w, strict=True)])
+            high = np.stack([np.searchsorted(o, v, "right") for o, v in zip(ordered, w, strict=True)])
+            ranks.append(np.where(np.isnan(w), np.nan, (low + high + 1) / 2.0))
+        count = (~np.isnan(ranks[0])).sum(axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            x, y = (r - (np.nansum(r, axis=1) / count)[:, None] for r in ranks)
+            value = np.nansum(x * y, axis=1) / np.sqrt(np.nansum(x * x, axis=1) * np.nansum(y * y, axis=1))
+        out[at : at + step] = np.where(count >= max(least, 3), value, np.nan)
+    return out
 
-def percent_rank(value: Column, frame: WindowSpec, least: int) -> Column:
-    """Average rank of the current value among the frame's values, as a share of them."""
-    own = F.collect_list(value).over(frame)
-    below, equal = F.size(F.filter(own, lambda x: x < value)), F.size(F.filter(own, lambda x: x == value))
-    return F.when(value.isNotNull() & (F.size(own) >= least), (below + (equal + 1) / 2.0) / F.size(own))
 
+def robust_z(df: DataFrame, column: str, out: str, n: int, least: int) -> DataFrame:
+    """Distance from the rolling median in scaled rolling medians of such distances."""
+    mid = rolled(df, {"_mid": ("median", column, n, least)}).withColumn("_dev", F.abs(F.col(column) - F.col("_mid")))
+    spread = rolled(mid, {"_mad": ("median", "_dev", n, least)})
+    return spread.withColumn(out, (F.col(column) - F.col("_mid")) / F.nullif(1.4826 * F.col("_mad"), F.lit(0.0))).drop("_mid", "_dev", "_mad")
 
-def median(value: Column, frame: WindowSpec, least: int, q: float = 0.5) -> Column:
-    return at_least(value, frame, least, F.percentile(value, F.lit(q)).over(frame))
 
+def pace(bars: DataFrame, scale: int = 18) -> DataFrame:
+    """``dt_sec_z`` and ``trade_count_z``: robust z of the logs of a bar's time and trades."""
+    n = max(10, 4 * scale)
+    df = bars
+    for c in ("dt_sec", "trade_count"):
+        df = robust_z(df.withColumn("_x", F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0)))), "_x", f"{c}_z", n, max(5, n // 4)).drop("_x")
+    return df
 
-def robust_z(df: DataFrame, column: str, out: str, n: int, least: int) -> DataFrame:
-    """Distance from the rolling median in scaled rolling medians of such distances."""
-    c = F.col(column)
-    steps = [
-        lambda w: {"_dev": F.abs(c - median(c, rolling(w, n), least)), "_mid": median(c, rolling(w, n), least)},
-        lambda w: {out: (c - F.col("_mid")) / F.nullif(1.4826 * median(F.col("_dev"), rolling(w, n), least), F.lit(0.0))},
-    ]
-    return in_blocks(df, steps, back=2 * n).drop("_dev", "_mid")
+
+def volatility_ratio(bars: DataFrame, scale: int = 18) -> DataFrame:
+    """``vol_ratio``: smoothed size of returns over a short span against that over a long one.  Needs
+    ``ret1vb_bp``."""
+    short, long = max(5, scale // 2), max(10, scale)
+    df = bars.withColumn("_a", F.abs("ret1vb_bp"))
+    df = ewma(ewma(df, "_a", "_short", 2.0 / (short + 1)), "_a", "_long", 2.0 / (long + 1))
+    return df.withColumn("vol_ratio", F.col("_short") / (F.col("_long") + 2 * EPS)).drop("_a", "_short", "_long")
+
+
+def percent_ranks(df: DataFrame, columns: Sequence[str] = RANKED, n: int = 500) -> DataFrame:
+    """``<column>_pctrank`` of each column among the last ``n`` rows."""
+    return rolled(df, {f"{c}_pctrank": ("rank", c, n, max(10, n // 10)) for c in columns})
+
+
+def divergence(df: DataFrame, other_imb: str = "other_imb", other_ret: str = "other_ret_bp") -> DataFrame:
+    """The other instrument's imbalance and return less a bar's own."""
+    return df.withColumns({"imb_divergence": F.col(other_imb) - F.col("taker_imb1vb"), "ret_divergence": F.col(other_ret) - F.col("ret1vb_bp")})
+
+
+def feature_names(lags: int = 0) -> list[str]:
+    """The columns of a model in their order."""
+    return [*FEATURES, *[f"{c}_lag{k}" for c in LAGGED for k in range(1, lags + 1)]]
+
+
+def bar_features(bars: DataFrame, lags_: int = 0, rank_rows: int = 500, scale: int = 18) -> DataFrame:
+    """``bars`` with every column of :func:`feature_names`."""
+    df = current_volatility(vpin(trade_activity(returns(bars, scale), scale), scale), scale)
+    df = percent_ranks(pace(volatility_ratio(df, scale), scale), RANKED, rank_rows)
+    return lags(df, list(LAGGED), lags_) if lags_ else df
 
 
 def ewma(df: DataFrame, column: str, out: str, alpha: float, block: int = 8192) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -18,9 +20,11 @@ def running_sum(df: DataFrame, value: str, out: str, keys: Sequence[str] = ("sym
     """
     sums = df.groupBy(*keys, slice_by).agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*keys).orderBy(slice_by).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*keys, slice_by, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    renamed = {c: f"_k{i}" for i, c in enumerate([*keys, slice_by])}
+    starts = sums.select(*keys, slice_by, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start")).withColumnsRenamed(renamed)
     within = Window.partitionBy(*keys, slice_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.join(starts, [*keys, slice_by]).withColumn(out, F.col("_start") + F.sum(value).over(within)).drop("_start")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(k)) for c, k in renamed.items()))  # a missing key is a key
+    return df.join(starts, same).withColumn(out, F.col("_start") + F.sum(value).over(within)).drop("_start", *renamed.values())
 
 
 def in_blocks(
@@ -53,6 +57,20 @@ def rolling(window: WindowSpec, n: int) -> WindowSpec:
     return window.rowsBetween(-(n - 1), 0)
 
 
+def quantile(df: DataFrame, column: str, q: float, out: str, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """(keys, out): the interpolated quantile of a column for each of ``keys``.
+
+    Equal values are counted first; ranks are running counts over slices of values, so no task holds
+    all values of a key.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_sum(counts.withColumn("_slice", F.floor(F.asinh(column) * 64)), "_n", "_upto", keys, "_slice", (column,))
+    rank = F.col("_all") * F.lit(q)
+    met = ranked.join(counts.groupBy(*keys).agg((F.sum("_n") - 1).alias("_all")), list(keys)).filter((F.col("_upto") > F.floor(rank)) & (F.col("_upto") - F.col("_n") <= F.ceil(rank)))
+    low, high = F.min(column), F.max(column)
+    return met.groupBy(*keys).agg((low + (high - low) * F.max(rank - F.floor(rank))).alias(out))
+
+
 def at_least(value: Column, frame: WindowSpec, least: int, result: Column) -> Column:
     """``result`` where the frame has at least ``least`` values, else null."""
     return F.when(F.count(value).over(frame) >= least, result)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from .features import ewma, percent_rank
-from .ordering import EPS, in_blocks, rolling
+from .features import ewma, rolled
+from .ordering import EPS, in_blocks, quantile, rolling
 
 # UTC hours that count as good.
 GOOD_HOURS = (3, 4, 5, 9, 10, 11, 12, 21, 22, 23)
@@ -24,7 +24,6 @@ def shock_trigger(bars: DataFrame, n: int = 100, on: float = 0.8, drop: float =
         before = w.rowsBetween(-k, -1)
         sign = F.signum("taker_imb1vb")
         return {
-            "spread_pct": percent_rank(F.col("roll_spread"), rolling(w, n), least),
             "_flow": F.when(F.count(sign).over(before) >= max(2, k // 2), F.sum(sign).over(before)),
         }
 
@@ -40,32 +39,45 @@ def shock_trigger(bars: DataFrame, n: int = 100, on: float = 0.8, drop: float =
         on_now = F.coalesce((F.col("_recent") == 1) & agree, F.lit(False))
         return {"trigger_on": on_now, "trigger_off": F.coalesce(off == 1, F.lit(False)), "entry_dir": F.when(on_now, F.signum("_flow")).otherwise(0.0)}
 
-    return in_blocks(bars, [first, second, third], back=n + peak + confirm).drop("_flow", "_recent", "_low")
+    ranked = rolled(bars, {"spread_pct": ("rank", "roll_spread", n, least)})
+    return in_blocks(ranked, [first, second, third], back=max(k, peak) + confirm).drop("_flow", "_recent", "_low")
 
 
-def domain_score(bars: DataFrame, n: int = 200) -> DataFrame:
+def domain_score(bars: DataFrame, n: int = 2000) -> DataFrame:
     """Sum of six terms between 0 and 1; a missing term counts 0.  Needs ``streak``, ``book_imb``,
-    ``cur_vol_vb_bp``, ``taker_imb1vb`` and ``ret1vb_bp``."""
+    ``cur_vol_vb_bp``, ``taker_imb1vb`` and ``ret1vb_bp``.
+
+    The terms: rank of the streak, rank of how far the book leans against the imbalance, rank of quiet,
+    rank of the imbalance over that of the return, a good hour, three large returns of one sign.
+    """
     least = max(50, n // 10)
     imb, ret = F.col("taker_imb1vb"), F.col("ret1vb_bp")
-    against = F.when(imb > 0, -F.col("book_imb")).when(imb < 0, F.col("book_imb")).otherwise(0.0)
+    df = bars.withColumns(
+        {
+            "_streak": F.col("streak").cast("double"),
+            "_against": F.when(imb > 0, -F.col("book_imb")).when(imb < 0, F.col("book_imb")).otherwise(0.0),
+            "_imb": F.abs(imb),
+            "_ret": F.abs(ret),
+        }
+    )
+    ranks = {"score_streak": "_streak", "score_book": "_against", "_vol": "cur_vol_vb_bp", "_pi": "_imb", "_pr": "_ret"}
+    df = rolled(df, {name: ("rank", column, n, least) for name, column in ranks.items()})
 
-    def terms(w: WindowSpec) -> dict[str, Column]:
-        frame = rolling(w, n)
-        absorbed = percent_rank(F.abs(imb), frame, least) - percent_rank(F.abs(ret), frame, least)
+    def three(w: WindowSpec) -> dict[str, Column]:
         r1, r2 = F.coalesce(F.lag(ret, 1).over(w), F.lit(0.0)), F.coalesce(F.lag(ret, 2).over(w), F.lit(0.0))
-        row = F.coalesce((F.least(F.abs(ret), F.abs(r1), F.abs(r2)) > 3) & (F.signum(ret) == F.signum(r1)) & (F.signum(r1) == F.signum(r2)), F.lit(False))
-        return {
-            "_t1": percent_rank(F.col("streak").cast("double"), frame, least),
-            "_t2": percent_rank(against, frame, least),
-            "_t3": 1 - percent_rank(F.col("cur_vol_vb_bp"), frame, least),
-            "_t4": F.when(absorbed.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), absorbed))),
-            "_t5": F.hour(F.timestamp_millis("ts_ms")).isin(*GOOD_HOURS).cast("double"),
-            "_t6": row.cast("double"),
-        }
+        row = (F.least(F.abs(ret), F.abs(r1), F.abs(r2)) > 3) & (F.signum(ret) == F.signum(r1)) & (F.signum(r1) == F.signum(r2))
+        return {"score_three": F.coalesce(row, F.lit(False)).cast("double")}
 
-    names = [f"_t{i}" for i in range(1, 7)]
-    return in_blocks(bars, terms, back=n + 2).withColumn("domain_score", sum((F.coalesce(F.col(t), F.lit(0.0)) for t in names), F.lit(0.0))).drop(*names)
+    terms = {
+        "score_quiet": 1 - F.col("_vol"),
+        "score_absorbed": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_pi") - F.col("_pr"))),
+        "score_hour": F.hour(F.timestamp_millis("ts_ms")).isin(*GOOD_HOURS).cast("double"),
+    }
+    absorbed = F.when(F.col("_pi").isNotNull() & F.col("_pr").isNotNull(), terms["score_absorbed"])
+    df = in_blocks(df, three, back=2).withColumns(terms | {"score_absorbed": absorbed})
+    names = ("score_streak", "score_book", "score_quiet", "score_absorbed", "score_hour", "score_three")
+    total = sum((F.coalesce(F.col(t), F.lit(0.0)) for t in names), F.lit(0.0))
+    return df.withColumn("domain_score", total).drop("_streak", "_against", "_imb", "_ret", "_vol", "_pi", "_pr")
 
 
 def label_efficiency(bars: DataFrame, horizon: int = 10) -> DataFrame:
@@ -94,30 +106,39 @@ def label_variable_horizon(bars: DataFrame, most: int = 12) -> DataFrame:
     return in_blocks(bars, step, forward=most)
 
 
-def label_vwap(bars: DataFrame, horizon: int = 10, volatility: str = "cur_vol_vb_bp") -> DataFrame:
-    """Average price of the next bars against the bar's own, in units of volatility."""
-    sigma = F.col(volatility) * 1e-4
+def smoothed_move(bars: DataFrame, span: int, out: str) -> DataFrame:
+    """Add the exponentially smoothed size of log returns, weights falling as by ``span`` rows."""
+    moves = in_blocks(bars, lambda w: {"_r": F.abs(F.log(F.col("close") / F.lag("close").over(w)))}, back=1)
+    return ewma(moves, "_r", out, 2.0 / (span + 1)).drop("_r")
+
+
+def label_vwap(bars: DataFrame, horizon: int = 10, span: int = 50) -> DataFrame:
+    """Average price of the next bars against the bar's own, in units of the smoothed size of returns."""
 
     def step(w: WindowSpec) -> dict[str, Column]:
         frame = w.rowsBetween(1, horizon)
         volume = F.sum("volume").over(frame)
         ahead = F.sum(F.col("vwap") * F.col("volume")).over(frame) / F.nullif(volume, F.lit(0.0))
         whole = F.lead("bar_id", horizon).over(w).isNotNull()
-        scale = F.col("vwap") * F.greatest(sigma, F.lit(EPS))
-        return {"y_vwap": F.when(whole & (volume > EPS) & sigma.isNotNull() & (scale > EPS), (ahead - F.col("vwap")) / scale)}
+        scale = F.col("vwap") * F.greatest("_vol", F.lit(EPS))
+        return {"y_vwap": F.when(whole & (volume > EPS) & F.col("_vol").isNotNull() & (scale > EPS), (ahead - F.col("vwap")) / scale)}
 
-    return in_blocks(bars, step, forward=horizon)
+    return in_blocks(smoothed_move(bars, span, "_vol"), step, forward=horizon).drop("_vol")
 
 
-def label_event(bars: DataFrame, most: int = 60) -> DataFrame:
-    """Exit of each trigger: the first off-bar of the next ``most``; its log return, in basis points."""
+def label_event(bars: DataFrame, most: int = 60, span: int = 50) -> DataFrame:
+    """Exit of each trigger: the first off-bar of the next ``most``.  ``event_bp`` is its log return in basis
+    points, ``y_event`` the same in units of the smoothed size of returns and the root of the bars that it
+    takes, against the median time of a bar."""
 
     def step(w: WindowSpec) -> dict[str, Column]:
         found = F.first(F.when(F.col("trigger_off"), F.struct("bar_id", "close")), ignorenulls=True).over(w.rowsBetween(1, most))
         use = F.when(F.col("trigger_on") & (F.col("close") > 0) & (found["close"] > 0), found)
-        return {"exit_bar": use["bar_id"], "y_event_bp": F.log(use["close"] / F.col("close")) * 1e4}
+        move, took = F.log(use["close"] / F.col("close")), use["bar_id"] - F.col("bar_id")
+        return {"exit_bar": use["bar_id"], "event_bp": move * 1e4, "y_event": move / (F.col("_vol") * F.sqrt(took / (F.col("_typical") + EPS)) + EPS)}
 
-    return in_blocks(bars, step, forward=most)
+    typical = quantile(bars, "dt_sec", 0.5, "_typical")
+    return in_blocks(smoothed_move(bars, span, "_vol").join(typical, "symbol"), step, forward=most).drop("_vol", "_typical")
 
 
 def composite_score(bars: DataFrame, n: int = 200, k: int = 4) -> DataFrame:
@@ -133,29 +154,21 @@ def composite_score(bars: DataFrame, n: int = 200, k: int = 4) -> DataFrame:
             "_sided": F.when(F.count(sign).over(recent) >= max(2, k // 2), F.abs(F.sum(sign).over(recent)) / k),
         }
 
-    def second(w: WindowSpec) -> dict[str, Column]:
-        frame = rolling(w, n)
-        return {
-            "spread_score": percent_rank(F.col("_spread"), frame, least),
-            "activity_score": 1 - percent_rank(F.greatest("dt_sec", F.lit(0.0)), frame, least),
-            "imb_score": percent_rank(F.col("_sided"), frame, least),
-            "vpin_score": percent_rank(F.abs("vpin_delta"), frame, least),
-        }
-
-    scored = in_blocks(bars, [first, second], back=2 * n + k).drop("_spread", "_sided")
+    sided = in_blocks(bars, first, back=max(n, k)).withColumns({"_dt": F.greatest("dt_sec", F.lit(0.0)), "_turn": F.abs("vpin_delta")})
+    ranks = {"spread_score": "_spread", "_slow": "_dt", "imb_score": "_sided", "vpin_score": "_turn"}
+    scored = rolled(sided, {name: ("rank", column, n, least) for name, column in ranks.items()}).withColumn("activity_score", 1 - F.col("_slow")).drop("_spread", "_sided", "_dt", "_turn", "_slow")
     return scored.withColumn("composite_score", (F.col("spread_score") + F.col("activity_score") + F.col("imb_score") + F.col("vpin_score")) / 4)
 
 
 def label_scaled_trend(bars: DataFrame, horizon: int = 18, span: int = 50) -> DataFrame:
     """Log return over the next ``horizon`` bars in units of the smoothed absolute return and the root of
     the time it takes, against the median time of a bar; null for the last bars."""
-    moves = in_blocks(bars, lambda w: {"_r": F.abs(F.log(F.col("close") / F.lag("close").over(w)))}, back=1)
-    smooth = ewma(moves, "_r", "_vol", 2.0 / (span + 1))
-    typical = bars.groupBy("symbol").agg(F.percentile("dt_sec", F.lit(0.5)).alias("_typical"))
+    smooth = smoothed_move(bars, span, "_vol")
+    typical = quantile(bars, "dt_sec", 0.5, "_typical")
 
     def step(w: WindowSpec) -> dict[str, Column]:
         time = F.sum(F.coalesce("dt_sec", F.lit(0.0))).over(w.rowsBetween(1, horizon))
         move = F.log(F.lead("close", horizon).over(w) / F.col("close"))
         return {"y_scaled": move / (F.col("_vol") * F.sqrt(time / (F.col("_typical") + EPS)) + EPS)}
 
-    return in_blocks(smooth.join(typical, "symbol"), step, forward=horizon).drop("_r", "_vol", "_typical")
+    return in_blocks(smooth.join(typical, "symbol"), step, forward=horizon).drop("_vol", "_typical")

@@ -5,9 +5,10 @@ Results are rounded to six places and whole numbers are BIGINT, so that two engi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowspark.operators import bars as B
@@ -15,19 +16,25 @@ from flowspark.operators import book as K
 from flowspark.operators import evaluation as E
 from flowspark.operators import exits as P
 from flowspark.operators import features as X
+from flowspark.operators import grid as G
 from flowspark.operators import joins as J
 from flowspark.operators import models as M
 from flowspark.operators import ordering as O
 from flowspark.operators import signals as S
 from flowspark.plans.oracle import ORACLE_SQL  # noqa: F401
+from flowspark.session import shared_dir
+from flowspark.sources import sinks as D
+from flowspark.sources import trades as R
 from flowspark.sources.adapters import as_ticks, book, ticks
 from flowspark.streaming import bars as streamed_bars
 from flowspark.streaming import windows as W
 
 #: Lots of a bar, and rows of the rolling windows.
 VOLUME, RANK, SHOCK = 500, 200, 100
-#: Samples of an event's path.
+#: Samples of an event's path: the tables' events have few ticks.
 SAMPLES = 6
+#: From here a bar's path over its net flow only says that there was no net flow.
+NO_NET = 1e9
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -56,7 +63,7 @@ def cumulative_lots(spark, d):
 
 
 def volume_bars(spark, d):
-    return rounded(bars_of(spark, d).withColumn("kyle_lambda", F.log1p("kyle_lambda")))
+    return rounded(bars_of(spark, d).withColumn("kyle_lambda", F.when(F.col("kyle_lambda") < NO_NET, F.col("kyle_lambda"))))
 
 
 def bar_returns(spark, d):
@@ -77,10 +84,7 @@ def current_volatility(spark, d):
 
 
 def rolling_percent_rank(spark, d):
-    def step(w):
-        return {"pct": X.percent_rank(F.col("roll_spread"), O.rolling(w, RANK), RANK // 10)}
-
-    return rounded(O.in_blocks(bars_of(spark, d), step, back=RANK).select("bar_id", "pct"))
+    return rounded(X.rolled(bars_of(spark, d), {"pct": ("rank", "roll_spread", RANK, RANK // 10)}).select("bar_id", "pct"))
 
 
 def robust_z(spark, d):
@@ -94,11 +98,26 @@ def ewma(spark, d):
 
 
 def rolling_quantile(spark, d):
-    def step(w):
-        return {"q90": X.median(F.col("kyle_lambda"), O.rolling(w, 50), 1, 0.9)}
+    wanted = {"range_q90": ("quantile", "range1vb_bp", 50, 1, 0.9), "spread_q75": ("quantile", "roll_spread", 50, 20, 0.75)}
+    return rounded(X.rolled(bars_of(spark, d), wanted).select("bar_id", *wanted))
+
+
+def rolling_spearman(spark, d):
+    return rounded(X.rolled(labelled(spark, d), {"rho": ("spearman", ("pred", "y"), RANK, 20)}).select("bar_id", "rho"))
+
+
+def pace(spark, d):
+    return rounded(X.pace(bars_of(spark, d)).select("bar_id", "dt_sec_z", "trade_count_z"))
 
-    df = bars_of(spark, d).withColumn("kyle_lambda", F.col("range1vb_bp"))
-    return rounded(O.in_blocks(df, step, back=50).select("bar_id", "q90"))
+
+def volatility_ratio(spark, d):
+    return rounded(X.volatility_ratio(X.returns(bars_of(spark, d))).select("bar_id", "vol_ratio"))
+
+
+def feature_ranks(spark, d):
+    names = [c for c in X.RANKED if c != "kyle_lambda"] + ["kyle_finite"]
+    df = X.vpin(featured(spark, d)).withColumn("kyle_finite", F.when(F.col("kyle_lambda") < NO_NET, F.round("kyle_lambda", 6)))
+    return rounded(X.percent_ranks(df, names, RANK).select("bar_id", *[f"{c}_pctrank" for c in names]))
 
 
 def lag_matrix(spark, d):
@@ -117,7 +136,7 @@ def shock_trigger(spark, d):
 
 def label_event(spark, d):
     df = S.label_event(S.shock_trigger(X.returns(bars_of(spark, d)), SHOCK))
-    return rounded(df.select("bar_id", "exit_bar", "y_event_bp"))
+    return rounded(df.select("bar_id", "exit_bar", "event_bp", "y_event"))
 
 
 def label_efficiency(spark, d):
@@ -129,7 +148,7 @@ def label_variable_horizon(spark, d):
 
 
 def label_vwap(spark, d):
-    return rounded(S.label_vwap(featured(spark, d)).select("bar_id", "y_vwap"))
+    return rounded(S.label_vwap(bars_of(spark, d)).select("bar_id", "y_vwap"))
 
 
 def asof_book(spark, d):
@@ -155,7 +174,16 @@ def cross_instrument(spark, d):
     met = J.within(own.withColumnRenamed("ts_ms", "ts_last"), other, "ts_first", "ts_last")
     sign = F.when(F.col("is_buyer_maker"), -F.col("lots")).otherwise(F.col("lots"))
     first, last = F.min_by("price", "seq"), F.max_by("price", "seq")
-    return rounded(met.groupBy("bar_id").agg(F.count(F.lit(1)).alias("n"), (F.sum(sign) / F.sum("lots")).alias("imb"), ((last - first) / first * 1e4).alias("ret_bp"), F.sum("lots").alias("total")))
+    step = F.abs(F.col("price") - F.lag("price").over(Window.partitionBy("symbol", "bar_id").orderBy("seq")))
+    one = met.withColumn("step", step).groupBy("symbol", "bar_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.sum(sign) / F.sum("lots")).alias("imb"),
+        ((last - first) / first * 1e4).alias("ret_bp"),
+        F.sum("lots").alias("total"),
+        F.when(F.sum(sign) != 0, F.coalesce(F.sum("step"), F.lit(0.0)) / F.abs(F.sum(sign))).alias("path_over_net"),
+    )
+    own_features = X.returns(B.volume_bars(both.filter("user_id % 2 = 0"), VOLUME)).select("symbol", "bar_id", "taker_imb1vb", "ret1vb_bp")
+    return rounded(X.divergence(one.join(own_features, ["symbol", "bar_id"]), "imb", "ret_bp").select(*one.columns, "imb_divergence", "ret_divergence").drop("symbol"))
 
 
 def grid_times(spark, d):
@@ -172,9 +200,14 @@ def folds_bars(spark, d):
     return rounded(E.bar_folds(bars_of(spark, d), 400, 100, 20))
 
 
-def joined(spark, d):
-    """Bars in folds, with the imbalance as a prediction of the next variable-horizon return."""
-    b = S.label_variable_horizon(X.returns(bars_of(spark, d))).select("symbol", "bar_id", F.col("taker_imb1vb").alias("pred"), F.col("y_variable").alias("y"), "hold_bars")
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with the imbalance as a prediction of the next variable-horizon return."""
+    b = S.label_variable_horizon(X.returns(bars_of(spark, sf_dir)))
+    return b.select("symbol", "bar_id", F.col("taker_imb1vb").alias("pred"), F.col("y_variable").alias("y"), "hold_bars")
+
+
+def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = labelled(spark, sf_dir)
     return E.members(b, E.bar_folds(b, 400, 100, 20), purge=12)
 
 
@@ -182,6 +215,160 @@ def fold_members(spark, d):
     return rounded(joined(spark, d).groupBy("fold_idx", "part").agg(F.count(F.lit(1)).alias("n"), F.min("bar_id").alias("first_bar"), F.max("bar_id").alias("last_bar")))
 
 
+def fold_members_expanding(spark, d):
+    b = bars_of(spark, d).select("symbol", "bar_id")
+    df = E.members(b, E.bar_folds(b, 400, 100, 20), expanding=True, ahead=60)
+    return rounded(df.groupBy("symbol", "fold_idx", "part").agg(F.count(F.lit(1)).alias("n"), F.min("bar_id").alias("first_bar"), F.max("bar_id").alias("last_bar")))
+
+
+def day_members(spark, d):
+    t = ticks(spark, d)
+    df = E.day_members(t, E.day_folds(t, 10, 5, 1, 5))
+    return rounded(df.groupBy("fold_idx", "part").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms")))
+
+
+def growing_threshold(spark, d):
+    df = joined(spark, d).withColumn("score", F.abs("pred"))
+    return rounded(E.growing_threshold(df, "score", 0.2, ["fold_idx"]).select("fold_idx", "bar_id", "threshold"))
+
+
+def pooled_metrics(spark, d):
+    return rounded(E.pooled_metrics(joined(spark, d).filter("part = 'oos'"), "pred", "y"))
+
+
+def gate_metrics(spark, d):
+    """A gate that lets large predictions pass, and has no verdict on none."""
+    df = joined(spark, d).filter("part = 'oos'").withColumn("gate_score", F.abs("pred")).withColumn("gate_pass", F.when(F.col("pred") != 0, F.col("gate_score") >= 0.1))
+    return rounded(E.gate_metrics(df, "pred", "y"))
+
+
+def fold_summary(spark, d):
+    one = E.spearman(joined(spark, d), "pred", "y", ["fold_idx", "part"]).filter("part = 'oos'")
+    return rounded(E.fold_summary(one, ["spearman", "n"]))
+
+
+def hold_stats(spark, d):
+    return rounded(E.hold_stats(joined(spark, d), "hold_bars", ["fold_idx", "part"]))
+
+
+def train_scale(spark, d):
+    return rounded(E.train_scale(joined(spark, d).filter("y is not null"), ["pred", "y"], ["fold_idx"]).select("fold_idx", "bar_id", "pred", "y"))
+
+
+def describe_label(spark, d):
+    return rounded(E.describe(labelled(spark, d), "y"))
+
+
+def match_rate(spark, d):
+    return rounded(E.match_rate(J.asof(bars_of(spark, d), K.ladder_features(book(spark, d)), ["ob_imb_l1"], tolerance=30_000), "ob_imb_l1"))
+
+
+def null_rows(spark, d):
+    return rounded(E.null_rows(featured(spark, d), ["entropy_norm", "roll_spread", "cur_vol_vb_bp"], most=0.99))
+
+
+def domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = X.streak(featured(spark, sf_dir), "taker_imb1vb")
+    ladder = K.ladder_features(book(spark, sf_dir)).select("symbol", "ts_ms", F.col("ob_imb_l1").alias("book_imb"))
+    return S.domain_score(J.asof(b, ladder, ["book_imb"]), RANK)
+
+
+def domain_score(spark, d):
+    return rounded(domain(spark, d).select("bar_id", "score_streak", "score_book", "score_quiet", "score_absorbed", "score_hour", "score_three", "domain_score"))
+
+
+def domain_events(spark, d):
+    b = domain(spark, d).withColumn("domain_score", F.round("domain_score", 6)).select("symbol", "bar_id", "domain_score")
+    met = E.members(b, E.bar_folds(b, 400, 100, 20), purge=12)
+    return rounded(E.event_filter(met, "domain_score", 0.1, ["fold_idx"]).select("fold_idx", "part", "bar_id", "domain_score", "threshold"))
+
+
+GRID_COLUMNS = ["close", "taker_imb", "close_pos", "ret1_bp", "close_vs_vwap", "range_bp", "trade_count"]
+
+
+def at_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir)
+    return G.bar_columns(B.grid_bars(t, B.grid_times(t, 3_600_000, 43_200_000), VOLUME, 3))
+
+
+def grid_rows(spark, d):
+    lagged = ["taker_imb", "ret1_bp", "range_bp"]
+    return rounded(G.rows(at_grid(spark, d), GRID_COLUMNS, lagged, 2).select("grid_ms", "bar_id", *GRID_COLUMNS, *[f"{c}_lag{k}" for c in lagged for k in (1, 2)]))
+
+
+def grid_fill_lags(spark, d):
+    df = G.fill_lags(G.rows(at_grid(spark, d), GRID_COLUMNS, ["ret1_bp"], 2), ["ret1_bp", "taker_imb"], 2)
+    return rounded(df.select("grid_ms", "ret1_bp_lag1", "ret1_bp_lag2", "taker_imb_lag1", "taker_imb_lag2"))
+
+
+def grid_book(spark, d):
+    met = G.book_at_bars(at_grid(spark, d), K.ladder_features(book(spark, d)), 60_000, ["ob_imb_l1", "ob_total_depth_5"])
+    return rounded(met.select("grid_ms", "bar_idx", "book_ts", "ob_imb_l1_close", "ob_total_depth_5_close"))
+
+
+def book_over_bars(spark, d):
+    names = ["ob_imb_l1", "ob_total_depth_5"]
+    df = G.book_over_bars(bars_of(spark, d), K.ladder_features(book(spark, d)), names)
+    return rounded(df.select("bar_id", *[f"{c}_{k}" for c in names for k in ("close", "mean", "delta")]))
+
+
+def horizon_return(spark, d):
+    t = ticks(spark, d)
+    return rounded(G.horizon_return(B.grid_times(t, 3_600_000, 43_200_000), t, 7_200_000, 120_000).select("grid_ms", "y_horizon"))
+
+
+def two_instruments(spark, d):
+    """Bars, a rolling rank and folds of two instruments at once."""
+    t = ticks(spark, d).withColumn("symbol", F.when(F.col("user_id") % 2 == 0, "A").otherwise("B"))
+    b = X.rolled(X.returns(B.volume_bars(t, VOLUME)), {"pct": ("rank", "roll_spread", 50, 10)}).select("symbol", "bar_id", "close", "ret1vb_bp", "pct")
+    return rounded(E.members(b, E.bar_folds(b, 200, 50, 10), purge=5))
+
+
+def files_to_bars(spark, d):
+    """Ticks written as gzipped CSV of seconds and sizes, read back, and cut into bars."""
+    path = f"{shared_dir(spark)}/flowspark-trades-{uuid.uuid4().hex}"
+    t = ticks(spark, d).select((F.col("ts_ms") / 1000.0).alias("timestamp"), F.when(F.col("is_buyer_maker"), "Sell").otherwise("Buy").alias("side"), (F.col("lots") * 0.001).alias("size"), "price", "seq")
+    D.write_csv(t.repartitionByRange(4, "timestamp", "seq").sortWithinPartitions("timestamp", "seq").drop("seq"), path, compression="gzip")
+    back = R.as_lots(R.trades_gz(spark, path, "EV"), 0.001)
+    return rounded(B.volume_bars(back, VOLUME).select("symbol", "bar_id", "open", "high", "low", "close", "vwap", "trade_count", "taker_buy_vol"))
+
+
+def tick_cache(spark, d):
+    """Ticks written by instrument and day, and a range of times read back."""
+    path = f"{shared_dir(spark)}/flowspark-days-{uuid.uuid4().hex}"
+    D.write_days(ticks(spark, d), path, 2)
+    return rounded(R.read_days(spark, path, 1704400000000, 1705000000000, ["EV"]).select("symbol", "ts_ms", "seq", "price", "lots"))
+
+
+def date_list(spark, d):
+    return R.date_list(spark, "2024-01-30", "2024-03-02").select(F.col("dt").cast("string").alias("dt"))
+
+
+def book_replay(spark, d):
+    """Snapshots of every fiftieth ladder and changes of single levels by the others, replayed."""
+    rows_ = book(spark, d).withColumns({"seq": F.floor(F.col("ts_ms") / 60_000), "dt": F.to_date(F.timestamp_millis("ts_ms"))})
+    whole = F.col("seq") % 50 == 7
+    some = lambda c: F.when(whole, F.col(c)).otherwise(F.transform(F.filter(c, lambda x, i: (i + F.col("seq")) % 5 == 0), lambda x: F.struct(x["price"].alias("price"), F.when(x["size"] < 0.05, 0.0).otherwise(x["size"]).alias("size"))))
+    messages = rows_.select("symbol", "dt", "ts_ms", "seq", F.when(whole, "snapshot").otherwise("delta").alias("type"), some("bids").alias("b"), some("asks").alias("a"))
+    best = K.reconstruct(messages, 180_000, 10)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["size"])
+    return rounded(best.select("ts_ms", F.size("bids").alias("n_bids"), F.get("bids", F.lit(0))["price"].alias("best_bid"), total("bids").alias("bid_size"), F.get("asks", F.lit(0))["price"].alias("best_ask"), total("asks").alias("ask_size")))
+
+
+def path_predictions(spark, d):
+    """Samples with the imbalance of the bars completed along the event as predictions."""
+    b = S.label_event(S.shock_trigger(featured(spark, d), SHOCK))
+    events = P.event_table(b)
+    samples = P.resample(P.tick_paths(events, ticks(spark, d)), SAMPLES).withColumn("entry_pred", F.lit(0.5))
+    made = J.within(events, b.select("symbol", "ts_ms", "bar_id", F.col("taker_imb1vb").alias("pred")), "ts_entry", "ts_exit").filter("bar_id > event_id")
+    preds = made.select("symbol", "event_id", ((F.col("point_ts") - F.col("ts_entry")) / 1000.0).alias("elapsed"), "pred")
+    return rounded(P.path_predictions(samples, preds).select("event_id", "sample", "pred_now", "pred_delta", "pred_slope", "n_preds"))
+
+
+def peak_rate(spark, d):
+    return rounded(P.peak_rate(P.path_features(P.resample(paths(spark, d), SAMPLES), 3600.0, 2, 3)))
+
+
 def spearman_by_fold(spark, d):
     return rounded(E.spearman(joined(spark, d), "pred", "y", ["fold_idx", "part"]))
 
@@ -317,6 +504,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tick_view, tick_order_check, cumulative_lots, volume_bars, bar_returns, vpin, trade_activity, current_volatility, rolling_percent_rank, robust_z, ewma,
         rolling_quantile, lag_matrix, streak, shock_trigger, label_event, label_efficiency, label_variable_horizon, label_vwap, asof_book, nearest_book,
         ladder_features, cross_instrument, grid_times, grid_bars, folds_bars, fold_members, spearman_by_fold, fit_metrics, top_confidence, fold_thresholds,
-        median_impute, missing_profile, hold_buckets,
+        median_impute, missing_profile, hold_buckets, rolling_spearman, pace, volatility_ratio, feature_ranks, fold_members_expanding, day_members,
+        growing_threshold, pooled_metrics, gate_metrics, fold_summary, hold_stats, train_scale, describe_label, match_rate, null_rows, domain_score, domain_events,
+        grid_rows, grid_fill_lags, grid_book, book_over_bars, horizon_return, two_instruments, files_to_bars, tick_cache, date_list, book_replay, path_predictions, peak_rate,
     )
 }

@@ -101,6 +101,10 @@ mem AS (SELECT * FROM met WHERE part IS NOT NULL),
 pairs AS (SELECT * FROM mem WHERE pred IS NOT NULL AND y IS NOT NULL)"""
 )
 
+SMOOTH = """
+mv AS (SELECT bar_id, abs(ln(close / lag(close) OVER (ORDER BY bar_id))) AS r FROM bars),
+sm AS (SELECT bar_id, r AS v FROM mv WHERE bar_id = 1 UNION ALL SELECT mv.bar_id, (1 - 2.0::DOUBLE / 51) * sm.v + 2.0::DOUBLE / 51 * mv.r FROM sm JOIN mv ON mv.bar_id = sm.bar_id + 1)"""
+
 PATHS = (
     TRIGGER
     + """,
@@ -165,6 +169,43 @@ GRID = TICKS + """,
 edges AS (SELECT min(ts_ms) AS a, max(ts_ms) AS b FROM ticks),
 grid AS (SELECT unnest(range(((a // 3600000) * 3600000 + 43200000 + 3599999) // 3600000 * 3600000, (b // 3600000) * 3600000 + 1, 3600000)) AS grid_ms FROM edges)"""
 
+GRID_BARS = GRID + """,
+summed AS (SELECT *, CAST(sum(lots) OVER (ORDER BY ts_ms, seq) AS BIGINT) AS upto FROM ticks),
+totals AS (SELECT grid_ms, s.upto AS total FROM grid g ASOF JOIN (SELECT ts_ms, max(upto) AS upto FROM summed GROUP BY ts_ms) s ON g.grid_ms >= s.ts_ms),
+met AS (SELECT t.grid_ms, t.total, s.* FROM totals t JOIN summed s ON s.upto > t.total - 1500 AND s.upto <= t.total WHERE t.total >= 1500),
+based AS (SELECT *, min(upto - lots) OVER (PARTITION BY grid_ms) AS start FROM met),
+cutoff AS (SELECT *, upto - start AS c, (total - start) // 500 - 3 AS first FROM based),
+pcs AS (SELECT grid_ms, bar - first AS bar_idx, seq, ts_ms, price, is_buyer_maker, least(c, (bar + 1) * 500) - greatest(c - lots, bar * 500) AS fill
+        FROM (SELECT *, unnest(range((c - lots) // 500, (c + 499) // 500)) AS bar FROM cutoff)),
+gb AS (
+  SELECT grid_ms, bar_idx, max(ts_ms) AS ts_ms, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, sum(price * fill) / 500 AS vwap, count(*) AS trade_count, sum(CASE WHEN is_buyer_maker THEN -fill ELSE fill END)::DOUBLE AS net
+  FROM pcs WHERE bar_idx BETWEEN 0 AND 2 GROUP BY grid_ms, bar_idx HAVING sum(fill) = 500),
+gbars AS (
+  SELECT *, net / (500 + 1e-12) AS taker_imb, CASE WHEN abs(high - low) >= 1e-12 THEN (close - low) / (high - low) - 0.5::DOUBLE END AS close_pos, (close - lag(close) OVER w) / (lag(close) OVER w + 1e-12) * 1e4 AS ret1_bp,
+         CASE WHEN lag(close) OVER w IS NOT NULL THEN (close - vwap) / greatest(high - low, 1e-12) END AS close_vs_vwap, (high - low) / (close + 1e-12) * 1e4 AS range_bp
+  FROM gb WINDOW w AS (PARTITION BY grid_ms ORDER BY bar_idx))"""
+
+RANKED = ("ret1vb_bp", "retHvb_bp", "range1vb_bp", "cur_vol_vb_bp", "roll_spread", "vpin_delta", "kyle_finite")
+
+DOMAIN = (
+    RETURNS
+    + f""", {LADDER},
+brk AS (SELECT *, CASE WHEN sign(taker_imb1vb) <> 0 AND sign(taker_imb1vb) = lag(sign(taker_imb1vb)) OVER (ORDER BY bar_id) THEN 0 ELSE 1 END AS brk FROM vol),
+isl AS (SELECT *, sum(brk) OVER (ORDER BY bar_id) AS island FROM brk),
+stk AS (SELECT *, (row_number() OVER (PARTITION BY island ORDER BY bar_id) - 1)::DOUBLE AS streak, lag(ret1vb_bp, 1) OVER (ORDER BY bar_id) AS r1, lag(ret1vb_bp, 2) OVER (ORDER BY bar_id) AS r2 FROM isl),
+bk AS (SELECT s.*, f.ob_imb_l1 AS ob FROM stk s ASOF LEFT JOIN feats f ON s.ts_ms >= f.ts_ms),
+inp AS (
+  SELECT bar_id, ts_ms, streak, CASE WHEN taker_imb1vb > 0 THEN -ob WHEN taker_imb1vb < 0 THEN ob ELSE 0.0 END AS against, cur_vol_vb_bp AS vol, abs(taker_imb1vb) AS ai, abs(ret1vb_bp) AS ar,
+         (least(abs(ret1vb_bp), abs(coalesce(r1, 0)), abs(coalesce(r2, 0))) > 3 AND sign(ret1vb_bp) = sign(coalesce(r1, 0)) AND sign(coalesce(r1, 0)) = sign(coalesce(r2, 0))) AS three FROM bk),
+k1 AS (SELECT * EXCLUDE (own, pct), pct AS score_streak FROM {rank_of("streak", 200, 50, "inp")}),
+k2 AS (SELECT * EXCLUDE (own, pct), pct AS score_book FROM {rank_of("against", 200, 50, "k1")}),
+k3 AS (SELECT * EXCLUDE (own, pct), 1 - pct AS score_quiet FROM {rank_of("vol", 200, 50, "k2")}),
+k4 AS (SELECT * EXCLUDE (own, pct), pct AS pi FROM {rank_of("ai", 200, 50, "k3")}),
+k5 AS (SELECT * EXCLUDE (own, pct), pct AS pr FROM {rank_of("ar", 200, 50, "k4")}),
+k6 AS (SELECT *, CASE WHEN pi IS NOT NULL AND pr IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, pi - pr)) END AS score_absorbed, (ts_ms // 3600000 % 24 IN (3, 4, 5, 9, 10, 11, 12, 21, 22, 23))::INT::DOUBLE AS score_hour, coalesce(three, false)::INT::DOUBLE AS score_three FROM k5),
+domain AS (SELECT *, coalesce(score_streak, 0) + coalesce(score_book, 0) + coalesce(score_quiet, 0) + coalesce(score_absorbed, 0) + score_hour + score_three AS domain_score FROM k6)"""
+)
+
 ORACLE_SQL: dict[str, str] = {
     "stream_tumbling": f"""{CLOCK}, w AS (SELECT *, t // 21600000 * 21600000 AS start_ms FROM e)
       SELECT start_ms, start_ms + 21600000 AS end_ms, event_type, count(*) AS n, round(sum(value), 6) AS total FROM w WHERE start_ms + 21600000 <= seen GROUP BY start_ms, event_type""",
@@ -215,7 +256,7 @@ ORACLE_SQL: dict[str, str] = {
     "cumulative_lots": f"WITH {TICKS} SELECT symbol, seq, CAST(sum(lots) OVER (ORDER BY ts_ms, seq) AS BIGINT) AS upto FROM ticks",
     "volume_bars": f"""WITH {BARS} SELECT 'EV' AS symbol, bar_id, ts_first, ts_ms, {r6("open", "high", "low", "close", "vwap", "volume")}, trade_count,
       {r6("taker_buy_vol", "taker_sell_vol", "dt_sec", "range1vb_bp", "entropy_norm", "large_imb_share", "mid_size_share", "par", "rev_count_ratio", "pde", "twi", "roll_spread")},
-      round(ln(1 + kyle_lambda), 6) AS kyle_lambda, round(burst_cv, 6) AS burst_cv FROM bars""",
+      CASE WHEN kyle_lambda < 1e9 THEN round(kyle_lambda, 6) END AS kyle_lambda, round(burst_cv, 6) AS burst_cv FROM bars""",
     "bar_returns": f"WITH {RETURNS} SELECT bar_id, {r6('ret1vb_bp', 'retHvb_bp', 'close_pos1vb', 'taker_imb1vb', 'close_vs_vwap')} FROM rets",
     "vpin": f"""WITH {BARS}, v AS (SELECT bar_id, CASE WHEN count(*) OVER w >= 4 THEN sum(abs(taker_buy_vol - taker_sell_vol)) OVER w / (sum(volume) OVER w + 1e-12) END AS vpin_n
       FROM bars WINDOW w AS (ORDER BY bar_id ROWS 17 PRECEDING)) SELECT bar_id, round(vpin_n, 6) AS vpin_n, round(vpin_n - lag(vpin_n) OVER (ORDER BY bar_id), 6) AS vpin_delta FROM v""",
@@ -230,20 +271,23 @@ ORACLE_SQL: dict[str, str] = {
       SELECT bar_id, round((x - mid) / nullif(1.4826::DOUBLE * mad, 0), 6) AS dt_sec_z FROM s""",
     "ewma": f"""WITH RECURSIVE {BARS}, e AS (SELECT bar_id, dt_sec AS ewma FROM bars WHERE bar_id = 0 UNION ALL
       SELECT b.bar_id, 0.8::DOUBLE * e.ewma + 0.2::DOUBLE * b.dt_sec FROM e JOIN bars b ON b.bar_id = e.bar_id + 1) SELECT bar_id, round(ewma, 6) AS ewma FROM e""",
-    "rolling_quantile": f"WITH {BARS} SELECT bar_id, round(quantile_cont(range1vb_bp, 0.9) OVER (ORDER BY bar_id ROWS 49 PRECEDING), 6) AS q90 FROM bars",
+    "rolling_quantile": f"""WITH {BARS} SELECT bar_id, round(quantile_cont(range1vb_bp, 0.9) OVER w, 6) AS range_q90, CASE WHEN count(roll_spread) OVER w >= 20 THEN round(quantile_cont(roll_spread, 0.75) OVER w, 6) END AS spread_q75
+      FROM bars WINDOW w AS (ORDER BY bar_id ROWS 49 PRECEDING)""",
     "lag_matrix": f"WITH {BARS} SELECT bar_id, " + ", ".join(f"round(lag({c}, {k}) OVER w, 6) AS {c}_lag{k}" for c in ("close", "dt_sec") for k in (1, 2, 3)) + " FROM bars WINDOW w AS (ORDER BY bar_id)",
     "streak": f"""WITH {RETURNS}, b AS (SELECT bar_id, CASE WHEN sign(taker_imb1vb) <> 0 AND sign(taker_imb1vb) = lag(sign(taker_imb1vb)) OVER (ORDER BY bar_id) THEN 0 ELSE 1 END AS brk FROM rets),
       i AS (SELECT *, sum(brk) OVER (ORDER BY bar_id) AS island FROM b) SELECT bar_id, row_number() OVER (PARTITION BY island ORDER BY bar_id) - 1 AS streak FROM i""",
     "shock_trigger": f"""WITH {TRIGGER} SELECT bar_id, round(pct, 6) AS spread_pct, trigger_on, trigger_off, CASE WHEN trigger_on THEN sign(flow)::DOUBLE ELSE 0.0::DOUBLE END AS entry_dir FROM triggers""",
-    "label_event": f"""WITH {TRIGGER}, ev AS (SELECT *, list({{'at': bar_id, 'c': close}}) FILTER (trigger_off) OVER (ORDER BY bar_id ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) AS offs FROM triggers)
-      SELECT bar_id, CASE WHEN trigger_on THEN offs[1].at END AS exit_bar, CASE WHEN trigger_on THEN round(ln(offs[1].c / close) * 1e4, 6) END AS y_event_bp FROM ev""",
+    "label_event": f"""WITH RECURSIVE {TRIGGER}, {SMOOTH},
+      ev AS (SELECT *, list({{'at': bar_id, 'c': close}}) FILTER (trigger_off) OVER (ORDER BY bar_id ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) AS offs, (SELECT quantile_cont(dt_sec, 0.5) FROM bars) AS typ FROM triggers),
+      m AS (SELECT *, CASE WHEN trigger_on THEN offs[1].at END AS exit_bar, CASE WHEN trigger_on THEN ln(offs[1].c / close) END AS move FROM ev)
+      SELECT m.bar_id, exit_bar, round(move * 1e4, 6) AS event_bp, round(move / (v * sqrt((exit_bar - m.bar_id) / (typ + 1e-12)) + 1e-12), 6) AS y_event FROM m LEFT JOIN sm USING (bar_id)""",
     "label_efficiency": f"""WITH {BARS}, d AS (SELECT *, abs(close - lag(close) OVER (ORDER BY bar_id)) AS d, lead(close, 10) OVER (ORDER BY bar_id) AS nxt FROM bars),
       p AS (SELECT *, sum(d) OVER (ORDER BY bar_id ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS path FROM d)
       SELECT bar_id, round(CASE WHEN nxt IS NULL THEN NULL WHEN path <= 1e-12 THEN 0.0 ELSE least(abs(nxt - close) / path, 1.0::DOUBLE) END, 6) AS y_efficiency FROM p""",
     "label_variable_horizon": f"WITH {VARIABLE} SELECT bar_id, hold_bars, round(y_variable, 6) AS y_variable FROM labelled",
-    "label_vwap": f"""WITH {RETURNS}, a AS (SELECT *, sum(vwap * volume) OVER w / sum(volume) OVER w AS ahead, lead(bar_id, 10) OVER (ORDER BY bar_id) AS whole FROM vol
+    "label_vwap": f"""WITH RECURSIVE {BARS}, {SMOOTH}, a AS (SELECT *, sum(vwap * volume) OVER w / sum(volume) OVER w AS ahead, lead(bar_id, 10) OVER (ORDER BY bar_id) AS whole FROM bars
       WINDOW w AS (ORDER BY bar_id ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING))
-      SELECT bar_id, CASE WHEN whole IS NOT NULL AND cur_vol_vb_bp IS NOT NULL THEN round((ahead - vwap) / (vwap * greatest(cur_vol_vb_bp * 1e-4, 1e-12)), 6) END AS y_vwap FROM a""",
+      SELECT a.bar_id, CASE WHEN whole IS NOT NULL AND v IS NOT NULL THEN round((ahead - vwap) / (vwap * greatest(v, 1e-12)), 6) END AS y_vwap FROM a LEFT JOIN sm USING (bar_id)""",
     "asof_book": f"""WITH {BARS}, {LADDER}, j AS (SELECT b.bar_id, b.ts_ms, f.ts_ms AS t, f.ob_imb_l5 AS x FROM bars b ASOF LEFT JOIN feats f ON b.ts_ms >= f.ts_ms)
       SELECT bar_id, ts_ms, CASE WHEN ts_ms - t <= 30000 THEN t END AS book_ts, CASE WHEN ts_ms - t <= 30000 THEN round(x, 6) END AS ob_imb_l5 FROM j""",
     "nearest_book": f"""WITH {BARS}, {LADDER}, j AS (SELECT b.bar_id, b.ts_ms, f.ts_ms AS t, f.ob_imb_l5 AS x FROM bars b ASOF LEFT JOIN feats f ON b.ts_ms >= f.ts_ms),
@@ -252,9 +296,14 @@ ORACLE_SQL: dict[str, str] = {
       SELECT bar_id, ts_ms, CASE WHEN early THEN t ELSE t2 END AS book_ts, round(CASE WHEN early THEN x ELSE x2 END, 6) AS ob_imb_l5 FROM p""",
     "ladder_features": f"WITH {LADDER} SELECT ts_ms, {r6('ob_imb_l1', 'ob_imb_l5', 'ob_imb_l10', 'ob_depth_ratio_5', 'ob_depth_ratio_10', 'mid', 'ob_spread', 'ob_spread_rel', 'ob_microprice_adj', 'ob_total_depth_5')} FROM feats",
     "cross_instrument": f"""WITH {TICKS}, own AS (SELECT * FROM ticks WHERE user_id % 2 = 0), {bar_parts("own")},
-      m AS (SELECT b.bar_id, o.* FROM bars b JOIN ticks o ON o.user_id % 2 = 1 AND o.ts_ms >= b.ts_first AND o.ts_ms <= b.ts_ms)
+      f AS (SELECT *, (taker_buy_vol - taker_sell_vol) / (taker_buy_vol + taker_sell_vol + 2e-12) AS own_imb, (close - lag(close) OVER (ORDER BY bar_id)) / (lag(close) OVER (ORDER BY bar_id) + 1e-12) * 1e4 AS own_ret FROM bars),
+      m AS (SELECT b.bar_id, b.own_imb, b.own_ret, o.* FROM f b JOIN ticks o ON o.user_id % 2 = 1 AND o.ts_ms >= b.ts_first AND o.ts_ms <= b.ts_ms),
+      p AS (SELECT *, abs(price - lag(price) OVER (PARTITION BY bar_id ORDER BY seq)) AS step FROM m)
       SELECT bar_id, count(*) AS n, round(sum(CASE WHEN is_buyer_maker THEN -lots ELSE lots END)::DOUBLE / sum(lots)::DOUBLE, 6) AS imb,
-             round((arg_max(price, seq) - arg_min(price, seq)) / arg_min(price, seq) * 1e4, 6) AS ret_bp, sum(lots)::BIGINT AS total FROM m GROUP BY bar_id""",
+             round((arg_max(price, seq) - arg_min(price, seq)) / arg_min(price, seq) * 1e4, 6) AS ret_bp, sum(lots)::BIGINT AS total,
+             round(coalesce(sum(step), 0) / abs(nullif(sum(CASE WHEN is_buyer_maker THEN -lots ELSE lots END), 0)), 6) AS path_over_net,
+             round(sum(CASE WHEN is_buyer_maker THEN -lots ELSE lots END)::DOUBLE / sum(lots)::DOUBLE - any_value(own_imb), 6) AS imb_divergence,
+             round((arg_max(price, seq) - arg_min(price, seq)) / arg_min(price, seq) * 1e4 - any_value(own_ret), 6) AS ret_divergence FROM p GROUP BY bar_id""",
     "grid_times": f"WITH {GRID} SELECT grid_ms FROM grid",
     "grid_bars": f"""WITH {GRID}, summed AS (SELECT *, CAST(sum(lots) OVER (ORDER BY ts_ms, seq) AS BIGINT) AS upto FROM ticks),
       totals AS (SELECT grid_ms, s.upto AS total FROM grid g ASOF JOIN (SELECT ts_ms, max(upto) AS upto FROM summed GROUP BY ts_ms) s ON g.grid_ms >= s.ts_ms),
@@ -266,7 +315,7 @@ ORACLE_SQL: dict[str, str] = {
       SELECT grid_ms, bar_idx, min(ts_ms) AS ts_first, max(ts_ms) AS ts_ms, round(arg_min(price, seq), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low, round(arg_max(price, seq), 6) AS close,
              round(sum(price * fill) / 500, 6) AS vwap, count(*) AS trade_count, sum(CASE WHEN is_buyer_maker THEN 0 ELSE fill END)::DOUBLE AS taker_buy_vol
       FROM pcs WHERE bar_idx BETWEEN 0 AND 2 GROUP BY grid_ms, bar_idx HAVING sum(fill) = 500""",
-    "folds_bars": f"WITH {VARIABLE} SELECT * FROM folds",
+    "folds_bars": f"WITH {VARIABLE} SELECT 'EV' AS symbol, * FROM folds",
     "fold_members": f"WITH {VARIABLE} SELECT fold_idx, part, count(*) AS n, min(bar_id) AS first_bar, max(bar_id) AS last_bar FROM mem GROUP BY ALL",
     "spearman_by_fold": f"""WITH {VARIABLE}, r AS (SELECT fold_idx, part, rank() OVER (PARTITION BY fold_idx, part ORDER BY pred) + (count(*) OVER (PARTITION BY fold_idx, part, pred) - 1) / 2.0::DOUBLE AS ra,
       rank() OVER (PARTITION BY fold_idx, part ORDER BY y) + (count(*) OVER (PARTITION BY fold_idx, part, y) - 1) / 2.0::DOUBLE AS rb FROM pairs)
@@ -284,4 +333,105 @@ ORACLE_SQL: dict[str, str] = {
     + " ".join(f"UNION ALL SELECT '{c}', round(avg(({c} IS NULL)::INT::DOUBLE), 6) FROM v" for c in ("roll_spread", "burst_cv", "vpin_n", "cur_vol_vb_bp", "ret1vb_bp")),
     "hold_buckets": f"""WITH {VARIABLE} SELECT CASE WHEN hold_bars <= 3 THEN '1-3' ELSE '4+' END AS bucket, count(*) AS n, round(avg(-sign(taker_imb1vb) * y_variable), 6) AS reversion, round(avg(hold_bars), 6) AS mean_hold
       FROM labelled WHERE y_variable IS NOT NULL GROUP BY 1""",
+    "rolling_spearman": f"""WITH {VARIABLE}, x AS (SELECT bar_id, taker_imb1vb AS pred, y_variable AS y FROM labelled),
+      w AS (SELECT a.bar_id, b.pred, b.y FROM x a JOIN x b ON b.bar_id > a.bar_id - 200 AND b.bar_id <= a.bar_id WHERE b.pred IS NOT NULL AND b.y IS NOT NULL),
+      r AS (SELECT bar_id, rank() OVER (PARTITION BY bar_id ORDER BY pred) + (count(*) OVER (PARTITION BY bar_id, pred) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY bar_id ORDER BY y) + (count(*) OVER (PARTITION BY bar_id, y) - 1) / 2.0::DOUBLE AS rb FROM w),
+      c AS (SELECT bar_id, CASE WHEN count(*) >= 20 THEN covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) END AS rho FROM r GROUP BY bar_id)
+      SELECT x.bar_id, round(rho, 6) AS rho FROM x LEFT JOIN c USING (bar_id)""",
+    "pace": f"WITH {BARS}, "
+    + ", ".join(
+        f"""x{i} AS (SELECT bar_id, ln(1 + greatest({c}, 0)) AS x FROM bars), m{i} AS (SELECT *, CASE WHEN count(x) OVER w >= 18 THEN quantile_cont(x, 0.5) OVER w END AS mid FROM x{i} WINDOW w AS (ORDER BY bar_id ROWS 71 PRECEDING)),
+      d{i} AS (SELECT *, abs(x - mid) AS dev FROM m{i}), s{i} AS (SELECT *, CASE WHEN count(dev) OVER w >= 18 THEN quantile_cont(dev, 0.5) OVER w END AS mad FROM d{i} WINDOW w AS (ORDER BY bar_id ROWS 71 PRECEDING)),
+      z{i} AS (SELECT bar_id, round((x - mid) / nullif(1.4826::DOUBLE * mad, 0), 6) AS {c}_z FROM s{i})"""
+        for i, c in enumerate(("dt_sec", "trade_count"))
+    )
+    + " SELECT * FROM z0 JOIN z1 USING (bar_id)",
+    "volatility_ratio": f"""WITH RECURSIVE {RETURNS}, e AS (SELECT bar_id, abs(ret1vb_bp) AS s, abs(ret1vb_bp) AS l FROM rets WHERE bar_id = 1 UNION ALL
+      SELECT r.bar_id, (1 - 2.0::DOUBLE / 10) * s + 2.0::DOUBLE / 10 * abs(ret1vb_bp), (1 - 2.0::DOUBLE / 19) * l + 2.0::DOUBLE / 19 * abs(ret1vb_bp) FROM e JOIN rets r ON r.bar_id = e.bar_id + 1)
+      SELECT bar_id, round(s / (l + 2e-12), 6) AS vol_ratio FROM rets LEFT JOIN e USING (bar_id)""",
+    "feature_ranks": f"""WITH {RETURNS}, vp AS (SELECT *, CASE WHEN count(*) OVER w >= 4 THEN sum(abs(taker_buy_vol - taker_sell_vol)) OVER w / (sum(volume) OVER w + 1e-12) END AS vpin_n FROM vol WINDOW w AS (ORDER BY bar_id ROWS 17 PRECEDING)),
+      t0 AS (SELECT bar_id, ret1vb_bp, retHvb_bp, range1vb_bp, cur_vol_vb_bp, roll_spread, vpin_n - lag(vpin_n) OVER (ORDER BY bar_id) AS vpin_delta, CASE WHEN kyle_lambda < 1e9 THEN round(kyle_lambda, 6) END AS kyle_finite FROM vp), """
+    + ", ".join(f"t{i + 1} AS (SELECT * EXCLUDE (own, pct), round(pct, 6) AS {c}_pctrank FROM {rank_of(c, 200, 20, f't{i}')})" for i, c in enumerate(RANKED))
+    + " SELECT bar_id, " + ", ".join(f"{c}_pctrank" for c in RANKED) + " FROM t7",
+    "fold_members_expanding": f"""WITH {VARIABLE}, m AS (SELECT fold_idx, bar_id, CASE WHEN bar_id < least(tr_end, gap_end - 60) THEN 'train' WHEN bar_id >= gap_end AND bar_id < os_end THEN 'oos' END AS part FROM bars, folds)
+      SELECT 'EV' AS symbol, fold_idx, part, count(*) AS n, min(bar_id) AS first_bar, max(bar_id) AS last_bar FROM m WHERE part IS NOT NULL GROUP BY ALL""",
+    "day_members": f"""WITH {TICKS}, d AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events), n AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, max(d) OVER () AS last FROM d),
+      f AS (SELECT i // 5 AS fold_idx, d AS a, d + 10 AS b, d + 11 AS c, d + 16 AS e FROM n WHERE i % 5 = 0 AND d + 16 <= last), t AS (SELECT ts_ms, CAST(epoch_ms(ts_ms) AS DATE) AS dt FROM ticks)
+      SELECT fold_idx, CASE WHEN dt < b THEN 'train' ELSE 'oos' END AS part, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM t JOIN f ON (dt >= a AND dt < b) OR (dt >= c AND dt < e) GROUP BY ALL""",
+    "growing_threshold": f"""WITH {VARIABLE} SELECT o.fold_idx, o.bar_id, round(quantile_cont(abs(s.pred), 0.8), 6) AS threshold
+      FROM mem o JOIN mem s ON s.fold_idx = o.fold_idx AND (s.part = 'train' OR s.bar_id < o.bar_id) WHERE o.part = 'oos' GROUP BY ALL""",
+    "pooled_metrics": f"""WITH {VARIABLE}, q AS (SELECT *, sign(pred) * y AS pnl FROM pairs WHERE part = 'oos'),
+      r AS (SELECT *, rank() OVER (ORDER BY pred) + (count(*) OVER (PARTITION BY pred) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS rb FROM q)
+      SELECT count(*) AS n, round(avg(CASE WHEN abs(y) > 1e-12 THEN (sign(pred) = sign(y))::INT::DOUBLE END), 6) AS sign_acc, round(avg(pnl), 6) AS pnl_mean, round(avg(pnl) / (stddev_pop(pnl) + 1e-12), 6) AS pnl_ratio,
+             round(covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0), 6) AS spearman FROM r""",
+    "gate_metrics": f"""WITH {VARIABLE}, q AS (SELECT *, abs(pred) AS gs, coalesce(CASE WHEN pred <> 0 THEN abs(pred) >= 0.1::DOUBLE END, true) AS ok, sign(pred) * y AS sg FROM mem WHERE part = 'oos'),
+      right_ AS (SELECT *, CASE WHEN abs(y) > 1e-12 THEN (sign(pred) = sign(y))::INT::DOUBLE END AS hit FROM q),
+      a AS (SELECT fold_idx, count(*) AS n, round(avg(ok::INT::DOUBLE), 6) AS pass_rate, round(avg(hit), 6) AS base_sign_acc, round(avg(CASE WHEN ok THEN hit END), 6) AS gated_sign_acc, round(avg(pred * y), 6) AS base_pnl, round(avg(CASE WHEN ok THEN pred * y END), 6) AS gated_pnl FROM right_ GROUP BY fold_idx), """
+    + ", ".join(
+        f"""r_{name} AS (SELECT fold_idx, rank() OVER (PARTITION BY fold_idx ORDER BY {x}) + (count(*) OVER (PARTITION BY fold_idx, {x}) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY fold_idx ORDER BY {y}) + (count(*) OVER (PARTITION BY fold_idx, {y}) - 1) / 2.0::DOUBLE AS rb
+      FROM q WHERE {x} IS NOT NULL AND {y} IS NOT NULL AND {also}), s_{name} AS (SELECT fold_idx, round(CASE WHEN count(*) >= 3 THEN covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) END, 6) AS {name}_spearman FROM r_{name} GROUP BY fold_idx)"""
+        for name, x, y, also in (("base", "pred", "y", "true"), ("gate", "gs", "sg", "true"), ("gated", "pred", "y", "ok"))
+    )
+    + " SELECT * FROM a LEFT JOIN s_base USING (fold_idx) LEFT JOIN s_gate USING (fold_idx) LEFT JOIN s_gated USING (fold_idx)",
+    "fold_summary": f"""WITH {VARIABLE}, r AS (SELECT fold_idx, rank() OVER (PARTITION BY fold_idx ORDER BY pred) + (count(*) OVER (PARTITION BY fold_idx, pred) - 1) / 2.0::DOUBLE AS ra,
+      rank() OVER (PARTITION BY fold_idx ORDER BY y) + (count(*) OVER (PARTITION BY fold_idx, y) - 1) / 2.0::DOUBLE AS rb FROM pairs WHERE part = 'oos'),
+      f AS (SELECT fold_idx, count(*)::DOUBLE AS n, covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) AS spearman FROM r GROUP BY ALL),
+      l AS (SELECT 'spearman' AS metric, spearman AS v FROM f UNION ALL SELECT 'n', n FROM f)
+      SELECT metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(stddev_pop(v), 6) AS std_pop, round(stddev_samp(v), 6) AS std_sample FROM l GROUP BY metric""",
+    "hold_stats": f"""WITH {VARIABLE}, h AS (SELECT m.fold_idx, m.part, l.hold_bars AS h FROM mem m JOIN labelled l USING (bar_id) WHERE l.hold_bars IS NOT NULL)
+      SELECT fold_idx, part, round(avg(h), 6) AS mean_hold, count(*) FILTER (h BETWEEN 1 AND 3) AS short, count(*) FILTER (h >= 4) AS long FROM h GROUP BY ALL""",
+    "train_scale": f"""WITH {VARIABLE}, q AS (SELECT * FROM mem WHERE y IS NOT NULL), s AS (SELECT fold_idx, avg(pred) AS mp, stddev_pop(pred) AS sp, avg(y) AS my, stddev_pop(y) AS sy FROM q WHERE part = 'train' GROUP BY fold_idx)
+      SELECT fold_idx, bar_id, round((pred - mp) / CASE WHEN sp < 1e-8 THEN 1 ELSE sp END, 6) AS pred, round((y - my) / CASE WHEN sy < 1e-8 THEN 1 ELSE sy END, 6) AS y FROM q JOIN s USING (fold_idx)""",
+    "describe_label": f"""WITH {VARIABLE} SELECT count(y_variable) AS n, round(avg(y_variable), 6) AS mean, round(stddev_samp(y_variable), 6) AS std, round(min(y_variable), 6) AS min, """
+    + ", ".join(f"round(quantile_cont(y_variable, {q}), 6) AS p{n}" for n, q in (("01", 0.01), ("05", 0.05), ("50", 0.5), ("95", 0.95), ("99", 0.99)))
+    + ", round(max(y_variable), 6) AS max FROM labelled",
+    "match_rate": f"""WITH {BARS}, {LADDER}, j AS (SELECT b.ts_ms, f.ts_ms AS t, f.ob_imb_l1 AS x FROM bars b ASOF LEFT JOIN feats f ON b.ts_ms >= f.ts_ms) SELECT round(avg((x IS NOT NULL AND ts_ms - t <= 30000)::INT::DOUBLE), 6) AS match_rate FROM j""",
+    "null_rows": f"WITH {RETURNS} SELECT round(avg((entropy_norm IS NULL OR roll_spread IS NULL OR cur_vol_vb_bp IS NULL)::INT::DOUBLE), 6) AS null_rows FROM vol",
+    "domain_score": f"WITH {DOMAIN} SELECT bar_id, {r6('score_streak', 'score_book', 'score_quiet', 'score_absorbed', 'score_hour', 'score_three', 'domain_score')} FROM domain",
+    "domain_events": f"""WITH {DOMAIN}, folds AS (
+        SELECT k AS fold_idx, k * 100 AS tr_start, k * 100 + 400 AS tr_end, k * 100 + 420 AS gap_end, k * 100 + 520 AS os_end
+        FROM (SELECT unnest(range(0, CASE WHEN n >= 520 THEN (n - 520) // 100 + 1 ELSE 0 END)) AS k FROM (SELECT max(bar_id) + 1 AS n FROM bars))),
+      m AS (SELECT fold_idx, bar_id, round(domain_score, 6) AS domain_score, CASE WHEN bar_id >= tr_start AND bar_id < tr_end - 12 THEN 'train' WHEN bar_id >= gap_end AND bar_id < os_end THEN 'oos' END AS part FROM domain, folds),
+      t AS (SELECT fold_idx, quantile_cont(domain_score, 0.9) AS threshold FROM m WHERE part = 'train' GROUP BY fold_idx)
+      SELECT fold_idx, part, bar_id, domain_score, round(threshold, 6) AS threshold FROM m JOIN t USING (fold_idx) WHERE part IS NOT NULL AND domain_score >= threshold""",
+    "grid_rows": f"""WITH {GRID_BARS} SELECT grid_ms, row_number() OVER (ORDER BY grid_ms) - 1 AS bar_id, """
+    + ", ".join(f"round(max(CASE WHEN bar_idx = 2 THEN {c} END), 6) AS {c}" for c in ("close", "taker_imb", "close_pos", "ret1_bp", "close_vs_vwap", "range_bp"))
+    + ", max(CASE WHEN bar_idx = 2 THEN trade_count END) AS trade_count, "
+    + ", ".join(f"round(max(CASE WHEN bar_idx = {2 - k} THEN {c} END), 6) AS {c}_lag{k}" for c in ("taker_imb", "ret1_bp", "range_bp") for k in (1, 2))
+    + " FROM gbars GROUP BY grid_ms",
+    "grid_fill_lags": f"""WITH {GRID_BARS}, g AS (SELECT grid_ms, max(CASE WHEN bar_idx = 2 THEN taker_imb END) AS t, max(CASE WHEN bar_idx = 2 THEN ret1_bp END) AS r, max(CASE WHEN bar_idx = 1 THEN ret1_bp END) AS r1, max(CASE WHEN bar_idx = 0 THEN ret1_bp END) AS r2 FROM gbars GROUP BY grid_ms)
+      SELECT grid_ms, round(coalesce(r1, lag(r, 1) OVER w), 6) AS ret1_bp_lag1, round(coalesce(r2, lag(r, 2) OVER w), 6) AS ret1_bp_lag2, round(lag(t, 1) OVER w, 6) AS taker_imb_lag1, round(lag(t, 2) OVER w, 6) AS taker_imb_lag2 FROM g WINDOW w AS (ORDER BY grid_ms)""",
+    "grid_book": f"""WITH {GRID_BARS}, {LADDER}, j AS (SELECT b.grid_ms, b.bar_idx, b.ts_ms, f.ts_ms AS t, f.ob_imb_l1 AS x, f.ob_total_depth_5 AS y FROM gbars b ASOF LEFT JOIN feats f ON b.ts_ms >= f.ts_ms)
+      SELECT grid_ms, bar_idx, CASE WHEN ts_ms - t <= 60000 THEN t END AS book_ts, CASE WHEN ts_ms - t <= 60000 THEN round(x, 6) END AS ob_imb_l1_close, CASE WHEN ts_ms - t <= 60000 THEN round(y, 6) END AS ob_total_depth_5_close FROM j""",
+    "book_over_bars": f"""WITH {BARS}, {LADDER}, m AS (SELECT b.bar_id, f.ts_ms AS t, f.ob_imb_l1 AS x, f.ob_total_depth_5 AS y FROM bars b JOIN feats f ON f.ts_ms >= b.ts_first AND f.ts_ms <= b.ts_ms),
+      a AS (SELECT bar_id, arg_max(x, t) AS xc, avg(x) AS xm, arg_max(x, t) - arg_min(x, t) AS xd, arg_max(y, t) AS yc, avg(y) AS ym, arg_max(y, t) - arg_min(y, t) AS yd FROM m GROUP BY bar_id)
+      SELECT bar_id, round(xc, 6) AS ob_imb_l1_close, round(xm, 6) AS ob_imb_l1_mean, round(xd, 6) AS ob_imb_l1_delta, round(yc, 6) AS ob_total_depth_5_close, round(ym, 6) AS ob_total_depth_5_mean, round(yd, 6) AS ob_total_depth_5_delta FROM bars LEFT JOIN a USING (bar_id)""",
+    "horizon_return": f"""WITH {GRID}, l AS (SELECT ts_ms, arg_max(price, seq) AS price FROM ticks GROUP BY ts_ms), a AS (SELECT g.grid_ms, g.grid_ms + 7200000 AS till, l.price AS p0 FROM grid g ASOF LEFT JOIN l ON g.grid_ms >= l.ts_ms),
+      b AS (SELECT a.*, l.price AS p1, l.ts_ms AS t FROM a ASOF LEFT JOIN l ON a.till >= l.ts_ms) SELECT grid_ms, CASE WHEN till - t < 120000 THEN round(ln(p1 / p0) * 1e4, 6) END AS y_horizon FROM b""",
+    "two_instruments": f"WITH {TICKS} "
+    + " UNION ALL ".join(
+        f"""SELECT '{name}' AS symbol, b.bar_id, round(close, 6) AS close, round(ret1, 6) AS ret1vb_bp, round(pct, 6) AS pct, fold_idx, CASE WHEN b.bar_id < tr_end THEN 'train' ELSE 'oos' END AS part FROM (
+          WITH own AS (SELECT * FROM ticks WHERE user_id % 2 = {odd}), {bar_parts("own")}, f AS (SELECT *, (close - lag(close) OVER w) / (lag(close) OVER w + 1e-12) * 1e4 AS ret1 FROM bars WINDOW w AS (ORDER BY bar_id)),
+          p AS {rank_of("roll_spread", 50, 10, "f")}, folds AS (SELECT k AS fold_idx, k * 50 AS tr_start, k * 50 + 195 AS tr_end, k * 50 + 210 AS gap_end, k * 50 + 260 AS os_end FROM (SELECT unnest(range(0, (max(bar_id) + 1 - 260) // 50 + 1)) AS k FROM bars))
+          SELECT p.*, folds.* FROM p JOIN folds ON (bar_id >= tr_start AND bar_id < tr_end) OR (bar_id >= gap_end AND bar_id < os_end)) b"""
+        for name, odd in (("A", 0), ("B", 1))
+    ),
+    "files_to_bars": f"WITH {BARS} SELECT 'EV' AS symbol, bar_id, {r6('open', 'high', 'low', 'close', 'vwap')}, trade_count, round(taker_buy_vol, 6) AS taker_buy_vol FROM bars",
+    "tick_cache": f"WITH {TICKS} SELECT symbol, ts_ms, seq, round(price, 6) AS price, lots FROM ticks WHERE ts_ms >= 1704400000000 AND ts_ms < 1705000000000",
+    "date_list": "SELECT CAST(CAST(unnest(generate_series(DATE '2024-01-30', DATE '2024-03-01', INTERVAL 1 DAY)) AS DATE) AS VARCHAR) AS dt",
+    "book_replay": """WITH e AS (SELECT 1704067200000 + vec_id * 60000 AS ts_ms, embedding AS v FROM embeddings), k AS (SELECT *, ts_ms // 60000 AS seq, ts_ms // 86400000 AS dt FROM e),
+      s AS (SELECT *, sum((seq % 50 = 7)::INT) OVER (PARTITION BY dt ORDER BY ts_ms) AS st FROM k),
+      lv AS (SELECT s.*, i, abs(v[i + 1]::DOUBLE) AS bz, abs(v[i + 26]::DOUBLE) AS az FROM s, (SELECT unnest(range(25)) AS i) WHERE st > 0 AND (seq % 50 = 7 OR (i + seq) % 5 = 0)),
+      ch AS (SELECT dt, st, ts_ms, i, CASE WHEN seq % 50 <> 7 AND bz < 0.05::DOUBLE THEN 0 ELSE bz END AS bz, CASE WHEN seq % 50 <> 7 AND az < 0.05::DOUBLE THEN 0 ELSE az END AS az FROM lv),
+      tk AS (SELECT dt, st, ts_ms FROM (SELECT *, row_number() OVER (PARTITION BY dt ORDER BY ts_ms) - 1 AS n FROM s WHERE st > 0) WHERE n % 3 = 0),
+      now AS (SELECT t.ts_ms, c.i, arg_max(c.bz, c.ts_ms) AS bz, arg_max(c.az, c.ts_ms) AS az FROM tk t JOIN ch c ON c.dt = t.dt AND c.st = t.st AND c.ts_ms <= t.ts_ms GROUP BY ALL),
+      b AS (SELECT ts_ms, count(*) AS n_bids, max(1000 - i - 0.5::DOUBLE) AS best_bid, sum(bz) AS bid_size FROM (SELECT *, row_number() OVER (PARTITION BY ts_ms ORDER BY i) AS r FROM now WHERE bz > 0) WHERE r <= 10 GROUP BY ts_ms),
+      a AS (SELECT ts_ms, min(1000 + i + 0.5::DOUBLE) AS best_ask, sum(az) AS ask_size FROM (SELECT *, row_number() OVER (PARTITION BY ts_ms ORDER BY i) AS r FROM now WHERE az > 0) WHERE r <= 10 GROUP BY ts_ms)
+      SELECT ts_ms, n_bids, best_bid, round(bid_size, 6) AS bid_size, best_ask, round(ask_size, 6) AS ask_size FROM b JOIN a USING (ts_ms)""",
+    "path_predictions": f"""WITH {PATHS}, pr AS (SELECT e.event_id, (b.ts_ms - e.ts_entry) / 1000.0::DOUBLE AS el, b.taker_imb1vb AS p, row_number() OVER (PARTITION BY e.event_id ORDER BY b.ts_ms) AS up, row_number() OVER (PARTITION BY e.event_id ORDER BY b.ts_ms DESC) AS down
+        FROM entries e JOIN rets b ON b.ts_ms >= e.ts_entry AND b.ts_ms <= e.ts_exit AND b.bar_id > e.event_id),
+      one AS (SELECT event_id, max(CASE WHEN up = 1 THEN p END) AS p0, count(*) AS n_preds, CASE WHEN count(*) >= 2 THEN regr_slope(CASE WHEN down <= 3 THEN p END, CASE WHEN down <= 3 THEN -down::DOUBLE END) END AS pred_slope FROM pr GROUP BY event_id),
+      j AS (SELECT s.event_id, s.sample, q.p AS now FROM samples s ASOF LEFT JOIN pr q ON s.event_id = q.event_id AND s.elapsed >= q.el)
+      SELECT event_id, sample, round(coalesce(now, p0, 0.5), 6) AS pred_now, round(CASE WHEN p0 IS NULL THEN 0 ELSE coalesce(now, p0) - p0 END, 6) AS pred_delta, round(coalesce(pred_slope, 0), 6) AS pred_slope, coalesce(n_preds, 0) AS n_preds FROM j LEFT JOIN one USING (event_id)""",
+    "peak_rate": f"""WITH {PATHS}, r AS (SELECT max(pnl) OVER (PARTITION BY event_id ORDER BY sample ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - pnl AS remaining FROM samples) SELECT round(avg((remaining <= 1e-10)::INT::DOUBLE), 6) AS peak_rate FROM r""",
 }

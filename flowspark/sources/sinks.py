@@ -17,9 +17,9 @@ def write_days(df: DataFrame, path: str, files_a_day: int = 8, mode: str = "erro
     out.write.mode(mode).partitionBy("symbol", "dt").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", compression: str = "none") -> None:
     """CSV with a header; nulls are empty fields."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).option("compression", compression).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
