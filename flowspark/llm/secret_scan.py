@@ -48,10 +48,12 @@ SECRET = 0.5
 # Characters of keys and tokens, and words that announce one.
 _NAMES = r"token|secret|passw|pwd|api_?key|access_?key|private_?key|credential|auth|bearer"
 _CHARACTERS = "[A-Za-z0-9_+/.-]"
+_AFTER_SIGN = r"(?<=[=:][\x20\t]{0,3}[\"'`]?)"
 #: A value after a key word, the rest of its name, and a sign: what stands before it is of bounded length.
 _AFTER_NAME = r"(?<=(?i:token|secret|passw|password|passwd|passphrase|pwd|api_?key|access_?key|private_?key|credential|auth_?key)(?i:[a-z0-9_]{0,16})[\"'`]?[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"'`]?)"
 CANDIDATE = (
-    rf"{_AFTER_NAME}(?<!{_CHARACTERS}){_CHARACTERS}{{{ANNOUNCED},}}+(?!@)={{0,2}}"
+    # The sign is looked for first: few runs have one before them.
+    rf"(?<!{_CHARACTERS}){_AFTER_SIGN}{_AFTER_NAME}{_CHARACTERS}{{{ANNOUNCED},}}+(?!@)={{0,2}}"
     rf"|(?<!{_CHARACTERS})(?<!@)(?=[A-Za-z_+/.-]*+[0-9]){_CHARACTERS}{{{SHORTEST},}}+(?!@)={{0,2}}"
 )
 KEYWORD = rf"(?i)({_NAMES})"
