@@ -9,7 +9,7 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
-from flowspark.llm import html_blocks, mixing, personal_data, quality_rules, queries, secret_scan, simhash, string_tiling, token_count, toxicity, training_order
+from flowspark.llm import html_blocks, mixing, personal_data, quality_rules, queries, secret_scan, shingle_sets, simhash, string_tiling, token_count, toxicity, training_order
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -303,7 +303,9 @@ def test_main_text_by_windows():
     assert html_blocks.main_text(framed) == " ".join([*body, "By Ann"])
 
 
-def test_near_copies_by_all_pairs(spark):
+@pytest.mark.parametrize("block", [512, 5])
+def test_near_copies_by_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(shingle_sets, "BLOCK", block)
     rng = random.Random(11)
     rows = []
     for i in range(60):  # more than SMALL texts in some groups
