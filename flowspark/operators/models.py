@@ -8,8 +8,7 @@ a Spark job over the fold's rows, which are stored by fold so that a fit reads i
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from flowspark.session import shared_dir
 
-from .evaluation import impute_medians
+from .evaluation import impute_medians, spearman
 
 #: Rows that a part needs for a fold to be fitted.
 LEAST = 50
@@ -33,6 +32,24 @@ def by_fold(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def together(parts: Iterable[DataFrame], empty: DataFrame) -> DataFrame:
+    """The rows of all parts, each written as it comes and read once at the end: the plan stays as small
+    as for one fold, and no fold is worked out twice.  ``empty`` where there is no part."""
+    path, schema = f"{shared_dir(empty.sparkSession)}/flowspark-parts-{uuid.uuid4().hex}", None
+    for part in parts:
+        part = part if schema is None else part.select(*schema.names)
+        part.write.mode("append").parquet(path)
+        schema = schema or part.schema
+    return empty if schema is None else empty.sparkSession.read.schema(schema).parquet(path)
+
+
+def fold_status(rows: DataFrame, y: str, least: int = LEAST) -> DataFrame:
+    """(fold_idx, train, oos, status): rows with a label to learn from and rows to predict in each fold,
+    and whether it is used or has too few of them."""
+    sizes = rows.groupBy("fold_idx").agg(F.count_if((F.col("part") == "train") & F.col(y).isNotNull()).alias("train"), F.count_if(F.col("part") == "oos").alias("oos"))
+    return sizes.withColumn("status", F.when(F.col("train") < least, "too few to learn from").when(F.col("oos") == 0, "none to predict").otherwise("used"))
+
+
 def fold_list(rows: DataFrame) -> list[int]:
     return sorted(r[0] for r in rows.select("fold_idx").distinct().collect())
 
@@ -58,13 +75,14 @@ def each_fold(rows: DataFrame, use: Callable[[DataFrame, DataFrame], DataFrame],
     """Union of ``use(train, oos)`` over folds; a fold with too few rows to learn from, or none to
     predict, gives none.  Empty, with no columns but the rows' own, where no fold can be used."""
     table = by_fold(rows)
-    sizes = table.groupBy("fold_idx").agg(F.count_if((F.col("part") == "train") & F.col(y).isNotNull()).alias("train"), F.count_if(F.col("part") == "oos").alias("oos"))
-    usable = sorted(r["fold_idx"] for r in sizes.filter((F.col("train") >= least) & (F.col("oos") > 0)).collect())
-    parts = []
-    for k in usable:
-        fold = table.filter(F.col("fold_idx") == k)
-        parts.append(use(fold.filter(f"part = 'train' and {y} is not null"), fold.filter("part = 'oos'")))
-    return reduce(DataFrame.unionByName, parts) if parts else table.limit(0)
+    usable = sorted(r["fold_idx"] for r in fold_status(table, y, least).filter("status = 'used'").collect())
+
+    def folds() -> Iterator[DataFrame]:
+        for k in usable:
+            fold = table.filter(F.col("fold_idx") == k)
+            yield use(fold.filter(f"part = 'train' and {y} is not null"), fold.filter("part = 'oos'"))
+
+    return together(folds(), table.limit(0))
 
 
 def walk_forward(rows: DataFrame, features: list[str], y: str, out: str = "pred", least: int = LEAST, **trees) -> DataFrame:
@@ -87,15 +105,18 @@ def gate_others(preds: DataFrame, features: list[str], y: str, pred: str = "pred
     """
     rows = preds.withColumn("_gain", F.signum(pred) * F.col(y)).fillna(0.0, features)
     table = by_fold(rows)
-    parts = []
-    for k in fold_list(table):
-        own = table.filter(F.col("fold_idx") == k)
-        others = table.filter((F.col("fold_idx") != k) & F.col("_gain").isNotNull()).join(own.select("symbol", "bar_id"), ["symbol", "bar_id"], "left_anti")
-        if others.limit(least).count() < least:
-            parts.append(own.withColumn("gate_score", F.lit(None).cast("double")))
-        else:
-            parts.append(fit_trees(others, features, "_gain", "gate_score", **trees).transform(own).drop("_x"))
-    scored = reduce(DataFrame.unionByName, parts) if parts else table.limit(0).withColumn("gate_score", F.lit(None).cast("double"))
+    none = F.lit(None).cast("double")
+
+    def gates() -> Iterator[DataFrame]:
+        for k in fold_list(table):
+            own = table.filter(F.col("fold_idx") == k)
+            others = table.filter((F.col("fold_idx") != k) & F.col("_gain").isNotNull()).join(own.select("symbol", "bar_id"), ["symbol", "bar_id"], "left_anti")
+            if others.limit(least).count() < least:
+                yield own.withColumn("gate_score", none)
+            else:
+                yield fit_trees(others, features, "_gain", "gate_score", **trees).transform(own).drop("_x")
+
+    scored = together(gates(), table.limit(0).withColumn("gate_score", none))
     edge = scored.agg(F.percentile("gate_score", F.lit(percent / 100)).alias("_edge"))  # one row
     return scored.crossJoin(F.broadcast(edge)).withColumn("gate_pass", F.coalesce(F.col("gate_score") >= F.col("_edge"), F.lit(True))).drop("_edge", "_gain")
 
@@ -120,3 +141,40 @@ def two_stage(rows: DataFrame, features: list[str], first: str, second: str, top
     done = each_fold(filled, use, first, least)
     missing = [c for c in ("alpha_pred", "alpha_feature", "pred") if c not in done.columns]
     return done.withColumns({c: F.lit(None).cast("double") for c in missing})
+
+
+def retrain(rows: DataFrame, features: list[str], y: str, rounds: int = 3, enough: int = 100, settled: float = 0.005, percent: float = 70.0, **trees) -> DataFrame:
+    """Walk-forward and gate in turns: each round learns from the train rows that the gate of the round
+    before let pass (all of them where they are under ``enough``), until the rank correlation of the rows
+    that pass changes by less than ``settled``.  The last round's predictions, with ``round``."""
+    train_rows, last, preds = rows, None, None
+    for k in range(rounds):
+        preds = gate_others(walk_forward(train_rows, features, y, **trees), features, y, percent=percent, **trees).withColumn("round", F.lit(k))
+        # One number a round.
+        found = spearman(preds.filter("gate_pass").withColumn("_all", F.lit(0)), "pred", y, ["_all"]).first()
+        now = found["spearman"] if found else None
+        if now is None or last is not None and abs(now - last) < settled:
+            break
+        last = now
+        passed = preds.filter("gate_pass").select("symbol", "bar_id").distinct()
+        chosen = rows.filter("part = 'train'").join(passed, ["symbol", "bar_id"], "left_semi")
+        few = chosen.groupBy("fold_idx").count().filter(F.col("count") < enough).select("fold_idx")
+        every = rows.filter("part = 'train'").join(few.union(rows.select("fold_idx").distinct().join(chosen.select("fold_idx").distinct(), "fold_idx", "left_anti")), "fold_idx", "left_semi")
+        train_rows = rows.filter("part = 'oos'").unionByName(chosen.join(few, "fold_idx", "left_anti")).unionByName(every)
+    return preds
+
+
+def exit_walk_forward(samples: DataFrame, features: list[str], y: str, out: str = "pred", gap: int = 0, tail: float = 0.2, least: int = LEAST, **trees) -> DataFrame:
+    """Samples of events with ``out``: a fold is predicted from the events of folds before it (``gap`` more
+    folds are left out between), of which the last share ``tail`` tells when to stop.  The first folds,
+    with nothing before them, are left out.  Needs ``fold_idx`` and ``event_id``."""
+    filled = samples.fillna(0.0, features)
+    table = by_fold(filled)
+
+    def folds() -> Iterator[DataFrame]:
+        for k in fold_list(table):
+            before = table.filter((F.col("fold_idx") < k - gap) & F.col(y).isNotNull()).withColumn("bar_id", F.col("event_id"))
+            if before.limit(least).count() == least:
+                yield fit_trees(before, features, y, out, tail=tail, **trees).transform(table.filter(F.col("fold_idx") == k)).drop("_x")
+
+    return together(folds(), table.limit(0).withColumn(out, F.lit(None).cast("double")))

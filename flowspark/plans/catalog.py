@@ -21,6 +21,7 @@ from flowspark.operators import joins as J
 from flowspark.operators import models as M
 from flowspark.operators import ordering as O
 from flowspark.operators import signals as S
+from flowspark.operators import tables as N
 from flowspark.plans.oracle import ORACLE_SQL  # noqa: F401
 from flowspark.session import shared_dir
 from flowspark.sources import sinks as D
@@ -301,6 +302,41 @@ def grid_fill_lags(spark, d):
     return rounded(df.select("grid_ms", "ret1_bp_lag1", "ret1_bp_lag2", "taker_imb_lag1", "taker_imb_lag2"))
 
 
+def grid_book_rows(spark, d):
+    """The book of each time's last bars, with bar lags, and a rolling rank of its depth."""
+    names = ["ob_imb_l1_close", "ob_total_depth_5_close"]
+    met = G.book_at_bars(at_grid(spark, d), K.ladder_features(book(spark, d)), 36_000_000, ["ob_imb_l1", "ob_total_depth_5"])
+    df = X.percent_ranks(G.rows(met, names, names, 1), names, 100)
+    return rounded(df.select("grid_ms", *names, *[f"{c}_lag1" for c in names], *[f"{c}_pctrank" for c in names]))
+
+
+def fold_status(spark, d):
+    return rounded(M.fold_status(joined(spark, d), "y", 380))
+
+
+def label_tail(spark, d):
+    return N.tail_is_null(S.label_efficiency(bars_of(spark, d)), "y_efficiency", 10)
+
+
+def joined_metrics(spark, d):
+    """Each prediction with its bar's close and its fold's rank correlation."""
+    j = joined(spark, d).filter("part = 'oos'")
+    met = N.unique_join(j, bars_of(spark, d).select("symbol", "bar_id", "close"), ["symbol", "bar_id"])
+    return rounded(N.with_metrics(met, E.spearman(j, "pred", "y", ["fold_idx"]).drop("n")).select("fold_idx", "bar_id", "close", "spearman"))
+
+
+def retrained_gate(spark, d):
+    df = M.retrain(modelling(spark, d), INPUTS, "y_vwap", rounds=2, trees=5)
+    return rounded(df.select("fold_idx", "bar_id", "pred", "gate_score", "gate_pass", "round"))
+
+
+def exit_walk_forward(spark, d):
+    """Exit models on the samples of events, in four folds by event."""
+    names = ["pnl", "from_peak", "cum_imb", "elapsed", "pnl_lag1", "imb_velocity", "with_share"]
+    df = P.path_features(P.resample(paths(spark, d), SAMPLES), 3600.0, 2, 3).withColumn("fold_idx", F.floor(F.col("event_id") / 300).cast("int"))
+    return rounded(M.exit_walk_forward(df, names, "remaining", trees=5).select("fold_idx", "event_id", "sample", "remaining", "pred"))
+
+
 def grid_book(spark, d):
     met = G.book_at_bars(at_grid(spark, d), K.ladder_features(book(spark, d)), 60_000, ["ob_imb_l1", "ob_total_depth_5"])
     return rounded(met.select("grid_ms", "bar_idx", "book_ts", "ob_imb_l1_close", "ob_total_depth_5_close"))
@@ -507,5 +543,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         median_impute, missing_profile, hold_buckets, rolling_spearman, pace, volatility_ratio, feature_ranks, fold_members_expanding, day_members,
         growing_threshold, pooled_metrics, gate_metrics, fold_summary, hold_stats, train_scale, describe_label, match_rate, null_rows, domain_score, domain_events,
         grid_rows, grid_fill_lags, grid_book, book_over_bars, horizon_return, two_instruments, files_to_bars, tick_cache, date_list, book_replay, path_predictions, peak_rate,
+        grid_book_rows, fold_status, label_tail, joined_metrics, retrained_gate, exit_walk_forward,
     )
 }

@@ -434,4 +434,15 @@ ORACLE_SQL: dict[str, str] = {
       j AS (SELECT s.event_id, s.sample, q.p AS now FROM samples s ASOF LEFT JOIN pr q ON s.event_id = q.event_id AND s.elapsed >= q.el)
       SELECT event_id, sample, round(coalesce(now, p0, 0.5), 6) AS pred_now, round(CASE WHEN p0 IS NULL THEN 0 ELSE coalesce(now, p0) - p0 END, 6) AS pred_delta, round(coalesce(pred_slope, 0), 6) AS pred_slope, coalesce(n_preds, 0) AS n_preds FROM j LEFT JOIN one USING (event_id)""",
     "peak_rate": f"""WITH {PATHS}, r AS (SELECT max(pnl) OVER (PARTITION BY event_id ORDER BY sample ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - pnl AS remaining FROM samples) SELECT round(avg((remaining <= 1e-10)::INT::DOUBLE), 6) AS peak_rate FROM r""",
+    "grid_book_rows": f"""WITH {GRID_BARS}, {LADDER}, j AS (SELECT b.grid_ms, b.bar_idx, CASE WHEN b.ts_ms - f.ts_ms <= 36000000 THEN f.ob_imb_l1 END AS x, CASE WHEN b.ts_ms - f.ts_ms <= 36000000 THEN f.ob_total_depth_5 END AS y FROM gbars b ASOF LEFT JOIN feats f ON b.ts_ms >= f.ts_ms),
+      g AS (SELECT grid_ms, row_number() OVER (ORDER BY grid_ms) - 1 AS bar_id, max(CASE WHEN bar_idx = 2 THEN x END) AS x, max(CASE WHEN bar_idx = 2 THEN y END) AS y, max(CASE WHEN bar_idx = 1 THEN x END) AS x1, max(CASE WHEN bar_idx = 1 THEN y END) AS y1 FROM j GROUP BY grid_ms),
+      p1 AS (SELECT * EXCLUDE (own, pct), pct AS px FROM {rank_of("x", 100, 10, "g")}), p2 AS (SELECT *, pct AS py FROM {rank_of("y", 100, 10, "p1")})
+      SELECT grid_ms, round(x, 6) AS ob_imb_l1_close, round(y, 6) AS ob_total_depth_5_close, round(x1, 6) AS ob_imb_l1_close_lag1, round(y1, 6) AS ob_total_depth_5_close_lag1, round(px, 6) AS ob_imb_l1_close_pctrank, round(py, 6) AS ob_total_depth_5_close_pctrank FROM p2""",
+    "fold_status": f"""WITH {VARIABLE}, s AS (SELECT fold_idx, count(*) FILTER (part = 'train' AND y IS NOT NULL) AS train, count(*) FILTER (part = 'oos') AS oos FROM mem GROUP BY fold_idx)
+      SELECT *, CASE WHEN train < 380 THEN 'too few to learn from' WHEN oos = 0 THEN 'none to predict' ELSE 'used' END AS status FROM s""",
+    "label_tail": "SELECT 'EV' AS symbol, true AS clean",
+    "joined_metrics": f"""WITH {VARIABLE}, q AS (SELECT * FROM mem WHERE part = 'oos'), r AS (SELECT fold_idx, rank() OVER (PARTITION BY fold_idx ORDER BY pred) + (count(*) OVER (PARTITION BY fold_idx, pred) - 1) / 2.0::DOUBLE AS ra,
+      rank() OVER (PARTITION BY fold_idx ORDER BY y) + (count(*) OVER (PARTITION BY fold_idx, y) - 1) / 2.0::DOUBLE AS rb FROM q WHERE pred IS NOT NULL AND y IS NOT NULL),
+      m AS (SELECT fold_idx, covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) AS spearman FROM r GROUP BY fold_idx)
+      SELECT q.fold_idx, q.bar_id, round(b.close, 6) AS close, round(spearman, 6) AS spearman FROM q JOIN bars b USING (bar_id) LEFT JOIN m ON m.fold_idx = q.fold_idx""",
 }

@@ -4,7 +4,7 @@ import gzip
 import json
 import zipfile
 
-from flowspark.operators import book
+from flowspark.operators import bars, book
 from flowspark.plans import views
 from flowspark.sources import sinks, trades
 
@@ -62,3 +62,32 @@ def test_views(spark):
     names = views.register(spark, "/root/testdata/sf0.001")
     counts = {n: spark.sql(f"SELECT count(*) AS n FROM {n}").first().n for n in names}
     assert counts["ticks"] == 1000 and counts["bars"] == spark.sql("SELECT sum(lots) DIV 500 AS n FROM ticks").first().n and counts["book"] == counts["ladder"] > 0
+
+
+def test_trades_become_bars(spark, tmp_path):
+    """Two files, of which the later is read first: sizes to lots, one order over both, no odd numbers."""
+    rows = {"b": [(20, "Buy", 0.003, 102.0), (21, "Sell", 0.004, 103.0), (22, "Buy", "NaN", 1.0), (23, "Buy", "inf", 1.0), (24, "Buy", 0.0001, 1.0)], "a": [(10, "Sell", 0.004, 100.0), (11, "Buy", 0.002, 101.0), (11, "Buy", 0.002, 100.5)]}
+    for name, lines in rows.items():
+        with gzip.open(tmp_path / f"{name}.csv.gz", "wt") as f:
+            f.write("timestamp,side,size,price\n" + "\n".join(f"{1700000000 + t},{s},{q},{p}" for t, s, q, p in lines) + "\n" * (name == "b") + " \n" * 50 * (name == "b"))
+    lots = trades.as_lots(trades.trades_gz(spark, str(tmp_path / "*.gz"), "X"), 0.001)
+    assert [(r.seq, r.lots, r.price) for r in lots.orderBy("seq").collect()] == [(0, 4, 100.0), (1, 2, 101.0), (2, 2, 100.5), (3, 3, 102.0), (4, 4, 103.0)]
+    got = bars.volume_bars(lots, 5).orderBy("bar_id").collect()
+    assert [(r.open, r.close, r.trade_count) for r in got] == [(100.0, 101.0, 2), (101.0, 102.0, 3), (102.0, 103.0, 2)]
+    assert trades.time_range(lots, 1700000010000, 1700000020000).count() == 3
+
+
+def test_zipped_book_and_its_depth(spark, tmp_path):
+    lines = [json.dumps({"type": k, "ts": t, "data": {"b": b, "a": a}}) for t, k, b, a in MESSAGES]
+    with zipfile.ZipFile(tmp_path / "2024-01-01_X_ob500.data.zip", "w") as z:
+        z.writestr("x.data", "\n".join([*lines, "{broken"]))
+    got = book.reconstruct(trades.book_messages(spark, str(tmp_path / "*.zip"), "X"), 1000)
+    assert sorted(r.ts_ms for r in got.collect()) == [200, 1201, 2300]
+    assert trades.depth_of("2024-01-01_X_ob500.data.zip") == 500 and trades.depth_of("x.zip") is None
+
+
+def test_dates_and_sets(spark):
+    assert [str(r.dt) for r in trades.date_list(spark, "2024-02-28", "2024-03-01").collect()] == ["2024-02-28", "2024-02-29"]
+    assert trades.date_list(spark, "2024-03-01", "2024-03-01").count() == 0 and trades.date_list(spark, "2024-03-01", "2024-03-01", True).count() == 1
+    a = spark.createDataFrame([("X", 2, 0), ("X", 1, 0)], "symbol string, ts_ms long, seq long")
+    assert [r.ts_ms for r in trades.union_ordered(a, a.limit(1)).collect()] == [1, 2]
