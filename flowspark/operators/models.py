@@ -7,7 +7,6 @@ a Spark job over the fold's rows, which are stored by fold so that a fit reads i
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.ml import PipelineModel
@@ -16,7 +15,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.session import shared_dir
+from flowspark.session import scratch
 
 from .evaluation import impute_medians, spearman
 
@@ -27,7 +26,7 @@ LEAST = 50
 def by_fold(rows: DataFrame) -> DataFrame:
     """The rows, written in one folder a fold."""
     spark = rows.sparkSession
-    path = f"{shared_dir(spark)}/flowspark-folds-{uuid.uuid4().hex}"
+    path = scratch(spark, "folds")
     rows.repartition("fold_idx").write.partitionBy("fold_idx").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
@@ -35,7 +34,7 @@ def by_fold(rows: DataFrame) -> DataFrame:
 def together(parts: Iterable[DataFrame], empty: DataFrame) -> DataFrame:
     """The rows of all parts, each written as it comes and read once at the end: the plan stays as small
     as for one fold, and no fold is worked out twice.  ``empty`` where there is no part."""
-    path, schema = f"{shared_dir(empty.sparkSession)}/flowspark-parts-{uuid.uuid4().hex}", None
+    path, schema = scratch(empty.sparkSession, "parts"), None
     for part in parts:
         part = part if schema is None else part.select(*schema.names)
         part.write.mode("append").parquet(path)

@@ -5,7 +5,6 @@ Results are rounded to six places and whole numbers are BIGINT, so that two engi
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,7 +22,7 @@ from flowspark.operators import ordering as O
 from flowspark.operators import signals as S
 from flowspark.operators import tables as N
 from flowspark.plans.oracle import ORACLE_SQL  # noqa: F401
-from flowspark.session import shared_dir
+from flowspark.session import scratch
 from flowspark.sources import sinks as D
 from flowspark.sources import trades as R
 from flowspark.sources.adapters import as_ticks, book, ticks
@@ -362,7 +361,7 @@ def two_instruments(spark, d):
 
 def files_to_bars(spark, d):
     """Ticks written as gzipped CSV of seconds and sizes, read back, and cut into bars."""
-    path = f"{shared_dir(spark)}/flowspark-trades-{uuid.uuid4().hex}"
+    path = scratch(spark, "trades")
     t = ticks(spark, d).select((F.col("ts_ms") / 1000.0).alias("timestamp"), F.when(F.col("is_buyer_maker"), "Sell").otherwise("Buy").alias("side"), (F.col("lots") * 0.001).alias("size"), "price", "seq")
     D.write_csv(t.repartitionByRange(4, "timestamp", "seq").sortWithinPartitions("timestamp", "seq").drop("seq"), path, compression="gzip")
     back = R.as_lots(R.trades_gz(spark, path, "EV"), 0.001)
@@ -371,7 +370,7 @@ def files_to_bars(spark, d):
 
 def tick_cache(spark, d):
     """Ticks written by instrument and day, and a range of times read back."""
-    path = f"{shared_dir(spark)}/flowspark-days-{uuid.uuid4().hex}"
+    path = scratch(spark, "days")
     D.write_days(ticks(spark, d), path, 2)
     return rounded(R.read_days(spark, path, 1704400000000, 1705000000000, ["EV"]).select("symbol", "ts_ms", "seq", "price", "lots"))
 

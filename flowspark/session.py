@@ -33,9 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_made: list[str] = []
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; :func:`clear` deletes what is written there."""
+    path = f"{shared_dir(spark)}/flowspark-{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write as Parquet in the shared folder and read back: later steps do not recompute it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/flowspark-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def made() -> int:
+    """How many paths :func:`scratch` has given out: a mark for :func:`clear`."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Delete what operators have stored since a mark.  Results that read it must be written by then."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in _made[since:]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    del _made[since:]

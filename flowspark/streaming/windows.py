@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.session import shared_dir
+from flowspark.session import scratch
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
@@ -37,7 +35,7 @@ def by_session(stream: DataFrame, gap: str, late: str = "1 hour", keys: tuple[st
 def run_available(stream: DataFrame, label: str) -> DataFrame:
     """Run the stream over all that has arrived, into Parquet in the shared folder, and read that."""
     spark = stream.sparkSession
-    home = f"{shared_dir(spark)}/flowspark-stream-{label}-{uuid.uuid4().hex}"
+    home = scratch(spark, f"stream-{label}")
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start(f"{home}/rows")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{home}/rows")
