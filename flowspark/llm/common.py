@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.session import shared_dir, stored
+from flowspark.session import clear, made, scratch, shared_dir, stored
 
-__all__ = ["GAP", "SLICE", "WORD", "by_bytes", "cut", "map_rows", "pick", "sample_ids", "shared_dir", "stored", "table", "text_key", "words_by_space"]
+__all__ = ["GAP", "SLICE", "WORD", "by_bytes", "clear", "cut", "made", "map_rows", "pick", "sample_ids", "scratch", "shared_dir", "stored", "table", "text_key", "words_by_space"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"

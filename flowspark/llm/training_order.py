@@ -30,7 +30,6 @@ import base64
 import hashlib
 import math
 import sys
-import uuid
 from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -42,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, by_bytes, pick, shared_dir, stored, words_by_space
+from .common import SLICE, by_bytes, pick, scratch, stored, words_by_space
 
 #: The part of a pattern that looks ahead in white space, and white space.
 LOOK_AHEAD = r"\s+(?!\S)|"
@@ -318,7 +317,7 @@ def ordered_digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str, eos:
     """(slot, shard, position, sequence, doc_ids, tokens_sha256) of all records, read back from shards
     in the shared folder."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/flowspark-shards-{uuid.uuid4().hex}"
+    path = scratch(spark, "shards")
     held = materialise(docs, ranks, pattern, eos, path, length, shard_records, key)
     empty = "slot long, shard int, position int, sequence long, tokens binary"
     there = read_shards(spark, path, length, shard_records) if not docs.isEmpty() else spark.createDataFrame([], empty)
