@@ -81,20 +81,20 @@ def rolling_spearman(a: np.ndarray, b: np.ndarray, n: int, least: int, step: int
     return out
 
 
-def robust_z(df: DataFrame, column: str, out: str, n: int, least: int) -> DataFrame:
-    """Distance from the rolling median in scaled rolling medians of such distances."""
-    mid = rolled(df, {"_mid": ("median", column, n, least)}).withColumn("_dev", F.abs(F.col(column) - F.col("_mid")))
-    spread = rolled(mid, {"_mad": ("median", "_dev", n, least)})
-    return spread.withColumn(out, (F.col(column) - F.col("_mid")) / F.nullif(1.4826 * F.col("_mad"), F.lit(0.0))).drop("_mid", "_dev", "_mad")
+def robust_z(df: DataFrame, wanted: dict[str, str], n: int, least: int) -> DataFrame:
+    """Output name -> column: distance from the rolling median in scaled rolling medians of such distances."""
+    mids = rolled(df, {f"_mid_{out}": ("median", c, n, least) for out, c in wanted.items()})
+    away = mids.withColumns({f"_dev_{out}": F.abs(F.col(c) - F.col(f"_mid_{out}")) for out, c in wanted.items()})
+    spread = rolled(away, {f"_mad_{out}": ("median", f"_dev_{out}", n, least) for out in wanted})
+    z = {out: (F.col(c) - F.col(f"_mid_{out}")) / F.nullif(1.4826 * F.col(f"_mad_{out}"), F.lit(0.0)) for out, c in wanted.items()}
+    return spread.withColumns(z).drop(*[f"_{k}_{out}" for out in wanted for k in ("mid", "dev", "mad")])
 
 
 def pace(bars: DataFrame, scale: int = 18) -> DataFrame:
     """``dt_sec_z`` and ``trade_count_z``: robust z of the logs of a bar's time and trades."""
     n = max(10, 4 * scale)
-    df = bars
-    for c in ("dt_sec", "trade_count"):
-        df = robust_z(df.withColumn("_x", F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0)))), "_x", f"{c}_z", n, max(5, n // 4)).drop("_x")
-    return df
+    logs = {f"_log_{c}": F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))) for c in ("dt_sec", "trade_count")}
+    return robust_z(bars.withColumns(logs), {"dt_sec_z": "_log_dt_sec", "trade_count_z": "_log_trade_count"}, n, max(5, n // 4)).drop(*logs)
 
 
 def volatility_ratio(bars: DataFrame, scale: int = 18) -> DataFrame:

@@ -89,7 +89,7 @@ def rolling_percent_rank(spark, d):
 
 def robust_z(spark, d):
     df = bars_of(spark, d).withColumn("_x", F.log1p(F.greatest("dt_sec", F.lit(0.0))))
-    return rounded(X.robust_z(df, "_x", "dt_sec_z", 72, 18).select("bar_id", "dt_sec_z"))
+    return rounded(X.robust_z(df, {"dt_sec_z": "_x"}, 72, 18).select("bar_id", "dt_sec_z"))
 
 
 def ewma(spark, d):

@@ -25,7 +25,7 @@ def test_rolled_by_hand(spark):
         assert [x if x is None else round(x, 6) for x in values(got, "pct")] == [None, 1.0, None, 0.833333, 1.0, 0.5, None, 0.333333]
         assert values(got, "mid") == [1.0, 1.5, 1.5, 2.0, 3.5, 2.0, 3.5, 1.5]
     z = spark.createDataFrame([("X", i, v) for i, v in enumerate([1.0, 2.0, 4.0, 8.0, 100.0])], "symbol string, bar_id long, v double")
-    assert [x if x is None else round(x, 6) for x in values(X.robust_z(z, "v", "z", 3, 1), "z")] == [None, 1.348982, 2.697963, 1.348982, 15.513287]
+    assert [x if x is None else round(x, 6) for x in values(X.robust_z(z, {"z": "v"}, 3, 1), "z")] == [None, 1.348982, 2.697963, 1.348982, 15.513287]
 
 
 def test_quantile_counts_values(spark):
@@ -47,7 +47,7 @@ def test_two_instruments_are_kept_apart(spark):
         b = X.bar_features(B.volume_bars(t, 200), 1, 40)
         return E.members(b, E.bar_folds(b, 60, 20, 5), 3)
 
-    both = made(ticks).drop("_x")
+    both = made(ticks)
     for name in "AB":
         one = made(ticks.filter(F.col("symbol") == name))
         assert one.count() > 0 and sorted(map(str, both.filter(F.col("symbol") == name).collect())) == sorted(map(str, one.collect()))
