@@ -123,7 +123,7 @@ def grid_bars(ticks: DataFrame, times: DataFrame, volume: int, bars: int) -> Dat
     t = running_sum(ticks.filter("lots > 0"), "lots", "upto")
     # Lots up to each grid time: times and ticks in one order.
     both = t.select("symbol", "ts_ms", F.lit(0).alias("g"), F.col("lots").alias("n")).unionByName(times.select("symbol", F.col("grid_ms").alias("ts_ms"), F.lit(1).alias("g"), F.lit(0).cast("long").alias("n")))
-    both = both.withColumn("dt", F.to_date(F.timestamp_millis("ts_ms"))).withColumn("seq", F.col("g"))
+    both = both.withColumn("seq", F.col("g"))
     total = running_sum(both, "n", "total").filter("g = 1 and total >= " + str(need)).select("symbol", F.col("ts_ms").alias("grid_ms"), "total")
     # The last lot of a tick is in one cell; a time's window of lots meets two cells at most.
     cells = F.sequence(F.floor((F.col("total") - need) / need), F.floor((F.col("total") - 1) / need))

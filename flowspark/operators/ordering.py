@@ -3,28 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPS = 1e-12
+#: Milliseconds of a slice of ticks.
+SLICE_MS = 3_600_000
 
 
-def running_sum(df: DataFrame, value: str, out: str, keys: Sequence[str] = ("symbol",), slice_by: str = "dt", order: Sequence[str] = ("ts_ms", "seq")) -> DataFrame:
+def running_sum(df: DataFrame, value: str, out: str, keys: Sequence[str] = ("symbol",), slice_by: Column | str | None = None, order: Sequence[str] = ("ts_ms", "seq")) -> DataFrame:
     """Add the inclusive running sum of ``value`` along ``order`` for each of ``keys``.
 
-    ``slice_by`` must not fall along the order (a date, say).  Slices are summed, the slices' totals
-    are summed up (one row for each slice), and each slice is summed on its own.
+    ``slice_by`` must not fall along the order (hours of ``ts_ms`` if not given).  Slices are summed, the
+    slices' totals are summed up (one row for each slice), and each slice is summed on its own.  Rows are
+    dealt to their slices once, for the join and the sum alike; a missing key is a key like any other.
     """
-    sums = df.groupBy(*keys, slice_by).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy(slice_by).rowsBetween(Window.unboundedPreceding, -1)
-    renamed = {c: f"_k{i}" for i, c in enumerate([*keys, slice_by])}
-    starts = sums.select(*keys, slice_by, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start")).withColumnsRenamed(renamed)
-    within = Window.partitionBy(*keys, slice_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    same = reduce(and_, (F.col(c).eqNullSafe(F.col(k)) for c, k in renamed.items()))  # a missing key is a key
-    return df.join(starts, same).withColumn(out, F.col("_start") + F.sum(value).over(within)).drop("_start", *renamed.values())
+    by = F.floor(F.col("ts_ms") / SLICE_MS) if slice_by is None else F.col(slice_by) if isinstance(slice_by, str) else slice_by
+    # A struct is equal to another with the same gaps.
+    dealt = df.withColumn("_key", F.struct(*keys, by.alias("_slice")))
+    sums = dealt.groupBy("_key").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*[f"_key.{k}" for k in keys]).orderBy("_key._slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_key", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(starts, "_key").withColumn(out, F.col("_start") + F.sum(value).over(within)).select(*df.columns, out)
 
 
 def in_blocks(
