@@ -127,16 +127,16 @@ def take(docs: DataFrame, groups: DataFrame) -> DataFrame:
     Rows alike in id, source and text share their copies evenly; what is left over goes to one of them.
     """
     wanted = groups.select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("spot").alias("_of"), "n", (crossings(F.col("rank") + F.col("n")) - crossings(F.col("rank"))).alias("all")
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("spot").alias("__of"), "n", (crossings(F.col("rank") + F.col("n")) - crossings(F.col("rank"))).alias("all")
     )
-    wanted = stored(wanted.select("_id", "_source", "_of", F.floor(F.col("all") / F.col("n")).cast("int").alias("_each"), F.pmod("all", "n").cast("int").alias("_rest")).filter("_each + _rest > 0"), "mix")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_spot") == F.col("_of"))
-    rows = docs.withColumn("_spot", spot())
-    times = lambda df, n: df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
-    out = times(rows.join(wanted.filter("_each > 0"), same), "_each")
-    rest = wanted.filter("_rest > 0")
+    wanted = stored(wanted.select("__id", "__source", "__of", F.floor(F.col("all") / F.col("n")).cast("int").alias("__each"), F.pmod("all", "n").cast("int").alias("__rest")).filter("__each + __rest > 0"), "mix")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__spot") == F.col("__of"))
+    rows = docs.withColumn("__spot", spot())
+    times = lambda df, n: df.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    out = times(rows.join(wanted.filter("__each > 0"), same), "__each")
+    rest = wanted.filter("__rest > 0")
     if not rest.isEmpty():
-        out = out.unionByName(times(rows.join(rest, same).dropDuplicates(["doc_id", "source", "_spot"]), "_rest"))
+        out = out.unionByName(times(rows.join(rest, same).dropDuplicates(["doc_id", "source", "__spot"]), "__rest"))
     return out
 
 

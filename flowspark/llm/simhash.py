@@ -347,13 +347,13 @@ def keep_one(docs: DataFrame, prints: DataFrame, first: DataFrame) -> DataFrame:
     Every row is judged by id and text, so a row that shares the id of a copy stays; of rows with equal
     id and text one stays.
     """
-    keep = first.select(F.col("doc_id").alias("_id"), F.col("key").alias("_of"))
-    keyed = docs.withColumn("_key", text_key())
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b)) & (F.col("_key") == F.col("_of"))
-    kept = keyed.join(keep, same("doc_id", "_id"), "left_semi")
-    again = prints.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_of")).count().filter("count > 1").drop("count")
+    keep = first.select(F.col("doc_id").alias("__id"), F.col("key").alias("__of"))
+    keyed = docs.withColumn("__key", text_key())
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b)) & (F.col("__key") == F.col("__of"))
+    kept = keyed.join(keep, same("doc_id", "__id"), "left_semi")
+    again = prints.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__of")).count().filter("count > 1").drop("count")
     again = stored(again, "repeated-rows")
     if not again.isEmpty():
-        once = kept.join(again, same("doc_id", "_id"), "left_semi").dropDuplicates(["doc_id", "_key"])
-        kept = kept.join(again, same("doc_id", "_id"), "left_anti").unionByName(once)
-    return kept.drop("_key")
+        once = kept.join(again, same("doc_id", "__id"), "left_semi").dropDuplicates(["doc_id", "__key"])
+        kept = kept.join(again, same("doc_id", "__id"), "left_anti").unionByName(once)
+    return kept.drop("__key")

@@ -327,6 +327,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
     Every row is judged by its own text: contaminated rows are joined back by id and text.
     """
-    bad = overlaps(docs, benchmark, coverage, passage).select(F.col("doc_id").alias("_leak"), F.col("key").alias("_of")).distinct()
-    keyed = docs.withColumn("_key", text_key())
-    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_leak")) & (F.col("_key") == F.col("_of")), "left_anti").drop("_key")
+    bad = overlaps(docs, benchmark, coverage, passage).select(F.col("doc_id").alias("__leak"), F.col("key").alias("__of")).distinct()
+    keyed = docs.withColumn("__key", text_key())
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("__leak")) & (F.col("__key") == F.col("__of")), "left_anti").drop("__key")

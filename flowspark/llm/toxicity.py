@@ -51,7 +51,7 @@ LOOKALIKE = str.maketrans("013457@$!|", "oieastasil")
 
 #: The features' columns; the mark in front keeps them apart from a table's own.
 FEATURES = tuple(
-    f"_x_{name}"
+    f"__{name}"
     for name in "lexicon_density lexicon_count lexicon_kinds fixed_count near_second second_density capitals shouted punctuation exclamations hidden_density hidden_lexicon log_words word_length".split()
 )
 _SPACED = str.maketrans(dict.fromkeys(string.punctuation + "«»“”„…¡¿", " "))
@@ -164,18 +164,18 @@ class Model:
         self.lexicon, self.trees, self.calibration, self.constant = lexicon, trees, calibration, constant
 
     def apply(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (text, ...) with ``_score``."""
+        """``rows`` (text, ...) with ``__score``."""
         if self.trees is None:
-            return rows.withColumn("_score", F.lit(self.constant))
+            return rows.withColumn("__score", F.lit(self.constant))
         scored = raw_score(self.trees, with_features(rows, self.lexicon)).drop(*FEATURES)
         if self.calibration is not None:
-            scored = self.calibration.transform(scored).drop("_raw").withColumnRenamed("_calibrated", "_raw")
-        return scored.withColumn("_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_raw")))).drop("_raw")
+            scored = self.calibration.transform(scored).drop("__raw").withColumnRenamed("__calibrated", "__raw")
+        return scored.withColumn("__score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("__raw")))).drop("__raw")
 
 
 def raw_score(trees, rows: DataFrame) -> DataFrame:
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(rows)
-    return trees.transform(vectors).withColumn("_raw", vector_to_array("_probability")[1]).drop("_features", "_margins", "_probability", "_class")
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="__features").transform(rows)
+    return trees.transform(vectors).withColumn("__raw", vector_to_array("__probability")[1]).drop("__features", "__margins", "__probability", "__class")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, trees: int = 20, depth: int = 4, seed: int = 5) -> Model:
@@ -197,18 +197,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, trees: int = 2
     table = stored(with_features(rows, lexicon).withColumn("_fit", fitting).drop("text"), "toxicity-features")
     # One order of the sample, whatever the partitions were: sums and splits come out alike.
     ordered = table.filter("_fit").repartition(1).sortWithinPartitions("_key", "toxic")
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(ordered)
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="__features").transform(ordered)
     least = max(4, counts["n"] // 800)
-    boosted = GBTClassifier(featuresCol="_features", labelCol="toxic", predictionCol="_class", maxIter=trees, maxDepth=depth, stepSize=0.2, subsamplingRate=1.0, minInstancesPerNode=least, seed=seed, checkpointInterval=-1)
-    model = boosted.setProbabilityCol("_probability").setRawPredictionCol("_margins").fit(vectors)
+    boosted = GBTClassifier(featuresCol="__features", labelCol="toxic", predictionCol="__class", maxIter=trees, maxDepth=depth, stepSize=0.2, subsamplingRate=1.0, minInstancesPerNode=least, seed=seed, checkpointInterval=-1)
+    model = boosted.setProbabilityCol("__probability").setRawPredictionCol("__margins").fit(vectors)
     # Steps of the raw score, each drawn to the common share as by PRIOR rows: a handful of rows with
     # a wrong label does not make a step of its own.
-    step = F.round(F.col("_raw") * 50) / 50
-    steps = raw_score(model, table.filter(~F.col("_fit"))).groupBy(step.alias("_raw")).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("a"))
-    check = steps.select("_raw", ((F.col("a") + PRIOR * share) / (F.col("n") + PRIOR)).alias("toxic"), (F.col("n") + F.lit(float(PRIOR))).alias("weight"))
+    step = F.round(F.col("__raw") * 50) / 50
+    steps = raw_score(model, table.filter(~F.col("_fit"))).groupBy(step.alias("__raw")).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("a"))
+    check = steps.select("__raw", ((F.col("a") + PRIOR * share) / (F.col("n") + PRIOR)).alias("toxic"), (F.col("n") + F.lit(float(PRIOR))).alias("weight"))
     calibration = None
     if not check.isEmpty():
-        calibration = IsotonicRegression(featuresCol="_raw", labelCol="toxic", weightCol="weight", predictionCol="_calibrated").fit(check.coalesce(1))
+        calibration = IsotonicRegression(featuresCol="__raw", labelCol="toxic", weightCol="weight", predictionCol="__calibrated").fit(check.coalesce(1))
     return Model(lexicon, model, calibration, share)
 
 
@@ -216,9 +216,9 @@ def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, doc_id: str =
     """(doc_id, held_out, score, predicted) for every document."""
     rows = pick(docs, doc_id=doc_id, text=text)
     scored = train(rows, labels, most).apply(rows)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= TOXIC).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= TOXIC).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) that are not predicted toxic, each judged by its own text."""
-    return train(pick(docs, doc_id="doc_id", text="text"), labels, most).apply(docs).filter(F.col("_score") < TOXIC).select(*docs.columns)
+    return train(pick(docs, doc_id="doc_id", text="text"), labels, most).apply(docs).filter(F.col("__score") < TOXIC).select(*docs.columns)

@@ -1,11 +1,10 @@
 """Nulls, empty and long texts, repeated rows, clashing columns and empty tables, for each operator and stage."""
 
-import os
-import re
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
-from flowspark.llm import html_blocks, mixing, personal_data, quality_rules, queries, secret_scan, simhash, string_tiling, token_count, toxicity, training_order
+from flowspark.llm import html_blocks, mixing, personal_data, quality_rules, queries, secret_scan, shingle_sets, simhash, string_tiling, token_count, toxicity, training_order
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, toxic string, size string, score string, slot string, part string, kind string, row string, copies string, _id long"
@@ -72,6 +71,35 @@ def test_empty_table(spark, odd, labels, bench, name):
     assert operators(labels, bench)[name](spark.createDataFrame([], odd.schema)).collect() == []
 
 
+def stages(labels, bench):
+    def near(d):
+        prints, _, roots = simhash.grouped(d)
+        return simhash.keep_one(d, prints, shingle_sets.near_copies(d, simhash.firsts(prints, roots)))
+
+    return {
+        "toxicity": lambda d: toxicity.keep_clean(d, labels),
+        "near": near,
+        "tiling": lambda d: string_tiling.decontaminate(d, bench),
+        "mix": lambda d: mixing.take(d, mixing.drawn(d)),
+    }
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near", "tiling", "mix"])
+def test_stages_on_odd_rows(spark, odd, labels, bench, name):
+    out = stages(labels, bench)[name](odd)
+    assert out.columns == odd.columns
+    rows = out.collect()
+    kept = {(r["doc_id"], r["text"]) for r in rows}
+    assert kept <= {(r["doc_id"], r["text"]) for r in odd.collect()} and all(r["_id"] == 1 and r["fp"] == "c" for r in rows)
+    if name == "near":
+        assert len(rows) == len(kept) == len({t for _, t in kept}) and (6, TEXTS[6]) in kept
+    if name == "tiling":
+        assert {i for i, _ in kept} == {None, 1, 2, 3, 5, 8, 9, 10}
+    if name == "mix":
+        assert len(rows) == sum(r["copies"] for r in mixing.mix(odd).collect())
+    assert stages(labels, bench)[name](odd.filter("false")).collect() == []
+
+
 @pytest.mark.parametrize("name", ["quality", "toxicity"])
 def test_no_labels(spark, odd, labels, bench, name):
     assert operators(labels.filter("false"), bench)[name](odd).count() == odd.count()
@@ -92,6 +120,11 @@ def test_pipeline(spark):
         before, kept = kept, spark.createDataFrame(stage(spark, kept, sf).collect(), docs.schema)
         if name != "source_mixing":
             assert kept.exceptAll(before).isEmpty()
+        else:
+            times = kept.groupBy("doc_id", "text").count().agg(F.max("count")).first()[0]
+            want = mixing.mix(before).filter("copies > 0").groupBy("source").agg(F.sum("copies").alias("n"))
+            assert times <= 3 and kept.select("doc_id", "text").distinct().exceptAll(before.select("doc_id", "text").distinct()).isEmpty()
+            assert kept.groupBy("source").agg(F.count("*").alias("n")).exceptAll(want).isEmpty()
         if name == "simhash_near_dedup":
             assert kept.count() == kept.select("text").distinct().count()
         if name == "benchmark_decontamination":
@@ -100,3 +133,11 @@ def test_pipeline(spark):
             assert not any(p in c for p in passages for c in clean)
     rows = corpus_pipeline.STAGES[-1][1](spark, kept, sf).collect()
     assert {i for r in rows for i in r["doc_ids"]} == {r["doc_id"] for r in kept.collect()}
+
+
+def test_run_clears_what_stages_stored(spark):
+    home = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(home.glob("flowspark-*"))
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = {p.name.split("-")[1] for p in set(home.glob("flowspark-*")) - before}
+    assert left == {"pipeline"} and sorted(r["slot"] for r in rows.collect()) == list(range(rows.count()))
