@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_blocks, mixing, personal_data, quality_rules, secret_scan, simhash, string_tiling, token_count, toxicity, training_order
+from . import hard_negatives, html_blocks, line_dedup, mixing, personal_data, quality_rules, secret_scan, simhash, string_tiling, token_count, toxicity, training_order, turn_repair
 from .common import table
 
 #: Folder of the tokenizers' vocabulary files, and the files that the queries take.
@@ -65,6 +65,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, shifted)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_shared_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.digest(turn_repair.repair(turn_repair.damage(conversations)), conversations)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +96,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_training_order": op9_training_order,
     "op10_simhash": op10_simhash,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_turn_repair": op13_turn_repair,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.ORACLE_SQL, "op11_hard_negatives": hard_negatives.ORACLE_SQL, "op12_line_dedup": line_dedup.ORACLE_SQL}
