@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
+from flowspark.session import stored
+
+from .ordering import average_ranks, quantiles
+
 TINY = 1e-12
 
 
@@ -129,11 +133,19 @@ def growing_threshold(df: DataFrame, score: str, rate: float, group: list[str],
 
 
 def pooled_metrics(df: DataFrame, pred: str, y: str) -> DataFrame:
-    """One row over all folds: rank correlation, sign accuracy, mean and ratio of the signed outcome."""
-    both = df.filter(F.col(pred).isNotNull() & F.col(y).isNotNull()).withColumns({"_all": F.lit(0), "_pnl": F.signum(pred) * F.col(y)})
-    accuracy = F.avg(F.when(F.abs(y) > TINY, (F.signum(pred) == F.signum(y)).cast("double")))
-    row = both.groupBy("_all").agg(F.count(F.lit(1)).alias("n"), accuracy.alias("sign_acc"), F.avg("_pnl").alias("pnl_mean"), (F.avg("_pnl") / (F.stddev_pop("_pnl") + TINY)).alias("pnl_ratio"))
-    return row.join(spearman(both, pred, y, ["_all"]).drop("n"), "_all").drop("_all")
+    """One row over all folds: rank correlation, sign accuracy, mean and ratio of the signed outcome.
+
+    Ranks come from running counts of the different values, so no task ranks all rows."""
+    both = stored(df.filter(F.col(pred).isNotNull() & F.col(y).isNotNull()).select(F.col(pred).alias("p"), F.col(y).alias("t")), "pairs")
+    ranked = average_ranks(average_ranks(both, "p", "ra"), "t", "rb").withColumn("_pnl", F.signum("p") * F.col("t"))
+    n, same = F.count(F.lit(1)), F.nullif(F.stddev_pop("ra") * F.stddev_pop("rb"), F.lit(0.0))
+    return ranked.agg(
+        n.alias("n"),
+        F.avg(F.when(F.abs("t") > TINY, (F.signum("p") == F.signum("t")).cast("double"))).alias("sign_acc"),
+        F.avg("_pnl").alias("pnl_mean"),
+        (F.avg("_pnl") / (F.stddev_pop("_pnl") + TINY)).alias("pnl_ratio"),
+        F.when(n >= 3, F.covar_pop("ra", "rb") / same).alias("spearman"),
+    )
 
 
 def gate_metrics(df: DataFrame, pred: str, y: str, score: str = "gate_score", passed: str = "gate_pass", group: Sequence[str] = ("fold_idx",)) -> DataFrame:
@@ -178,10 +190,13 @@ def train_scale(df: DataFrame, columns: Sequence[str], group: Sequence[str]) ->
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    """(n, mean, std, min, p01, p05, p50, p95, p99, max) of a column."""
+    """(n, mean, std, min, p01, p05, p50, p95, p99, max) of a column; quantiles from running counts."""
     c = F.col(column)
     marks = {"p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
-    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *[F.percentile(c, F.lit(q)).alias(name) for name, q in marks.items()], F.max(c).alias("max"))
+    values = stored(df.select(c), "described")
+    found = quantiles(values, column, marks).select(F.struct(*marks)).scalar()
+    row = values.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")).withColumn("_q", found)
+    return row.select("n", "mean", "std", "min", *[F.col(f"_q.{m}").alias(m) for m in marks], "max")
 
 
 def match_rate(df: DataFrame, column: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from flowspark.session import stored
+
 EPS = 1e-12
 #: Milliseconds of a slice of ticks.
 SLICE_MS = 3_600_000
@@ -73,6 +75,49 @@ def quantile(df: DataFrame, column: str, q: float, out: str, keys: Sequence[str]
     return met.groupBy(*keys).agg((low + (high - low) * F.max(rank - F.floor(rank))).alias(out))
 
 
+def counted(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, column, _n, _upto): each different value, how often it is there, and how many values there are up
+    to it.  Values are counted as partial aggregates, dealt to slices by range, and summed over slices; a window
+    without keys runs over the slices' totals only."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    sliced = counts.repartitionByRange(*keys, column).withColumn("_slice", F.spark_partition_id())
+    return running_sum(stored(sliced, "counts"), "_n", "_upto", keys, "_slice", (column,)).drop("_slice")
+
+
+def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Add the rank of ``column`` among all rows, the mean of the places of equal values; rows without a
+    value are left out."""
+    ranks = counted(df, column).select(column, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out))
+    return df.join(ranks, column)
+
+
+def quantiles(df: DataFrame, column: str, wanted: dict[str, float]) -> DataFrame:
+    """One row with the interpolated quantiles of a column, name -> share."""
+    ranked = stored(counted(df, column), "ranked")
+    last = ranked.select(F.max("_upto") - 1).scalar()
+    nth = lambda k: F.min(F.when(F.col("_upto") > k, F.col(column)))
+    rank = lambda q: F.col("_last") * F.lit(q)
+    marks = {name: nth(F.floor(rank(q))) + (nth(F.ceil(rank(q))) - nth(F.floor(rank(q)))) * F.max(rank(q) - F.floor(rank(q))) for name, q in wanted.items()}
+    return ranked.withColumn("_last", last).agg(*[c.alias(name) for name, c in marks.items()])
+
+
+def next_true(df: DataFrame, flag: str, columns: Sequence[str], out: str, keys: Sequence[str] = ("symbol",), order: str = "bar_id", block: int = 8192) -> DataFrame:
+    """Add ``out``, a struct of ``columns`` of the next later row of the key where ``flag`` is true, however far;
+    null if there is none.
+
+    Each block of rows gives its first flagged row; the first of the blocks behind is carried back to it (one row
+    for each block); within a block a frame is enough.
+    """
+    found = F.when(F.col(flag), F.struct(F.col(order).alias("_at"), *columns))
+    dealt = df.withColumn("_key", F.struct(*keys, F.floor(F.col(order) / block).alias("_slice")))
+    firsts = dealt.groupBy("_key").agg(F.min(found).alias("_first"))
+    behind = Window.partitionBy(*[f"_key.{k}" for k in keys]).orderBy("_key._slice").rowsBetween(1, Window.unboundedFollowing)
+    carried = firsts.select("_key", F.first("_first", ignorenulls=True).over(behind).alias("_carried"))
+    within = Window.partitionBy("_key").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    met = dealt.join(carried, "_key").withColumn("_next", F.coalesce(F.first(found, ignorenulls=True).over(within), F.col("_carried")))
+    return met.select(*df.columns, F.col("_next").alias(out))
+
+
 def at_least(value: Column, frame: WindowSpec, least: int, result: Column) -> Column:
     """``result`` where the frame has at least ``least`` values, else null."""
     return F.when(F.count(value).over(frame) >= least, result)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from .features import ewma, rolled
-from .ordering import EPS, in_blocks, quantile, rolling
+from .ordering import EPS, in_blocks, next_true, quantile, rolling
 
 # UTC hours that count as good.
 GOOD_HOURS = (3, 4, 5, 9, 10, 11, 12, 21, 22, 23)
@@ -126,19 +126,23 @@ def label_vwap(bars: DataFrame, horizon: int = 10, span: int = 50) -> DataFrame:
     return in_blocks(smoothed_move(bars, span, "_vol"), step, forward=horizon).drop("_vol")
 
 
-def label_event(bars: DataFrame, most: int = 60, span: int = 50) -> DataFrame:
-    """Exit of each trigger: the first off-bar of the next ``most``.  ``event_bp`` is its log return in basis
-    points, ``y_event`` the same in units of the smoothed size of returns and the root of the bars that it
-    takes, against the median time of a bar."""
+def label_event(bars: DataFrame, most: int | None = 60, span: int = 50) -> DataFrame:
+    """Exit of each trigger: the first off-bar of the next ``most``, or of all that follow.  ``event_bp`` is its
+    log return in basis points, ``y_event`` the same in units of the smoothed size of returns and the root of the
+    bars that it takes, against the median time of a bar."""
 
-    def step(w: WindowSpec) -> dict[str, Column]:
-        found = F.first(F.when(F.col("trigger_off"), F.struct("bar_id", "close")), ignorenulls=True).over(w.rowsBetween(1, most))
+    def judged(found: Column) -> dict[str, Column]:
         use = F.when(F.col("trigger_on") & (F.col("close") > 0) & (found["close"] > 0), found)
         move, took = F.log(use["close"] / F.col("close")), use["bar_id"] - F.col("bar_id")
         return {"exit_bar": use["bar_id"], "event_bp": move * 1e4, "y_event": move / (F.col("_vol") * F.sqrt(took / (F.col("_typical") + EPS)) + EPS)}
 
-    typical = quantile(bars, "dt_sec", 0.5, "_typical")
-    return in_blocks(smoothed_move(bars, span, "_vol").join(typical, "symbol"), step, forward=most).drop("_vol", "_typical")
+    def step(w: WindowSpec) -> dict[str, Column]:
+        return judged(F.first(F.when(F.col("trigger_off"), F.struct("bar_id", "close")), ignorenulls=True).over(w.rowsBetween(1, most)))
+
+    rows = smoothed_move(bars, span, "_vol").join(quantile(bars, "dt_sec", 0.5, "_typical"), "symbol")
+    if most is None:
+        return next_true(rows, "trigger_off", ["bar_id", "close"], "_exit").withColumns(judged(F.col("_exit"))).drop("_vol", "_typical", "_exit")
+    return in_blocks(rows, step, forward=most).drop("_vol", "_typical")
 
 
 def composite_score(bars: DataFrame, n: int = 200, k: int = 4) -> DataFrame:

@@ -5,6 +5,7 @@ Results are rounded to six places and whole numbers are BIGINT, so that two engi
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,12 +22,16 @@ from flowspark.operators import models as M
 from flowspark.operators import ordering as O
 from flowspark.operators import signals as S
 from flowspark.operators import tables as N
+from flowspark.plans import views
 from flowspark.plans.oracle import ORACLE_SQL  # noqa: F401
 from flowspark.session import scratch
+from flowspark.sources import archives as A
 from flowspark.sources import sinks as D
 from flowspark.sources import trades as R
 from flowspark.sources.adapters import as_ticks, book, ticks
 from flowspark.streaming import bars as streamed_bars
+from flowspark.streaming import book as streamed_book
+from flowspark.streaming import labels as streamed_labels
 from flowspark.streaming import windows as W
 
 #: Lots of a bar, and rows of the rolling windows.
@@ -139,6 +144,12 @@ def label_event(spark, d):
     return rounded(df.select("bar_id", "exit_bar", "event_bp", "y_event"))
 
 
+def label_event_far(spark, d):
+    """Exits however far behind their trigger: off-bars are only those with a bar number that 150 divides."""
+    df = S.shock_trigger(X.returns(bars_of(spark, d)), SHOCK).withColumn("trigger_off", F.col("bar_id") % 150 == 0)
+    return rounded(S.label_event(df, None).filter("exit_bar is not null").select("bar_id", "exit_bar", "event_bp", "y_event"))
+
+
 def label_efficiency(spark, d):
     return rounded(S.label_efficiency(bars_of(spark, d)).select("bar_id", "y_efficiency"))
 
@@ -368,6 +379,43 @@ def files_to_bars(spark, d):
     return rounded(B.volume_bars(back, VOLUME).select("symbol", "bar_id", "open", "high", "low", "close", "vwap", "trade_count", "taker_buy_vol"))
 
 
+def archive_bars(spark, d):
+    """Ticks written as an archive for each day, a range of days read back, and cut into bars."""
+    path = scratch(spark, "archives")
+    A.write_archives(ticks(spark, d).withColumn("qty", F.col("lots") * 0.001), path)
+    back = A.read_archives(spark, path).filter(F.col("dt").between(datetime.date(2024, 1, 5), datetime.date(2024, 1, 20)))
+    return rounded(B.volume_bars(R.as_lots(back, 0.001), VOLUME).select("symbol", "bar_id", "ts_ms", "open", "high", "low", "close", "vwap", "trade_count", "taker_buy_vol"))
+
+
+def archive_digests(spark, d):
+    """Archives of each day's ticks against checksums that Spark makes of them: one in three by another
+    algorithm, one in five wrong."""
+    path, sums = scratch(spark, "archives"), scratch(spark, "checksums")
+    A.write_archives(ticks(spark, d).withColumn("qty", F.col("lots") * 0.001), path)
+    day = F.regexp_extract("path", r"(\d{4}-\d\d-\d\d)\.zip$", 1)
+    files = spark.read.format("binaryFile").load(path).select(day.alias("day"), "content")
+    n = F.dayofyear(F.to_date("day"))
+    stated = F.when(n % 5 == 0, F.repeat(F.lit("0"), F.lit(64))).when(n % 3 == 0, F.md5("content")).otherwise(F.sha2("content", 256))
+    A.write_checksums(files.select(F.concat(F.lit("EV-aggTrades-"), "day", F.lit(".zip")).alias("name"), stated.alias("stated")), sums)
+    return A.verify(spark, path, sums).select("name", "algorithm", "status")
+
+
+def union_files(spark, d):
+    """Ticks of two files that overlap in time, and share some trades, as one relation."""
+    parts = []
+    for n, keep in enumerate(("event_type <> 'view'", "event_id % 3 = 0")):
+        path = scratch(spark, f"part{n}")
+        D.write_csv(as_ticks(spark.read.parquet(f"{d}/events.parquet").filter(keep)).select("symbol", "ts_ms", "seq", "price", "lots"), path)
+        parts.append(spark.read.option("header", True).schema("symbol string, ts_ms long, seq long, price double, lots long").csv(path))
+    return rounded(R.union_ordered(*parts))
+
+
+def sql_bars(spark, d):
+    """Bars by the table function, from ``spark.sql``."""
+    views.register(spark, d, VOLUME)
+    return rounded(spark.sql(f"SELECT symbol, bar_id, ts_first, ts_ms, open, high, low, close, vwap, trade_count, taker_buy_vol, taker_sell_vol FROM volume_bars(TABLE(SELECT * FROM tick_slices) PARTITION BY (symbol, slice) ORDER BY (ts_ms, seq), {VOLUME})"))
+
+
 def tick_cache(spark, d):
     """Ticks written by instrument and day, and a range of times read back."""
     path = scratch(spark, "days")
@@ -376,20 +424,46 @@ def tick_cache(spark, d):
 
 
 def date_list(spark, d):
-    return R.date_list(spark, "2024-01-30", "2024-03-02").select(F.col("dt").cast("string").alias("dt"))
+    """Every day of the ticks, and how many it has."""
+    t = ticks(spark, d)
+    counts = t.groupBy("dt").agg(F.count(F.lit(1)).alias("n"))
+    return R.day_range(t).join(counts, "dt", "left").select(F.col("dt").cast("string").alias("dt"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def book_replay(spark, d):
-    """Snapshots of every fiftieth ladder and changes of single levels by the others, replayed."""
+def book_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots of every fiftieth ladder and changes of single levels by the others."""
     rows_ = book(spark, d).withColumns({"seq": F.floor(F.col("ts_ms") / 60_000), "dt": F.to_date(F.timestamp_millis("ts_ms"))})
     whole = F.col("seq") % 50 == 7
     some = lambda c: F.when(whole, F.col(c)).otherwise(F.transform(F.filter(c, lambda x, i: (i + F.col("seq")) % 5 == 0), lambda x: F.struct(x["price"].alias("price"), F.when(x["size"] < 0.05, 0.0).otherwise(x["size"]).alias("size"))))
-    messages = rows_.select("symbol", "dt", "ts_ms", "seq", F.when(whole, "snapshot").otherwise("delta").alias("type"), some("bids").alias("b"), some("asks").alias("a"))
-    best = K.reconstruct(messages, 180_000, 10)
+    return rows_.select("symbol", "dt", "ts_ms", "seq", F.when(whole, "snapshot").otherwise("delta").alias("type"), some("bids").alias("b"), some("asks").alias("a"))
+
+
+def book_ends(best: DataFrame) -> DataFrame:
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["size"])
     return rounded(best.select("ts_ms", F.size("bids").alias("n_bids"), F.get("bids", F.lit(0))["price"].alias("best_bid"), total("bids").alias("bid_size"), F.get("asks", F.lit(0))["price"].alias("best_ask"), total("asks").alias("ask_size")))
 
 
+def book_replay(spark, d):
+    return book_ends(K.reconstruct(book_messages(spark, d), 180_000, 10))
+
+
+def stream_book(spark, d):
+    """The same messages as a stream in several parts."""
+    samples = streamed_book.reconstruct(W.replay(book_messages(spark, d), "ts_ms", "messages"), 180_000, 10)
+    return book_ends(W.run_available(samples, "book"))
+
+
+def stream_labels(spark, d):
+    """Imbalances as predictions, and the label of each as soon as it is known."""
+    bars = X.returns(bars_of(spark, d)).select("symbol", "bar_id", F.col("taker_imb1vb").alias("pred"), "close", F.col("taker_imb1vb").alias("imbalance"))
+    return rounded(W.run_available(streamed_labels.reveal(W.replay(bars, "bar_id", "bars", 6)), "labels").select("bar_id", "known_at", "hold_bars", "pred", "y_variable"))
+
+
+def stream_threshold(spark, d):
+    bars = bars_of(spark, d).select("symbol", "bar_id", F.col("range1vb_bp").alias("score"))
+    return rounded(W.run_available(streamed_labels.rolling_threshold(W.replay(bars, "bar_id", "scores", 6), 50, 0.9), "threshold").select("bar_id", "threshold", "passed"))
+
+
 def path_predictions(spark, d):
     """Samples with the imbalance of the bars completed along the event as predictions."""
     b = S.label_event(S.shock_trigger(featured(spark, d), SHOCK))
@@ -542,6 +616,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         median_impute, missing_profile, hold_buckets, rolling_spearman, pace, volatility_ratio, feature_ranks, fold_members_expanding, day_members,
         growing_threshold, pooled_metrics, gate_metrics, fold_summary, hold_stats, train_scale, describe_label, match_rate, null_rows, domain_score, domain_events,
         grid_rows, grid_fill_lags, grid_book, book_over_bars, horizon_return, two_instruments, files_to_bars, tick_cache, date_list, book_replay, path_predictions, peak_rate,
-        grid_book_rows, fold_status, label_tail, joined_metrics, retrained_gate, exit_walk_forward,
+        archive_bars, archive_digests, union_files, sql_bars, label_event_far, stream_book, stream_labels, stream_threshold, grid_book_rows, fold_status, label_tail, joined_metrics, retrained_gate, exit_walk_forward,
     )
 }

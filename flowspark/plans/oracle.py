@@ -418,7 +418,8 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "files_to_bars": f"WITH {BARS} SELECT 'EV' AS symbol, bar_id, {r6('open', 'high', 'low', 'close', 'vwap')}, trade_count, round(taker_buy_vol, 6) AS taker_buy_vol FROM bars",
     "tick_cache": f"WITH {TICKS} SELECT symbol, ts_ms, seq, round(price, 6) AS price, lots FROM ticks WHERE ts_ms >= 1704400000000 AND ts_ms < 1705000000000",
-    "date_list": "SELECT CAST(CAST(unnest(generate_series(DATE '2024-01-30', DATE '2024-03-01', INTERVAL 1 DAY)) AS DATE) AS VARCHAR) AS dt",
+    "date_list": """WITH days AS (SELECT CAST(unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY)) AS DATE) AS dt FROM events)
+      SELECT CAST(dt AS VARCHAR) AS dt, (SELECT count(*) FROM events WHERE ts::DATE = dt) AS n FROM days""",
     "book_replay": """WITH e AS (SELECT 1704067200000 + vec_id * 60000 AS ts_ms, embedding AS v FROM embeddings), k AS (SELECT *, ts_ms // 60000 AS seq, ts_ms // 86400000 AS dt FROM e),
       s AS (SELECT *, sum((seq % 50 = 7)::INT) OVER (PARTITION BY dt ORDER BY ts_ms) AS st FROM k),
       lv AS (SELECT s.*, i, abs(v[i + 1]::DOUBLE) AS bz, abs(v[i + 26]::DOUBLE) AS az FROM s, (SELECT unnest(range(25)) AS i) WHERE st > 0 AND (seq % 50 = 7 OR (i + seq) % 5 = 0)),
@@ -428,6 +429,17 @@ ORACLE_SQL: dict[str, str] = {
       b AS (SELECT ts_ms, count(*) AS n_bids, max(1000 - i - 0.5::DOUBLE) AS best_bid, sum(bz) AS bid_size FROM (SELECT *, row_number() OVER (PARTITION BY ts_ms ORDER BY i) AS r FROM now WHERE bz > 0) WHERE r <= 10 GROUP BY ts_ms),
       a AS (SELECT ts_ms, min(1000 + i + 0.5::DOUBLE) AS best_ask, sum(az) AS ask_size FROM (SELECT *, row_number() OVER (PARTITION BY ts_ms ORDER BY i) AS r FROM now WHERE az > 0) WHERE r <= 10 GROUP BY ts_ms)
       SELECT ts_ms, n_bids, best_bid, round(bid_size, 6) AS bid_size, best_ask, round(ask_size, 6) AS ask_size FROM b JOIN a USING (ts_ms)""",
+    "archive_bars": f"WITH {TICKS}, part AS (SELECT * FROM ticks WHERE ts_ms >= epoch_ms(TIMESTAMP '2024-01-05') AND ts_ms < epoch_ms(TIMESTAMP '2024-01-21')), {bar_parts('part')} SELECT 'EV' AS symbol, bar_id, ts_ms, {r6('open', 'high', 'low', 'close', 'vwap')}, trade_count, round(taker_buy_vol, 6) AS taker_buy_vol FROM bars",
+    "archive_digests": """SELECT name, CASE WHEN n % 5 <> 0 AND n % 3 = 0 THEN 'md5' ELSE 'sha256' END AS algorithm, CASE WHEN n % 5 = 0 THEN 'bad' ELSE 'good' END AS status
+      FROM (SELECT DISTINCT 'EV-aggTrades-' || strftime(ts, '%Y-%m-%d') || '.zip' AS name, dayofyear(ts) AS n FROM events)""",
+    "union_files": f"""WITH {TICKS}, b AS (SELECT t.*, 0 AS f FROM ticks t JOIN events e ON e.event_id = t.seq WHERE event_type <> 'view' UNION ALL SELECT *, 1 AS f FROM ticks WHERE seq % 3 = 0)
+      SELECT symbol, ts_ms, row_number() OVER (ORDER BY ts_ms, f, seq) - 1 AS seq, round(price, 6) AS price, lots FROM b""",
+    "sql_bars": f"WITH {BARS} SELECT 'EV' AS symbol, bar_id, ts_first, ts_ms, {r6('open', 'high', 'low', 'close', 'vwap')}, trade_count, {r6('taker_buy_vol', 'taker_sell_vol')} FROM bars",
+    "label_event_far": f"""WITH RECURSIVE {TRIGGER}, {SMOOTH}, ev AS (SELECT t.bar_id, t.close, o.bar_id AS exit_bar, o.close AS oc, (SELECT quantile_cont(dt_sec, 0.5) FROM bars) AS typ FROM triggers t JOIN bars o ON t.trigger_on AND o.bar_id = (t.bar_id // 150 + 1) * 150)
+      SELECT ev.bar_id, exit_bar, round(ln(oc / close) * 1e4, 6) AS event_bp, round(ln(oc / close) / (v * sqrt((exit_bar - ev.bar_id) / (typ + 1e-12)) + 1e-12), 6) AS y_event FROM ev LEFT JOIN sm USING (bar_id)""",
+    "stream_labels": f"WITH {VARIABLE} SELECT bar_id, bar_id + hold_bars AS known_at, hold_bars, round(pred, 6) AS pred, round(y_variable, 6) AS y_variable FROM (SELECT *, taker_imb1vb AS pred FROM labelled) WHERE y_variable IS NOT NULL",
+    "stream_threshold": f"""WITH {BARS}, t AS (SELECT bar_id, range1vb_bp, quantile_cont(range1vb_bp, 0.9) OVER (ORDER BY bar_id ROWS 49 PRECEDING) AS t FROM bars)
+      SELECT bar_id, round(t, 6) AS threshold, range1vb_bp >= t AS passed FROM t""",
     "path_predictions": f"""WITH {PATHS}, pr AS (SELECT e.event_id, (b.ts_ms - e.ts_entry) / 1000.0::DOUBLE AS el, b.taker_imb1vb AS p, row_number() OVER (PARTITION BY e.event_id ORDER BY b.ts_ms) AS up, row_number() OVER (PARTITION BY e.event_id ORDER BY b.ts_ms DESC) AS down
         FROM entries e JOIN rets b ON b.ts_ms >= e.ts_entry AND b.ts_ms <= e.ts_exit AND b.bar_id > e.event_id),
       one AS (SELECT event_id, max(CASE WHEN up = 1 THEN p END) AS p0, count(*) AS n_preds, CASE WHEN count(*) >= 2 THEN regr_slope(CASE WHEN down <= 3 THEN p END, CASE WHEN down <= 3 THEN -down::DOUBLE END) END AS pred_slope FROM pr GROUP BY event_id),
@@ -446,3 +458,4 @@ ORACLE_SQL: dict[str, str] = {
       m AS (SELECT fold_idx, covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) AS spearman FROM r GROUP BY fold_idx)
       SELECT q.fold_idx, q.bar_id, round(b.close, 6) AS close, round(spearman, 6) AS spearman FROM q JOIN bars b USING (bar_id) LEFT JOIN m ON m.fold_idx = q.fold_idx""",
 }
+ORACLE_SQL["stream_book"] = ORACLE_SQL["book_replay"]

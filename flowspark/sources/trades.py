@@ -60,6 +60,12 @@ def date_list(spark: SparkSession, start: str, end: str, inclusive: bool = False
     return spark.range(1).filter(first <= last).select(F.explode(F.sequence(first, last)).alias("dt"))
 
 
+def day_range(rows: DataFrame, day: str = "dt") -> DataFrame:
+    """(dt): every day from the first to the last that ``rows`` have, those without rows included."""
+    ends = rows.agg(F.min(day).alias("first"), F.max(day).alias("last")).filter("first is not null")
+    return ends.select(F.explode(F.sequence("first", "last")).alias("dt"))
+
+
 def read_days(spark: SparkSession, path: str, start_ms: int | None = None, end_ms: int | None = None, symbols: list[str] | None = None) -> DataFrame:
     """What ``sinks.write_days`` wrote, for a range of times and some instruments."""
     df = spark.read.parquet(path)
@@ -68,11 +74,13 @@ def read_days(spark: SparkSession, path: str, start_ms: int | None = None, end_m
 
 
 def union_ordered(*frames: DataFrame) -> DataFrame:
-    """Ticks of several files as one relation, each row once, in the order of instrument, time and ``seq``."""
-    both = frames[0]
-    for more in frames[1:]:
-        both = both.unionByName(more)
-    return both.distinct().orderBy("symbol", "ts_ms", "seq")
+    """Ticks of several files as one relation, every trade of each: ``seq`` numbers an instrument's rows anew,
+    from 0 along the time, ties by the place of their file among ``frames`` and their old ``seq``."""
+    both = frames[0].withColumn("_file", F.lit(0))
+    for n, more in enumerate(frames[1:], 1):
+        both = both.unionByName(more.withColumn("_file", F.lit(n)))
+    one = both.withColumn("_one", F.lit(1).cast("long"))
+    return running_sum(one, "_one", "_at", order=("ts_ms", "_file", "seq")).withColumn("seq", F.col("_at") - 1).drop("_one", "_at", "_file")
 
 
 def depth_of(name: str) -> int | None:

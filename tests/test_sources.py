@@ -90,4 +90,5 @@ def test_dates_and_sets(spark):
     assert [str(r.dt) for r in trades.date_list(spark, "2024-02-28", "2024-03-01").collect()] == ["2024-02-28", "2024-02-29"]
     assert trades.date_list(spark, "2024-03-01", "2024-03-01").count() == 0 and trades.date_list(spark, "2024-03-01", "2024-03-01", True).count() == 1
     a = spark.createDataFrame([("X", 2, 0), ("X", 1, 0)], "symbol string, ts_ms long, seq long")
-    assert [r.ts_ms for r in trades.union_ordered(a, a.limit(1)).collect()] == [1, 2]
+    both = trades.union_ordered(a, a.limit(1)).orderBy("seq")
+    assert [(r.ts_ms, r.seq) for r in both.collect()] == [(1, 0), (2, 1), (2, 2)]  # equal trades of two files are two
