@@ -15,7 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import stored, text_key
 
 #: The characters stripped from a line's ends.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -57,7 +57,7 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOC
     The join by hash has no other operator between it and its shuffles, so that a frequent hash can be split.
     """
     lines = long_lines(docs, min_chars)
-    hit = lines.join(shared_keys(lines, min_docs), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    hit = lines.join(stored(shared_keys(lines, min_docs), "shared-lines"), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     # Rows alike in id and text have the same positions: a set.
     return hit.groupBy(F.struct("doc_id", "text_key").alias("row")).agg(F.collect_set("pos").alias("gone"))
 
