@@ -14,7 +14,11 @@ with its characters outside links; inside ``<article>`` or ``<main>`` with all i
 share of the text that is outside.  So a page's whole article outweighs what stands around it, and a
 teaser in an ``<article>`` does not outweigh a body in a ``<div>``.  No run crosses the edge of an
 article.  A line with text outside links that no run has, between two kept lines of the same parent,
-is kept as well: a short paragraph between two adverts belongs to its neighbours.
+is kept as well: a short paragraph between two adverts belongs to its neighbours.  So are the paragraphs of
+the element that has most of the kept text, and its headings in front of that text: a heading above a share
+bar, and a last sentence below an advert.  The headings of the article around that element are kept too, or
+else the last ``h1`` around it.  Inside an article, a name (but for adverts and comments) drops an
+element only if it holds less than half of the article's text.
 
 Defined results: null or empty html gives an empty text; html without markup is one line and is
 kept; an element that is never closed ends where its parent ends, at the next article, or at the end
@@ -42,7 +46,7 @@ INSIDE = 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|textarea|title|iframe|xmp|noembed|noframes"
 DROPPED = frozenset(
-    "head script style noscript template textarea title iframe svg math canvas object audio video map nav aside footer "
+    "head script style noscript template textarea title iframe svg canvas object audio video map nav aside footer "
     "button select option datalist fieldset label dialog menu menuitem header".split()
 )
 BLOCKS = frozenset(
@@ -59,19 +63,21 @@ BOILERPLATE = frozenset(
 #: Words beside these in a name that say where or how large, and words that name a state.
 LAYOUT = frozenset("area article bar block body bottom box container content div group inner item list main outer page panel post row section site slot text top unit wrap wrapper".split())
 STATES = frozenset("allow closed disabled enabled has hidden hide is no not off on open show with without".split())
-#: What an article itself can be marked as.
+#: What names a part as an article's own header, and what an article itself can be marked as.
+OWN = frozenset("article entry post story".split())
 LESSER = frozenset("ad ads advert advertisement comment comments promo related reply replies sponsored".split())
 NEVER_BY_CLASS = frozenset("html body main".split())
 FRAME = ("article", "main")
 #: Blocks that stand for one paragraph: their lines belong to the element around them.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("br dd dt h1 h2 h3 h4 h5 h6 hr li p pre".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)",
+    rf"|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<[!?][^>]*+(?:>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)",
     re.S | re.I,
 )
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -87,14 +93,16 @@ def _marked(name: str, attrs: str, inside: bool) -> str:
     for found in _MARK.finditer(attrs):
         for word in (found[1] or found[2] or found[3] or "").split():
             parts = {p.lower() for p in _PART.findall(word)}
-            hits = parts & BOILERPLATE - (frozenset(("header", "byline")) if inside else frozenset())
+            hits = parts & BOILERPLATE - (frozenset(("header", "byline")) if inside or parts & OWN else frozenset())
             if not hits or parts & STATES:
                 continue
             known = all(p in LAYOUT or p in hits or p.isdigit() for p in parts)
             if name == "article":
                 known, hits = known and bool(hits & LESSER), ()
             if known:
-                return "surely"
+                if not inside or hits & LESSER or name == "article":
+                    return "surely"
+                best = "maybe"  # it may hold most of the article
             best = "maybe" if hits else best
     return best
 
@@ -103,6 +111,7 @@ class Marked:
     """An element that its names mark, with what was counted before it and in it."""
 
     def __init__(self, above: Marked | None, surely: bool, depth: int, articles: int, chars: int, frames: int) -> None:
+        self.inside = articles > 0
         self.above, self.surely, self.depth, self.articles = above, surely, depth, articles
         self.chars, self.frames = -chars, -frames
 
@@ -110,23 +119,26 @@ class Marked:
         self.chars += chars
         self.frames += frames
 
-    def judge(self, total: int) -> None:
-        """Whether all lines in it are lost, and how many articles a line must stand in not to be."""
+    def judge(self, total: int, within: int) -> None:
+        """Whether all lines in it are lost, and how many articles a line must stand in not to be.  ``total``
+        and ``within``: characters of the page and of its articles."""
         above = self.above
-        lost = not self.frames and (self.surely or 2 * self.chars < total)
+        lost = not self.frames and (self.surely or 2 * self.chars < (within if self.inside else total))
         self.lost = lost or above is not None and above.lost
         self.within = self.articles + 1 if self.surely else above.within if above else 0
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text with markup stripped, characters outside links, inside an article, parent) for each line."""
-    lines: list[tuple[str, int, int, int, Marked | None]] = []
+def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int, str]], dict[int, int]]:
+    """(text with markup stripped, characters outside links, inside an article, parent, block) for each line,
+    and the parent of each parent."""
+    lines: list[tuple[str, int, int, int, str, Marked | None]] = []
     text: list[str] = []
     plain = 0  # characters of the line so far that are not in a link
     open_tags: list[str] = []
     places: dict[str, list[int]] = {}  # depths of the open elements of a name
     blocks: list[int] = []  # depths of the open blocks
     parents = [0]  # the number of the last open element that is no paragraph, for each depth
+    up: dict[int, int] = {}
     articles = links = elements = frames = chars = 0
     dropped_at: int | None = None  # depth at which a dropped element was opened
     marked: Marked | None = None
@@ -137,7 +149,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                lines.append((line, plain, articles, parents[-1], marked))
+                lines.append((line, plain, articles, parents[-1], open_tags[blocks[-1]] if blocks else "", marked))
                 chars += len(line)
         text.clear()
         plain = 0
@@ -151,7 +163,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
 
     def gap() -> None:
         end_line()
-        lines.extend([("", 0, 0, 0, None)] * WIDTH)
+        lines.extend([("", 0, 0, 0, "", None)] * WIDTH)
 
     def leave(depth: int) -> None:
         """Close every element from ``depth`` up."""
@@ -208,6 +220,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         if block:
             blocks.append(len(open_tags) - 1)
         elements += 1
+        if block and name not in PARAGRAPHS:
+            up[elements] = parents[-1]
         parents.append(elements if block and name not in PARAGRAPHS else parents[-1])
         if dropped_at is None and name in DROPPED and not (name == "header" and articles):
             gap()
@@ -227,17 +241,18 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     while marked is not None:
         marked.close(chars, frames)
         marked = marked.above
+    within = sum(len(line) for line, _, depth, *_ in lines if depth)
     for one in every:  # outer elements come first
-        one.judge(chars)
-    return [(line, plain, depth > 0, parent) for line, plain, depth, parent, by in lines if by is None or not by.lost and depth >= by.within]
+        one.judge(chars, within)
+    return [(line, plain, depth > 0, parent, block) for line, plain, depth, parent, block, by in lines if by is None or not by.lost and depth >= by.within], up
 
 
 def main_text(page: str | None) -> str:
     """The text between surges and dives, blocks joined by one space."""
     if not page:
         return ""
-    lines = lines_of(page)
-    length = [len(line) if inside else plain for line, plain, inside, _ in lines]
+    lines, up = lines_of(page)
+    length = [len(line) if inside else plain for line, plain, inside, *_ in lines]
     within = sum(n for n, line in zip(length, lines, strict=True) if line[2])
     share = within / max(1, sum(length))
     size = [n * ((INSIDE if share >= 0.5 else 1) if line[2] else 1 - share) for n, line in zip(length, lines, strict=True)]
@@ -257,8 +272,24 @@ def main_text(page: str | None) -> str:
     ends: dict[int, tuple[int, int]] = {}
     for i in sorted(kept):
         ends[lines[i][3]] = (ends.get(lines[i][3], (i,))[0], i)
-    between = (i for i, n in enumerate(size) if n > 0 and lines[i][3] in ends and ends[lines[i][3]][0] < i < ends[lines[i][3]][1])
-    return " ".join(lines[i][0] for i in sorted(kept.union(between)))
+    between = {i for i, n in enumerate(size) if n > 0 and lines[i][3] in ends and ends[lines[i][3]][0] < i < ends[lines[i][3]][1]}
+    # The element with most of the kept text: its headings with text behind them, and all its paragraphs.
+    weight: dict[int, int] = {}
+    for i in kept:
+        weight[lines[i][3]] = weight.get(lines[i][3], 0) + len(lines[i][0])
+    body = max(weight, key=lambda p: (weight[p], -p), default=None)
+    own = {i for i, line in enumerate(lines) if line[0] and line[3] == body and (line[4] == "p" or line[4] in HEADINGS and i < ends[body][1])}
+    return " ".join(lines[i][0] for i in sorted(kept | between | own | set(above(lines, up, body, ends.get(body, (0,))[0]))))
+
+
+def above(lines: list[tuple[str, int, bool, int, str]], up: dict[int, int], body: int | None, start: int) -> list[int]:
+    """Headings in front of the body in an element around it: all of its article's, else the last ``h1``."""
+    around = set()
+    while body in up:
+        body = up[body]
+        around.add(body)
+    found = [i for i in range(start) if lines[i][4] in HEADINGS and lines[i][0] and lines[i][3] in around]
+    return [i for i in found if lines[i][2]] or [i for i in found if lines[i][4] == "h1"][-1:]
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_col: str = "html") -> DataFrame:

@@ -476,3 +476,72 @@ def test_secrets_from_labelled_findings(spark):
     assert not [r for r in found if r["doc_id"] == 10_000]
     again = {(r["doc_id"], r["start"]): r["score"] for r in secret_scan.scan(frame(spark, rows).repartition(5), labelled.repartition(3)).collect()}
     assert again == {(r["doc_id"], r["start"]): r["score"] for r in found}
+
+
+BODY = "This is a body paragraph with quite a lot of words, commas and such, so that it is clearly text of an article."
+PARAGRAPHS = f"<p>{BODY}</p><p>{BODY} {BODY}</p>"
+TEXT = f"{BODY} {BODY} {BODY}"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><h1>Head</h1><div class='share'><a href=x>Post</a></div>{PARAGRAPHS}</body>", f"Head {TEXT}"),
+        (f"<body><h1>Head</h1><nav><a href=x>Home</a></nav>{PARAGRAPHS}</body>", f"Head {TEXT}"),
+        (f"<body>{PARAGRAPHS}<div class='ad'>Buy!</div><p>The end.</p></body>", f"{TEXT} The end."),
+        (f"<body>{PARAGRAPHS}<p><a href=x>Read the source</a></p></body>", f"{TEXT} Read the source"),
+        (f"<body><div class='article-header'><h1>Head</h1></div>{PARAGRAPHS}</body>", f"Head {TEXT}"),
+        (f"<article><div class='search'><p>{BODY}</p></div></article>", BODY),
+        (f"<article><h1>X</h1><div class='alert'>{BODY}</div></article>", f"X {BODY}"),
+        (f"<article><p>{BODY} Where <math><mi>x</mi></math> stands.</p></article>", f"{BODY} Where x stands."),
+        (f"<article><p>{BODY}</p><div class='comments'>{BODY * 5}</div></article>", BODY),
+        (f"<body><header><h1>Site</h1></header><div id='content'>{PARAGRAPHS}</div><footer>All rights</footer></body>", TEXT),
+    ],
+)
+def test_main_text_keeps_the_whole_article(page, want):
+    assert html_blocks.main_text(page) == want
+
+
+@pytest.mark.parametrize("piece", ["a", "<title ", "<title", "<a '", "<a b=\"x", "<p ", "</title   ", "<script>", "<h1>", "<div class='ad'>", "&amp", "<article>"])
+def test_main_text_is_linear(piece):
+    import time
+
+    began = time.process_time()
+    html_blocks.main_text("<p>x</p><" + piece * (100_000 // len(piece)))
+    assert time.process_time() - began < 1
+
+
+def test_copies_of_a_row_are_dealt_to_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(202_000).select(F.when(F.col("id") < 200_000, -1).otherwise(F.col("id")).alias("doc_id"), F.lit("two words").alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    out = mixing.take(docs, mixing.drawn(docs))
+    sizes = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 0.5 * sum(sizes)
+    made = mixing.mix(docs)
+    assert made.count() == 202_000 and made.agg(F.sum("copies")).first()[0] == sum(sizes)
+
+
+def test_samples_are_bounded_in_rows(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("some text number "), "id").alias("text"))
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    for module, name in ((toxicity, "toxicity-sample"), (quality_rules, "quality-sample")):
+        keep = module.stored
+
+        def noted(df, label, keep=keep, name=name):
+            out = keep(df, label)
+            seen.extend([out.count()] if label == name else [])
+            return out
+
+        module.stored = noted
+        try:
+            if module is toxicity:
+                toxicity.train(docs, labels, most=50)
+            else:
+                quality_rules.judge(docs, labels, most=50)
+        finally:
+            module.stored = keep
+    assert seen == [50, 50]
