@@ -27,6 +27,8 @@ from .common import WORD, pick, stored
 MOST_COPIES = 3
 #: Offsets are multiples of 1 / GRAIN, so that whole numbers of copies are summed without rounding.
 GRAIN = 1 << 20
+#: Copies of a row that one task makes.
+RUN = 1024
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1)) -> DataFrame:
@@ -110,13 +112,27 @@ def crossings(after: Column) -> Column:
     return F.floor(F.col("offset") + after * F.col("rate"))
 
 
+def spread(df: DataFrame, times: str, out: str) -> DataFrame:
+    """Each row ``times`` times, numbered from 0 by ``out``.
+
+    A row that is repeated over ``RUN`` times becomes runs of ``RUN`` first, and these are dealt to all tasks: no
+    task and no array holds all copies of a row.
+    """
+    numbered = lambda rows, first, n: rows.withColumn(out, F.explode(F.sequence(first, first + n - 1)))
+    n, zero = F.col(times).cast("long"), F.lit(0).cast("long")
+    few = numbered(df.filter(n.between(1, RUN)), zero, n).select(*df.columns, out)
+    runs = df.filter(n > RUN).withColumn("__run", F.explode(F.sequence(zero, F.floor((n - 1) / RUN)))).repartition("__run", times)
+    first = F.col("__run") * RUN
+    return few.unionByName(numbered(runs, first, F.least(F.lit(RUN).cast("long"), n - first)).select(*df.columns, out))
+
+
 def mix(docs: DataFrame, *args, **named) -> DataFrame:
     """(doc_id, size, source, source_size, target, copies) for every document; arguments of :func:`drawn`.
 
     ``seed`` sets each source's offset; the same rows and seed give the same copies, whatever the
     partitioning.  ``bucket_bits`` (0 to 16) sets how many cells a size class of a source has.
     """
-    each = drawn(docs, *args, **named).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    each = spread(drawn(docs, *args, **named), "n", "i").withColumn("i", F.col("i") + 1)
     at = F.col("rank") + F.col("i")
     return each.select("doc_id", "size", "source", "source_size", "target", (crossings(at) - crossings(at - 1)).cast("long").alias("copies"))
 
@@ -132,7 +148,7 @@ def take(docs: DataFrame, groups: DataFrame) -> DataFrame:
     wanted = stored(wanted.select("__id", "__source", "__of", F.floor(F.col("all") / F.col("n")).cast("int").alias("__each"), F.pmod("all", "n").cast("int").alias("__rest")).filter("__each + __rest > 0"), "mix")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__spot") == F.col("__of"))
     rows = docs.withColumn("__spot", spot())
-    times = lambda df, n: df.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    times = lambda df, n: spread(df, n, "__copy").select(*docs.columns)
     out = times(rows.join(wanted.filter("__each > 0"), same), "__each")
     rest = wanted.filter("__rest > 0")
     if not rest.isEmpty():
