@@ -4,11 +4,12 @@
    that set.  Two texts of similarity s share a key with probability ``1 - (1 - s**ROWS)**BANDS``:
    0.9994 at 0.8.
 2. Texts with a key in common are candidates, unless their sizes rule out the similarity.  Of keys
-   with at most ``SMALL`` texts all pairs are taken.  In larger ones all pairs are compared by their
-   minima, in blocks, and the pairs that leave a task grow with the texts and not with their square: a
-   spanning forest of the pairs that agree most, and each text's ``NEAREST`` most alike.
-3. The sets of each pair are compared in full; pairs below ``least`` are dropped.
-4. The pairs that are left are joined into components.
+   with at most ``SMALL`` texts all pairs are compared, set by set.  In larger ones all texts are
+   compared with one of them, and the pairs that have the similarity are joined into components.
+3. What is left of a larger key are pairs between two of its components.  They are compared by
+   their minima, in blocks, and those that may have the similarity by their sets: first a spanning
+   forest of those that agree most, and, as long as pairs are rejected, more and more of the others.
+   Pairs within a component cannot change it and are not compared.
 
 Defined results: letters A to Z count as small; a text of fewer words than a shingle is one shingle;
 texts without words are copies of nothing; an empty table gives an empty result.
@@ -16,10 +17,12 @@ texts without words are copies of nothing; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, pick, stored, text_key
@@ -29,7 +32,7 @@ BANDS, ROWS = 14, 4
 #: Texts of a key of which all pairs are taken.
 SMALL = 8
 #: Texts of a block of a larger key, minima that likely pairs agree in (of 56; at similarity 0.8 fewer
-#: than 34 have a probability of 0.0002), and pairs of a text that are compared in full in any case.
+#: than 34 have a probability of 0.0002), and pairs of a text beside the forest in the first round.
 BLOCK, LIKELY, NEAREST = 512, 34, 4
 #: Pairs that are looked at one by one before the rest is sifted.
 EDGES = 2048
@@ -91,49 +94,81 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return map_rows(docs.select("key", "text"), "id long, n long, keys array<long>, minima binary", start).filter("n > 0")
 
 
-def candidates(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: pairs of keys of ``rows`` (id, n, keys, minima) that share a band; distinct."""
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """(key, id, n, texts): the keys that several of ``rows`` (id, n, keys) have, with their number."""
     each = rows.select("id", "n", F.explode("keys").alias("key"))
-    me = F.struct("id", "n")
     sizes = each.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
-    shared = stored(each.join(sizes, "key"), "shared-keys")
-    few = shared.filter(F.col("texts") <= SMALL).groupBy("key").agg(F.collect_set(me).alias("m"))
-    all_pairs = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
-    near = all_pairs.filter((F.col("x.id") < F.col("y.id")) & (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    many = shared.filter(F.col("texts") > SMALL).join(rows.select("id", "minima"), "id")
-    return near.union(in_large_keys(many, least)).distinct()
+    return each.join(sizes, "key")
+
 
+def fits(x: Column, y: Column, least: float) -> Column:
+    """Whether the sizes of two sets allow the similarity."""
+    return F.least(x, y) >= F.lit(least) * F.greatest(x, y)
 
-def in_large_keys(shared: DataFrame, least: float) -> DataFrame:
-    """(a, b) of the likely pairs of ``shared`` (key, id, n, texts, minima), key by key.
 
-    A key's texts are cut into blocks, and each pair of blocks is a group of its own.
+def first_pairs(shared: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of a small key, and of a large one each text with one text of the key."""
+    me = F.struct("id", "n")
+    few = shared.filter(F.col("texts") <= SMALL).groupBy("key").agg(F.collect_set(me).alias("m"))
+    every = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).filter("x.id < y.id")
+    large = shared.filter(F.col("texts") > SMALL)
+    centre = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("id"), "id", "n")).alias("y"))
+    stars = large.join(centre, "key").select(me.alias("x"), "y").filter("x.id <> y.id")
+    both = every.select("x", "y").unionByName(stars.select("x", F.struct("y.id", "y.n").alias("y")))
+    both = both.filter(fits(F.col("x.n"), F.col("y.n"), least))
+    return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def cells(shared: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, i, j, mine, id, n, minima, root): the texts of large keys, a group for each pair of blocks that can
+    have a link between two components.
+
+    Texts of a key's largest component are cut into blocks -1, -2, ..., the others into blocks 0, 1, ...: two
+    blocks of the former have nothing to say to each other.  A key of near copies, most of which the first pairs
+    have joined, moves its rows once for each block of those that are left.
     """
-    blocks = F.ceil(F.col("texts") / F.lit(BLOCK)).cast("int")
-    cells = (
-        shared.withColumn("blocks", blocks)
-        .withColumn("mine", F.pmod("id", "blocks").cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "mine", "id", "n", "minima")
-    )
-
-    def pairs(cell: pd.DataFrame) -> pd.DataFrame:
+    large = shared.filter(F.col("texts") > SMALL).join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "texts", F.coalesce("root", "id").alias("root"))
+    large = stored(large, "large-keys")
+    counts = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"), F.col("m.c").alias("in_main"))
+    met = large.join(main, "key").filter("texts > in_main")
+    inside = F.col("root") == F.col("main")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    met = met.withColumns({"p": blocks(F.col("in_main")), "q": blocks(F.col("texts") - F.col("in_main"))})
+    met = met.withColumn("mine", F.when(inside, -1 - F.pmod(F.xxhash64("id"), "p").cast("int")).otherwise(F.pmod(F.xxhash64("id"), "q").cast("int")))
+    others = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda v: F.struct(F.least("mine", v).alias("i"), F.greatest("mine", v).alias("j")))
+    mains = F.transform(F.sequence(F.lit(1), F.col("p")), lambda d: F.struct((-d).alias("i"), F.col("mine").alias("j")))
+    sent = met.withColumn("to", F.explode(F.when(inside, others).otherwise(F.concat(others, mains))))
+    return sent.join(rows.select("id", "minima"), "id").select("key", "to.i", "to.j", "mine", "id", "n", "minima", "root")
+
+
+def proposals(groups: DataFrame, rejected: DataFrame, least: float, nearest: int) -> DataFrame:
+    """(key, i, j, a, b) of likely pairs between components: a spanning forest of those whose minima agree most,
+    and the ``nearest`` of each text.  Pairs of ``rejected`` are known to be below the similarity."""
+
+    def pairs(cell: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if cell.empty:
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("key", "i", "j", "a", "b")})
         cell = cell.sort_values("id")
-        first, second = cell["mine"] == cell["i"], cell["mine"] == cell["j"]
-        x, y = cell[first], cell[second]
-        same = cell["i"].iloc[0] == cell["j"].iloc[0]
+        key, i, j = (int(cell[c].iloc[0]) for c in ("key", "i", "j"))
+        x, y = cell[cell["mine"] == i], cell[cell["mine"] == j]
+        no = set(zip(known["a"].tolist(), known["b"].tolist(), strict=True))
         mx, my = (np.frombuffer(b"".join(c["minima"]), "<u2").reshape(-1, BANDS * ROWS).T.copy() for c in (x, y))
         nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None]
         agree = np.zeros((len(x), len(y)), np.uint8)
         for p, q in zip(mx, my, strict=True):
             agree += p[:, None] == q[None]
-        r, c = np.nonzero((agree >= LIKELY) & (np.minimum(nx, ny) >= least * np.maximum(nx, ny)))
+        names, codes = np.unique(np.concatenate([x["root"], y["root"]]), return_inverse=True)
+        rx, ry = codes[: len(x)], codes[len(x) :]
+        r, c = np.nonzero((agree >= LIKELY) & (np.minimum(nx, ny) >= least * np.maximum(nx, ny)) & (rx[:, None] != ry[None]))
         edges = np.stack([r, c, agree[r, c].astype(np.int64)], axis=1)
-        if same:
+        if i == j:
             edges = edges[edges[:, 0] < edges[:, 1]]
         edges = edges[np.argsort(-edges[:, 2], kind="stable")]
-        shift = 0 if same else len(x)
-        root, near, keep = list(range(len(x) + len(y))), [0] * (len(x) + len(y)), []
+        ids_x, ids_y = x["id"].to_numpy(), y["id"].to_numpy()
+        root, near_x, near_y, keep = list(range(len(names))), np.zeros(len(x), int), np.zeros(len(y), int), []
+        if i == j:
+            near_y = near_x
 
         def find(v: int) -> int:
             while root[v] != v:
@@ -143,34 +178,25 @@ def in_large_keys(shared: DataFrame, least: float) -> DataFrame:
 
         while len(edges):
             for r, c, _ in edges[:EDGES].tolist():
-                p, q = find(r), find(c + shift)
-                if p != q or near[r] < NEAREST or near[c + shift] < NEAREST:
+                pair = (min(ids_x[r], ids_y[c]), max(ids_x[r], ids_y[c]))
+                p, q = find(rx[r]), find(ry[c])
+                if pair not in no and (p != q or near_x[r] < nearest or near_y[c] < nearest):
                     root[max(p, q)] = min(p, q)
-                    near[r] += 1
-                    near[c + shift] += 1
-                    keep.append((r, c))
+                    near_x[r] += 1
+                    near_y[c] += 1
+                    keep.append(pair)
             # What joins nothing new is dropped all at once.
             edges = edges[EDGES:]
-            top, few = np.array([find(v) for v in range(len(root))]), np.array(near) < NEAREST
-            left, right = edges[:, 0], edges[:, 1] + shift
-            edges = edges[(top[left] != top[right]) | few[left] | few[right]]
-        a, b = (x["id"].to_numpy()[[r for r, _ in keep]], y["id"].to_numpy()[[c for _, c in keep]]) if keep else (np.empty(0, np.int64),) * 2
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return cells.groupBy("key", "i", "j").applyInPandas(pairs, "a long, b long")
+            top = np.array([find(v) for v in range(len(root))])
+            edges = edges[(top[rx[edges[:, 0]]] != top[ry[edges[:, 1]]]) | (near_x[edges[:, 0]] < nearest) | (near_y[edges[:, 1]] < nearest)]
+        return pd.DataFrame({"key": key, "i": i, "j": j, "a": [p for p, _ in keep], "b": [q for _, q in keep]}).astype("int64")
 
+    at = ("key", "i", "j")
+    return groups.groupBy(*at).cogroup(rejected.groupBy(*at)).applyInPandas(pairs, "key long, i int, j int, a long, b long")
 
-def alike(docs: DataFrame, first: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
-    """The rows of ``pairs`` (a, b) of keys whose texts have at least that similarity.  ``docs``: (doc_id,
-    key, text); ``first`` (doc_id, key) says which row has the text of a key."""
 
-    def to_sets():
-        known: dict[bytes, int] = {}
-
-        def work(rows: dict[str, list]) -> dict[str, list]:
-            return {"id": rows["key"], "hashes": [shingles(t, width, known).tobytes() for t in rows["text"]]}
-
-        return work
+def compared(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b, good): whether the sets (id, hashes) of each pair have the similarity; compared in full."""
 
     def compare():
         def work(rows: dict[str, list]) -> dict[str, list]:
@@ -183,12 +209,39 @@ def alike(docs: DataFrame, first: DataFrame, pairs: DataFrame, width: int, least
 
         return work
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    named = first.join(ids, "key", "left_semi").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    chosen = docs.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
-    sets = stored(map_rows(chosen.select("key", "text"), "id long, hashes binary", to_sets).dropDuplicates(["id"]), "shingle-sets")
     left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), "a long, b long, good boolean", compare).filter("good").select("a", "b")
+    return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), "a long, b long, good boolean", compare)
+
+
+def joined_up(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """(node, root) of the texts of ``rows`` (id, n, keys, minima) that have links.  ``sets_of`` gives the sets
+    (id, hashes) of some ids.
+
+    Pairs that are rejected make room for others, twice as many for each text in each round, until no likely
+    pair of a key that was not compared in full stands between two components: no pair is left out for
+    the number of a text's neighbours.
+    """
+    shared = stored(shared_keys(rows), "shared-keys")
+    sets = stored(sets_of(shared.select("id").distinct()), "shingle-sets")
+    good = stored(compared(sets, first_pairs(shared, least), least).filter("good").select("a", "b"), "alike")
+    roots = stored(components(good), "near-roots")
+    groups = stored(cells(shared, rows, roots), "cells")
+    at, nearest = ["key", "i", "j"], NEAREST
+    rejected = groups.select(*at, F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    now = groups
+    while True:
+        proposed = stored(proposals(now, rejected, least, nearest), "proposed")
+        if proposed.isEmpty():
+            return roots
+        judged = stored(compared(sets, proposed.select("a", "b").distinct(), least), "judged")
+        good = stored(good.union(judged.filter("good").select("a", "b")).distinct(), "alike")
+        roots = stored(components(good), "near-roots")
+        bad = stored(proposed.join(judged.filter("not good").select("a", "b"), ["a", "b"]).select(*at, "a", "b"), "rejected")
+        if bad.isEmpty():
+            return roots
+        rejected, nearest = stored(rejected.union(bad), "rejected"), 2 * nearest
+        open_ = groups.join(bad.select(*at).distinct(), at, "left_semi").withColumnRenamed("root", "_old")
+        now = open_.join(roots, F.col("id") == F.col("node"), "left").select(*at, "mine", "id", "n", "minima", F.coalesce("root", "_old").alias("root"))
 
 
 def near_copies(docs: DataFrame, firsts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
@@ -201,8 +254,21 @@ def near_copies(docs: DataFrame, firsts: DataFrame, width: int = 5, least: float
     rows = pick(docs, doc_id="doc_id", text="text").withColumn("key", text_key())
     # Rows with equal texts have one sketch; all pairs and sets are by the text's key.
     sketched = sketches(rows, width).join(first.select(F.col("key").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    pairs = stored(candidates(stored(sketched, "sketches"), least), "pairs")
-    roots = stored(components(stored(alike(rows, first, pairs, width, least), "alike")), "near-roots")
+
+    def to_sets():
+        known: dict[bytes, int] = {}
+
+        def work(rows: dict[str, list]) -> dict[str, list]:
+            return {"id": rows["key"], "hashes": [shingles(t, width, known).tobytes() for t in rows["text"]]}
+
+        return work
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        named = first.join(ids.withColumnRenamed("id", "key"), "key", "left_semi").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+        chosen = rows.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
+        return map_rows(chosen.select("key", "text"), "id long, hashes binary", to_sets).dropDuplicates(["id"])
+
+    roots = joined_up(stored(sketched, "sketches"), sets_of, least)
     row = F.struct("no_id", "doc_id", "key")
     merged = first.join(roots, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("root", "key").alias("_root")).agg(F.min(row).alias("first"))
     return merged.select("first.*")

@@ -545,3 +545,42 @@ def test_samples_are_bounded_in_rows(spark):
         finally:
             module.stored = keep
     assert seen == [50, 50]
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_star_of_near_copies_loses_no_link(spark, monkeypatch, block):
+    """Texts around a base, many of whose pairs are just above or just below the similarity."""
+    monkeypatch.setattr(shingle_sets, "BLOCK", block)
+    monkeypatch.setattr(shingle_sets, "SMALL", 2)
+    rng = random.Random(5)
+    rows = []
+    for g in range(3):
+        base = [f"w{g}x{i}" for i in range(200)]
+        for _ in range(60):
+            copy = list(base)
+            for at in rng.sample(range(200), rng.choice((2, 3, 6))):
+                copy[at] = f"z{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    linked = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                linked += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = {find(i) for i in range(len(rows))}
+    assert linked > 50 and len(want) > 3
+    docs = frame(spark, rows)
+    from pyspark.sql import functions as F
+
+    first = docs.select(F.struct(F.lit(False).alias("no_id"), "doc_id", shingle_sets.text_key().alias("key")).alias("first"))
+    got = {r["doc_id"] for r in shingle_sets.near_copies(docs, first).collect()}
+    assert got == want
