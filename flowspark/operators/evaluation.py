@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import insort
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from flowspark.session import stored
 
-from .ordering import average_ranks, quantiles
+from .ordering import average_ranks, counted, quantiles, running_sum
 
 TINY = 1e-12
 
@@ -105,31 +105,97 @@ def event_filter(df: DataFrame, score: str, rate: float, group: list[str], none:
     return df.join(limits, group, "left").withColumn("threshold", F.coalesce("threshold", F.lit(none))).filter(F.col(score) >= F.col("threshold"))
 
 
-def growing_threshold(df: DataFrame, score: str, rate: float, group: list[str], order: str = "bar_id") -> DataFrame:
+class Ranked:
+    """A multiset over known values: add one, find the n-th smallest; each takes the logarithm of their number."""
+
+    def __init__(self, values: np.ndarray, counts: np.ndarray) -> None:
+        n = len(values)
+        self.values, self.tree = values, np.concatenate([[0], np.cumsum(counts)])
+        low = np.arange(n + 1)
+        self.tree = (self.tree - self.tree[low & (low - 1)]).tolist()
+        self.top = 1 << n.bit_length()
+
+    def add(self, place: int) -> None:
+        place += 1
+        while place < len(self.tree):
+            self.tree[place] += 1
+            place += place & -place
+
+    def nth(self, n: int) -> float:
+        at, step = 0, self.top
+        while step:
+            if at + step < len(self.tree) and self.tree[at + step] <= n:
+                at += step
+                n -= self.tree[at]
+            step >>= 1
+        return float(self.values[min(at, len(self.values) - 1)])
+
+
+def _grown(own: pd.DataFrame, before: pd.DataFrame, score: str, share: float, order: str, columns: list[str]) -> pd.DataFrame:
+    """Thresholds of a block's rows from the values near the quantile that were there before it."""
+    own = own.sort_values(order)
+    x, place = own[score].to_numpy(float), own["_vs"].to_numpy(float)
+    low, high = own["_lo"].iloc[0], own["_hi"].iloc[0]
+    inside = (place >= low) & (place <= high)
+    values, at = np.unique(np.concatenate([before[score].to_numpy(float), x[inside]]), return_inverse=True)
+    known = np.zeros(len(values), np.int64)
+    np.add.at(known, at[: len(before)], before["_c"].to_numpy(np.int64))
+    pool, spot = Ranked(values, known), dict(zip(np.flatnonzero(inside).tolist(), at[len(before) :].tolist(), strict=True))
+    size, under, limits = int(own["_size"].iloc[0]), int(own["_base"].iloc[0]), []
+    for i in range(len(x)):
+        if size:
+            rank = share * (size - 1)
+            first = int(rank)
+            a, b = (pool.nth(min(k, size - 1) - under) for k in (first, first + 1))
+            limits.append(a + (b - a) * (rank - first))
+        else:
+            limits.append(float("nan"))
+        if x[i] == x[i]:
+            size += 1
+            under += place[i] < low
+            if inside[i]:
+                pool.add(spot[i])
+    limit = np.array(limits, float)
+    return own.assign(threshold=limit, passed=x >= limit)[[*columns, "threshold", "passed"]]
+
+
+def growing_threshold(df: DataFrame, score: str, rate: float, group: list[str], order: str = "bar_id", block: int = 1024, most: int = 1024) -> DataFrame:
     """The oos rows of each group with ``threshold`` and ``passed``: the score that a share ``rate`` of the
     group's train rows and of its oos rows before the row reach; no row sees a later one.
 
-    A group is the train and oos stretch of one fold; its scores are kept in order as they come.
+    Scores are cut into slices by rank and oos rows into blocks by time, at most ``most`` of each in a group (or
+    of ``block`` rows).  Counts of slices summed over blocks tell which slices a block's quantiles can lie
+    in: as many ranks around as the block has rows.  A block is one task's group, with the values of those
+    slices that were there before it; of all other values only the number counts.
     """
-    schema = StructType([*df.schema.fields, StructField("threshold", DoubleType()), StructField("passed", BooleanType())])
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        pool = sorted(part.loc[(part["part"] == "train") & part[score].notna(), score].tolist())
-        rows = part[part["part"] == "oos"].sort_values(order)
-        limits: list[float] = []
-        for x in rows[score].tolist():
-            if pool:
-                at = (1 - rate) * (len(pool) - 1)
-                low = int(at)
-                limits.append(pool[low] + (pool[min(low + 1, len(pool) - 1)] - pool[low]) * (at - low))
-            else:
-                limits.append(float("nan"))
-            if x == x:
-                insort(pool, x)
-        limit = pd.Series(limits, index=rows.index, dtype=float)
-        return rows.assign(threshold=limit, passed=(rows[score] >= limit))
-
-    return df.groupBy(*group).applyInPandas(run, schema)
+    share = 1 - rate
+    rows = stored(df.withColumn(score, F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))), "scored")
+    sizes = rows.groupBy(*group).agg(F.count(score).alias("_all"), F.count_if(F.col("part") == "oos").alias("_oos"))
+    cut = lambda n: F.greatest(F.lit(block), F.ceil(F.col(n) / most))
+    slices = counted(rows, score, group).join(sizes, group).select(*group, score, F.floor((F.col("_upto") - F.col("_n")) / cut("_all")).alias("_vs"))
+    numbered = running_sum(rows.filter("part = 'oos'").withColumn("_one", F.lit(1).cast("long")), "_one", "_pos", group, F.floor(F.col(order) / 8192), (order,))
+    oos = numbered.join(sizes, group).withColumn("_b", F.floor((F.col("_pos") - 1) / cut("_oos"))).drop("_one", "_pos", "_all", "_oos")
+    oos = stored(oos.join(slices, [*group, score], "left"), "oos-rows")
+    train = rows.filter("part = 'train'").select(*group, score).join(slices, [*group, score]).withColumn("_b", F.lit(-1).cast("long"))
+    counts = train.select(*group, "_vs", "_b", score).unionByName(oos.filter(F.col(score).isNotNull()).select(*group, "_vs", "_b", score))
+    counts = stored(counts.groupBy(*group, "_vs", "_b", score).agg(F.count(F.lit(1)).alias("_c")), "score-counts")
+    # A cell for each slice and block of a group, train being block -1.
+    blocks = oos.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_rows")).unionByName(sizes.select(*group, F.lit(-1).cast("long").alias("_b"), F.lit(0).cast("long").alias("_rows")))
+    grid = blocks.join(slices.select(*group, "_vs").distinct(), group).join(counts.groupBy(*group, "_vs", "_b").agg(F.sum("_c").alias("_c")), [*group, "_vs", "_b"], "left")
+    earlier = lambda part, by: Window.partitionBy(*group, part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    grid = grid.withColumn("_start", F.coalesce(F.sum("_c").over(earlier("_vs", "_b")), zero))
+    grid = grid.withColumns({"_base": F.coalesce(F.sum("_start").over(earlier("_b", "_vs")), zero), "_size": F.sum("_start").over(Window.partitionBy(*group, "_b"))}).filter("_b >= 0")
+    first = F.floor(F.lit(share) * (F.col("_size") - 1)) - F.col("_rows")
+    last = F.ceil(F.lit(share) * (F.col("_size") + F.col("_rows") - 1))
+    need = stored(grid.filter((F.col("_base") <= last) & (F.col("_base") + F.col("_start") > first)).select(*group, "_b", "_vs", "_base", "_size"), "needed")
+    span = need.groupBy(*group, "_b").agg(F.min("_vs").alias("_lo"), F.max("_vs").alias("_hi"), F.min("_base").alias("_base"), F.max("_size").alias("_size"))
+    before = counts.withColumnRenamed("_b", "_from").join(need.select(*group, "_b", "_vs"), [*group, "_vs"]).filter("_from < _b").select(*group, "_b", score, "_c")
+    columns = df.columns
+    schema = StructType([*rows.schema.fields, StructField("threshold", DoubleType()), StructField("passed", BooleanType())])
+    own = oos.join(span, [*group, "_b"], "left").fillna(0, ["_lo", "_hi", "_base", "_size"])
+    run = lambda a, b: _grown(a, b, score, share, order, columns)
+    return own.groupBy(*group, "_b").cogroup(before.groupBy(*group, "_b")).applyInPandas(run, schema)
 
 
 def pooled_metrics(df: DataFrame, pred: str, y: str) -> DataFrame:

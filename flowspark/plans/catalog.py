@@ -24,7 +24,7 @@ from flowspark.operators import signals as S
 from flowspark.operators import tables as N
 from flowspark.plans import views
 from flowspark.plans.oracle import ORACLE_SQL  # noqa: F401
-from flowspark.session import scratch
+from flowspark.session import scratch, stored
 from flowspark.sources import archives as A
 from flowspark.sources import sinks as D
 from flowspark.sources import trades as R
@@ -89,11 +89,13 @@ def current_volatility(spark, d):
 
 
 def rolling_percent_rank(spark, d):
-    return rounded(X.rolled(bars_of(spark, d), {"pct": ("rank", "roll_spread", RANK, RANK // 10)}).select("bar_id", "pct"))
+    # Only what the ranks need goes through Python, and only that is measured.
+    b = bars_of(spark, d).select("symbol", "bar_id", "roll_spread")
+    return rounded(X.rolled(b, {"pct": ("rank", "roll_spread", RANK, RANK // 10)}).select("bar_id", "pct"))
 
 
 def robust_z(spark, d):
-    df = bars_of(spark, d).withColumn("_x", F.log1p(F.greatest("dt_sec", F.lit(0.0))))
+    df = bars_of(spark, d).select("symbol", "bar_id", F.log1p(F.greatest("dt_sec", F.lit(0.0))).alias("_x"))
     return rounded(X.robust_z(df, {"dt_sec_z": "_x"}, 72, 18).select("bar_id", "dt_sec_z"))
 
 
@@ -104,7 +106,7 @@ def ewma(spark, d):
 
 def rolling_quantile(spark, d):
     wanted = {"range_q90": ("quantile", "range1vb_bp", 50, 1, 0.9), "spread_q75": ("quantile", "roll_spread", 50, 20, 0.75)}
-    return rounded(X.rolled(bars_of(spark, d), wanted).select("bar_id", *wanted))
+    return rounded(X.rolled(bars_of(spark, d).select("symbol", "bar_id", "range1vb_bp", "roll_spread"), wanted).select("bar_id", *wanted))
 
 
 def rolling_spearman(spark, d):
@@ -112,7 +114,7 @@ def rolling_spearman(spark, d):
 
 
 def pace(spark, d):
-    return rounded(X.pace(bars_of(spark, d)).select("bar_id", "dt_sec_z", "trade_count_z"))
+    return rounded(X.pace(bars_of(spark, d).select("symbol", "bar_id", "dt_sec", "trade_count")).select("bar_id", "dt_sec_z", "trade_count_z"))
 
 
 def volatility_ratio(spark, d):
@@ -180,7 +182,8 @@ def ladder_features(spark, d):
 
 def cross_instrument(spark, d):
     both = ticks(spark, d)
-    own = B.volume_bars(both.filter("user_id % 2 = 0"), VOLUME).select("symbol", "bar_id", "ts_first", "ts_ms")
+    bars = stored(X.returns(B.volume_bars(both.filter("user_id % 2 = 0"), VOLUME)).select("symbol", "bar_id", "ts_first", "ts_ms", "taker_imb1vb", "ret1vb_bp"), "own-bars")
+    own = bars.select("symbol", "bar_id", "ts_first", "ts_ms")
     other = both.filter("user_id % 2 = 1").select("symbol", "ts_ms", "seq", "price", "lots", "is_buyer_maker")
     met = J.within(own.withColumnRenamed("ts_ms", "ts_last"), other, "ts_first", "ts_last")
     sign = F.when(F.col("is_buyer_maker"), -F.col("lots")).otherwise(F.col("lots"))
@@ -193,7 +196,7 @@ def cross_instrument(spark, d):
         F.sum("lots").alias("total"),
         F.when(F.sum(sign) != 0, F.coalesce(F.sum("step"), F.lit(0.0)) / F.abs(F.sum(sign))).alias("path_over_net"),
     )
-    own_features = X.returns(B.volume_bars(both.filter("user_id % 2 = 0"), VOLUME)).select("symbol", "bar_id", "taker_imb1vb", "ret1vb_bp")
+    own_features = bars.select("symbol", "bar_id", "taker_imb1vb", "ret1vb_bp")
     return rounded(X.divergence(one.join(own_features, ["symbol", "bar_id"]), "imb", "ret_bp").select(*one.columns, "imb_divergence", "ret_divergence").drop("symbol"))
 
 
@@ -466,7 +469,7 @@ def stream_threshold(spark, d):
 
 def path_predictions(spark, d):
     """Samples with the imbalance of the bars completed along the event as predictions."""
-    b = S.label_event(S.shock_trigger(featured(spark, d), SHOCK))
+    b = stored(S.label_event(S.shock_trigger(featured(spark, d), SHOCK)), "labelled-bars")
     events = P.event_table(b)
     samples = P.resample(P.tick_paths(events, ticks(spark, d)), SAMPLES).withColumn("entry_pred", F.lit(0.5))
     made = J.within(events, b.select("symbol", "ts_ms", "bar_id", F.col("taker_imb1vb").alias("pred")), "ts_entry", "ts_exit").filter("bar_id > event_id")
@@ -539,7 +542,7 @@ def sample_weights(spark, d):
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks of each trigger's event."""
-    b = S.label_event(S.shock_trigger(featured(spark, sf_dir), SHOCK))
+    b = stored(S.label_event(S.shock_trigger(featured(spark, sf_dir), SHOCK)), "labelled-bars")
     return P.tick_paths(P.event_table(b), ticks(spark, sf_dir))
 
 
