@@ -15,9 +15,10 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.session import scratch
+from flowspark.session import scratch, stored
 
-from .evaluation import impute_medians, spearman
+from .evaluation import growing_threshold, impute_medians, spearman
+from .ordering import quantiles
 
 #: Rows that a part needs for a fold to be fitted.
 LEAST = 50
@@ -59,7 +60,7 @@ def fit_trees(train: DataFrame, features: list[str], y: str, out: str, trees: in
     rows = inputs.transform(train)
     model = GBTRegressor(featuresCol="_x", labelCol=y, predictionCol=out, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
     if tail > 0:
-        edge = rows.agg(F.percentile("bar_id", F.lit(1 - tail))).first()[0]
+        edge = quantiles(rows, "bar_id", {"edge": 1 - tail}).first()["edge"]
         rows, model = rows.withColumn("_late", F.col("bar_id") > edge), model.setValidationIndicatorCol("_late")
     return PipelineModel([inputs, model.fit(rows)])
 
@@ -84,13 +85,13 @@ def each_fold(rows: DataFrame, use: Callable[[DataFrame, DataFrame], DataFrame],
     return together(folds(), table.limit(0))
 
 
-def walk_forward(rows: DataFrame, features: list[str], y: str, out: str = "pred", least: int = LEAST, **trees) -> DataFrame:
+def walk_forward(rows: DataFrame, features: list[str], y: str, out: str = "pred", least: int = LEAST, fit: Callable = fit_trees, **trees) -> DataFrame:
     """The oos rows with ``out``: trees learn from the fold's train rows; gaps take the train medians,
-    and 0 where a fold has none."""
+    and 0 where a fold has none.  ``fit``: :func:`fit_trees`, or ``boosting.fit_dropout``."""
     filled = impute_medians(rows, features, ["fold_idx"]).fillna(0.0, features)
 
     def use(train: DataFrame, oos: DataFrame) -> DataFrame:
-        return fit_trees(train, features, y, out, **trees).transform(oos).drop("_x")
+        return fit(train, features, y, out, **trees).transform(oos).drop("_x")
 
     done = each_fold(filled, use, y, least)
     return done if out in done.columns else done.withColumn(out, F.lit(None).cast("double"))
@@ -116,30 +117,68 @@ def gate_others(preds: DataFrame, features: list[str], y: str, pred: str = "pred
                 yield fit_trees(others, features, "_gain", "gate_score", **trees).transform(own).drop("_x")
 
     scored = together(gates(), table.limit(0).withColumn("gate_score", none))
-    edge = scored.agg(F.percentile("gate_score", F.lit(percent / 100)).alias("_edge"))  # one row
-    return scored.crossJoin(F.broadcast(edge)).withColumn("gate_pass", F.coalesce(F.col("gate_score") >= F.col("_edge"), F.lit(True))).drop("_edge", "_gain")
+    edge = quantiles(scored, "gate_score", {"edge": percent / 100}).first()["edge"]
+    return scored.withColumn("gate_pass", F.coalesce(F.col("gate_score") >= F.lit(edge), F.lit(True))).drop("_gain")
 
 
-def two_stage(rows: DataFrame, features: list[str], first: str, second: str, top: float = 0.2, least: int = LEAST, **trees) -> DataFrame:
-    """Predict ``first`` (``alpha_pred``) and, with it as a feature, ``second`` (``pred``).
+#: The rows that the stages of a fold need, by what there are too few of.
+STAGES = {"alpha train": 100, "alpha oos": 50, "alpha pass": 20, "entry candidates": 100, "entry train": 50, "entry oos": 10}
 
-    The second model learns from the train rows whose actual ``first`` is in its top share, with the
-    actual value as the feature; oos rows carry the predicted one.
+
+def two_stage(rows: DataFrame, features: list[str], first: str, second: str, top: float = 0.2, gate: bool = True, needed: dict[str, int] = STAGES, fit: Callable = fit_trees, **trees) -> tuple[DataFrame, DataFrame]:
+    """Predict ``first`` (``alpha_pred``) and, with it as a feature, ``second`` (``pred``): (predictions, status).
+
+    The first model predicts train and oos rows that have ``first``.  With ``gate``, an oos row passes if its
+    prediction reaches what the share ``top`` of the train predictions and of the oos predictions before it reach
+    (``alpha_threshold``).  The second model learns from the train rows whose actual ``first`` is in its top share,
+    with the actual value as the feature, and predicts the oos rows that pass and have ``second``, with the
+    predicted one.  ``status`` has a row for each fold: how many rows it had at each step, and "used" or what there
+    were too few of (``needed``); such a fold has no predictions.
     """
-    filled = impute_medians(rows, features, ["fold_idx"]).fillna(0.0, features)
-    columns = [*features, "alpha_feature"]
+    needed = STAGES | needed
+    filled = by_fold(impute_medians(rows, features, ["fold_idx"]).fillna(0.0, features))
+    columns, status = [*features, "alpha_feature"], []
+
+    def one(k: int) -> DataFrame | None:
+        seen: dict[str, int] = {}
+
+        def enough(step: str, df: DataFrame) -> bool:
+            seen[step] = df.count()
+            return seen[step] >= needed[step]
+
+        def done(state: str, out: DataFrame | None = None) -> DataFrame | None:
+            status.append((k, *[seen.get(s) for s in STAGES], state))
+            return out
+
+        fold = filled.filter((F.col("fold_idx") == k) & F.col(first).isNotNull())
+        train, oos = fold.filter("part = 'train'"), fold.filter("part = 'oos'")
+        for step, part in (("alpha train", train), ("alpha oos", oos)):
+            if not enough(step, part):
+                return done(f"too few: {step}")
+        scored = stored(fit(train, features, first, "alpha_pred", **trees).transform(fold).drop("_x"), "alpha")
+        if gate:
+            passing = stored(growing_threshold(scored, "alpha_pred", top, ["fold_idx"]).withColumnRenamed("threshold", "alpha_threshold").filter("passed").drop("passed"), "passed")
+            if not enough("alpha pass", passing):
+                return done("too few: alpha pass")
+        else:
+            passing = scored.filter("part = 'oos'").withColumn("alpha_threshold", F.lit(None).cast("double"))
+        base = train.filter(F.col(second).isNotNull())
+        if not enough("entry candidates", base):
+            return done("too few: entry candidates")
+        edge = quantiles(base, first, {"edge": 1 - top}).first()["edge"]
+        chosen = base.filter(F.col(first) >= edge).withColumn("alpha_feature", F.col(first))
+        if not enough("entry train", chosen):
+            return done("too few: entry train")
+        target = passing.filter(F.col(second).isNotNull()).withColumn("alpha_feature", F.col("alpha_pred"))
+        if not enough("entry oos", target):
+            return done("too few: entry oos")
+        return done("used", fit(chosen, columns, second, "pred", **trees).transform(target).drop("_x"))
 
-    def use(train: DataFrame, oos: DataFrame) -> DataFrame:
-        alpha = fit_trees(train, features, first, "alpha_pred", **trees).transform(oos).drop("_x").withColumn("alpha_feature", F.col("alpha_pred"))
-        edge = train.agg(F.percentile(first, F.lit(1 - top))).first()[0]
-        chosen = train.filter((F.col(first) >= edge) & F.col(second).isNotNull()).withColumn("alpha_feature", F.col(first))
-        if chosen.limit(10).count() < 10:
-            return alpha.withColumn("pred", F.lit(None).cast("double"))
-        return fit_trees(chosen, columns, second, "pred", **trees).transform(alpha).drop("_x")
-
-    done = each_fold(filled, use, first, least)
-    missing = [c for c in ("alpha_pred", "alpha_feature", "pred") if c not in done.columns]
-    return done.withColumns({c: F.lit(None).cast("double") for c in missing})
+    none = F.lit(None).cast("double")
+    empty = filled.limit(0).withColumns({c: none for c in ("alpha_pred", "alpha_threshold", "alpha_feature", "pred")})
+    preds = together((out for k in fold_list(filled) if (out := one(k)) is not None), empty)
+    schema = "fold_idx int, " + ", ".join(f"{s.replace(' ', '_')} long" for s in STAGES) + ", status string"
+    return preds, rows.sparkSession.createDataFrame(status, schema)  # one row for each fold
 
 
 def retrain(rows: DataFrame, features: list[str], y: str, rounds: int = 3, enough: int = 100, settled: float = 0.005, percent: float = 70.0, **trees) -> DataFrame:

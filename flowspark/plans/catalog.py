@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from flowspark.operators import bars as B
 from flowspark.operators import book as K
+from flowspark.operators import boosting as T
 from flowspark.operators import evaluation as E
 from flowspark.operators import exits as P
 from flowspark.operators import features as X
@@ -584,7 +585,19 @@ def lofo_gate(spark, d):
 
 
 def two_stage(spark, d):
-    return rounded(M.two_stage(modelling(spark, d), INPUTS, "y_efficiency", "y_vwap", trees=10).select("fold_idx", "bar_id", "alpha_pred", "pred"))
+    """Without the gate of the first stage, which leaves too few rows of a fold here."""
+    preds, _ = M.two_stage(modelling(spark, d), INPUTS, "y_efficiency", "y_vwap", gate=False, trees=10)
+    return rounded(preds.select("fold_idx", "bar_id", "alpha_pred", "pred"))
+
+
+def two_stage_status(spark, d):
+    """What each fold of the gated two-stage model had at each step, down to the rows that it can predict."""
+    _, status = M.two_stage(modelling(spark, d), INPUTS, "y_efficiency", "y_vwap", needed={"alpha pass": 1, "entry oos": 1}, trees=3)
+    return rounded(status.select("fold_idx", "alpha_train", "alpha_oos", "entry_candidates", "entry_train", "status"))
+
+
+def dropout_walkforward(spark, d):
+    return rounded(M.walk_forward(modelling(spark, d), INPUTS, "y_vwap", fit=T.fit_dropout, trees=4, drop=0.3, skip=0.2).select("fold_idx", "bar_id", "y_vwap", "pred"))
 
 
 def millis(df: DataFrame) -> DataFrame:
@@ -611,7 +624,7 @@ def stream_bars(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        gbt_walkforward, lofo_gate, two_stage, stream_tumbling, stream_sliding, stream_sessions, stream_bars,
+        gbt_walkforward, lofo_gate, two_stage, two_stage_status, dropout_walkforward, stream_tumbling, stream_sliding, stream_sessions, stream_bars,
         label_scaled_trend, composite_score, threshold_search, folds_days, sample_weights, event_paths, exit_samples, exit_features, exit_rating,
         tick_view, tick_order_check, cumulative_lots, volume_bars, bar_returns, vpin, trade_activity, current_volatility, rolling_percent_rank, robust_z, ewma,
         rolling_quantile, lag_matrix, streak, shock_trigger, label_event, label_efficiency, label_variable_horizon, label_vwap, asof_book, nearest_book,

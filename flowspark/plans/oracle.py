@@ -429,6 +429,13 @@ ORACLE_SQL: dict[str, str] = {
       b AS (SELECT ts_ms, count(*) AS n_bids, max(1000 - i - 0.5::DOUBLE) AS best_bid, sum(bz) AS bid_size FROM (SELECT *, row_number() OVER (PARTITION BY ts_ms ORDER BY i) AS r FROM now WHERE bz > 0) WHERE r <= 10 GROUP BY ts_ms),
       a AS (SELECT ts_ms, min(1000 + i + 0.5::DOUBLE) AS best_ask, sum(az) AS ask_size FROM (SELECT *, row_number() OVER (PARTITION BY ts_ms ORDER BY i) AS r FROM now WHERE az > 0) WHERE r <= 10 GROUP BY ts_ms)
       SELECT ts_ms, n_bids, best_bid, round(bid_size, 6) AS bid_size, best_ask, round(ask_size, 6) AS ask_size FROM b JOIN a USING (ts_ms)""",
+    "two_stage_status": f"""WITH RECURSIVE {BARS}, {SMOOTH}, d AS (SELECT *, abs(close - lag(close) OVER (ORDER BY bar_id)) AS d, lead(close, 10) OVER (ORDER BY bar_id) AS nxt FROM bars),
+      lab AS (SELECT bar_id, CASE WHEN nxt IS NULL THEN NULL WHEN path <= 1e-12 THEN 0.0 ELSE least(abs(nxt - close) / path, 1.0::DOUBLE) END AS a, nxt IS NOT NULL AND v IS NOT NULL AS b
+        FROM (SELECT *, sum(d) OVER (ORDER BY bar_id ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS path FROM d) LEFT JOIN sm USING (bar_id)),
+      folds AS (SELECT k AS fold_idx, k * 100 AS lo FROM (SELECT unnest(range(0, CASE WHEN n >= 520 THEN (n - 520) // 100 + 1 ELSE 0 END)) AS k FROM (SELECT max(bar_id) + 1 AS n FROM bars))),
+      mem AS (SELECT f.fold_idx, l.*, l.bar_id < lo + 390 AS train FROM lab l JOIN folds f ON (l.bar_id >= lo AND l.bar_id < lo + 390 OR l.bar_id >= lo + 420 AND l.bar_id < lo + 520) WHERE a IS NOT NULL),
+      edges AS (SELECT fold_idx, quantile_cont(a, 0.8) AS edge FROM mem WHERE train AND b GROUP BY fold_idx)
+      SELECT fold_idx, count(*) FILTER (train) AS alpha_train, count(*) FILTER (NOT train) AS alpha_oos, count(*) FILTER (train AND b) AS entry_candidates, count(*) FILTER (train AND b AND a >= edge) AS entry_train, 'used' AS status FROM mem JOIN edges USING (fold_idx) GROUP BY fold_idx""",
     "archive_bars": f"WITH {TICKS}, part AS (SELECT * FROM ticks WHERE ts_ms >= epoch_ms(TIMESTAMP '2024-01-05') AND ts_ms < epoch_ms(TIMESTAMP '2024-01-21')), {bar_parts('part')} SELECT 'EV' AS symbol, bar_id, ts_ms, {r6('open', 'high', 'low', 'close', 'vwap')}, trade_count, round(taker_buy_vol, 6) AS taker_buy_vol FROM bars",
     "archive_digests": """SELECT name, CASE WHEN n % 5 <> 0 AND n % 3 = 0 THEN 'md5' ELSE 'sha256' END AS algorithm, CASE WHEN n % 5 = 0 THEN 'bad' ELSE 'good' END AS status
       FROM (SELECT DISTINCT 'EV-aggTrades-' || strftime(ts, '%Y-%m-%d') || '.zip' AS name, dayofyear(ts) AS n FROM events)""",
