@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from flowspark.session import stored
 
-from .ordering import quantiles
+from .ordering import counted, quantiles
 
 #: Bins of a feature, and steps of a residual between 0 and where it is clipped: squares of steps sum up
 #: exactly over 2**33 rows.
@@ -48,6 +48,21 @@ def nodes_of(model: DecisionTreeRegressionModel):
     return walk(model._java_obj.rootNode())
 
 
+def bin_edges(rows: DataFrame, features: list[str]) -> dict[str, list[float]]:
+    """The different values at 1 / BINS, 2 / BINS, ... of each feature's order, of all features at once: ``BINS`` - 1
+    numbers a feature."""
+    long = rows.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in features]).unpivot([], list(features), "_f", "_v")
+    ranked = counted(long, "_v", ("_f",))
+    sizes = ranked.groupBy("_f").agg(F.max("_upto").alias("_all"))
+    # A value is an edge if the place of a quantile lies among its copies.
+    place = lambda n: F.ceil(n * BINS / F.col("_all"))
+    hit = ranked.join(sizes, "_f").filter((place(F.col("_upto")) > place(F.col("_upto") - F.col("_n"))) & (F.abs("_v") < math.inf))
+    found: dict[str, list[float]] = {c: [] for c in features}
+    for r in hit.select("_f", "_v").collect():
+        found[r["_f"]].append(r["_v"])
+    return {c: sorted(v)[:-1] if len(v) > BINS - 1 else sorted(v) for c, v in found.items()}
+
+
 @dataclass
 class Boosted:
     """A fitted model: where features are cut, and trees with their weights."""
@@ -87,8 +102,7 @@ def fit_dropout(train: DataFrame, features: list[str], y: str, out: str = "pred"
     """
     rows = train.filter(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))).withColumn(y, F.col(y).cast("double"))
     rows = stored(rows.select(*features, y), "boosting-rows")
-    marks = {f"q{i}": i / BINS for i in range(1, BINS)}
-    edges = {c: sorted({e for e in quantiles(rows, c, marks).first() if e is not None and math.isfinite(e)}) for c in features}
+    edges = bin_edges(rows, features)
     base = quantiles(rows, y, {"m": 0.5}).first()["m"] or 0.0
     if delta is None:
         delta = quantiles(rows.select(F.abs(F.col(y) - base).alias("d")), "d", {"q": robust}).first()["q"] or 0.0
