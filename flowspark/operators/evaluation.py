@@ -286,6 +286,33 @@ def impute_medians(df: DataFrame, columns: list[str], group: list[str]) -> DataF
     return df.join(medians, group, "left").withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
 
 
+def fill_empty(df: DataFrame, columns: Sequence[str], group: Sequence[str], value: float = 0.0) -> DataFrame:
+    """Columns without any value in a group's train rows are ``value`` in all its rows, train and oos; NaN is no
+    value.  A group without train rows has only such columns."""
+    keys = list(group)
+    there = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    seen = df.groupBy(*keys).agg(*[F.count_if((F.col("part") == "train") & there(c)).alias(f"_n_{c}") for c in columns])
+    return df.join(seen, keys).withColumns({c: F.when(F.col(f"_n_{c}") == 0, F.lit(value)).otherwise(F.col(c)) for c in columns}).drop(*[f"_n_{c}" for c in columns])
+
+
+def reversion(df: DataFrame, side: str, y: str, group: Sequence[str]) -> DataFrame:
+    """(group, n, reversion, share): mean of the outcome against the sign of ``side``, and how often it is above 0."""
+    gain = -F.signum(side) * F.col(y)
+    both = df.filter(F.col(side).isNotNull() & F.col(y).isNotNull())
+    return both.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg(gain).alias("reversion"), F.avg((gain > 0).cast("double")).alias("share"))
+
+
+def signed_gain(df: DataFrame, pred: str, y: str, out: str = "gain") -> DataFrame:
+    """Add what a prediction is worth: the outcome times the prediction's sign, the target of a gate."""
+    return df.withColumn(out, F.signum(pred) * F.col(y))
+
+
+def top_share(df: DataFrame, column: str, share: float, group: Sequence[str]) -> DataFrame:
+    """The train rows of each group whose value is in the top ``share`` of them, with the ``threshold``."""
+    rows = df.filter((F.col("part") == "train") & F.col(column).isNotNull())
+    return rows.join(thresholds(rows, column, share, list(group)), list(group)).filter(F.col(column) >= F.col("threshold"))
+
+
 def missing_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, missing): the share of nulls of each column."""
     one = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])

@@ -8,10 +8,11 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .joins import within
 from .ordering import EPS, at_least, in_blocks, rolling
 
 # The features of a model in their order, those that are ranked, those with lags.
@@ -32,6 +33,20 @@ LAGGED = (
 )
 
 
+# The features of rows at grid times, in the reference data's order and names.
+GRID_BARS = (
+    "ret1_bp", "retH_bp", "range_bp", "close_pos", "close_vs_vwap", "taker_imb", "pde", "kyle_lambda", "roll_spread", "large_imb_share", "entropy_norm",
+    "burst_cv", "trade_count", "mid_size_share", "rev_count_ratio", "par", "twi", "vpin_delta", "tca", "dt_sec", "dt_sec_z", "trade_count_z",
+)
+GRID_ROLLING = ("cur_vol_bp", "vol_ratio", "vpin_N", "ret1_bp_pctrank", "retH_bp_pctrank", "range_bp_pctrank", "cur_vol_bp_pctrank", "kyle_lambda_pctrank", "roll_spread_pctrank", "vpin_delta_pctrank")
+GRID_LAGGED = (
+    "taker_imb", "pde", "kyle_lambda", "roll_spread", "ret1_bp", "range_bp", "close_pos", "close_vs_vwap", "large_imb_share", "entropy_norm",
+    "burst_cv", "trade_count", "mid_size_share", "rev_count_ratio", "par", "twi", "vpin_delta", "tca",
+)
+GRID_BOOK = ("ob_imb_l1", "ob_imb_l5", "ob_imb_l10", "ob_depth_ratio_5", "ob_depth_ratio_10", "ob_spread", "ob_spread_rel", "ob_microprice_adj", "ob_total_depth_5")
+GRID_BOOK_RANKED = ("ob_spread", "ob_spread_rel", "ob_total_depth_5", "ob_microprice_adj")
+
+
 def rolled(df: DataFrame, wanted: dict[str, tuple], keys: Sequence[str] = ("symbol",), order: str = "bar_id", block: int = 8192) -> DataFrame:
     """Add rolling order statistics: name -> (statistic, column, rows, least values[, q]).
 
@@ -111,6 +126,35 @@ def percent_ranks(df: DataFrame, columns: Sequence[str] = RANKED, n: int = 500)
     return rolled(df, {f"{c}_pctrank": ("rank", c, n, max(10, n // 10)) for c in columns})
 
 
+def other_instrument(bars: DataFrame, other: DataFrame) -> DataFrame:
+    """Bars (symbol, bar_id, ts_first, ts_ms, ...) with what another instrument's ticks did from a bar's first tick to
+    its last, both included: ``other_n`` ticks, ``other_imb`` (0 without lots), ``other_ret_bp`` (0 if its first price is
+    none), ``other_path`` (distance over net flow) and ``other_total`` lots; null for a bar without any.
+
+    ``other`` has the bars' symbol: ticks meet bars by slices of time."""
+    spans = bars.select("symbol", "bar_id", "ts_first", F.col("ts_ms").alias("ts_last"))
+    met = within(spans, other.select("symbol", "ts_ms", "seq", "price", "lots", "is_buyer_maker"), "ts_first", "ts_last")
+    bar = Window.partitionBy("symbol", "bar_id").orderBy("point_ts", "seq")
+    signed = F.when(F.col("is_buyer_maker"), -F.col("lots")).otherwise(F.col("lots"))
+    met = met.withColumns({"_step": F.abs(F.col("price") - F.lag("price").over(bar)), "_s": signed, "_at": F.struct("point_ts", "seq")})
+    first, last, total, net = F.min_by("price", "_at"), F.max_by("price", "_at"), F.sum("lots"), F.sum("_s")
+    one = met.groupBy("symbol", "bar_id").agg(
+        F.count(F.lit(1)).alias("other_n"),
+        F.when(total > EPS, net / total).otherwise(0.0).alias("other_imb"),
+        F.when(first > EPS, (last - first) / first * 1e4).otherwise(0.0).alias("other_ret_bp"),
+        (F.coalesce(F.sum("_step"), F.lit(0.0)) / (F.abs(net) + EPS)).alias("other_path"),
+        total.alias("other_total"),
+    )
+    return bars.join(one, ["symbol", "bar_id"], "left")
+
+
+def grid_feature_names(lags: int = 2, book: bool = True) -> list[str]:
+    """The columns of a model of rows at grid times, in their order: bars, what rolls, the book, lags."""
+    names = [*GRID_BARS, *GRID_ROLLING] + ([*(f"{c}_close" for c in GRID_BOOK), "ob_mid_price", *(f"{c}_close_pctrank" for c in GRID_BOOK_RANKED)] if book else [])
+    lagged = [*GRID_LAGGED, *(f"{c}_close" for c in GRID_BOOK if book)]
+    return names + [f"{c}_lag{k}" for c in lagged for k in range(1, lags + 1)]
+
+
 def divergence(df: DataFrame, other_imb: str = "other_imb", other_ret: str = "other_ret_bp") -> DataFrame:
     """The other instrument's imbalance and return less a bar's own."""
     return df.withColumns({"imb_divergence": F.col(other_imb) - F.col("taker_imb1vb"), "ret_divergence": F.col(other_ret) - F.col("ret1vb_bp")})

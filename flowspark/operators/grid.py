@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .features import GRID_BARS, GRID_BOOK, GRID_LAGGED, current_volatility, grid_feature_names, pace, percent_ranks, trade_activity, volatility_ratio, vpin
 from .joins import asof, within
 from .ordering import EPS, in_blocks, running_sum
 
@@ -83,6 +84,28 @@ def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast("double") for c in columns if c not in df.columns})
 
 
+def grid_features(bars: DataFrame, ladder: DataFrame, lags_: int = 2, tolerance: int = 60_000, scale: int = 18, rank_rows: int = 500) -> DataFrame:
+    """Rows at grid times with every column of ``features.grid_feature_names``, from bars of grid times and the
+    book's features; ``bar_id`` numbers the rows of an instrument.
+
+    Measures of a time's last bar come with it; what rolls (volatility, VPIN, pace, ranks) does so over rows.
+    """
+    met = book_at_bars(bar_columns(bars), ladder.withColumnRenamed("mid", "ob_mid"), tolerance, [*GRID_BOOK, "ob_mid"])
+    book = [f"{c}_close" for c in GRID_BOOK]
+    late = {"vpin_delta", "tca", "dt_sec_z", "trade_count_z", "retH_bp"}
+    own = [c for c in GRID_BARS if c not in late]
+    raw = ["open", "high", "low", "close", "vwap", "volume", "taker_buy_vol", "taker_sell_vol", "range1vb_bp"]
+    lagged = [c for c in GRID_LAGGED if c not in late]
+    one = rows(met, [*own, *raw, *book, "ob_mid_close"], [*lagged, *book], lags_).withColumn("ts_ms", F.col("grid_ms"))
+    one = one.withColumnsRenamed({"ob_mid_close": "ob_mid_price"}).withColumn("ret1vb_bp", F.col("ret1_bp"))
+    one = current_volatility(vpin(trade_activity(one, scale), scale), scale).withColumnsRenamed({"vpin_n": "vpin_N", "cur_vol_vb_bp": "cur_vol_bp"})
+    one = pace(volatility_ratio(one, scale), scale)
+    one = in_blocks(one, lambda w: {"retH_bp": (F.col("close") - F.lag("close", scale).over(w)) / (F.lag("close", scale).over(w) + EPS) * 1e4}, back=scale)
+    ranked = [c.removesuffix("_pctrank") for c in grid_feature_names(0) if c.endswith("_pctrank")]
+    one = fill_lags(percent_ranks(one, ranked, rank_rows), [c for c in GRID_LAGGED if c in late] if lags_ else [], lags_)
+    return one.select(*GRID, "bar_id", *grid_feature_names(lags_))
+
+
 def head(df: DataFrame, n: int, order: str = "bar_id") -> DataFrame:
     """The first ``n`` rows of each instrument, by their number."""
     return df.filter(F.col(order) < n)

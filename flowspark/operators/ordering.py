@@ -118,6 +118,21 @@ def next_true(df: DataFrame, flag: str, columns: Sequence[str], out: str, keys:
     return met.select(*df.columns, F.col("_next").alias(out))
 
 
+def fill_forward(df: DataFrame, column: str, out: str, default: object = None, keys: Sequence[str] = ("symbol",), order: str = "bar_id", block: int = 8192) -> DataFrame:
+    """Add ``out``: the value of the row, or the last one before it, however far; ``default`` before the first.
+
+    A block of rows gives its last value, which is carried over the blocks behind it; NaN is no value.
+    """
+    known = F.when(~F.isnan(F.col(column).cast("double")), F.col(column))
+    dealt = df.withColumns({"_key": F.struct(*keys, F.floor(F.col(order) / block).alias("_slice")), "_known": known})
+    ends = dealt.groupBy("_key").agg(F.max(F.when(F.col("_known").isNotNull(), F.struct(order, "_known"))).alias("_end"))
+    before = Window.partitionBy(*[f"_key.{k}" for k in keys]).orderBy("_key._slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_key", F.last("_end", ignorenulls=True).over(before)["_known"].alias("_carried"))
+    within = Window.partitionBy("_key").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt.join(carried, "_key").withColumn("_filled", F.coalesce(F.last("_known", ignorenulls=True).over(within), "_carried", F.lit(default)))
+    return met.select(*df.columns, F.col("_filled").alias(out))
+
+
 def at_least(value: Column, frame: WindowSpec, least: int, result: Column) -> Column:
     """``result`` where the frame has at least ``least`` values, else null."""
     return F.when(F.count(value).over(frame) >= least, result)

@@ -40,3 +40,17 @@ def tail_is_null(df: DataFrame, column: str, n: int, order: str = "bar_id") -> D
     last = df.groupBy("symbol").agg(F.max(order).alias("_last"))
     late = df.join(last, "symbol").filter(F.col(order) > F.col("_last") - n)
     return late.groupBy("symbol").agg(F.min(F.col(column).isNull()).alias("clean"))
+
+
+def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Of the rows of each key the last by ``order``: a maximum, so rows of a key are reduced before they move."""
+    rest = [c for c in df.columns if c not in keys]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns])
+
+
+def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], value: str, default: object, order: Sequence[str]) -> DataFrame:
+    """``df`` with ``value`` of the last row of ``table`` (by ``order``) that has its keys; ``default`` where there is
+    none, or its value is missing."""
+    last = keep_last(table.select(*dict.fromkeys([*keys, value, *order])), keys, order).select(*keys, F.col(value).alias("_value"))
+    return df.join(last, list(keys), "left").withColumn(value, F.coalesce("_value", F.lit(default))).drop("_value")

@@ -184,21 +184,58 @@ def ladder_features(spark, d):
 def cross_instrument(spark, d):
     both = ticks(spark, d)
     bars = stored(X.returns(B.volume_bars(both.filter("user_id % 2 = 0"), VOLUME)).select("symbol", "bar_id", "ts_first", "ts_ms", "taker_imb1vb", "ret1vb_bp"), "own-bars")
-    own = bars.select("symbol", "bar_id", "ts_first", "ts_ms")
     other = both.filter("user_id % 2 = 1").select("symbol", "ts_ms", "seq", "price", "lots", "is_buyer_maker")
-    met = J.within(own.withColumnRenamed("ts_ms", "ts_last"), other, "ts_first", "ts_last")
-    sign = F.when(F.col("is_buyer_maker"), -F.col("lots")).otherwise(F.col("lots"))
-    first, last = F.min_by("price", "seq"), F.max_by("price", "seq")
-    step = F.abs(F.col("price") - F.lag("price").over(Window.partitionBy("symbol", "bar_id").orderBy("seq")))
-    one = met.withColumn("step", step).groupBy("symbol", "bar_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.sum(sign) / F.sum("lots")).alias("imb"),
-        ((last - first) / first * 1e4).alias("ret_bp"),
-        F.sum("lots").alias("total"),
-        F.when(F.sum(sign) != 0, F.coalesce(F.sum("step"), F.lit(0.0)) / F.abs(F.sum(sign))).alias("path_over_net"),
-    )
-    own_features = bars.select("symbol", "bar_id", "taker_imb1vb", "ret1vb_bp")
-    return rounded(X.divergence(one.join(own_features, ["symbol", "bar_id"]), "imb", "ret_bp").select(*one.columns, "imb_divergence", "ret_divergence").drop("symbol"))
+    met = X.divergence(X.other_instrument(bars, other), "other_imb", "other_ret_bp").filter("other_n is not null")
+    # A bar without net flow has no distance over it that two engines agree on.
+    flow = F.when(F.col("other_path") < NO_NET, F.col("other_path"))
+    return rounded(met.select("bar_id", F.col("other_n").alias("n"), F.col("other_imb").alias("imb"), F.col("other_ret_bp").alias("ret_bp"), F.col("other_total").alias("total"), flow.alias("path_over_net"), "imb_divergence", "ret_divergence"))
+
+
+def last_of_hour(spark, d):
+    """The last tick of each hour and kind of event."""
+    t = ticks(spark, d).withColumn("hour", F.floor(F.col("ts_ms") / 3_600_000))
+    return rounded(N.keep_last(t, ["symbol", "hour", "is_buyer_maker"], ["ts_ms", "seq"]).select("hour", "is_buyer_maker", "ts_ms", "seq", "price", "lots"))
+
+
+def gate_lookup(spark, d):
+    """Each bar's verdict from a table with several for some bars and none for others."""
+    b = bars_of(spark, d).select("symbol", "bar_id", "taker_buy_vol")
+    table = b.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("bar_id") % 3).cast("int")))).filter("k > 0").withColumn("gate_pass", (F.col("taker_buy_vol") + F.col("k")) % 2 == 0)
+    return rounded(N.lookup(b, table, ["symbol", "bar_id"], "gate_pass", True, ["k"]).select("bar_id", "gate_pass"))
+
+
+def filled_forward(spark, d):
+    b = bars_of(spark, d).select("symbol", "bar_id", F.when(F.col("bar_id") % 97 == 50, F.col("roll_spread")).alias("x"))
+    return rounded(O.fill_forward(b, "x", "filled", 0.0, block=64).select("bar_id", "filled"))
+
+
+def fill_empty(spark, d):
+    """A column that is empty in the train rows of every other fold."""
+    df = joined(spark, d).withColumn("x", F.when((F.col("fold_idx") % 2 == 0) | (F.col("part") == "oos"), F.col("pred")))
+    return rounded(E.fill_empty(df, ["x"], ["fold_idx"]).select("fold_idx", "part", "bar_id", "x"))
+
+
+def reversion(spark, d):
+    return rounded(E.reversion(joined(spark, d), "pred", "y", ["fold_idx", "part"]))
+
+
+def top_of_train(spark, d):
+    """The train rows with the largest gains of a prediction."""
+    df = E.signed_gain(joined(spark, d), "pred", "y")
+    return rounded(E.top_share(df, "gain", 0.2, ["fold_idx"]).select("fold_idx", "bar_id", "gain", "threshold"))
+
+
+def exit_units(spark, d):
+    """Samples in units of the volatility at entry, and a prediction in the event's direction."""
+    df = P.aligned(P.per_volatility(P.resample(paths(spark, d), SAMPLES), ["pnl", "peak"]).withColumn("entry_pred", F.col("cum_imb")))
+    return rounded(df.select("event_id", "sample", "pnl", "peak", "entry_pred_aligned"))
+
+
+def grid_features(spark, d):
+    """All features of rows at grid times; the path over the net flow as in ``volume_bars``."""
+    t = ticks(spark, d)
+    df = G.grid_features(B.grid_bars(t, B.grid_times(t, 3_600_000, 43_200_000), VOLUME, 3), K.ladder_features(book(spark, d)), 2, 36_000_000, rank_rows=100)
+    return rounded(df.select("grid_ms", *[c for c in X.grid_feature_names(2) if "kyle" not in c]))
 
 
 def grid_times(spark, d):
@@ -632,6 +669,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         median_impute, missing_profile, hold_buckets, rolling_spearman, pace, volatility_ratio, feature_ranks, fold_members_expanding, day_members,
         growing_threshold, pooled_metrics, gate_metrics, fold_summary, hold_stats, train_scale, describe_label, match_rate, null_rows, domain_score, domain_events,
         grid_rows, grid_fill_lags, grid_book, book_over_bars, horizon_return, two_instruments, files_to_bars, tick_cache, date_list, book_replay, path_predictions, peak_rate,
-        archive_bars, archive_digests, union_files, sql_bars, label_event_far, stream_book, stream_labels, stream_threshold, grid_book_rows, fold_status, label_tail, joined_metrics, retrained_gate, exit_walk_forward,
+        last_of_hour, gate_lookup, filled_forward, fill_empty, reversion, top_of_train, exit_units, grid_features, archive_bars, archive_digests, union_files, sql_bars, label_event_far, stream_book, stream_labels, stream_threshold, grid_book_rows, fold_status, label_tail, joined_metrics, retrained_gate, exit_walk_forward,
     )
 }

@@ -436,6 +436,16 @@ ORACLE_SQL: dict[str, str] = {
       mem AS (SELECT f.fold_idx, l.*, l.bar_id < lo + 390 AS train FROM lab l JOIN folds f ON (l.bar_id >= lo AND l.bar_id < lo + 390 OR l.bar_id >= lo + 420 AND l.bar_id < lo + 520) WHERE a IS NOT NULL),
       edges AS (SELECT fold_idx, quantile_cont(a, 0.8) AS edge FROM mem WHERE train AND b GROUP BY fold_idx)
       SELECT fold_idx, count(*) FILTER (train) AS alpha_train, count(*) FILTER (NOT train) AS alpha_oos, count(*) FILTER (train AND b) AS entry_candidates, count(*) FILTER (train AND b AND a >= edge) AS entry_train, 'used' AS status FROM mem JOIN edges USING (fold_idx) GROUP BY fold_idx""",
+    "last_of_hour": f"""WITH {TICKS}, h AS (SELECT *, ts_ms // 3600000 AS hour FROM ticks) SELECT hour, is_buyer_maker, ts_ms, seq, round(price, 6) AS price, lots
+      FROM h QUALIFY row_number() OVER (PARTITION BY hour, is_buyer_maker ORDER BY ts_ms DESC, seq DESC) = 1""",
+    "gate_lookup": f"WITH {BARS} SELECT bar_id, CASE WHEN bar_id % 3 = 0 THEN true ELSE (taker_buy_vol::BIGINT + bar_id % 3) % 2 = 0 END AS gate_pass FROM bars",
+    "filled_forward": f"""WITH {BARS}, x AS (SELECT bar_id, CASE WHEN bar_id % 97 = 50 THEN roll_spread END AS x FROM bars)
+      SELECT bar_id, round(coalesce(last_value(x IGNORE NULLS) OVER (ORDER BY bar_id), 0), 6) AS filled FROM x""",
+    "fill_empty": f"WITH {VARIABLE} SELECT fold_idx, part, bar_id, CASE WHEN fold_idx % 2 = 1 THEN 0 ELSE round(pred, 6) END AS x FROM mem",
+    "reversion": f"""WITH {VARIABLE} SELECT fold_idx, part, count(*) AS n, round(avg(-sign(pred) * y), 6) AS reversion, round(avg((-sign(pred) * y > 0)::INT::DOUBLE), 6) AS share FROM pairs GROUP BY fold_idx, part""",
+    "top_of_train": f"""WITH {VARIABLE}, g AS (SELECT fold_idx, bar_id, sign(pred) * y AS gain FROM pairs WHERE part = 'train'), t AS (SELECT fold_idx, quantile_cont(gain, 0.8) AS threshold FROM g GROUP BY fold_idx)
+      SELECT fold_idx, bar_id, round(gain, 6) AS gain, round(threshold, 6) AS threshold FROM g JOIN t USING (fold_idx) WHERE gain >= threshold""",
+    "exit_units": f"WITH {PATHS} SELECT event_id, sample, round(pnl / greatest(entry_vol * 1e-4, 1e-4), 6) AS pnl, round(peak / greatest(entry_vol * 1e-4, 1e-4), 6) AS peak, round(cum_imb * entry_dir, 6) AS entry_pred_aligned FROM samples",
     "archive_bars": f"WITH {TICKS}, part AS (SELECT * FROM ticks WHERE ts_ms >= epoch_ms(TIMESTAMP '2024-01-05') AND ts_ms < epoch_ms(TIMESTAMP '2024-01-21')), {bar_parts('part')} SELECT 'EV' AS symbol, bar_id, ts_ms, {r6('open', 'high', 'low', 'close', 'vwap')}, trade_count, round(taker_buy_vol, 6) AS taker_buy_vol FROM bars",
     "archive_digests": """SELECT name, CASE WHEN n % 5 <> 0 AND n % 3 = 0 THEN 'md5' ELSE 'sha256' END AS algorithm, CASE WHEN n % 5 = 0 THEN 'bad' ELSE 'good' END AS status
       FROM (SELECT DISTINCT 'EV-aggTrades-' || strftime(ts, '%Y-%m-%d') || '.zip' AS name, dayofyear(ts) AS n FROM events)""",
