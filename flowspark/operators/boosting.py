@@ -73,6 +73,7 @@ class Boosted:
     unit: float
     out: str
     trees: list = field(default_factory=list)
+    gains: list[list[float]] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
 
     @property
@@ -88,6 +89,11 @@ class Boosted:
         terms = [F.lit(w * self.unit) * column_of(t, self.bins) for i, (t, w) in enumerate(zip(self.trees, self.weights, strict=True)) if i not in without]
         return sum(terms, F.lit(self.base))
 
+    def importance(self) -> list[float]:
+        """Each feature's share of the gain, mean over trees."""
+        total = [sum(g[i] for g in self.gains) for i in range(len(self.features))]
+        return [x / (sum(total) or 1.0) for x in total]
+
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with the prediction in ``out``."""
         return self.binned(df).withColumn(self.out, self.value()).drop(*self.bins)
@@ -119,5 +125,6 @@ def fit_dropout(train: DataFrame, features: list[str], y: str, out: str = "pred"
         for i in dropped:
             model.weights[i] *= n / (n + 1)
         model.trees.append(nodes_of(fitted))
+        model.gains.append(fitted.featureImportances.toArray().tolist())
         model.weights.append(rate / (n + 1))
     return model

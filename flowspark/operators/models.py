@@ -67,7 +67,7 @@ def fit_trees(train: DataFrame, features: list[str], y: str, out: str, trees: in
 
 def importance(model: PipelineModel, features: list[str], most: int = 20) -> list[tuple[str, float]]:
     """The ``most`` features with the largest share of the gain."""
-    shares = model.stages[-1].featureImportances.toArray()
+    shares = model.importance() if hasattr(model, "importance") else model.stages[-1].featureImportances.toArray()
     return sorted(zip(features, map(float, shares), strict=True), key=lambda x: (-x[1], x[0]))[:most]
 
 
@@ -85,13 +85,17 @@ def each_fold(rows: DataFrame, use: Callable[[DataFrame, DataFrame], DataFrame],
     return together(folds(), table.limit(0))
 
 
-def walk_forward(rows: DataFrame, features: list[str], y: str, out: str = "pred", least: int = LEAST, fit: Callable = fit_trees, **trees) -> DataFrame:
+def walk_forward(rows: DataFrame, features: list[str], y: str, out: str = "pred", least: int = LEAST, fit: Callable = fit_trees, gains: dict[int, list[tuple[str, float]]] | None = None, **trees) -> DataFrame:
     """The oos rows with ``out``: trees learn from the fold's train rows; gaps take the train medians,
-    and 0 where a fold has none.  ``fit``: :func:`fit_trees`, or ``boosting.fit_dropout``."""
+    and 0 where a fold has none.  ``fit``: :func:`fit_trees`, or ``boosting.fit_dropout``.  ``gains`` gets
+    the most important features of each fold's model."""
     filled = impute_medians(rows, features, ["fold_idx"]).fillna(0.0, features)
 
     def use(train: DataFrame, oos: DataFrame) -> DataFrame:
-        return fit(train, features, y, out, **trees).transform(oos).drop("_x")
+        model = fit(train, features, y, out, **trees)
+        if gains is not None:
+            gains[train.first()["fold_idx"]] = importance(model, features)
+        return model.transform(oos).drop("_x")
 
     done = each_fold(filled, use, y, least)
     return done if out in done.columns else done.withColumn(out, F.lit(None).cast("double"))

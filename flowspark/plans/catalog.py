@@ -23,7 +23,7 @@ from flowspark.operators import models as M
 from flowspark.operators import ordering as O
 from flowspark.operators import signals as S
 from flowspark.operators import tables as N
-from flowspark.plans import views
+from flowspark.plans import views, workflow
 from flowspark.plans.oracle import ORACLE_SQL  # noqa: F401
 from flowspark.session import scratch, stored
 from flowspark.sources import archives as A
@@ -637,6 +637,13 @@ def dropout_walkforward(spark, d):
     return rounded(M.walk_forward(modelling(spark, d), INPUTS, "y_vwap", fit=T.fit_dropout, trees=4, drop=0.3, skip=0.2).select("fold_idx", "bar_id", "y_vwap", "pred"))
 
 
+def run_summary(spark, d):
+    """Folds of a whole run, from ticks to metrics, with the share of its best feature."""
+    done = workflow.run(ticks(spark, d), workflow.Settings(volume=VOLUME, trees=5, rank_rows=RANK))
+    best = done.importance.filter("rank = 1").select("fold_idx", "feature", "share")
+    return rounded(done.folds.join(best, "fold_idx", "left"))
+
+
 def millis(df: DataFrame) -> DataFrame:
     return rounded(df.withColumns({"start_ms": F.unix_millis("start_at"), "end_ms": F.unix_millis("end_at")}).drop("start_at", "end_at"))
 
@@ -661,7 +668,7 @@ def stream_bars(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        gbt_walkforward, lofo_gate, two_stage, two_stage_status, dropout_walkforward, stream_tumbling, stream_sliding, stream_sessions, stream_bars,
+        gbt_walkforward, lofo_gate, two_stage, two_stage_status, dropout_walkforward, run_summary, stream_tumbling, stream_sliding, stream_sessions, stream_bars,
         label_scaled_trend, composite_score, threshold_search, folds_days, sample_weights, event_paths, exit_samples, exit_features, exit_rating,
         tick_view, tick_order_check, cumulative_lots, volume_bars, bar_returns, vpin, trade_activity, current_volatility, rolling_percent_rank, robust_z, ewma,
         rolling_quantile, lag_matrix, streak, shock_trigger, label_event, label_efficiency, label_variable_horizon, label_vwap, asof_book, nearest_book,
