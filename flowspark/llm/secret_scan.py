@@ -2,7 +2,8 @@
 
 A candidate is a run of at least ``SHORTEST`` characters of keys and tokens with a digit in it, or of
 at least ``ANNOUNCED`` of them, with or without a digit, right after a key word with an assignment
-sign.  ``=`` belongs to a candidate only as padding at its end, so a name and its sign stand before it.
+sign or "is"; a run of a known issuer's form, with or without a digit; or what stands in a URL between a name and
+``@``.  ``=`` belongs to a candidate only as padding at its end, so a name and its sign stand before it.
 Parts of e-mail addresses are no candidates.
 
 Features of the value: length, shares of character classes, changes of class, different characters, the
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import pick, stored
 from .spans_sql import let, matches
 
-SHORTEST, ANNOUNCED = 16, 6
+SHORTEST, ANNOUNCED, SHORT_IN_URL = 16, 6, 4
 SAMPLE = 20_000
 DICTIONARY = 1_000
 #: Code points before a candidate that are its neighbouring words.
@@ -51,14 +52,22 @@ _CHARACTERS = "[A-Za-z0-9_+/.-]"
 _AFTER_SIGN = r"(?<=[=:][\x20\t]{0,3}[\"'`]?)"
 #: A value after a key word, the rest of its name, and a sign: what stands before it is of bounded length.
 _AFTER_NAME = r"(?<=(?i:token|secret|passw|password|passwd|passphrase|pwd|api_?key|access_?key|private_?key|credential|auth_?key)(?i:[a-z0-9_]{0,16})[\"'`]?[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"'`]?)"
+#: "... password is", the part of a URL between a name and its host, and what issuers' keys look like.
+_AFTER_IS = r"(?<=is\x20)(?<=(?i:token|secret|password|passwd|passphrase|pwd|credential)\x20(?i:is)\x20)"
+_IN_URL = r"(?<=:)(?<=://[A-Za-z0-9_.%+-]{0,64}:)"
+_ISSUED = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"
 CANDIDATE = (
     # The sign is looked for first: few runs have one before them.
     rf"(?<!{_CHARACTERS}){_AFTER_SIGN}{_AFTER_NAME}{_CHARACTERS}{{{ANNOUNCED},}}+(?!@)={{0,2}}"
+    rf"|(?<!{_CHARACTERS}){_AFTER_IS}{_CHARACTERS}{{{ANNOUNCED},}}+(?!@)={{0,2}}"
+    rf"|{_IN_URL}[^\x20\t\n\r/@:]{{{SHORT_IN_URL},}}+(?=@)"
+    rf"|(?<!{_CHARACTERS})(?:{_ISSUED})(?!{_CHARACTERS})={{0,2}}"
     rf"|(?<!{_CHARACTERS})(?<!@)(?=[A-Za-z_+/.-]*+[0-9]){_CHARACTERS}{{{SHORTEST},}}+(?!@)={{0,2}}"
 )
 KEYWORD = rf"(?i)({_NAMES})"
+IN_URL = r"://[^\x20/@]*:$"
 #: Forms that issuers give their keys.
-ISSUED = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)=*$"
+ISSUED = rf"^({_ISSUED})=*$"
 VALUE = ("length", "digits", "upper", "lower", "changes", "different", "transitions", "coverage", "path_marks")
 FEATURES = (*VALUE, "keyword", "assigned", "quoted")
 #: Kinds of characters between which transitions are counted: 26 letters, digits, others.
@@ -122,8 +131,8 @@ def with_features(rows: DataFrame, words: list[str], weights: list[float]) -> Da
             "transitions": F.coalesce(likely / F.greatest(F.lit(1.0), size - 1), F.lit(0.0)),
             "coverage": covered / size,
             "path_marks": share("[/.]"),
-            "keyword": F.col("before").rlike(KEYWORD).cast("double"),
-            "assigned": F.col("sign").rlike("[=:]").cast("double"),
+            "keyword": (F.col("before").rlike(KEYWORD) | F.col("before").rlike(IN_URL)).cast("double"),
+            "assigned": (F.col("sign").rlike("[=:]") | F.col("sign").rlike(r"\bis\x20$")).cast("double"),
             "quoted": F.col("sign").rlike("[\"'`]").cast("double"),
         }
     )
