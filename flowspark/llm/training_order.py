@@ -169,6 +169,10 @@ def fixed_splits(spark: SparkSession, docs: DataFrame):
             spark.conf.unset(name)
 
 
+#: Tasks that write shards, at most.
+MOST_TASKS = 4096
+
+
 def materialise(
     docs: DataFrame,
     ranks: dict[bytes, int],
@@ -180,10 +184,12 @@ def materialise(
     key: int = 20,
     doc_id: str = "doc_id",
     text: str = "text",
+    most_tasks: int = MOST_TASKS,
 ) -> DataFrame:
     """Write the shards to ``path``; return (sequence, slot, doc_ids): the documents in each sequence.
 
-    The tokenizer's tables and one number for each input partition travel with the tasks.
+    The tokenizer's tables and one number for each input partition travel with the tasks.  A task writes
+    one shard after the other, as many as it takes for ``most_tasks`` tasks to do; the folder's name says how many.
     """
     if len(ranks) >= 1 << 16 or eos >= 1 << 16 or sys.byteorder != "little":
         raise ValueError("token numbers take two bytes, the lower one first")
@@ -259,10 +265,11 @@ def materialise(
                 yield pa.RecordBatch.from_arrays([pa.array([record()], pa.binary())], names=["record"])
 
         if shards:
-            pieces = rows.mapInArrow(fragments, "shard int, slot long, sequence long, at int, tokens binary")
-            ordered = pieces.repartitionById(shards, "shard").sortWithinPartitions("slot", "at").select("slot", "sequence", "tokens")
-            # The bytes are written as they are, in one file for each partition.
-            ordered.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("record")).write.option("maxRecordsPerFile", 0).text(path)
+            each = -(-shards // most_tasks)
+            pieces = rows.mapInArrow(fragments, "shard int, slot long, sequence long, at int, tokens binary").withColumn("task", F.floor(F.col("shard") / each).cast("int"))
+            ordered = pieces.repartitionById(-(-shards // each), "task").sortWithinPartitions("slot", "at").select("slot", "sequence", "tokens")
+            # The bytes are written as they are; a task's shards are whole but for the last one of all, a file each.
+            ordered.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("record")).write.option("maxRecordsPerFile", shard_records).text(f"{path}/{each}-a-task")
 
     places = spark.createDataFrame([(p, int(offsets[p])) for p in range(parts)], "part int, begin long")
     first = F.floor((F.col("begin") + F.col("at")) / F.lit(length))
@@ -286,8 +293,9 @@ def read_shards(spark: SparkSession, path: str, length: int = 512, shard_records
     Shards before it are not opened; each shard is one row of bounded size until it is cut.
     """
     stride = 8 + 2 * length + 1
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    shard = F.regexp_extract("path", r"part-(\d+)-[^/]*$", 1).cast("int")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path)
+    number = lambda n: F.regexp_extract("path", r"/(\d+)-a-task/part-(\d+)-[^/]*-c(\d+)[^/]*$", n).cast("int")
+    shard = number(1) * number(2) + number(3)
     wanted = files.filter(shard >= from_slot // shard_records).select(shard.alias("shard"), "content")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -584,3 +584,30 @@ def test_star_of_near_copies_loses_no_link(spark, monkeypatch, block):
     first = docs.select(F.struct(F.lit(False).alias("no_id"), "doc_id", shingle_sets.text_key().alias("key")).alias("first"))
     got = {r["doc_id"] for r in shingle_sets.near_copies(docs, first).collect()}
     assert got == want
+
+
+def test_secrets_in_urls_after_is_and_of_issued_forms(spark):
+    want = {1: "s3cr3tPw0rd", 2: "hunter2pass", 3: "ghp_" + "abcdefgh" * 5, 4: "AKIA" + "ABCDEFGH" * 2, 5: "kfjgkfjg"}
+    lines = {1: f"see postgres://bob:{want[1]}@db.example:5432/x", 2: f"so my pwd is {want[2]} now", 3: f"({want[3]})", 4: f"key {want[4]}, used", 5: f"redis://:{want[5]}@cache/0", 6: "mail bob@example.org at http://example.org:8080/path or this is hardly anything"}
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(20)]
+    rows = [*lines.items(), *((100 + i, f"token = \"{k}\"") for i, k in enumerate(keys)), *((200 + i, f"order number {4111111111111111 + i} came") for i in range(20))]
+    found = [(r["doc_id"], dict(rows)[r["doc_id"]][r["start"] : r["end"]], r["is_secret"]) for r in secret_scan.scan(frame(spark, rows)).collect()]
+    assert {i: v for i, v, _ in found if i < 10} == want
+    # Without labelled findings, what is announced or issued counts as one.
+    assert all(s for i, v, s in found if i in (1, 2, 3, 4)) and not any(s for i, _, s in found if i >= 200)
+
+
+def test_several_shards_a_task(spark, texts, tmp_path):
+    ranks, pattern, eos = queries.byte_vocabulary()
+    docs = frame(spark, [*texts.items()][:40]).coalesce(1)
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    got = []
+    for name, most in (("one", 4096), ("few", 3)):
+        path = str(tmp_path / name)
+        training_order.materialise(docs, ranks, pattern, eos, path, 64, 16, most_tasks=most)
+        rows = training_order.read_shards(spark, path, 64, 16).orderBy("slot").collect()
+        late = training_order.read_shards(spark, path, 64, 16, from_slot=37).orderBy("slot").collect()
+        assert late == rows[37:] and [r["slot"] for r in rows] == list(range(len(rows))) and all(r["shard"] == r["slot"] // 16 for r in rows)
+        got.append([(r["slot"], r["shard"], r["position"], r["sequence"], bytes(r["tokens"])) for r in rows])
+    assert got[0] == got[1] and len(got[0]) > 16 * 6
