@@ -186,8 +186,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, trees: int = 2
     rows = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
     # Copies would weigh as often as they stand there: of each text, the row of the smallest id stays.
     rows = rows.groupBy(text_key().alias("_key"), "toxic").agg(F.min(F.struct("doc_id", "text"))["text"].alias("text"))
-    # One id may stand on many different texts: the texts are bounded too, by their own hash.
-    rows = stored(rows.orderBy(F.xxhash64("_key"), "_key", "toxic").limit(most), "toxicity-sample")
+    # One id may stand on many different texts: the texts are bounded too, by their own hash.  Only two numbers
+    # of each pass through the one task that counts them off.
+    rows = stored(rows, "toxicity-labelled")
+    kept = rows.select("_key", "toxic").orderBy(F.xxhash64("_key"), "_key", "toxic").limit(most)
+    rows = stored(rows.join(F.broadcast(kept), ["_key", "toxic"]), "toxicity-sample")
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("a")).first()
     share = counts["a"] / counts["n"] if counts["n"] else 0.0
     fitting = F.pmod(F.col("_key"), F.lit(4)) != 0
