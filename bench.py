@@ -11,7 +11,7 @@ from flowspark.session import clear, session
 
 #: Their sum is the metric; the others are timed beside them.
 HEADLINE = ["volume_bars", "vpin", "rolling_percent_rank", "robust_z", "shock_trigger", "label_variable_horizon", "asof_book", "cross_instrument", "grid_bars", "spearman_by_fold"]
-OTHERS = ["domain_score", "grid_rows"]
+OTHERS = ["domain_score", "grid_rows", "exit_features", "growing_threshold", "sql_bars", "stream_labels"]
 
 
 def main() -> None:
