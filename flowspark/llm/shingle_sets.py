@@ -32,8 +32,9 @@ BANDS, ROWS = 14, 4
 #: Texts of a key of which all pairs are taken.
 SMALL = 8
 #: Texts of a block of a larger key, minima that likely pairs agree in (of 56; at similarity 0.8 fewer
-#: than 34 have a probability of 0.0002), and pairs of a text beside the forest in the first round.
-BLOCK, LIKELY, NEAREST = 512, 34, 16
+#: than 34 have a probability of 0.0002), and pairs of a text beside the forest in the first rounds; in each
+#: later one they are four times as many.
+BLOCK, LIKELY, NEAREST = 512, 34, (0, 0, 0, 4)
 #: Pairs that are looked at one by one before the rest is sifted.
 EDGES = 2048
 #: Shingles whose minima are taken at once.
@@ -217,7 +218,7 @@ def joined_up(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least:
     """(node, root) of the texts of ``rows`` (id, n, keys, minima) that have links.  ``sets_of`` gives the sets
     (id, hashes) of some ids.
 
-    Pairs that are rejected make room for others, eight times as many for each text in each round, until no likely
+    Pairs that are rejected make room for others, in the end four times as many for each text in each round, until no likely
     pair of a key that was not compared in full stands between two components: no pair is left out for
     the number of a text's neighbours.
     """
@@ -226,10 +227,11 @@ def joined_up(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least:
     good = stored(compared(sets, first_pairs(shared, least), least).filter("good").select("a", "b"), "alike")
     roots = stored(components(good), "near-roots")
     groups = stored(cells(shared, rows, roots), "cells")
-    at, nearest = ["key", "i", "j"], NEAREST
+    at, rounds = ["key", "i", "j"], 0
     rejected = groups.select(*at, F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     now = groups
     while True:
+        nearest = NEAREST[min(rounds, len(NEAREST) - 1)] * 4 ** max(0, rounds - len(NEAREST) + 1)
         proposed = stored(proposals(now, rejected, least, nearest), "proposed")
         if proposed.isEmpty():
             return roots
@@ -239,7 +241,7 @@ def joined_up(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least:
         bad = stored(proposed.join(judged.filter("not good").select("a", "b"), ["a", "b"]).select(*at, "a", "b"), "rejected")
         if bad.isEmpty():
             return roots
-        rejected, nearest = stored(rejected.union(bad), "rejected"), 8 * nearest
+        rejected, rounds = stored(rejected.union(bad), "rejected"), rounds + 1
         open_ = groups.join(bad.select(*at).distinct(), at, "left_semi").withColumnRenamed("root", "_old")
         now = open_.join(roots, F.col("id") == F.col("node"), "left").select(*at, "mine", "id", "n", "minima", F.coalesce("root", "_old").alias("root"))
 
