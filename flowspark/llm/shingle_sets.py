@@ -7,9 +7,11 @@
    with at most ``SMALL`` texts all pairs are compared, set by set.  In larger ones all texts are
    compared with one of them, and the pairs that have the similarity are joined into components.
 3. What is left of a larger key are pairs between two of its components.  They are compared by
-   their minima, in blocks, and those that may have the similarity by their sets: first a spanning
-   forest of those that agree most, and, as long as pairs are rejected, more and more of the others.
-   Pairs within a component cannot change it and are not compared.
+   their minima, in blocks, and those that may have the similarity by the ``LOWEST`` smallest hashes
+   of their sets.  Of sets that have no more than these, that is the whole comparison.  Larger ones,
+   if it does not rule them out, are compared by their whole sets: first a spanning forest of those
+   that agree most, and, as long as pairs are rejected, more and more of the others.  Pairs within a
+   component cannot change it and are not compared.
 
 Defined results: letters A to Z count as small; a text of fewer words than a shingle is one shingle;
 texts without words are copies of nothing; an empty table gives an empty result.
@@ -35,6 +37,9 @@ SMALL = 8
 #: than 34 have a probability of 0.0002), and pairs of a text beside the forest in the first rounds; in each
 #: later one they are four times as many.
 BLOCK, LIKELY, NEAREST = 512, 34, (0, 0, 0, 4)
+#: Hashes of a text that a block has at hand, and standard deviations that a sample of them may fall short of the
+#: similarity (with a probability of 0.0002).
+LOWEST, SHORT = 512, 3.6
 #: Pairs that are looked at one by one before the rest is sifted.
 EDGES = 2048
 #: Shingles whose minima are taken at once.
@@ -143,33 +148,58 @@ def cells(shared: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
     return sent.join(rows.select("id", "minima"), "id").select("key", "to.i", "to.j", "mine", "id", "n", "minima", "root")
 
 
+def likely(x: pd.DataFrame, y: pd.DataFrame, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row of x, row of y, minima that agree) of the pairs whose minima and sizes allow the similarity and whose
+    roots differ, and the roots of x and then y as numbers from 0.  ``same``: x and y are one block."""
+    mx, my = (np.frombuffer(b"".join(c["minima"]), "<u2").reshape(-1, BANDS * ROWS).T.copy() for c in (x, y))
+    nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None]
+    agree = np.zeros((len(x), len(y)), np.uint8)
+    for p, q in zip(mx, my, strict=True):
+        agree += p[:, None] == q[None]
+    codes = np.unique(np.concatenate([x["root"], y["root"]]), return_inverse=True)[1]
+    r, c = np.nonzero((agree >= LIKELY) & (np.minimum(nx, ny) >= least * np.maximum(nx, ny)) & (codes[: len(x), None] != codes[None, len(x) :]))
+    edges = np.stack([r, c, agree[r, c].astype(np.int64)], axis=1)
+    return (edges[edges[:, 0] < edges[:, 1]] if same else edges), codes
+
+
+def open_rows(groups: DataFrame, least: float) -> DataFrame:
+    """The rows of ``groups`` (see ``cells``) that are in a likely pair of their group."""
+
+    def sift(cell: pd.DataFrame) -> pd.DataFrame:
+        i, j = cell["i"].iloc[0], cell["j"].iloc[0]
+        x, y = cell[cell["mine"] == i], cell[cell["mine"] == j]
+        edges, _ = likely(x, y, i == j, least)
+        met = [x.iloc[np.unique(edges[:, 0])], y.iloc[np.unique(edges[:, 1])]]
+        return pd.concat(met).drop_duplicates("id")
+
+    return groups.groupBy("key", "i", "j").applyInPandas(sift, groups.schema)
+
+
 def proposals(groups: DataFrame, rejected: DataFrame, least: float, nearest: int) -> DataFrame:
-    """(key, i, j, a, b) of likely pairs between components: a spanning forest of those whose minima agree most,
-    and the ``nearest`` of each text.  Pairs of ``rejected`` are known to be below the similarity."""
+    """(key, i, j, a, b, sure) of pairs between components: a spanning forest of those whose minima agree most,
+    and of larger sets also the ``nearest`` of each text.  ``groups`` have the smallest hashes (low) too.
+
+    Sure pairs were compared in full and have the similarity; pairs of ``rejected`` are known not to.
+    """
 
     def pairs(cell: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if cell.empty:
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("key", "i", "j", "a", "b")})
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("key", "i", "j", "a", "b")} | {"sure": pd.Series(dtype="bool")})
         cell = cell.sort_values("id")
         key, i, j = (int(cell[c].iloc[0]) for c in ("key", "i", "j"))
         x, y = cell[cell["mine"] == i], cell[cell["mine"] == j]
         no = set(zip(known["a"].tolist(), known["b"].tolist(), strict=True))
-        mx, my = (np.frombuffer(b"".join(c["minima"]), "<u2").reshape(-1, BANDS * ROWS).T.copy() for c in (x, y))
-        nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None]
-        agree = np.zeros((len(x), len(y)), np.uint8)
-        for p, q in zip(mx, my, strict=True):
-            agree += p[:, None] == q[None]
-        names, codes = np.unique(np.concatenate([x["root"], y["root"]]), return_inverse=True)
-        rx, ry = codes[: len(x)], codes[len(x) :]
-        r, c = np.nonzero((agree >= LIKELY) & (np.minimum(nx, ny) >= least * np.maximum(nx, ny)) & (rx[:, None] != ry[None]))
-        edges = np.stack([r, c, agree[r, c].astype(np.int64)], axis=1)
-        if i == j:
-            edges = edges[edges[:, 0] < edges[:, 1]]
+        edges, codes = likely(x, y, i == j, least)
         edges = edges[np.argsort(-edges[:, 2], kind="stable")]
+        rx, ry = codes[: len(x)], codes[len(x) :]
         ids_x, ids_y = x["id"].to_numpy(), y["id"].to_numpy()
-        root, near_x, near_y, keep = list(range(len(names))), np.zeros(len(x), int), np.zeros(len(y), int), []
+        root, near_x, near_y, keep = list(range(len(codes))), np.zeros(len(x), int), np.zeros(len(y), int), []
         if i == j:
             near_y = near_x
+        lows: dict[int, np.ndarray] = {}
+        sizes = dict(zip(cell["id"].tolist(), cell["n"].tolist(), strict=True))
+        packed = dict(zip(cell["id"].tolist(), cell["low"], strict=True))
+        whole_x, whole_y = x["n"].to_numpy() <= LOWEST, y["n"].to_numpy() <= LOWEST
 
         def find(v: int) -> int:
             while root[v] != v:
@@ -177,23 +207,46 @@ def proposals(groups: DataFrame, rejected: DataFrame, least: float, nearest: int
                 v = root[v]
             return v
 
+        def low(v: int) -> np.ndarray:
+            if v not in lows:
+                lows[v] = np.frombuffer(packed[v], np.uint64)
+            return lows[v]
+
+        def alike(a: int, b: int, whole: bool) -> bool:
+            """Whether two sets have the similarity; if they are not ``whole`` here, whether they may have."""
+            s, t = low(a), low(b)
+            if not whole:
+                # Up to the last hash of a set that goes on, both are complete: a sample of their union.
+                upto = min(v[-1] for v, n in ((s, sizes[a]), (t, sizes[b])) if n > LOWEST)
+                s, t = s[: np.searchsorted(s, upto, "right")], t[: np.searchsorted(t, upto, "right")]
+            merged = np.concatenate([s, t])
+            merged.sort()
+            both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+            union = len(merged) - both
+            return both >= least * union - (0 if whole else SHORT * (least * (1 - least) * union) ** 0.5)
+
         while len(edges):
             for r, c, _ in edges[:EDGES].tolist():
-                pair = (min(ids_x[r], ids_y[c]), max(ids_x[r], ids_y[c]))
+                pair = (int(min(ids_x[r], ids_y[c])), int(max(ids_x[r], ids_y[c])))
                 p, q = find(rx[r]), find(ry[c])
-                if pair not in no and (p != q or near_x[r] < nearest or near_y[c] < nearest):
+                whole = bool(whole_x[r] and whole_y[c])
+                if (p != q or (not whole and (near_x[r] < nearest or near_y[c] < nearest))) and pair not in no and alike(*pair, whole):
                     root[max(p, q)] = min(p, q)
-                    near_x[r] += 1
-                    near_y[c] += 1
-                    keep.append(pair)
+                    if not whole:
+                        near_x[r] += 1
+                        near_y[c] += 1
+                    keep.append((*pair, whole))
             # What joins nothing new is dropped all at once.
             edges = edges[EDGES:]
             top = np.array([find(v) for v in range(len(root))])
-            edges = edges[(top[rx[edges[:, 0]]] != top[ry[edges[:, 1]]]) | (near_x[edges[:, 0]] < nearest) | (near_y[edges[:, 1]] < nearest)]
-        return pd.DataFrame({"key": key, "i": i, "j": j, "a": [p for p, _ in keep], "b": [q for _, q in keep]}).astype("int64")
+            r, c = edges[:, 0], edges[:, 1]
+            wanted = ~(whole_x[r] & whole_y[c]) & ((near_x[r] < nearest) | (near_y[c] < nearest))
+            edges = edges[(top[rx[r]] != top[ry[c]]) | wanted]
+        out = pd.DataFrame({"key": key, "i": i, "j": j, "a": [k[0] for k in keep], "b": [k[1] for k in keep]}).astype("int64")
+        return out.assign(sure=np.array([k[2] for k in keep], bool))
 
     at = ("key", "i", "j")
-    return groups.groupBy(*at).cogroup(rejected.groupBy(*at)).applyInPandas(pairs, "key long, i int, j int, a long, b long")
+    return groups.groupBy(*at).cogroup(rejected.groupBy(*at)).applyInPandas(pairs, "key long, i int, j int, a long, b long, sure boolean")
 
 
 def compared(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
@@ -218,7 +271,7 @@ def joined_up(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least:
     """(node, root) of the texts of ``rows`` (id, n, keys, minima) that have links.  ``sets_of`` gives the sets
     (id, hashes) of some ids.
 
-    Pairs that are rejected make room for others, in the end four times as many for each text in each round, until no likely
+    Pairs of larger sets that are rejected make room for others, in the end four times as many for each text in each round, until no likely
     pair of a key that was not compared in full stands between two components: no pair is left out for
     the number of a text's neighbours.
     """
@@ -226,7 +279,8 @@ def joined_up(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least:
     sets = stored(sets_of(shared.select("id").distinct()), "shingle-sets")
     good = stored(compared(sets, first_pairs(shared, least), least).filter("good").select("a", "b"), "alike")
     roots = stored(components(good), "near-roots")
-    groups = stored(cells(shared, rows, roots), "cells")
+    open_ = open_rows(cells(shared, rows, roots), least)
+    groups = stored(open_.join(sets.select("id", F.substring("hashes", 1, 8 * LOWEST).alias("low")), "id"), "cells")
     at, rounds = ["key", "i", "j"], 0
     rejected = groups.select(*at, F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     now = groups
@@ -235,15 +289,15 @@ def joined_up(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least:
         proposed = stored(proposals(now, rejected, least, nearest), "proposed")
         if proposed.isEmpty():
             return roots
-        judged = stored(compared(sets, proposed.select("a", "b").distinct(), least), "judged")
-        good = stored(good.union(judged.filter("good").select("a", "b")).distinct(), "alike")
+        judged = stored(compared(sets, proposed.filter("not sure").select("a", "b").distinct(), least), "judged")
+        good = stored(good.union(proposed.filter("sure").select("a", "b")).union(judged.filter("good").select("a", "b")).distinct(), "alike")
         roots = stored(components(good), "near-roots")
-        bad = stored(proposed.join(judged.filter("not good").select("a", "b"), ["a", "b"]).select(*at, "a", "b"), "rejected")
+        bad = stored(proposed.filter("not sure").join(judged.filter("not good").select("a", "b"), ["a", "b"]).select(*at, "a", "b"), "rejected")
         if bad.isEmpty():
             return roots
         rejected, rounds = stored(rejected.union(bad), "rejected"), rounds + 1
         open_ = groups.join(bad.select(*at).distinct(), at, "left_semi").withColumnRenamed("root", "_old")
-        now = open_.join(roots, F.col("id") == F.col("node"), "left").select(*at, "mine", "id", "n", "minima", F.coalesce("root", "_old").alias("root"))
+        now = open_.join(roots, F.col("id") == F.col("node"), "left").select(*at, "mine", "id", "n", "minima", "low", F.coalesce("root", "_old").alias("root"))
 
 
 def near_copies(docs: DataFrame, firsts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:

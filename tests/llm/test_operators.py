@@ -547,10 +547,14 @@ def test_samples_are_bounded_in_rows(spark):
     assert seen == [50, 50]
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_star_of_near_copies_loses_no_link(spark, monkeypatch, block):
-    """Texts around a base, many of whose pairs are just above or just below the similarity."""
+@pytest.mark.parametrize(("block", "lowest"), [(512, 512), (7, 512), (512, 16), (7, 100)])
+def test_star_of_near_copies_loses_no_link(spark, monkeypatch, block, lowest):
+    """Texts around a base, many of whose pairs are just above or just below the similarity.
+
+    With 512 hashes at hand all sets are whole there; with fewer, pairs are sifted by a sample first.
+    """
     monkeypatch.setattr(shingle_sets, "BLOCK", block)
+    monkeypatch.setattr(shingle_sets, "LOWEST", lowest)
     monkeypatch.setattr(shingle_sets, "SMALL", 2)
     rng = random.Random(5)
     rows = []
