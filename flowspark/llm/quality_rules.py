@@ -3,14 +3,15 @@
 Words and pairs of words are hashed to buckets, about twice the square root of the texts' bytes of them:
 what is gathered of the corpus grows with it, and so slowly that the table of ratios fits every task
 (4 bytes a bucket; 2 MB at 30 GB of text, at most ``2**MOST_BITS`` buckets).  Two multinomials over the buckets are
-counted: that of the raw corpus over all documents, and that of trusted text over documents with
-label ``quality = 1``, a sample of at most ``most`` of them.  A document's score is the mean over its
-n-grams of the log of the ratio of the two.  The threshold follows from the other part of the
-labelled sample: the score that parts its good and bad documents with the best balanced accuracy.
+counted: that of the raw corpus over all documents, and that of trusted text over all documents with
+label ``quality = 1`` of one half (by the text's hash).  A document's score is the mean over its
+n-grams of the log of the ratio of the two.  The threshold follows from all labelled documents of the
+other half: the score that parts its good and bad documents with the best balanced accuracy.
 Documents under the base rules' limits are rejected whatever their score.
 
 The counts of a bucket are summed before and after the shuffle; a task holds two numbers for each
-bucket, whatever it reads.
+bucket, whatever it reads.  Labels meet the texts of the one half and the scores of the other by
+joins on the id; the threshold comes from running sums over slices of scores.
 
 Defined results: a null or empty text has no words and is rejected by the base rules; with no trusted
 or no bad label every score passes; rows repeated are counted as often as they stand there; an id
@@ -29,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.operators.ordering import running_sum
+
 from .common import by_bytes, map_rows, pick, sample_ids, stored
 
 #: Log2 of the number of buckets, at least and at most.
 BITS, MOST_BITS = 14, 26
-#: Labelled documents that are read at most.
-SAMPLE = 20_000
 #: Count that is added to each bucket.
 SMOOTHING = 0.5
 #: Words of a window that is looked up in the rest of its text.
@@ -168,41 +169,59 @@ def measured(docs: DataFrame, weights: np.ndarray, bits: int) -> DataFrame:
     return map_rows(docs, of_kept + ", ".join(f"{n} long" for n in names) + ", score double", start)
 
 
-def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
-    """The score that parts the two with the best balanced accuracy, halfway to the next score; a tie
-    goes to the lower one, which keeps more."""
-    every = np.unique(np.concatenate([good, bad]))
-    if not len(good) or not len(bad):
+def best_threshold(scores: DataFrame) -> float:
+    """Of (quality, score): the score that parts good (1) and bad (0) with the best balanced accuracy, halfway
+    to the next score; a tie goes to the lower one, which keeps more.
+
+    Cuts are compared by whole numbers: bad rows below times all good ones, less good rows below times all bad ones.
+    """
+    is_good, is_bad = (F.count_if(F.col("quality") == q).alias(n) for q, n in ((1, "good"), (0, "bad")))
+    each = stored(scores.filter("score is not null and quality in (0, 1)").groupBy("score").agg(is_good, is_bad), "quality-cuts")
+    good, bad = each.agg(F.sum("good"), F.sum("bad")).first()
+    if not good or not bad:
+        return -np.inf
+    sliced = each.select("score", (F.col("bad") * good - F.col("good") * bad).alias("gain")).repartitionByRange("score").withColumn("_slice", F.spark_partition_id())
+    summed = stored(running_sum(stored(sliced, "quality-slices"), "gain", "upto", (), "_slice", ("score",)), "quality-sums")
+    cut, gain = summed.orderBy(F.desc("upto"), "score").select("score", "upto").first()
+    if gain <= 0:
         return -np.inf
-    cuts = np.concatenate([[-np.inf], (every[:-1] + every[1:]) / 2])
-    accuracy = 1 - np.searchsorted(np.sort(good), cuts) / len(good) + np.searchsorted(np.sort(bad), cuts) / len(bad)
-    return float(cuts[int(np.argmax(accuracy))])
+    return (cut + summed.filter(F.col("score") > cut).agg(F.min("score")).first()[0]) / 2
+
+
+def bounded(rows: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """(text, quality) of at most ``most`` labelled rows, chosen by hashes; rows alike in id and text are one."""
+    # At most `most` rows of two numbers: small enough to send to every task.
+    met = rows.join(F.broadcast(sample_ids(known, most).withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
+    # One id may stand on many rows: they are bounded too.  Only two numbers of each pass through the one task
+    # that counts them off.
+    met = stored(met.select(F.xxhash64("doc_id", "text").alias("_key"), "text", "quality").dropDuplicates(["_key", "quality"]), "quality-labelled")
+    kept = met.select("_key", "quality").orderBy("_key", "quality").limit(most)
+    return stored(met.join(F.broadcast(kept), ["_key", "quality"]).select("text", "quality"), "quality-sample")
 
 
-def judge(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, most: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score)
-    for every document."""
+    for every document.
+
+    All labelled documents count; a caller may bound them by ``most``, for a quicker look.
+    """
     rows = pick(docs, doc_id=doc_id, text=text)
     bits = bucket_bits(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     known = pick(labels, doc_id="doc_id", quality="quality").filter("doc_id is not null and quality is not null")
-    chosen = sample_ids(known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")), most).withColumnRenamed("doc_id", "_id")
-    # At most `most` rows of two numbers: small enough to send to every task.
-    met = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "quality")
-    # One id may stand on many rows: they are bounded too, repeated ones as one.  Only two numbers of each pass
-    # through the one task that counts them off.
-    met = stored(met.select(F.xxhash64("doc_id", "text").alias("_key"), "text", "quality").dropDuplicates(["_key", "quality"]), "quality-labelled")
-    kept = met.select("_key", "quality").orderBy("_key", "quality").limit(most)
-    labelled = stored(met.join(F.broadcast(kept), ["_key", "quality"]).select("text", "quality"), "quality-sample")
+    known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     half = F.pmod(F.xxhash64("text"), F.lit(2)) == 0  # copies go to the same part
+    # By hint, or a table of labels that is just small enough would be sent to every task.
+    labelled = rows.join(known.hint("merge"), "doc_id") if most is None else bounded(rows, known, most)
     raw = bucket_counts(rows, bits)
     trusted = bucket_counts(labelled.filter(half & (F.col("quality") == 1)), bits)
     weights = log_ratio(trusted, raw) if trusted.any() else np.zeros(1 << bits, np.float32)
-    # At most `most` pairs of numbers.
-    seen = measured(labelled.filter(~half), weights, bits).filter("score is not null").select("quality", "score").collect()
-    limit = best_threshold(np.array([r[1] for r in seen if r[0] == 1]), np.array([r[1] for r in seen if r[0] == 0])) if trusted.any() else -np.inf
+    scored = stored(measured(rows.withColumn("_half", half), weights, bits), "quality-scores")
+    limit = -np.inf
+    if trusted.any():
+        limit = best_threshold(scored.filter("not _half").join(known, "doc_id") if most is None else measured(labelled.filter(~half), weights, bits))
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     return (
-        measured(rows, weights, bits)
+        scored.drop("_half")
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("score"), F.lit(0.0)) >= F.lit(limit)))
     )
