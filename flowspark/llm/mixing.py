@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, pick, stored
+from .common import pick, stored
 
 #: Copies of a document at most, and target words at most for each word of a source.
 MOST_COPIES = 3
@@ -29,6 +29,8 @@ MOST_COPIES = 3
 GRAIN = 1 << 20
 #: Copies of a row that one task makes.
 RUN = 1024
+#: A word and the gaps around it, or a text of gaps only; the group is the word's first character.
+AROUND_WORD = r"[\x20\x09-\x0D]*+([^\x20\x09-\x0D])[^\x20\x09-\x0D]*+[\x20\x09-\x0D]*+|[\x20\x09-\x0D]++"
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1)) -> DataFrame:
@@ -57,6 +59,11 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1)) -> DataFrame:
     )
 
 
+def words_in(text: Column) -> Column:
+    """Number of words.  Each becomes one character: counting matches would hold all words of a text as objects."""
+    return F.coalesce(F.char_length(F.regexp_replace(text, F.lit(AROUND_WORD), F.lit("$1"))), F.lit(0)).cast("long")
+
+
 def size_class(size: Column) -> Column:
     """Eight classes for each doubling."""
     return F.floor(F.log2(size + F.lit(1.0)) * 8).cast("int")
@@ -79,7 +86,7 @@ def drawn(
     """(doc_id, source, spot, size, n, source_size, target, rank, offset, rate): one row for the ``n`` rows
     that are alike, with the number ``rank`` of the source's rows before them and the ``rate`` of each."""
     rows = pick(docs, doc_id=doc_id, source=source, text=text).select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), spot().alias("spot")
+        "doc_id", "source", words_in(F.col("text")).alias("size"), spot().alias("spot")
     )
     # Rows that are alike are counted before they are moved: an id that many rows share is no hot key.
     alike = rows.groupBy("doc_id", "source", "spot", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("class", size_class(F.col("size")))

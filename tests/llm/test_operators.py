@@ -325,6 +325,22 @@ def test_mix_takes_near_the_target(spark):
     assert mixing.take(docs, mixing.drawn(docs)).count() == mixed.agg(F.sum("copies")).first()[0]
 
 
+def test_words_are_counted_without_holding_them(spark):
+    from pyspark.sql import functions as F
+
+    odd = [None, "", " ", "\n\n", " a", "a ", " a b\t\x0b\x0cc \r", "  \x85 \x00 \x1c", "\U0001f600 \U0001f600\U0001f600 $1 \\1", "a" * 70_000, "b " * 60_000, " " * 70_000, "\u00a0a\u3000b c"]
+    docs = frame(spark, enumerate(odd))
+    rows = docs.select("doc_id", mixing.words_in(F.col("text"))).collect()
+    assert dict(rows) == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(odd)}
+    seen, keep = [], mixing.stored
+    mixing.stored = lambda df, label: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, label)
+    try:
+        mixing.drawn(docs.withColumn("source", F.lit("s")))
+    finally:
+        mixing.stored = keep
+    assert len(seen) == 1 and "regexp_replace" in seen[0] and "regexp_extract_all" not in seen[0]
+
+
 def test_main_text():
     page = "<html><head><title>T</title></head><body><nav>Home | About</nav><article><h1>Title</h1><p>First &amp; best\n text.</p><div class='ad-box'>Buy</div><p>Second.</p></article><footer>(c)</footer></body></html>"
     assert html_blocks.main_text(page) == "Title First & best text. Second."
