@@ -12,7 +12,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from flowspark.session import stored
 
-from .ordering import average_ranks, counted, quantiles, running_sum
+from .ordering import average_ranks, counted, fill_forward, next_true, quantiles, running_sum
 
 TINY = 1e-12
 
@@ -29,22 +29,50 @@ def bar_folds(bars: DataFrame, train: int, oos: int, gap: int, step: int = 0) ->
     return rows.select("symbol", (at / stride).cast("int").alias("fold_idx"), at, (at + train).alias("tr_end"), (at + train + gap).alias("gap_end"), (at + train + gap + oos).alias("os_end"))
 
 
+def spans(folds: DataFrame, purge: int, expanding: bool, ahead: int) -> DataFrame:
+    """The folds with ``tr_last``, the bar that their train rows end before."""
+    f = folds.withColumn("tr_start", F.lit(0).cast("long")) if expanding else folds
+    return f.withColumn("tr_last", F.least(F.greatest(F.col("tr_end") - purge, F.col("tr_start") + 1), F.col("gap_end") - ahead))
+
+
 def members(bars: DataFrame, folds: DataFrame, purge: int = 0, expanding: bool = False, ahead: int = 0, cell: int = 4096) -> DataFrame:
     """Each bar in each fold of its instrument that has it, with ``part`` train or oos.
 
     Train ends ``purge`` bars early, but keeps one bar at least, and no train bar lies within ``ahead``
     bars of the first oos bar.  ``expanding``: train begins with the first bar.  Bars and folds meet by
-    cells of bar numbers.
+    cells of bar numbers; the cells of expanding folds grow with their square, so they are sorted, not sent to
+    all tasks.  What only needs their size takes :func:`member_spans`.
     """
-    f = folds.withColumn("tr_start", F.lit(0).cast("long")) if expanding else folds
-    f = f.withColumn("tr_last", F.least(F.greatest(F.col("tr_end") - purge, F.col("tr_start") + 1), F.col("gap_end") - ahead))
+    f = spans(folds, purge, expanding, ahead)
     f = f.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("tr_start") / cell), F.floor((F.col("os_end") - 1) / cell))))
-    met = bars.withColumn("_cell", F.floor(F.col("bar_id") / cell)).join(f, ["symbol", "_cell"]).drop("_cell")
+    met = bars.withColumn("_cell", F.floor(F.col("bar_id") / cell)).join(f.hint("merge") if expanding else f, ["symbol", "_cell"]).drop("_cell")
     train = (F.col("bar_id") >= F.col("tr_start")) & (F.col("bar_id") < F.col("tr_last"))
     oos = (F.col("bar_id") >= F.col("gap_end")) & (F.col("bar_id") < F.col("os_end"))
     return met.withColumn("part", F.when(train, "train").when(oos, "oos")).filter("part is not null").select(*bars.columns, "fold_idx", "part")
 
 
+def member_spans(bars: DataFrame, folds: DataFrame, purge: int = 0, expanding: bool = False, ahead: int = 0, block: int = 8192) -> DataFrame:
+    """(symbol, fold_idx, part, n, first_bar, last_bar) of :func:`members`, without a row for each bar of each fold.
+
+    Where a part begins and ends stands in one order with the bars: the number of bars before it, the last one
+    before it and the next one come from running sums and values carried over blocks.
+    """
+    f = spans(folds, purge, expanding, ahead)
+    parts = f.select("symbol", "fold_idx", F.inline(F.array(*[F.struct(F.lit(p).alias("part"), F.col(a).alias("_from"), F.col(b).alias("_to")) for p, a, b in (("train", "tr_start", "tr_last"), ("oos", "gap_end", "os_end"))]))).filter("_from < _to")
+    marks = parts.select("symbol", F.explode(F.array("_from", "_to")).alias("_mark")).distinct()
+    none = F.lit(None).cast("long")
+    line = bars.select("symbol", (2 * F.col("bar_id") + 1).alias("_place"), F.col("bar_id").cast("long").alias("bar_id"), none.alias("_mark"), F.lit(1).cast("long").alias("_one"))
+    line = line.unionByName(marks.select("symbol", (2 * F.col("_mark")).alias("_place"), none.alias("bar_id"), "_mark", F.lit(0).cast("long").alias("_one")))
+    known = running_sum(line, "_one", "_upto", ("symbol",), F.floor(F.col("_place") / (2 * block)), ("_place",))
+    known = fill_forward(known, "bar_id", "_before", order="_place", block=2 * block)
+    known = next_true(known.withColumn("_bar", F.col("_one") == 1), "_bar", ["bar_id"], "_next", order="_place", block=2 * block)
+    known = stored(known.filter("_one = 0").select("symbol", "_mark", "_upto", "_before", F.col("_next.bar_id").alias("_after")), "fold-marks")
+    start = known.select("symbol", F.col("_mark").alias("_from"), F.col("_upto").alias("_low"), F.col("_after").alias("first_bar"))
+    end = known.select("symbol", F.col("_mark").alias("_to"), F.col("_upto").alias("_high"), F.col("_before").alias("last_bar"))
+    met = parts.join(start, ["symbol", "_from"]).join(end, ["symbol", "_to"])
+    return met.select("symbol", "fold_idx", "part", (F.col("_high") - F.col("_low")).alias("n"), "first_bar", "last_bar").filter("n > 0")
+
+
 def day_members(rows: DataFrame, folds: DataFrame, day: str = "dt", expanding: bool = False) -> DataFrame:
     """Each row in each fold of :func:`day_folds` that has its day, with ``part`` train or oos.
 
